@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,16 @@ def passes(texts: list[str], most: int = CHARS_PER_PASS) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def kept_rows(docs: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """docs without the rows that keep (a mask for each Arrow batch) rejects; all columns pass as they are, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keep(b), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def gather(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs source[starts[i] : starts[i] + lengths[i]], one after the other."""
     ends = np.cumsum(lengths)
