@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("detections",)
+_MODULES = ("detections", "tracks", "joins")
 
 
 def query(sql: str | None = None) -> Callable:
