@@ -25,3 +25,17 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which all executors see; a temporary one of our own where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if own.isEmpty():
+            import tempfile
+
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+            own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = own.get()
+    return folder.rstrip("/")
