@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("detections", "tracks", "joins", "statistics", "survey", "streams")
+_MODULES = ("detections", "tracks", "joins", "statistics", "survey", "helpers", "streams")
 
 
 def query(sql: str | None = None) -> Callable:
