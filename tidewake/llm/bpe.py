@@ -12,6 +12,7 @@ Nulls count as empty texts, which have no ids. Rows may repeat; extra columns ar
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import re
@@ -28,6 +29,8 @@ from tidewake.llm.common import gather, offsets, passes, texts_of
 LONGEST_ROW = 256
 #: Words, and chunks, whose ids a Python worker keeps before it starts anew.
 WORDS_KEPT = 600_000
+#: Letters below this place, and marks that are no letters, digits or spaces: such chunks need no pattern.
+LATIN_END, MARKS = "\u0250", (".", ",", ";", ":", "!", "?")
 NO_PAIR = np.int32(2**31 - 1)
 #: A space with white space after it: only there can a run of white space reach over a cut.
 _RUN = re.compile(r" \s")
@@ -199,51 +202,69 @@ class Chunker:
     """Cuts texts at single spaces and by the pattern, and keeps the ids of chunks and words seen before.
 
     A space opens a new match of the pattern unless it stands in a longer run of white space, so the chunks between
-    single spaces encode alone as they do in their text. Texts with a longer run after a space are matched whole.
+    single spaces encode alone as they do in their text. Texts with a longer run after a space are matched whole. A chunk
+    of Latin letters is one word, and one with a mark behind it two, for any pattern that keeps runs of letters together.
     """
 
     def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[bytes]]):
         self.find, self.encode_words = regex.compile(pattern).findall, encode_words
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > WORDS_KEPT:
-            self.words = {}
-        new = [w for w in words if w not in self.words]
-        self.words.update(zip(new, self.encode_words(new), strict=True))
+        self.chunks: dict[str, bytes] = {}  # without the space before them, which their ids have
+
+    def _learn(self, chunks: set[str], others: set[str]) -> None:
+        """Ids of new chunks, and of the words of texts and first chunks that are matched whole."""
+        plain, marked, split = set(), [], {}
+        for c in chunks:
+            if c.isalpha() and (c.isascii() or max(c) < LATIN_END):
+                plain.add(c)
+            elif c[-1:] in MARKS and (body := c[:-1]).isalpha() and (body.isascii() or max(body) < LATIN_END):
+                marked.append(c)
+                if body not in self.chunks:
+                    plain.add(body)
+            else:
+                split[c] = self.find(" " + c)
+        words = {w for ws in split.values() for w in ws}
+        words.update(others, MARKS)
+        todo = [w for w in words if w not in self.words]
+        fresh = list(plain)
+        ids = self.encode_words([*todo, *[" " + c for c in fresh]])
+        self.words.update(zip(todo, ids, strict=False))
+        self.chunks.update(zip(fresh, ids[len(todo) :], strict=True))
+        known = self.words.__getitem__
+        for c in marked:
+            self.chunks[c] = self.chunks[c[:-1]] + known(c[-1])
+        for c, ws in split.items():
+            self.chunks[c] = b"".join(map(known, ws))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[tuple[bool, list[str]]] = []
+        gc.disable()  # nothing here points in a circle, and the collector would walk the kept words again and again
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.chunks) > WORDS_KEPT or len(self.words) > WORDS_KEPT // 4:
+            self.chunks, self.words = {}, {}
+        get, new, others = self.chunks.get, set(), set()
+        held: list[tuple[list[str], list[bytes | None], list[tuple[int, str]]]] = []  # matched; ids of chunks; the new ones
         for t in texts:
-            if not t:
-                cut.append((True, []))
-            elif _RUN.search(t):
-                cut.append((True, self.find(t)))
-            else:
-                cut.append((False, t.split(" ")))
-        if len(self.chunks) > WORDS_KEPT:
-            self.chunks = {}
-        new: set[str] = set()
-        firsts: dict[str, list[str]] = {}
-        for whole, parts in cut:
-            if not whole:
-                if parts[0] not in firsts:
-                    firsts[parts[0]] = self.find(parts[0])
-                new.update(parts[1:])
-        new.difference_update(self.chunks)
-        split = {c: self.find(" " + c) for c in new}
-        words = {w for whole, parts in cut if whole for w in parts}
-        words.update(*firsts.values(), *split.values())
-        self._learn(words)
-        known = self.words.__getitem__
-        self.chunks.update((c, b"".join(map(known, ws))) for c, ws in split.items())
-        chunk, out = self.chunks.__getitem__, []
-        for whole, parts in cut:
-            if whole:
-                out.append(b"".join(map(known, parts)))
+            if _RUN.search(t):
+                matched, chunks = self.find(t), []
             else:
-                out.append(b"".join(map(known, firsts[parts[0]])) + b"".join(map(chunk, parts[1:])))
+                first, *chunks = t.split(" ")
+                matched = self.find(first)
+            ids: list[bytes | None] = list(map(get, chunks))
+            places = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            new.update(chunks[i] for i in places)
+            others.update(matched)
+            held.append((matched, ids, [(i, chunks[i]) for i in places]))
+        self._learn(new, others)
+        known, chunk, out = self.words.__getitem__, self.chunks.__getitem__, []
+        for matched, ids, places in held:
+            for i, c in places:
+                ids[i] = chunk(c)
+            out.append(b"".join(map(known, matched)) + b"".join(ids))
         return out
 
 

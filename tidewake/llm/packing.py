@@ -12,7 +12,6 @@ read. An empty table gives no records. Order within the stream is that of the in
 from __future__ import annotations
 
 import os
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +29,9 @@ TOTALS_BROADCAST = 1_000_000
 #: Partitions whose totals one window sums.
 TOTALS_PER_BLOCK = 1_000
 
+#: New words that one call of the tokenizer encodes, one after the other.
+WORDS_A_CALL = 64
+
 _loaded: dict[tuple[str, str], Chunker] = {}
 
 
@@ -42,13 +44,31 @@ def _chunker(path: str, pattern: str) -> Chunker:
         own = Tokenizer.from_file(path)
         own.encode_special_tokens = True
 
+        # A token of this vocabulary is spelt with one character for each of its bytes.
+        spelt = np.zeros(own.get_vocab_size(), np.int64)
+        for token, i in own.get_vocab().items():
+            spelt[i] = len(token)
+
         def encode(words: list[str]) -> list[bytes]:
-            return [array("I", e.ids).tobytes() for e in own.encode_batch_fast(words, add_special_tokens=False)]
+            """Runs of a space and letters are matched apart wherever they stand, so many go through one call."""
+            runs = [w[0] == " " and w[1:].isalpha() for w in words]
+            out = {w: np.array(e.ids, "<u4").tobytes() for w, e in _each(own, [w for w, r in zip(words, runs, strict=True) if not r])}
+            apart = [w for w, r in zip(words, runs, strict=True) if r]
+            lines = ["".join(apart[i : i + WORDS_A_CALL]) for i in range(0, len(apart), WORDS_A_CALL)]
+            ids = np.array([x for e in own.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids], "<u4")
+            ends = np.searchsorted(np.cumsum(spelt[ids]), np.cumsum([len(w.encode()) for w in apart]), "left") + 1
+            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out.update((w, data[a:b]) for w, a, b in zip(apart, at, at[1:], strict=False))
+            return [out[w] for w in words]
 
         _loaded[path, pattern] = Chunker(pattern, encode)
     return _loaded[path, pattern]
 
 
+def _each(own, words: list[str]) -> Iterator[tuple]:
+    return zip(words, own.encode_batch_fast(words, add_special_tokens=False), strict=True)
+
+
 def encode_partitions(docs: DataFrame, path: str, pattern: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, part (partition), before (tokens before it in its partition), doc_tokens, ids (32-bit little-endian)."""
 
@@ -82,7 +102,7 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = 2048, end_id: i
     doc_id, start (tokens of the document before the piece), length, ids (the piece's, binary), ids_crc32, doc_tokens,
     sequence_id, offset (place in the window), continues (the document goes on in the next window).
     """
-    encoded = written(encode_partitions(docs, path, pattern, end_id), "packing")
+    encoded = written(encode_partitions(docs, path, pattern, end_id), "packing", "snappy")
     starts = partition_starts(encoded)
     if docs.rdd.getNumPartitions() <= TOTALS_BROADCAST:
         starts = F.broadcast(starts)
