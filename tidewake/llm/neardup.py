@@ -10,10 +10,11 @@ Candidates, in two steps that never list the pairs of a bucket that its links al
 
 1. Each member of a bucket meets the bucket's leader, the member with the largest buckets in all (a text that its copies
    were made from shares more buckets with them than they do with each other).
-2. Links found so far make components. In buckets that still hold several, members of different components meet in blocks
-   of bounded size, inside tasks, by registers alone.
+2. Links found so far make components. In buckets that still hold several, each member outside the largest meets the
+   others in blocks of bounded size, inside tasks: by registers, and where these leave doubt by full sets. Only links
+   leave a task, one for each two components that it joins.
 
-Either way a pair goes on only if its estimate, corrected for equal registers by chance, leaves the threshold within six
+Either way a pair is compared in full only if its estimate, corrected for equal registers by chance, leaves the threshold within six
 standard errors, and becomes a link only by the sizes of the full sets' intersection and union. Members are dealt to a
 leader's copies in salted groups, so no task gathers a large group, and texts are read again only for candidates.
 
@@ -42,7 +43,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.random.default_rng(20240607).integers(0, 2**63, (2, REGISTERS), np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hashes a Python worker keeps.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 250_000
 
 
 class _Hashes(dict):
@@ -120,7 +121,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for part in passes(texts := b["text"].tolist(), 1_000_000):
+            for part in passes(texts := b["text"].tolist(), 500_000):
                 sets = shingle_sets(texts[part], size)
                 rows = registers(sets)
                 yield pd.DataFrame(
@@ -172,14 +173,29 @@ def plausible(edges: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return edges.join(a, "a").join(b, "b").where(near).mapInPandas(run, "a long, b long")
 
 
-def confirmed(edges: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of the edges (a, b), the links: 100 * intersection >= percent * union of the full sets."""
+def sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """node and its full set (sorted 64-bit hashes, binary) of the documents named in ids (doc_id, distinct)."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            for part in passes(texts := x["text"].tolist(), 1_000_000):
+            for part in passes(texts := x["text"].tolist(), 500_000):
                 yield pd.DataFrame({"node": x["doc_id"].iloc[part], "shingles": [s.tobytes() for s in shingle_sets(texts[part], size)]})
 
+    nodes = written(ids, "neardup-nodes")
+    few = nodes.limit(IDS_BROADCAST + 1).count() <= IDS_BROADCAST
+    named = texts_of(docs).join(F.broadcast(nodes) if few else nodes, "doc_id")
+    return written(named.mapInPandas(sets, "node long, shingles binary").dropDuplicates(["node"]), "neardup-sets")
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets, a not empty."""
+    at = np.searchsorted(a, b)
+    return int((a[np.minimum(at, len(a) - 1)] == b).sum())
+
+
+def confirmed(edges: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of the edges (a, b), the links: 100 * intersection >= percent * union of the full sets."""
+
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, own = None, np.zeros(0, np.uint64)
         for x in batches:
@@ -189,16 +205,12 @@ def confirmed(edges: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                 if (a, salt) != key:  # the leader's row comes first
                     key, own = (a, salt), held
                     continue
-                at = np.searchsorted(own, held)
-                both = int((own[np.minimum(at, len(own) - 1)] == held).sum())
+                both = shared(own, held)
                 if 100 * both >= percent * (len(own) + len(held) - both):
                     links.append((a, member))
             yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    nodes = written(edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "neardup-nodes")
-    few = nodes.limit(IDS_BROADCAST + 1).count() <= IDS_BROADCAST
-    named = texts_of(docs).join(F.broadcast(nodes) if few else nodes, "doc_id")
-    held = written(named.mapInPandas(sets, "node long, shingles binary").dropDuplicates(["node"]), "neardup-sets")
+    held = sets_of(edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, size)
     salts = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
     leaders = held.join(salts, F.col("node") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("b"), "shingles")
     of_edge = edges.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
@@ -222,33 +234,67 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def across(held: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Plausible edges between different components in a bucket. held: key, node, label, blocks, block.
-
-    Every two blocks of a bucket meet in one task, by registers."""
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        first, second = x[x["side"] <= 1], x[x["side"] >= 1]  # side 1: of a block that meets itself
-        if not len(first) or not len(second):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        ra, rb = _rows_of(first["signature"]), _rows_of(second["signature"])
-        na, nb = first["n_shingles"].to_numpy(), second["n_shingles"].to_numpy()
-        la, lb = first["label"].to_numpy(), second["label"].to_numpy()
-        ia, ib = first["node"].to_numpy(), second["node"].to_numpy()
-        out = []
-        for i in range(len(first)):
-            other = np.flatnonzero((lb != la[i]) & (100 * np.minimum(na[i], nb) >= percent * np.maximum(na[i], nb)) & ((ib > ia[i]) | (x["side"].iloc[0] != 1)))
+def _dealt(rest: DataFrame) -> DataFrame:
+    """Buckets of several components (rest: key, node, label), dealt out so that each member outside a bucket's largest
+    component (side 0) meets each member (side 1) in one group of two blocks: key, one, two."""
+    of = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    of = of.groupBy("key").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("major"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    rows = rest.join(of.select("key", "major", F.ceil((F.col("all") - F.col("most")) / BLOCK_ROWS).cast("int").alias("ones"), F.ceil(F.col("all") / BLOCK_ROWS).cast("int").alias("twos")), "key")
+    at = F.xxhash64("node")
+    minor = rows.where("label <> major").select("key", F.pmod(at, F.col("ones")).cast("int").alias("one"), F.explode(F.sequence(F.lit(0), F.col("twos") - 1)).alias("two"), F.lit(0).alias("side"), "node", "label")
+    every = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("ones") - 1)).alias("one"), F.pmod(at, F.col("twos")).cast("int").alias("two"), F.lit(1).alias("side"), "node", "label")
+    return minor.unionByName(every)
+
+
+def _likely(x: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of side 0 and, for each, the rows of side 1 of other components that may be linked to it by registers and size."""
+    n, label, side, rows = x["n_shingles"].to_numpy(), x["label"].to_numpy(), x["side"].to_numpy(), _rows_of(x["signature"])
+    second = np.flatnonzero(side == 1)
+    for i in np.flatnonzero(side == 0):
+        other = second[(label[second] != label[i]) & (100 * np.minimum(n[i], n[second]) >= percent * np.maximum(n[i], n[second]))]
+        if len(other):
+            other = other[may_reach((rows[other] == rows[i]).sum(1), n[i], n[other], percent)]
             if len(other):
-                equal = (rb[other] == ra[i]).sum(1)
-                hit = other[may_reach(equal, na[i], nb[other], percent)]
-                out += [(min(ia[i], ib[k]), max(ia[i], ib[k])) for k in hit]
+                yield i, other
+
+
+def across(rest: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between different components within buckets (rest: key, node, label). First the members that registers leave in
+    doubt are named, then these meet with their full sets; a task stops comparing two components that it has joined."""
+
+    def name(x: pd.DataFrame) -> pd.DataFrame:
+        found: set[int] = set()
+        for i, other in _likely(x, percent):
+            found.update((i, *other.tolist()))
+        return x.iloc[sorted(found)][["key", "node"]].drop_duplicates()
+
+    def join(x: pd.DataFrame) -> pd.DataFrame:
+        root = {v: v for v in x["label"].tolist()}
+
+        def top(v: int) -> int:
+            while root[v] != v:
+                root[v] = root[root[v]]
+                v = root[v]
+            return v
+
+        node, label, out = x["node"].to_numpy(), x["label"].tolist(), []
+        sets = [np.frombuffer(s, np.uint64) for s in x["shingles"]]
+        for i, other in _likely(x, percent):
+            for k in other.tolist():
+                a, b = top(label[i]), top(label[k])
+                if a != b:
+                    both = shared(sets[i], sets[k])
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[k]) - both):
+                        root[max(a, b)] = min(a, b)
+                        out.append((min(node[i], node[k]), max(node[i], node[k])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    own, other = F.least("block", F.col("with")), F.greatest("block", F.col("with"))
-    side = F.when(F.col("block") == F.col("with"), 1).when(F.col("block") < F.col("with"), 0).otherwise(2)
-    dealt = held.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).select("key", own.alias("one"), other.alias("two"), side.alias("side"), "node", "label")
-    dealt = dealt.join(classes.select("node", "n_shingles", "signature"), "node")
-    return dealt.groupBy("key", "one", "two").applyInPandas(run, "a long, b long").distinct()
+    sketch = classes.select("node", "n_shingles", "signature")
+    doubt = _dealt(rest).join(sketch, "node").groupBy("key", "one", "two").applyInPandas(name, "key long, node long").distinct()
+    doubt = written(rest.join(doubt, ["key", "node"], "left_semi"), "neardup-doubt")
+    held = sets_of(doubt.select(F.col("node").alias("doc_id")).distinct(), docs, size)
+    met = _dealt(doubt).join(sketch, "node").join(held, "node")
+    return met.groupBy("key", "one", "two").applyInPandas(join, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -263,16 +309,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     stars = written(plausible(led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), classes, percent), "neardup-stars")
     links = written(confirmed(stars, docs, size, percent), "neardup-links")
     labels = components(links)
-    # Members besides the leader, of buckets where these are of different components.
-    rest = led.where("members > 2").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    rest = rest.join(mixed, "key").select("key", "node", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(across(rest, classes, percent).join(tried, ["a", "b"], "left_anti"), "neardup-rest")
+    # Members besides the leader, which all have met; buckets where these are of different components go on.
+    rest = written(led.where("members > 2").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "neardup-rest")
+    more = written(across(rest, docs, classes, size, percent), "neardup-links")
     if not more.isEmpty():
-        links = written(links.unionByName(confirmed(more, docs, size, percent)), "neardup-links")
-        labels = components(links)
+        labels = components(links.unionByName(more))
     least = classes.join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("component"))
     component = F.coalesce("component", "doc_id")
     return known.join(least, "set_key", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("component").isNull()).alias("kept"))
