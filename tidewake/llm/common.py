@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that one numpy pass inside a task handles at once.
-CHARS_PER_PASS = 4_000_000
+CHARS_PER_PASS = 2_000_000
+#: Rows of an Arrow batch that are taken out of it at once.
+ROWS_PER_PASS = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,11 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df as a table in the shared folder, read again: its lineage ends there and it survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,7 +59,9 @@ def kept_rows(docs: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(keep(b), pa.bool_()))
+            for at in range(0, b.num_rows, ROWS_PER_PASS):  # few rows at once are Python objects
+                some = b.slice(at, ROWS_PER_PASS)
+                yield some.filter(pa.array(keep(some), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: CoTraining) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = given.value
         for b in batches:
-            for part in passes(b["text"].tolist()):
+            for part in passes(b["text"].tolist(), 300_000):
                 some = b.iloc[part]
                 value, content, meta = own.score(*rows_of(some))
                 yield pd.DataFrame({"doc_id": some["doc_id"], "score": value, "content_score": content, "metadata_score": meta, "rejected": value < CUT})
@@ -217,7 +217,7 @@ def without_rejected(docs: DataFrame, model: CoTraining) -> DataFrame:
     def keep(b: pa.RecordBatch) -> np.ndarray:
         rows = b.select(["text", "lang", "source", "n_chars"]).to_pandas()
         rows["text"] = rows["text"].where(rows["text"].notna(), "")
-        value = [given.value.score(*rows_of(rows.iloc[part]))[0] for part in passes(rows["text"].tolist())]
+        value = [given.value.score(*rows_of(rows.iloc[part]))[0] for part in passes(rows["text"].tolist(), 300_000)]
         return np.concatenate(value) >= CUT if value else np.zeros(0, bool)
 
     return kept_rows(docs, keep)
