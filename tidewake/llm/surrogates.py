@@ -7,7 +7,8 @@ their alphabet and length, and a name after a form of address keeps gender, scri
 The same entity has the same surrogate wherever it stands (coreference). Numbers are permuted by a keyed Feistel network
 over their own digits, so different ones never meet; the other surrogates are keyed hashes in the entity's shape. All
 distinct entities are then checked: a surrogate that another entity has too, or that is itself an entity of the corpus, is
-made anew with the next attempt's key until none is left; only these, the overrides, are looked up when texts are
+made anew with the next attempt's key until none is left (in a format whose values are nearly all in use, up to ATTEMPTS
+times; e-mail addresses and names grow longer instead); only these, the overrides, are looked up when texts are
 rewritten. The rewriting itself is one pass over the texts without a shuffle.
 
 Null texts stay null and empty ones empty; texts without entities stay as they are; repeated rows are rewritten alike.
@@ -47,7 +48,9 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{_FORMS})\.? \p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-ATTEMPTS = 12
+ATTEMPTS = 40
+#: Attempts after which e-mail addresses and names grow longer by an attempt, as their own length may be used up.
+SHORT_ATTEMPTS = 5
 #: Overrides up to which they are broadcast (some 2 MB); beyond, they are joined by shuffle.
 OVERRIDES_BROADCAST = 10_000
 ROUNDS = 8
@@ -177,16 +180,16 @@ def surrogate(entity: Column, secret: str, attempt: Column | None = None) -> Col
     key = F.concat_ws("|", F.lit(secret), (F.lit(0) if attempt is None else attempt).cast("string"))
     stream = F.sha2(F.concat_ws("|", key, entity), 512)
     country = F.length(F.regexp_extract(entity, r"^(\+\d{1,3})?", 0))
-    at = F.instr(entity, "@")
     top = F.length(F.regexp_extract(entity, r"(\.[A-Za-z]+)$", 1))
+    more = F.greatest(F.lit(0), (F.lit(0) if attempt is None else attempt) - SHORT_ATTEMPTS)
     return (
-        F.when(kind == "email", F.concat(_masked(F.substring(entity, F.lit(1), F.length(entity) - top), stream), F.substring(entity, F.length(entity) - top + 1, top)))
+        F.when(kind == "email", F.concat(_masked(F.concat(F.repeat(F.lit("a"), more), F.substring(entity, F.lit(1), F.length(entity) - top)), stream), F.substring(entity, F.length(entity) - top + 1, top)))
         .when(kind == "ip", _address(entity, F.concat_ws("|", key, F.lit("ip"))))
         .when(kind == "ssn", _numeric(entity, F.lit(0), F.concat_ws("|", key, F.lit("ssn"))))
         .when(kind == "phone", _numeric(entity, country, F.concat_ws("|", key, F.lit("phone"))))
         .when(kind == "card", _numeric(entity, F.lit(1), F.concat_ws("|", key, F.lit("card"), F.substring(entity, 1, 1))))
         .when(kind == "secret", _secret(entity, stream))
-        .otherwise(_name(entity, F.concat_ws("|", key, F.lit("name"))))
+        .otherwise(F.concat(_name(entity, F.concat_ws("|", key, F.lit("name"))), F.repeat(F.lit("a"), more)))
     )
 
 
