@@ -1,0 +1,374 @@
+"""The ten operators against brute force, exact round trips and held-out accuracy, with every odd case."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tests.compare import connection, rows
+from tests.llm.cases import documents
+from tidewake.llm import bpe, kdsearch, licenses, neardup, packing, quality, queries, surrogates, toxicity, warc, winnowing
+
+RANKS = P.path("byte_bpe_50k.tiktoken")
+JSON = P.path("byte_bpe_50k.json")
+TEXT_OF = {r[0]: r[1] or "" for r in documents() if r[0] is not None}
+
+
+@pytest.fixture(scope="module")
+def encoding():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+# 1: winnowing
+
+
+def _winnowed(text: str, gram: int, window: int) -> list[int]:
+    grams = [text[i : i + gram] for i in range(max(1, len(text) - gram + 1))] if text else []
+    hashes = [int(winnowing.winnow([g], gram, window)[0][0]) for g in grams]
+    out = []
+    for i in range(max(1, len(hashes) - window + 1) if hashes else 0):
+        part = hashes[i : i + window]
+        at = i + max(k for k, h in enumerate(part) if h == min(part))
+        if not out or out[-1] != at:
+            out.append(at)
+    return out
+
+
+def test_winnowing_by_brute_force():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab cé😀") for _ in range(rng.randint(0, 60))) for _ in range(120)] + ["", "a" * 40]
+    for gram, window in ((3, 1), (5, 6), (12, 24)):
+        _, places, at = winnowing.winnow(texts, gram, window)
+        for i, t in enumerate(texts):
+            assert places[at[i] : at[i + 1]].tolist() == _winnowed(t, gram, window)
+
+
+def test_a_shared_passage_has_a_shared_choice():
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(12 + 24 - 1))
+    a, b = "xyz " * 20 + passage + " tail", passage + "q" * 50
+    (ha, _, _), (hb, _, _) = winnowing.winnow([a]), winnowing.winnow([b])
+    assert set(ha.tolist()) & set(hb.tolist())
+
+
+def test_neighbours_are_the_next_by_doc_id(spark, odd):
+    got = winnowing.neighbour_likeness(odd).toPandas()
+    assert len(got) == odd.count()
+    ordered = sorted(((r[0], r[1] or "") for r in documents()), key=lambda x: (-(2**63) if x[0] is None else x[0], x[1]))
+    want = Counter()
+    for k, (i, t) in enumerate(ordered):
+        after = ordered[(k + 1) % len(ordered)][1]
+        q = len(t) // 4
+        want[i, len(t), hashlib.sha256((t[: len(t) - q] + after[:q]).encode()).hexdigest()] += 1
+    assert Counter((None if r.doc_id != r.doc_id else int(r.doc_id), r.n_chars, r.edited_sha256) for r in got.itertuples()) == want
+    prints = got.dropna().set_index("doc_id")["fingerprint"]
+    assert len(set(prints.loc[[1, 3]])) == 1 and prints.loc[5] == ""
+    assert got["near_edited"].between(0, 1).all()
+
+
+# 2: search
+
+
+def test_top_k_is_the_sql(spark, data):
+    con = connection(data)
+    ours, theirs = queries.op2_kd_topk(spark, data).toPandas(), con.execute(queries.oracle_sql()["op2_kd_topk"]).df()
+    assert len(ours) and rows(ours) == rows(theirs)
+
+
+def test_top_k_over_shards_with_ties_and_odd_vectors(spark):
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(700, 8)).round(1)
+    v[50:80] = v[0]  # ties
+    table = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    table += [(700, None), (701, [1.0, None] + [0.0] * 6), (702, [float("nan")] * 8), (703, []), (704, [1.0, 2.0]), (5, [float(x) for x in v[5]]), (None, [0.5] * 8)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
+    got = kdsearch.top_k(df, F.col("vec_id") % 100 == 0, k=5, shard_rows=128).toPandas()
+    q = np.floor(1024 * v).astype(np.int64)
+    for i in range(0, 700, 100):
+        score = q @ q[i]
+        order = [j for j in np.lexsort((np.arange(700), -score)) if j != i][:5]
+        own = got[got["query_id"] == i].sort_values("rank")
+        assert own["vec_id"].tolist() == order and own["score"].tolist() == [int(score[j]) for j in order]
+
+
+def test_top_k_of_few(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in kdsearch.top_k(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 1024 * 2048)]
+    assert kdsearch.top_k(df.where("vec_id = 0"), F.lit(True)).count() == 0
+    assert kdsearch.top_k(df.where("false"), F.lit(True)).count() == 0
+
+
+# 3: byte-level BPE
+
+
+def test_ids_are_the_library_s(encoding):
+    rng = random.Random(5)
+    parts = [*"abc\n\t'sd.,!?1²½éßЖ中文🙂\x1c\r ", "  ", " \n", "'ll", "<|endoftext|>", "the", " word"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["a" * 3000, "ab" * 2000 + " x", " " * 500, "é" * 700, ""]
+    own = bpe.ByteBpe.read(RANKS, P.PATTERN)
+    ids, at = own.encode(texts)
+    assert all(ids[at[i] : at[i + 1]].tolist() == encoding.encode_ordinary(t) for i, t in enumerate(texts))
+    assert own.decode(ids) == "".join(texts).encode()
+    again, _ = own.encode(texts)
+    assert (again == ids).all()
+
+
+def test_round_trip(spark, odd, encoding):
+    encoded = bpe.encode_documents(odd, RANKS, P.PATTERN)
+    decoded = {r["doc_id"]: bytes(r["data"]) for r in bpe.decode_documents(encoded, RANKS, P.PATTERN).where("doc_id is not null").collect()}
+    assert decoded == {i: t.encode() for i, t in TEXT_OF.items()}
+    for r in bpe.round_trip_digests(odd, RANKS, P.PATTERN).where("doc_id is not null").collect():
+        ids = encoding.encode_ordinary(TEXT_OF[r["doc_id"]])
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(TEXT_OF[r["doc_id"]].encode()).hexdigest()
+
+
+# 4, 7: classifiers
+
+
+def _auc(score: np.ndarray, y: np.ndarray) -> float:
+    r, n = np.argsort(np.argsort(score)), y.sum()
+    return (r[y == 1].sum() - n * (n - 1) / 2) / (n * (len(y) - n))
+
+
+def test_quality_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = quality.train(docs, labels.where("doc_id % 3 <> 0"), per_class=800, pool_rows=800)
+    got = quality.score(docs.join(labels.where("doc_id % 3 = 0").select("doc_id", "quality"), "doc_id"), model).join(labels.select("doc_id", "quality"), "doc_id").toPandas()
+    y = got["quality"].to_numpy()
+    assert _auc(got["score"].to_numpy(), y) > 0.95
+    assert got.loc[y == 1, "rejected"].mean() < 0.02 and got.loc[y == 0, "rejected"].mean() > 0.85
+
+
+def test_toxicity_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.train(docs, labels, per_class=1200)
+    got = toxicity.score(docs, model).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").toPandas()
+    y = got["toxic"].to_numpy()
+    assert _auc(got["score"].to_numpy(), y) > 0.93
+    assert y[got["predicted"] == 1].mean() > 0.85 and got.loc[y == 1, "predicted"].mean() > 0.75
+    assert all(zlib.crc32(str(i).encode()) % 3 == 1 for i in got["doc_id"])
+
+
+def test_classifiers_on_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(1, 21)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    for module in (quality, toxicity):
+        model = module.train(odd, labels)
+        got = module.score(odd, model).toPandas()
+        assert len(got) == odd.count() and got["score"].between(0, 1).all()
+        assert module.score(none, model).count() == 0
+        blank = module.train(odd, labels.where("false"))
+        assert module.score(odd, blank).count() == odd.count()
+    kept = quality.without_rejected(odd, quality.train(odd, labels.where("false")))
+    assert kept.schema == odd.schema and kept.count() == odd.count()
+    assert toxicity.without_toxic(odd, toxicity.train(odd, labels.where("false"))).count() == odd.count()
+
+
+def test_a_score_depends_on_the_text_alone(spark, odd):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 21)], "doc_id long, toxic int")
+    model = toxicity.train(odd, labels)
+    a = {r["score"] for r in toxicity.score(odd, model).where("doc_id in (1, 3) or doc_id is null").collect()}
+    assert len(a) == 1
+
+
+# 5: surrogates
+
+
+def test_surrogates(spark, odd):
+    out = {r["doc_id"]: r for r in surrogates.replace_entities(odd.where("doc_id is not null"), "key").collect()}
+    for i, t in TEXT_OF.items():
+        if i not in (12, 13, 14):
+            assert (out[i]["text"] or "") == t and out[i]["n_replaced"] == 0
+    assert out[4]["text"] is None
+    for real in ("a.b.77@mail6.example.com", "555-5262", "John", "Smith", "10.0.0.7", "4785380592391139", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "Анна", "Ким"):
+        assert not any(real in (r["text"] or "") for r in out.values())
+    mail = re.search(r"[a-z]\.[a-z]\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com", out[12]["text"])[0]
+    assert mail in out[13]["text"]  # coreference
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}, Mr\. [A-Z][a-z]+ [A-Z][a-z]+\.$", out[12]["text"])
+    assert re.search(r"(\d{1,3}\.){3}\d{1,3} and 4\d{15}$", out[13]["text"])
+    assert re.search(r'"[0-9a-f]{40}" Г\. Госпожа [А-Я][а-я]+ [А-Я][а-я]+$', out[14]["text"])
+    assert out[12]["kinds"] == ["email", "name", "phone"]
+
+
+def test_surrogates_stay_distinct(spark):
+    phones = [(i, f"call +1 ({i % 10}{i // 10 % 10}2) 555-{i:04d} or mr {i}") for i in range(3000)]
+    docs = spark.createDataFrame(phones, "doc_id long, text string")
+    out = surrogates.replace_entities(docs, "key").toPandas()["text"]
+    assert out.nunique() == len(phones)
+    mails = spark.createDataFrame([(i, f"{a}@{b}.de") for i, (a, b) in enumerate((a, b) for a in "abcdefghijklmnop" for b in "abcdefghijklmnop")], "doc_id long, text string")
+    # 81 real addresses in a space of 676: many surrogates collide at first.
+    for limit in (surrogates.OVERRIDES_BROADCAST, 0):
+        got = surrogates.replace_entities(mails, "key", broadcast_rows=limit).toPandas()["text"]
+        assert got.nunique() == 81 and not set(got) & {f"{a}@{b}.de" for a in "abcdefghi" for b in "abcdefghi"}
+
+
+def test_surrogates_by_another_key_and_of_none(spark, none):
+    docs = spark.createDataFrame([(1, "10.0.0.7")], "doc_id long, text string")
+    a, b = (surrogates.replace_entities(docs, k).first()["text"] for k in ("one", "two"))
+    assert a != b and surrogates.replace_entities(none, "one").count() == 0
+
+
+# 6: near duplicates
+
+
+def _sets(texts: dict, size: int) -> dict:
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+    out = {}
+    for i, t in texts.items():
+        w = t.encode().translate(low).split()
+        out[i] = frozenset(zip(*[w[k:] for k in range(size)], strict=False)) if len(w) >= size else frozenset([tuple(w)]) if w else frozenset()
+    return out
+
+
+def _components(texts: dict, size: int, percent: int = 80) -> dict:
+    sets, root = _sets(texts, size), {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(texts)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = sorted((top(a), top(b)))
+                    root[y] = x
+    return {i: (len(sets[i]), top(i)) for i in ids}
+
+
+def test_near_duplicates_of_odd_rows(spark, odd, none):
+    for size in (2, 5):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(odd.where("doc_id is not null"), size).collect()}
+        assert got == _components(TEXT_OF, size)
+    assert neardup.near_duplicates(none).count() == 0
+    one = neardup.near_duplicates(odd).where("doc_id is null").first()
+    assert one["component_id"] == 1 and not one["kept"]
+    kept = neardup.without_copies(odd, 5)
+    assert kept.columns == odd.columns
+    assert {r["doc_id"] for r in kept.where("doc_id is not null").collect()} == {c for _, c in _components(TEXT_OF, 5).values()}
+
+
+def test_a_group_without_a_centre(spark):
+    """Edits of edits: members are linked in chains, and pairs stand on both sides of the threshold."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    texts, chain = {}, [word() for _ in range(100)]
+    for i in range(60):
+        texts[i] = " ".join(chain)
+        for _ in range(3):
+            chain[rng.randrange(100)] = word()
+    base = [word() for _ in range(100)]
+    for i in range(60, 140):
+        own = list(base)
+        for _ in range(rng.randint(0, 9)):
+            own[rng.randrange(100)] = word()
+        texts[i] = " ".join(own)
+    for i in range(140, 200):
+        texts[i] = " ".join(word() for _ in range(30)) + " " + " ".join(base[:40])  # a shared passage
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs, 2).collect()}
+    assert got == _components(texts, 2)
+
+
+def test_estimates_follow_likeness():
+    rng = np.random.default_rng(1)
+    for share in (0.0, 0.3, 0.8):
+        pool = rng.integers(0, 2**63, 3000, np.uint64)
+        n = 1000
+        both = int(2 * n * share / (1 + share))
+        a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[:both], pool[n : 2 * n - both]]))
+        r = neardup.registers([a, b])
+        assert abs(float(neardup.estimate((r[0] == r[1]).sum(), n, n)) - share) < 0.16
+
+
+# 8: WARC
+
+
+def test_derivatives_are_the_sql(spark, data):
+    con = connection(data)
+    ours, theirs = queries.op8_warc_derivatives(spark, data).toPandas(), con.execute(queries.oracle_sql()["op8_warc_derivatives"]).df()
+    assert len(ours) and rows(ours) == rows(theirs)
+
+
+def test_derivatives_of_odd_pages(spark):
+    html = "<html lang='fr'><head><title>A &amp; B</title><script>x('<p>')</script></head><body><p>One<br>two&nbsp;&lt;3</p><a href=\"/x\">link</a><!-- no --></body></html>"
+    pages = spark.createDataFrame([(1, "http://a", html), (2, None, None), (None, "http://b", ""), (1, "http://a", html)], "page_id long, url string, html string").withColumn("block", F.lit("clash"))
+    got = warc.derivatives(warc.responses(pages)).collect()
+    assert len(got) == 8
+    own = {r["warc_type"]: r for r in got if r["page_id"] == 1}
+    assert own["conversion"]["block"] == "A & B One\ntwo <3\nlink" or own["conversion"]["block"].endswith("One\ntwo <3\nlink")
+    assert "title: A & B\r\nlanguage: fr\r\noutlinks: 1\r\noutlink: /x\r\n" in own["metadata"]["block"]
+    assert own["conversion"]["refers_to"] == own["metadata"]["refers_to"] == warc.responses(pages).where("page_id = 1").first()["record_id"]
+    assert own["conversion"]["source_digest"] == "sha256:" + hashlib.sha256(html.encode()).hexdigest()
+    empty = next(r for r in got if r["page_id"] == 2 and r["warc_type"] == "conversion")
+    assert empty["block"] == "" and "WARC-Target-URI" not in empty["header"]
+    whole = warc.record_texts(warc.derivatives(warc.responses(pages))).first()["record"]
+    assert whole.startswith("WARC/1.1\r\nWARC-Type: ") and whole.endswith("\r\n\r\n")
+
+
+# 9: licences
+
+
+def test_scan_by_brute_force(spark, odd, none):
+    got = {r["doc_id"]: r for r in licenses.scan(odd).where("doc_id is not null").collect()}
+    for i, t in TEXT_OF.items():
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), t)
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places = sorted((k, label) for phrase, label in licenses.BASE_PHRASES.items() for k in range(len(ws)) if ws[k : k + len(phrase.split())] == phrase.split())
+        r = got[i]
+        assert (r["n_words"], r["n_base"]) == (len(ws), len(places))
+        assert r["first_word"] == (places[0][0] if places else None) and r["last_word"] == (places[-1][0] if places else None)
+        assert r["base_labels"] == ",".join(sorted({x for _, x in places}))
+        assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
+    assert got[16]["labels"] == "apache,gpl,mit" and got[16]["permitted"]
+    assert licenses.scan(none).count() == 0
+
+
+def test_shunting_yard():
+    assert licenses.postfix("MIT OR GPL-2.0 AND BSD-3-Clause WITH x") == ["MIT", "GPL-2.0", "BSD-3-Clause", "x", "WITH", "AND", "OR"]
+    assert licenses.postfix("(MIT OR GPL-2.0) AND BSD") == ["MIT", "GPL-2.0", "OR", "BSD", "AND"]
+    assert licenses.evaluate("GPL-2.0-only AND MIT") == (False, {"gpl", "mit"})
+    assert licenses.evaluate("GPL-2.0-or-later or MIT")[0]
+    for bad in ("", "MIT AND", "(MIT", "MIT)", "MIT GPL-2.0", "AND MIT", "()"):
+        with pytest.raises(ValueError):
+            licenses.postfix(bad)
+
+
+# 10: packing
+
+
+def test_packing(spark, odd, none):
+    own = Tokenizer.from_file(JSON)
+    own.encode_special_tokens = True
+    got = packing.pack(odd, JSON, P.PATTERN, length=64).toPandas()
+    assert ((got["length"] > 0) & (got["offset"] + got["length"] <= 64)).all()
+    for _, seq in got.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
+        assert (seq["offset"].to_numpy() == np.concatenate([[0], np.cumsum(seq["length"])[:-1]])).all()
+    full = got.groupby("sequence_id")["length"].sum()
+    assert (full.sort_index().iloc[:-1] == 64).all()
+    seen = got[got["doc_id"].isin([4, 5, 7, 10, 11, 18])].sort_values(["doc_id", "start"])
+    for i, pieces in seen.groupby("doc_id"):
+        ids = np.array([*own.encode(TEXT_OF[int(i)], add_special_tokens=False).ids, 1], "<u4")
+        assert (pieces["doc_tokens"] == len(ids)).all() and pieces["length"].sum() == len(ids)
+        for p in pieces.itertuples():
+            part = ids[p.start : p.start + p.length].tobytes()
+            assert bytes(p.ids) == part and p.ids_crc32 == zlib.crc32(part)
+    assert got["length"].sum() == packing.encode_partitions(odd, JSON, P.PATTERN).agg(F.sum("doc_tokens")).first()[0]
+    assert packing.pack(none, JSON, P.PATTERN).count() == 0

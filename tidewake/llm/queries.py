@@ -67,5 +67,54 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+_TOP_K = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
+def _warc_sql() -> str:
+    def lit(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def sub(text: str, pattern: str, by: str) -> str:
+        return f"regexp_replace({text}, {lit(pattern)}, {by}, 'g')"
+
+    def unescaped(text: str) -> str:
+        for reference, character in warc.REFERENCES:
+            text = f"replace({text}, {lit(reference)}, {lit(character)})"
+        return text
+
+    def squeezed(text: str) -> str:
+        return sub(sub(sub(text, r"[ \t\r\f]+", "' '"), r" ?\n[ \n]*", "chr(10)"), r"^[ \n]+|[ \n]+$", "''")
+
+    def urn(text: str) -> str:
+        h = f"sha256({text})"
+        return f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12) || '>'"
+
+    crlf = "chr(13) || chr(10)"
+    plain = squeezed(unescaped(sub(sub(sub("html", warc.DROPPED, "' '"), warc.BLOCK_ENDS, "chr(10)"), warc.ANY_TAG, "''")))
+    title = squeezed(unescaped(sub(f"regexp_extract(html, {lit(warc.TITLE)}, 1)", warc.ANY_TAG, "''")))
+    links = f"regexp_extract_all(html, {lit(warc.LINK)}, 1)"
+    fields = (
+        f"'http-content-type: text/html; charset=utf-8' || {crlf} || 'http-content-length: ' || strlen(html) || {crlf} || 'title: ' || {title} || {crlf} || 'language: ' || "
+        f"lower(regexp_extract(html, {lit(warc.LANGUAGE)}, 1)) || {crlf} || 'outlinks: ' || len({links}) || {crlf} || array_to_string(list_transform({links}, lambda x: 'outlink: ' || x || {crlf}), '')"
+    )
+    line = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"),
+            ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Digest", "source_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]
+    header = f"'WARC/1.1' || {crlf} || " + " || ".join(f"coalesce('{k}: ' || {c} || {crlf}, '')" for k, c in line) + f" || {crlf}"
+    return f"""
+WITH p AS (SELECT page_id, url AS target_uri, coalesce(html, '') AS html, {urn("'response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')")} AS refers_to FROM pages),
+b AS (SELECT page_id, target_uri, refers_to, 'sha256:' || sha256(html) AS source_digest, 'metadata' AS warc_type, 'application/warc-fields' AS content_type, {fields} AS block FROM p
+  UNION ALL SELECT page_id, target_uri, refers_to, 'sha256:' || sha256(html), 'conversion', 'text/plain; charset=utf-8', {plain} FROM p),
+r AS (SELECT *, '2024-01-01T00:00:00Z' AS date, {urn("warc_type || '|' || refers_to")} AS record_id, strlen(block) AS content_length, 'sha256:' || sha256(block) AS block_digest FROM b)
+SELECT page_id, warc_type, record_id, refers_to, target_uri, date, content_type, content_length, block_digest, source_digest, block, {header} AS header FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others need hashes, trained models, tokens or paths through links; tests hold them against brute force."""
+    return {"op2_kd_topk": _TOP_K, "op8_warc_derivatives": _warc_sql()}
