@@ -359,3 +359,8 @@ def tracks_to_wkt(pos: DataFrame) -> DataFrame:
     nested = track_collection(pos).where(F.size("track") >= 2)
     points = F.transform("track", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))
     return nested.select("id", F.concat(F.lit("LINESTRING ("), F.array_join(points, ", "), F.lit(")")).alias("wkt"))
+
+
+def add_track_columns(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Derived columns of tracks side by side, by id; tracks that both have."""
+    return a.join(b.select("id", *[c for c in b.columns if c not in a.columns]), "id")

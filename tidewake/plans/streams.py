@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions import exprs as X
 from tidewake.plans.registry import query
-from tidewake.plans.roles import DET, RX, detections, r6, receivers, table
+from tidewake.plans.roles import DET, RECEIVERS, RX, detections, r6, receivers, table
+from tidewake.session import shared_folder
 from tidewake.sources import readers as R
 from tidewake.streaming import jobs as S
 
@@ -38,6 +41,39 @@ def a5_clock_resets(spark: SparkSession, d: str) -> DataFrame:
     return R.clock_resets(e.select(F.col("rx").alias("file"), F.col("seq").alias("line_no"), F.date_format("time", "MM/dd/yyyy HH:mm:ss").alias("time"), message.alias("message")))
 
 
+@query(f"WITH {DET} SELECT seq AS id, CAST(floor(t) AS BIGINT) AS epoch, upper(printf('%X', tag)) AS tag, floor(sensor) AS pressure, floor(k) AS temp, 'S-' || rx AS station FROM det")
+def a1_read_detections(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as detection files, a folder for each receiver, and read back with the station of each."""
+    e, at = detections(spark, d), f"{shared_folder(spark)}/a1-{uuid.uuid4().hex}"
+    part = lambda f: getattr(F, f)("time")
+    rows = e.select("seq", *[part(f).alias(f) for f in ("year", "month", "day", "hour", "minute", "second")], F.floor("t").alias("epoch"), (F.unix_micros("time") % 1_000_000).alias("usec"), F.hex("tag").alias("tag"),
+        F.lit(9.0).alias("q1"), F.lit(8.0).alias("q2"), F.lit(1).alias("n1"), F.lit(2).alias("n2"), F.lit(1).alias("one"), F.floor("sensor").cast("double").alias("pressure"), F.floor("k").cast("double").alias("temp"), "rx")
+    out = None
+    for rx in [r[0] for r in RECEIVERS]:
+        rows.where(F.col("rx") == rx).drop("rx").write.csv(f"{at}/{rx}")
+        own = R.read_detections(spark, f"{at}/{rx}").withColumn("station", F.lit(f"S-{rx}"))
+        out = own if out is None else out.unionByName(own)
+    return out.select("id", "epoch", "tag", "pressure", "temp", "station")
+
+
+@query(f"WITH {DET} SELECT CASE WHEN t < 1704800000 THEN 0 WHEN t < 1705300000 THEN 1 ELSE 2 END AS period, count(*) AS n, min(seq) AS first FROM det WHERE t >= 1704200000 AND t < 1705700000 GROUP BY 1")
+def a8_export_periods(spark: SparkSession, d: str) -> DataFrame:
+    at = f"{shared_folder(spark)}/a8-{uuid.uuid4().hex}"
+    R.export_periods(detections(spark, d).select("seq", "t"), [1704200000.0, 1704800000.0, 1705300000.0, 1705700000.0], at)
+    return spark.read.parquet(at).groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+
+
+@query(f"WITH {DET} SELECT CASE rx WHEN 'error' THEN 'STATUS' WHEN 'signup' THEN 'SYNC' WHEN 'view' THEN 'unknown' ELSE 'DET' END AS type, count(*) AS n FROM det GROUP BY 1")
+def s1_parse_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Lines written as text files, which arrive as a stream; lines of no known type go to a side table."""
+    at = f"{shared_folder(spark)}/s1-{uuid.uuid4().hex}"
+    _lines(spark, d).select("line").write.text(at)
+    lines = spark.readStream.text(at).select(F.col("_metadata.file_name").alias("file"), F.lit(0).alias("line_no"), F.col("value").alias("line"))
+    known, unknown = S.parse_stream(lines)
+    both = S.drained(known.select("type"), "s1k").union(S.drained(unknown.select("type"), "s1u"))
+    return both.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {DET} SELECT seq, CASE WHEN t >= 1705700000 OR t < 1704200000 THEN -1 WHEN t < 1704800000 THEN 0 WHEN t < 1705300000 THEN 1 ELSE 2 END AS period FROM det")
 def a8_periods(spark: SparkSession, d: str) -> DataFrame:
     return R.with_period(detections(spark, d), [1704200000.0, 1704800000.0, 1705300000.0, 1705700000.0]).select("seq", F.col("period").cast("int").alias("period"))

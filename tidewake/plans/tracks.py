@@ -322,3 +322,9 @@ def a7_collection_round_trip(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {POS} SELECT id, 'LINESTRING (' || string_agg(CAST(x AS VARCHAR) || ' ' || CAST(y AS VARCHAR), ', ' ORDER BY tnum, seq) || ')' AS wkt FROM pos GROUP BY id HAVING count(*) >= 2")
 def a13_tracks_to_wkt(spark: SparkSession, d: str) -> DataFrame:
     return T.tracks_to_wkt(positions(spark, d))
+
+
+@query(METRICS + ", far AS (SELECT id, max(x) AS far FROM pos GROUP BY id HAVING count(*) > 5) SELECT id, ndetects, round(vel_sd, 8) AS vel_sd, far FROM metrics JOIN far USING (id)")
+def c26_add_track_columns(spark: SparkSession, d: str) -> DataFrame:
+    far = positions(spark, d).groupBy("id").agg(F.max("x").alias("far"), F.count(F.lit(1)).alias("n")).where("n > 5").drop("n")
+    return r6(T.add_track_columns(_metrics(spark, d).select("id", "ndetects", "vel_sd"), far), "vel_sd", digits=8)
