@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import decimal
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -17,9 +19,9 @@ def connection(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and np.isnan(value)):
+    if value is None or (np.isscalar(value) or value is pd.NaT or value is pd.NA) and pd.isna(value):
         return None
-    if isinstance(value, (float, np.floating)):
+    if isinstance(value, (decimal.Decimal, float, np.floating)):
         return f"{float(value) + 0.0:.6g}"
     if isinstance(value, (int, np.integer)) and not isinstance(value, bool):
         return f"{float(value):.6g}" if abs(value) < 2**53 else str(value)

@@ -18,7 +18,7 @@ SEG = POS + """, led AS (SELECT id, seq, x, y, tnum, lead(x) OVER w AS x2, lead(
 seg AS (SELECT id, seq, x AS x1, x2, (x + x2) / 2 AS xm, y AS y1, y2, (y + y2) / 2 AS ym, tnum AS t1, t2, tnum + (t2 - tnum) / 2 AS tm, t2 - tnum AS dt,
  (x2 - x) / (t2 - tnum) AS u, (y2 - y) / (t2 - tnum) AS v, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) / (t2 - tnum) AS speed, atan2(y2 - y, x2 - x) AS head
  FROM led WHERE t2 IS NOT NULL)"""
-RX = """rx AS (SELECT * FROM (VALUES ('click', 0.0, 0.0, 1), ('view', 120.0, 10.0, 2), ('purchase', 60.0, 90.0, 3), ('signup', 10.0, 70.0, 4), ('error', 130.0, 80.0, 5)) AS r(rx, rx_x, rx_y, sync_tag))"""
+RX = """rx AS (SELECT rx, CAST(rx_x AS DOUBLE) AS rx_x, CAST(rx_y AS DOUBLE) AS rx_y, sync_tag FROM (VALUES ('click', 0.0, 0.0, 1), ('view', 120.0, 10.0, 2), ('purchase', 60.0, 90.0, 3), ('signup', 10.0, 70.0, 4), ('error', 130.0, 80.0, 5)) AS r(rx, rx_x, rx_y, sync_tag))"""
 #: Receivers with places and beacon tags.
 RECEIVERS = [("click", 0.0, 0.0, 1), ("view", 120.0, 10.0, 2), ("purchase", 60.0, 90.0, 3), ("signup", 10.0, 70.0, 4), ("error", 130.0, 80.0, 5)]
 GAUGE = """gauge AS (SELECT epoch_us(o_orderdate) / 1e6 AS t, sum(o_totalprice) AS value FROM orders GROUP BY 1)"""

@@ -91,7 +91,7 @@ def a14_export_releases(spark: SparkSession, d: str) -> DataFrame:
     return R.export_releases(detections(spark, d).groupBy("tag").agg(F.bround(F.min("t")).alias("entry_time")))
 
 
-@query("SELECT c_nationkey % 10 AS k, round(max(c_nationkey % 10 + 37.5), 4) AS lat, round(max(-121.25 - c_nationkey % 10), 4) AS lon FROM customer GROUP BY 1")
+@query("SELECT c_nationkey % 10 AS k, CAST(max(c_nationkey % 10 + 37.5) AS DOUBLE) AS lat, CAST(max(-121.25 - c_nationkey % 10) AS DOUBLE) AS lon FROM customer GROUP BY 1")
 def a15_gauge_stations(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_nationkey") % 10
     lines = table(spark, d, "customer").select(k.alias("file"), F.concat(F.lit("# Station Lat: "), (k + 37.5).cast("string"), F.lit(" Long: "), (-121.25 - k).cast("string")).alias("value"))

@@ -93,7 +93,7 @@ def c21_sample_field(spark: SparkSession, d: str) -> DataFrame:
     return r6(G.sample_field(points, *_mesh(spark), 50.0).select("pid", "u", "v"), "u", "v")
 
 
-@query(f"WITH {POS} SELECT seq AS pid, round(-0.005, 6) AS vorticity FROM pos WHERE x > 3 AND x < 397 AND y > 3 AND y < 147")
+@query(f"WITH {POS} SELECT seq AS pid, CAST(-0.005 AS DOUBLE) AS vorticity FROM pos WHERE x > 3 AND x < 397 AND y > 3 AND y < 147")
 def c22_sample_vorticity(spark: SparkSession, d: str) -> DataFrame:
     points = positions(spark, d).where("x > 3 and x < 397 and y > 3 and y < 147").select(F.col("seq").alias("pid"), (F.col("seq") % 4).cast("int").alias("step"), "x", "y")
     return r6(G.sample_vorticity(points, *_mesh(spark), 50.0), "vorticity")
