@@ -50,9 +50,9 @@ def drop_tags(det: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def override(rx: DataFrame, solved: DataFrame) -> DataFrame:
-    """Receivers with solved coordinates where there are any (C9). solved: rx, yap_x, yap_y."""
+    """Receivers with solved coordinates where there are any (C9). solved: rx, solved_x, solved_y."""
     out = rx.join(solved, "rx", "left")
-    return out.withColumns({"rx_x": F.coalesce("yap_x", "rx_x"), "rx_y": F.coalesce("yap_y", "rx_y")}).select(rx.columns)
+    return out.withColumns({"rx_x": F.coalesce("solved_x", "rx_x"), "rx_y": F.coalesce("solved_y", "rx_y")}).select(rx.columns)
 
 
 def pair_transits(pings: DataFrame, rx: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ def c4_keep_drop_tags(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {DET}, {RX}, solved AS (SELECT rx, avg(sensor) AS yx, avg(k) AS yy FROM det WHERE rx IN ('click', 'view') GROUP BY rx) SELECT rx.rx, round(coalesce(yx, rx_x), 6) AS rx_x, round(coalesce(yy, rx_y), 6) AS rx_y FROM rx LEFT JOIN solved USING (rx)")
 def c9_override(spark: SparkSession, d: str) -> DataFrame:
-    solved = detections(spark, d).where("rx IN ('click', 'view')").groupBy("rx").agg(F.avg("sensor").alias("yap_x"), F.avg("k").alias("yap_y"))
+    solved = detections(spark, d).where("rx IN ('click', 'view')").groupBy("rx").agg(F.avg("sensor").alias("solved_x"), F.avg("k").alias("solved_y"))
     return r6(D.override(receivers(spark), solved).select("rx", "rx_x", "rx_y"), "rx_x", "rx_y")
 
 
