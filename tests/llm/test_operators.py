@@ -185,6 +185,21 @@ def test_a_score_depends_on_the_text_alone(spark, odd):
     assert len(a) == 1
 
 
+def test_cuts_do_not_follow_the_sample_s_share_of_classes(spark):
+    rng = np.random.default_rng(2)
+    y = (np.arange(40_000) < 2_000).astype(int)
+    z = rng.normal(2.0 * y, 1.0)
+    some = (y == 1) | (np.arange(len(y)) % 19 == 0)  # both classes alike
+    whole, part = np.ones(len(y)), np.where(y == 1, 1.0, 19.0)[some]
+    assert abs(toxicity._best_cut(z, y, whole) - toxicity._best_cut(z[some], y[some], part)) < 0.25
+    fits = [quality._logistic(a[:, None], b, np.array([1.0, 0.0]), w) for a, b, w in ((z, y, whole), (z[some], y[some], part))]
+    assert np.abs(fits[0] - fits[1]).max() < 0.25
+    docs = spark.createDataFrame([(i, f"text {i}", "en") for i in range(60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 10)) for i in range(60)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels, "toxic", F.lit(True), per_class=5)
+    assert rows.groupby("label")["weight"].sum().to_dict() == {0: 50.0, 1: 10.0}
+
+
 # 5: surrogates
 
 

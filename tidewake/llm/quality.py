@@ -4,8 +4,8 @@ The content view is what the words are: hashed words and shapes of words, and sh
 repeats. The metadata view is what a crawl's record tells without reading: language, source, length and layout (lines and
 their length). Each view is a logistic regression. In each round, each view scores a pool of unlabelled documents and
 gives the other its most confident ones as labelled, in the labelled rows' proportion; both are trained anew. A held-back
-part of the labelled rows calibrates either view, and a last regression weighs the two calibrated views. Every document is
-scored, and a document is rejected only if its combined score is below CUT.
+part of the labelled rows calibrates either view, and a last regression weighs the two calibrated views; in both, rows
+count as often as all labelled rows of their class have them. Every document is scored, and a document is rejected only if its combined score is below CUT.
 
 Training reads a bounded sample of labelled rows and of the pool, both chosen by hash; scoring reads every whole text.
 Null and empty texts have no words and are scored by their metadata and bias. Null lang, source or n_chars are values of
@@ -115,14 +115,15 @@ class View:
         return self.a * self.raw(rows) + self.b
 
 
-def _logistic(x: np.ndarray, labels: np.ndarray, start: np.ndarray, steps: int = 400) -> np.ndarray:
+def _logistic(x: np.ndarray, labels: np.ndarray, start: np.ndarray, weights: np.ndarray, steps: int = 400) -> np.ndarray:
     """Weights (the last is the bias) by Newton's method with a small ridge, kept from being negative but for the bias."""
     x = np.column_stack([x, np.ones(len(x))])
+    weights = weights / weights.mean()
     w = start.astype(float)
     for _ in range(steps // 20):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
-        w = w - np.linalg.solve(h, x.T @ (p - labels) + 1e-2 * (w - start))
+        h = (x * (weights * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
+        w = w - np.linalg.solve(h, x.T @ (weights * (p - labels)) + 1e-2 * (w - start))
     w[:-1] = np.maximum(w[:-1], 0)
     return w
 
@@ -134,7 +135,8 @@ class CoTraining:
         self.content, self.meta = View(BUCKETS), View(META_BUCKETS)
         self.weights, self.constant = np.array([1.0, 0.0, 0.0]), None
 
-    def fit(self, content: list[tuple], meta: list[tuple], labels: np.ndarray, pool_content: list[tuple], pool_meta: list[tuple], seed: int = 11) -> CoTraining:
+    def fit(self, content: list[tuple], meta: list[tuple], labels: np.ndarray, pool_content: list[tuple], pool_meta: list[tuple], seed: int = 11, weights: np.ndarray | None = None) -> CoTraining:
+        weights = np.ones(len(labels)) if weights is None else weights
         if len(set(labels.tolist())) < 2:
             self.constant = 1.0
             return self
@@ -144,7 +146,7 @@ class CoTraining:
         if len(set(labels[held].tolist())) < 2 or len(set(labels[~held].tolist())) < 2:
             held[:] = False
         own = np.flatnonzero(~held)
-        share = float(labels[own].mean())
+        share = float(np.average(labels[own], weights=weights[own]))
         # What each view is taught: (row of the pool, label) from the other view.
         taught: tuple[dict[int, int], dict[int, int]] = ({}, {})
         for turn in range(ROUNDS + 1):
@@ -164,9 +166,9 @@ class CoTraining:
         y = labels[check]
         for view, rows in ((self.content, content), (self.meta, meta)):
             z = view.raw([rows[i] for i in check])
-            view.a, view.b = _logistic(z[:, None], y, np.array([1 / max(float(z.std()), 1e-6), 0.0]))
+            view.a, view.b = _logistic(z[:, None], y, np.array([1 / max(float(z.std()), 1e-6), 0.0]), weights[check])
         both = np.column_stack([self.content.logit([content[i] for i in check]), self.meta.logit([meta[i] for i in check])])
-        self.weights = _logistic(both, y, np.array([1.0, 0.2, 0.0]))
+        self.weights = _logistic(both, y, np.array([1.0, 0.2, 0.0]), weights[check])
         return self
 
     def score(self, content: list[tuple], meta: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS, p
     some = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool_rows))  # pool_rows ids at most
     pool = texts_of(docs, "lang", "source", "n_chars").join(some, "doc_id").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
     pool_content, pool_meta = rows_of(pool) if len(pool) else ([], [])
-    return CoTraining().fit(content, meta, known["label"].to_numpy(np.int64), pool_content, pool_meta)
+    return CoTraining().fit(content, meta, known["label"].to_numpy(np.int64), pool_content, pool_meta, weights=known["weight"].to_numpy())
 
 
 def score(docs: DataFrame, model: CoTraining) -> DataFrame:

@@ -4,7 +4,8 @@ A word (lower case, cut at ASCII characters other than letters) has the sum of t
 first bytes; filters of several widths run over a whole text's words, each keeps its largest value (max pooling), and a
 logistic layer makes the score. Embeddings start from how much more often a feature's documents are toxic, and all layers
 are trained by Adagrad on a bounded sample of labelled rows. A held-back part of the sample calibrates the score (so that
-0.7 is the cut that parts the classes best) and, by language, the thresholds.
+0.7 is the cut that parts the classes best) and, by language, the thresholds; its rows count as often as all labelled rows
+of their class have them, so the cuts do not follow the sample's share of classes.
 
 Scores depend on the text alone; language picks a threshold only, never the score. Null and empty texts have no words and
 the score of the pooled bias; repeated texts score alike. With no labelled rows, or one class, every score is the sample's
@@ -128,7 +129,8 @@ class Model:
 
     # Training.
 
-    def fit(self, texts: list[str], labels: np.ndarray, languages: list[str], seed: int = 7) -> Model:
+    def fit(self, texts: list[str], labels: np.ndarray, languages: list[str], seed: int = 7, weights: np.ndarray | None = None) -> Model:
+        weights = np.ones(len(labels)) if weights is None else weights
         if len(set(labels.tolist())) < 2:
             self.constant = float(labels.mean()) if len(labels) else 0.0
             return self
@@ -151,7 +153,7 @@ class Model:
                 square0 = self._step(cut[i], float(labels[i]), float(balance[i]), squares, table_squares, square0)
         check = np.flatnonzero(held) if held.any() else np.arange(len(texts))
         self.known, self.rows = {}, self.rows[:0].copy()
-        self._calibrate(self.raw([texts[i] for i in check]).astype(np.float64), labels[check], [languages[i] for i in check])
+        self._calibrate(self.raw([texts[i] for i in check]).astype(np.float64), labels[check], [languages[i] for i in check], weights[check])
         self.known, self.rows = {}, self.rows[:0].copy()
         return self
 
@@ -212,31 +214,32 @@ class Model:
                 self.table[r] -= RATE * root[place] * grad / np.sqrt(table_squares[r])
         return square0
 
-    def _calibrate(self, z: np.ndarray, labels: np.ndarray, languages: list[str]) -> None:
+    def _calibrate(self, z: np.ndarray, labels: np.ndarray, languages: list[str], weights: np.ndarray) -> None:
         """Scale and shift by logistic regression on the held-back part; then a shift that puts the best cut at CUT."""
-        spread = max(float(z.std()), 1e-6)
+        part = weights / weights.sum()
+        spread = max(float(np.sqrt(part @ (z - part @ z) ** 2)), 1e-6)
         a, b = 1 / spread, 0.0
         for _ in range(200):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            d = p - labels
-            a -= 0.5 * (float((d * z).mean()) / spread + 1e-3 * a) / spread
-            b -= 0.5 * float(d.mean())
+            d = part * (p - labels)
+            a -= 0.5 * (float(d @ z) / spread + 1e-3 * a) / spread
+            b -= 0.5 * float(d.sum())
         self.scale = max(a, 1e-3)
-        cut = _best_cut(z, labels)
+        cut = _best_cut(z, labels, weights)
         self.shift = float(np.log(CUT / (1 - CUT)) - self.scale * cut)
         score = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
         names = np.array([x or "" for x in languages])
         for name in set(names.tolist()):
             own = names == name
             if own.sum() >= LANGUAGE_ROWS and 8 <= labels[own].sum() < own.sum():
-                self.thresholds[name] = float(_best_cut(score[own], labels[own]))
+                self.thresholds[name] = float(_best_cut(score[own], labels[own], weights[own]))
 
 
-def _best_cut(z: np.ndarray, labels: np.ndarray) -> float:
-    """The cut with the largest F1, in the middle of its gap."""
+def _best_cut(z: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
+    """The cut with the largest F1 of the weighted rows, in the middle of its gap."""
     order = np.argsort(-z, kind="stable")
-    zs, hit = z[order], np.cumsum(labels[order])
-    f1 = 2 * hit / (np.arange(1, len(z) + 1) + labels.sum())
+    zs, hit = z[order], np.cumsum((weights * labels)[order])
+    f1 = 2 * hit / (np.cumsum(weights[order]) + hit[-1])
     last = np.append(zs[1:] < zs[:-1], True)
     f1[~last] = -1
     k = int(np.argmax(f1))
@@ -244,11 +247,16 @@ def _best_cut(z: np.ndarray, labels: np.ndarray) -> float:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int = ROWS_PER_CLASS) -> pd.DataFrame:
-    """doc_id, text, lang, label of at most per_class labelled rows of each class, those of least hash of doc_id."""
+    """doc_id, text, lang, label, weight of at most per_class labelled rows of each class, those of least hash of doc_id.
+
+    weight: how many usable labelled ids of its class there are for each one picked.
+    """
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(usable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     some = [rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     picked = F.broadcast(some[0].union(some[1]).dropDuplicates(["doc_id"]))  # 2 * per_class rows at most
-    return texts_of(docs, "lang").join(picked, "doc_id").toPandas().sort_values(["doc_id", "text"]).reset_index(drop=True)
+    out = texts_of(docs, "lang").join(picked, "doc_id").toPandas().sort_values(["doc_id", "text"]).reset_index(drop=True)
+    there, own = (dict(x.groupBy("label").agg(F.countDistinct("doc_id")).collect()) for x in (rows, picked))
+    return out.assign(weight=out["label"].map(lambda c: there[c] / own[c]).astype(float))
 
 
 def third(doc_id: str = "doc_id") -> Column:
@@ -259,7 +267,7 @@ def third(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) -> Model:
     """A model from labelled rows outside the held-out third (crc32(doc_id) mod 3 = 1)."""
     rows = training_rows(docs, labels, "toxic", third() != 1, per_class)
-    return Model().fit(rows["text"].tolist(), rows["label"].to_numpy(np.int64), rows["lang"].tolist())
+    return Model().fit(rows["text"].tolist(), rows["label"].to_numpy(np.int64), rows["lang"].tolist(), weights=rows["weight"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
