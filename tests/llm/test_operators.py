@@ -231,6 +231,19 @@ def test_surrogates_stay_distinct(spark):
         assert got.nunique() == 81 and not set(got) & {f"{a}@{b}.de" for a in "abcdefghi" for b in "abcdefghi"}
 
 
+def test_keys_in_capitals_and_long_keys(spark):
+    key, long = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "0123456789abcdef" * 20
+    texts = [f'TOKEN = "{key.upper()}"', f'token = "{key}"', f"x {long} y", f"x {long[:-1]}0 y", "DEADBEEF is short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limit in (surrogates.OVERRIDES_BROADCAST, 0):
+        out = [r["text"] for r in surrogates.replace_entities(docs, "key", broadcast_rows=limit).orderBy("doc_id").collect()]
+        upper, lower = re.fullmatch(r'TOKEN = "([0-9A-F]{40})"', out[0])[1], re.fullmatch(r'token = "([0-9a-f]{40})"', out[1])[1]
+        assert upper.lower() == lower != key
+        made = [re.fullmatch(r"x ([0-9a-f]{320}) y", t)[1] for t in out[2:4]]
+        assert made[0] != made[1] and not set(made) & {long, f"{long[:-1]}0"} and made[0][:128] != made[0][128:256]
+        assert out[4] == texts[4]
+
+
 def test_surrogates_by_another_key_and_of_none(spark, none):
     docs = spark.createDataFrame([(1, "10.0.0.7")], "doc_id long, text string")
     a, b = (surrogates.replace_entities(docs, k).first()["text"] for k in ("one", "two"))

@@ -2,7 +2,8 @@
 
 Detected entities get keyed replacements of their own type and format: digits stay digits in place (card numbers keep
 their first digit, phone numbers their country code), addresses stay addresses, e-mail keeps its top domain, keys keep
-their alphabet and length, and a name after a form of address keeps gender, script and number of parts.
+their alphabet, case and length (a hexadecimal key has one surrogate, in the case in which the key stands), and a name
+after a form of address keeps gender, script and number of parts.
 
 The same entity has the same surrogate wherever it stands (coreference). Numbers are permuted by a keyed Feistel network
 over their own digits, so different ones never meet; the other surrogates are keyed hashes in the entity's shape. All
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from tidewake.llm.common import written
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+# Hexadecimal in either case; runs longer than any one digest are keys only if they hold a digit ("aaaa..." is none).
+_HEX = "|".join(rf"[0-9{a}]{{32,128}}+(?![0-9{a}])|(?=[{a}]*+[0-9])[0-9{a}]{{129,}}+" for a in ("a-f", "A-F"))
 # Forms of address by gender, and names by gender and script.
 MALE_FORMS = ["Mr", "Sir", "Herr", "Señor", "Monsieur", "Господин"]
 FEMALE_FORMS = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Madame", "Mme", "Госпожа"]
@@ -44,7 +47,7 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?!\d)",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9]{20,64})(?![0-9A-Za-z])",
+    "secret": rf"(?<![0-9A-Za-z])(?:{_HEX}|AKIA[0-9A-Z]{{16}}|sk-[A-Za-z0-9]{{20,64}})(?![0-9A-Za-z])",
     "name": rf"(?<!\p{{L}})(?:{_FORMS})\.? \p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -149,9 +152,14 @@ def _masked(text: Column, stream: Column, letters: str = "abcdefghijklmnopqrstuv
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
-def _secret(entity: Column, stream: Column) -> Column:
-    """A key of the same alphabet and length; a known prefix stays."""
-    hexa = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.substring(stream, F.pmod(i, F.lit(128)) + 1, F.lit(1))), "")
+def _secret(entity: Column, key: Column, stream: Column) -> Column:
+    """A key of the same alphabet, case and length; a known prefix stays. Hexadecimal keys are the same in either case."""
+    low = F.lower(entity)
+    blocks = F.sequence(F.lit(0), F.floor((F.length(entity) - 1) / 128).cast("int"))
+    # A key of up to 128 digits needs the first block alone.
+    hexa = F.array_join(F.transform(blocks, lambda k: F.sha2(F.concat_ws("|", key, low, F.when(k > 0, k.cast("string"))), 512)), "")
+    hexa = F.substring(hexa, F.lit(1), F.length(entity))
+    hexa = F.when(F.regexp_like(entity, F.lit("[A-F]")), F.upper(hexa)).otherwise(hexa)
     prefix = F.regexp_extract(entity, "^(AKIA|sk-)", 1)
     return F.when(prefix == "", hexa).otherwise(F.concat(prefix, _masked(F.substring(entity, F.length(prefix) + 1, F.length(entity)), stream)))
 
@@ -188,7 +196,7 @@ def surrogate(entity: Column, secret: str, attempt: Column | None = None) -> Col
         .when(kind == "ssn", _numeric(entity, F.lit(0), F.concat_ws("|", key, F.lit("ssn"))))
         .when(kind == "phone", _numeric(entity, country, F.concat_ws("|", key, F.lit("phone"))))
         .when(kind == "card", _numeric(entity, F.lit(1), F.concat_ws("|", key, F.lit("card"), F.substring(entity, 1, 1))))
-        .when(kind == "secret", _secret(entity, stream))
+        .when(kind == "secret", _secret(entity, key, stream))
         .otherwise(F.concat(_name(entity, F.concat_ws("|", key, F.lit("name"))), F.repeat(F.lit("a"), more)))
     )
 
