@@ -200,6 +200,26 @@ def test_cuts_do_not_follow_the_sample_s_share_of_classes(spark):
     assert rows.groupby("label")["weight"].sum().to_dict() == {0: 50.0, 1: 10.0}
 
 
+def test_every_language_has_a_threshold_from_all_its_rows(spark):
+    rng = np.random.default_rng(6)
+    text = lambda bad: " ".join(rng.choice(["awful", "vile", "rotten"] if bad and rng.random() < 0.3 else ["calm", "lake", "stone", "river"]) for _ in range(30))
+    toxic = [i % 10 == 0 for i in range(900)]
+    docs = spark.createDataFrame([(i, text(bad), "xx" if i >= 840 else "en") for i, bad in enumerate(toxic)], "doc_id long, text string, lang string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(bad)) for i, bad in enumerate(toxic)], "doc_id long, toxic int"), per_class=30)
+    assert set(model.thresholds) == {"en", "xx"}  # six toxic rows of xx or fewer, most of them beyond the cap
+
+
+def test_thresholds_go_to_a_language_s_own_cut_with_its_rows():
+    rng, away = np.random.default_rng(7), []
+    for n in (0, 4, 40):
+        y = np.r_[np.arange(20_000) < 2_000, np.arange(10 * n) < n].astype(int)
+        z = rng.normal(6.0 * y, 1.0) + np.r_[np.zeros(20_000), np.full(10 * n, 2.0)]  # the small language scores higher
+        model = toxicity.Model()
+        model.calibrate(z, y, ["en"] * 20_000 + ["xx"] * (10 * n), np.ones(len(y)), np.ones(len(y)))
+        away.append(model.thresholds.get("xx", toxicity.CUT))
+    assert away[0] == toxicity.CUT < away[1] < away[2]
+
+
 # 5: surrogates
 
 

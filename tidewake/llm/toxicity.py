@@ -3,9 +3,10 @@
 A word (lower case, cut at ASCII characters other than letters) has the sum of the hashed embeddings of itself and of its
 first bytes; filters of several widths run over a whole text's words, each keeps its largest value (max pooling), and a
 logistic layer makes the score. Embeddings start from how much more often a feature's documents are toxic, and all layers
-are trained by Adagrad on a bounded sample of labelled rows. A held-back part of the sample calibrates the score (so that
-0.7 is the cut that parts the classes best) and, by language, the thresholds; its rows count as often as all labelled rows
-of their class have them, so the cuts do not follow the sample's share of classes.
+are trained by Adagrad on a bounded sample of labelled rows. All usable labelled rows that the fit has not read, scored on
+Spark and counted by language, class and score, calibrate the score (so that 0.7 is the cut that parts the classes best)
+and, by language, the thresholds; a language's own cut is drawn towards 0.7 the more, the fewer rows it has. Rows count as
+often as all labelled rows of their class have them, so the cuts do not follow the sample's share of classes.
 
 Scores depend on the text alone; language picks a threshold only, never the score. Null and empty texts have no words and
 the score of the pooled bias; repeated texts score alike. With no labelled rows, or one class, every score is the sample's
@@ -33,8 +34,10 @@ BUCKETS, WIDTH, FILTERS, WIDTHS = 1 << 17, 8, 6, (1, 2, 3)
 PARTS = (5, 6, 7, 8, 9)
 EPOCHS, RATE = 4, 0.08
 CUT = 0.7
-#: Labelled rows of a language from which it has a threshold of its own.
-LANGUAGE_ROWS = 60
+#: Rows of a language's rarer class at which its threshold is half way between 0.7 and its own cut, in log-odds.
+LANGUAGE_PRIOR = 20
+#: Score bins in a unit of log-odds.
+BINS = 64
 #: Words whose products a Python worker keeps, for one model at a time.
 WORDS_KEPT = 200_000
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -68,6 +71,7 @@ class Model:
         self.out0 = np.float32(-1)
         self.scale, self.shift, self.constant = 1.0, 0.0, None
         self.thresholds: dict[str, float] = {}
+        self.fitted = np.zeros(0, bool)  # rows of the sample that the layers were trained on
         self.known: dict[bytes, int] = {}
         self.rows = np.zeros((0, sum(WIDTHS) * FILTERS), np.float32)
 
@@ -140,6 +144,7 @@ class Model:
         if len(set(labels[held].tolist())) < 2 or len(set(labels[~held].tolist())) < 2:
             held[:] = False
         train = np.flatnonzero(~held)
+        self.fitted = ~held
         seen: dict[bytes, list[int]] = {}  # a word's features once, however often it stands
         cut = [[seen.get(w) or seen.setdefault(w, features(w)) for w in words(t)] for t in texts]
         self._evidence([cut[i] for i in train], labels[train])
@@ -153,7 +158,7 @@ class Model:
                 square0 = self._step(cut[i], float(labels[i]), float(balance[i]), squares, table_squares, square0)
         check = np.flatnonzero(held) if held.any() else np.arange(len(texts))
         self.known, self.rows = {}, self.rows[:0].copy()
-        self._calibrate(self.raw([texts[i] for i in check]).astype(np.float64), labels[check], [languages[i] for i in check], weights[check])
+        self.calibrate(self.raw([texts[i] for i in check]).astype(np.float64), labels[check], [languages[i] for i in check], np.ones(len(check)), weights[check])
         self.known, self.rows = {}, self.rows[:0].copy()
         return self
 
@@ -214,8 +219,14 @@ class Model:
                 self.table[r] -= RATE * root[place] * grad / np.sqrt(table_squares[r])
         return square0
 
-    def _calibrate(self, z: np.ndarray, labels: np.ndarray, languages: list[str], weights: np.ndarray) -> None:
-        """Scale and shift by logistic regression on the held-back part; then a shift that puts the best cut at CUT."""
+    def log_odds(self, texts: list[str]) -> np.ndarray:
+        return np.clip(self.scale * self.raw(texts).astype(np.float64) + self.shift, -30, 30)
+
+    def calibrate(self, z: np.ndarray, labels: np.ndarray, languages: list[str], counts: np.ndarray, weights: np.ndarray) -> None:
+        """Scale and shift by logistic regression; then a shift that puts the best cut at CUT; then thresholds by language.
+
+        z: raw scores of rows, or of groups of counts rows; weights: what they count for, with the weight of their class.
+        """
         part = weights / weights.sum()
         spread = max(float(np.sqrt(part @ (z - part @ z) ** 2)), 1e-6)
         a, b = 1 / spread, 0.0
@@ -227,12 +238,15 @@ class Model:
         self.scale = max(a, 1e-3)
         cut = _best_cut(z, labels, weights)
         self.shift = float(np.log(CUT / (1 - CUT)) - self.scale * cut)
-        score = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
+        odds, middle = np.clip(self.scale * z + self.shift, -30, 30), np.log(CUT / (1 - CUT))
         names = np.array([x or "" for x in languages])
+        self.thresholds = {}
         for name in set(names.tolist()):
             own = names == name
-            if own.sum() >= LANGUAGE_ROWS and 8 <= labels[own].sum() < own.sum():
-                self.thresholds[name] = float(_best_cut(score[own], labels[own], weights[own]))
+            n = min(counts[own & (labels == 1)].sum(), counts[own & (labels == 0)].sum())
+            if n:
+                at = (n * _best_cut(odds[own], labels[own], weights[own]) + LANGUAGE_PRIOR * middle) / (n + LANGUAGE_PRIOR)
+                self.thresholds[name] = float(1 / (1 + np.exp(-at)))
 
 
 def _best_cut(z: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
@@ -267,7 +281,37 @@ def third(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) -> Model:
     """A model from labelled rows outside the held-out third (crc32(doc_id) mod 3 = 1)."""
     rows = training_rows(docs, labels, "toxic", third() != 1, per_class)
-    return Model().fit(rows["text"].tolist(), rows["label"].to_numpy(np.int64), rows["lang"].tolist(), weights=rows["weight"].to_numpy())
+    y = rows["label"].to_numpy(np.int64)
+    model = Model().fit(rows["text"].tolist(), y, rows["lang"].tolist(), weights=rows["weight"].to_numpy())
+    if model.constant is None:
+        _calibrate_on_all(model, docs, labels, rows.loc[model.fitted, ["doc_id", "label"]])
+    return model
+
+
+def _calibrate_on_all(model: Model, docs: DataFrame, labels: DataFrame, fitted: pd.DataFrame) -> None:
+    """Calibrate by all usable labelled rows that the layers were not trained on, from counts by language, class and score."""
+    spark = docs.sparkSession
+    given = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = given.value
+        for b in batches:
+            for part in passes(texts := b["text"].tolist(), 1_000_000):
+                yield pd.DataFrame({"lang": b["lang"].iloc[part], "label": b["label"].iloc[part], "bin": np.floor(BINS * own.log_odds(texts[part])).astype(np.int32)})
+
+    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where((third() != 1) & F.col("toxic").isin(0, 1)).distinct()
+    known = spark.createDataFrame([(int(x),) for x in fitted["doc_id"].unique()], "doc_id long")  # 2 * per_class rows at most
+    rest = usable.join(F.broadcast(known), "doc_id", "left_anti")
+    cells = texts_of(docs, "lang").join(rest, "doc_id").select("text", "lang", "label").mapInPandas(run, "lang string, label int, bin int")
+    cells = cells.groupBy("lang", "label", "bin").count().toPandas().sort_values(["lang", "label", "bin"])
+    n = cells.groupby("label")["count"].sum()
+    if len(n) < 2:
+        return
+    weight = {c: 1 + (fitted["label"] == c).sum() / n[c] for c in (0, 1)}
+    z = ((cells["bin"].to_numpy() + 0.5) / BINS - model.shift) / model.scale
+    counts = cells["count"].to_numpy(float)
+    names = [x if isinstance(x, str) else "" for x in cells["lang"]]
+    model.calibrate(z, cells["label"].to_numpy(), names, counts, counts * cells["label"].map(weight).to_numpy(float))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
