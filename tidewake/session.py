@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: What the jobs rely on, whatever the cluster: UTC clocks and adaptive plans.
@@ -28,13 +31,14 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors see; a temporary one of our own where it is unset."""
+    """The folder named by spark.checkpoint.dir, which all executors see. Where it is unset, a temporary one of our own in
+    local mode; on a cluster that is an error, as executors do not share the driver's disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isEmpty():
-            import tempfile
-
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             own = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = own.get()
