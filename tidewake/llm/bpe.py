@@ -23,7 +23,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from tidewake.llm.common import gather, offsets, passes, texts_of
+from tidewake.llm.common import gather, in_worker, offsets, passes, texts_of
 
 #: Bytes of the widest padded row.
 LONGEST_ROW = 256
@@ -268,14 +268,9 @@ class Chunker:
         return out
 
 
-_loaded: dict[tuple[str, str], ByteBpe] = {}
-
-
 def vocabulary(path: str, pattern: str) -> ByteBpe:
     """The vocabulary at path, read once in each Python worker."""
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = ByteBpe.read(path, pattern)
-    return _loaded[path, pattern]
+    return in_worker(("bpe", path, pattern), lambda: ByteBpe.read(path, pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:

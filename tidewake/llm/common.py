@@ -2,33 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewake.session import shared_folder
+
 #: Characters that one numpy pass inside a task handles at once.
 CHARS_PER_PASS = 2_000_000
 #: Rows of an Arrow batch that are taken out of it at once.
 ROWS_PER_PASS = 256
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a temporary one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if own.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = own.get()
-    return folder.rstrip("/")
-
-
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df as a table in the shared folder, read again: its lineage ends there and it survives lost executors."""
     spark = df.sparkSession
@@ -37,6 +27,25 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_held: dict[Hashable, object] = {}
+
+
+def in_worker(name: Hashable, make: Callable[[], object]) -> object:
+    """What make() gives, kept for the tasks that follow in this Python worker. Spark reuses workers over the stages of a
+    job, so one thing is kept at a time: what another operator left goes first."""
+    if name not in _held:
+        _held.clear()
+        gc.collect()
+        _held[name] = make()
+    return _held[name]
+
+
+def within_bytes(rows: DataFrame, by: str, size: str, order: list[str], most: int) -> DataFrame:
+    """Of rows (a bounded number of them), those in ``order`` whose sizes add up to ``most`` at most, for each value of ``by``."""
+    so_far = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_so_far", F.sum(size).over(so_far)).where(F.col("_so_far") <= most).drop("_so_far")
+
+
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the columns named; nothing else of docs, so clashing names do no harm."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

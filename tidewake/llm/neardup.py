@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import offsets, passes, texts_of, written
+from tidewake.llm.common import in_worker, offsets, passes, texts_of, written
 
 REGISTERS, BAND_ROWS, MANTISSA = 112, 4, 10
 #: Members that one copy of a leader's set meets; members of a block in the second step.
@@ -54,15 +54,13 @@ class _Hashes(dict):
         return value
 
 
-_hash_of = _Hashes()
-
-
 def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles."""
     words = [t.encode().translate(_LOWER).split() for t in texts]
     n = np.array([len(w) for w in words], np.int64)
     at = offsets(n)
-    flat = np.fromiter((_hash_of[w] for ws in words for w in ws), np.uint64, int(at[-1]))
+    hash_of = in_worker("neardup", _Hashes)
+    flat = np.fromiter((hash_of[w] for ws in words for w in ws), np.uint64, int(at[-1]))
     whole = len(flat)
     mixed = flat * _MIX
     for k in range(1, min(size, whole)):

@@ -12,6 +12,7 @@ read. An empty table gives no records. Order within the stream is that of the in
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.llm.bpe import Chunker
-from tidewake.llm.common import passes, texts_of, written
+from tidewake.llm.common import in_worker, passes, texts_of, written
 
 END_ID = 1
 #: Partitions up to which their totals (two longs each, 32 MB at most) are broadcast; beyond, they are joined by shuffle.
@@ -32,37 +33,50 @@ TOTALS_PER_BLOCK = 1_000
 #: New words that one call of the tokenizer encodes, one after the other.
 WORDS_A_CALL = 64
 
-_loaded: dict[tuple[str, str], Chunker] = {}
 
 
-def _chunker(path: str, pattern: str) -> Chunker:
-    """Encodes words by the tokenizer file at path, read once in each Python worker."""
-    if (path, pattern) not in _loaded:
+class Encoder:
+    """A tokenizer file's ids of texts. Tokens that the file adds to its vocabulary (such as an end mark spelt out) are found
+    in a text first, as the library does; what stands between them goes through the chunker."""
+
+    def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
-
+        self.own = Tokenizer.from_file(path)
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in self.own.get_added_tokens_decoder().items()}
+        names = sorted(self.added, key=len, reverse=True)
+        self.find_added = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         # A token of this vocabulary is spelt with one character for each of its bytes.
-        spelt = np.zeros(own.get_vocab_size(), np.int64)
-        for token, i in own.get_vocab().items():
-            spelt[i] = len(token)
-
-        def encode(words: list[str]) -> list[bytes]:
-            """Runs of a space and letters are matched apart wherever they stand, so many go through one call."""
-            runs = [w[0] == " " and w[1:].isalpha() for w in words]
-            out = {w: np.array(e.ids, "<u4").tobytes() for w, e in _each(own, [w for w, r in zip(words, runs, strict=True) if not r])}
-            apart = [w for w, r in zip(words, runs, strict=True) if r]
-            lines = ["".join(apart[i : i + WORDS_A_CALL]) for i in range(0, len(apart), WORDS_A_CALL)]
-            ids = np.array([x for e in own.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids], "<u4")
-            ends = np.searchsorted(np.cumsum(spelt[ids]), np.cumsum([len(w.encode()) for w in apart]), "left") + 1
-            data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-            out.update((w, data[a:b]) for w, a, b in zip(apart, at, at[1:], strict=False))
-            return [out[w] for w in words]
-
-        _loaded[path, pattern] = Chunker(pattern, encode)
-    return _loaded[path, pattern]
+        self.spelt = np.zeros(self.own.get_vocab_size(), np.int64)
+        for token, i in self.own.get_vocab().items():
+            self.spelt[i] = len(token)
+        self.chunker = Chunker(pattern, self._encode_words)
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Runs of a space and letters are matched apart wherever they stand, so many go through one call."""
+        runs = [w[0] == " " and w[1:].isalpha() for w in words]
+        out = {w: np.array(e.ids, "<u4").tobytes() for w, e in _each(self.own, [w for w, r in zip(words, runs, strict=True) if not r])}
+        apart = [w for w, r in zip(words, runs, strict=True) if r]
+        lines = ["".join(apart[i : i + WORDS_A_CALL]) for i in range(0, len(apart), WORDS_A_CALL)]
+        ids = np.array([x for e in self.own.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids], "<u4")
+        ends = np.searchsorted(np.cumsum(self.spelt[ids]), np.cumsum([len(w.encode()) for w in apart]), "left") + 1
+        data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        out.update((w, data[a:b]) for w, a, b in zip(apart, at, at[1:], strict=False))
+        return [out[w] for w in words]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        if self.find_added is None or not any(self.find_added.search(t) for t in texts):
+            return self.chunker.encode(texts)
+        cut = [self.find_added.split(t) for t in texts]  # what stands between added tokens, and every second part such a token
+        plain = iter(self.chunker.encode([p for parts in cut for p in parts[::2]]))
+        return [b"".join(self.added[p] if k % 2 else next(plain) for k, p in enumerate(parts)) for parts in cut]
+
+
+def _encoder(path: str, pattern: str) -> Encoder:
+    """The tokenizer file at path, read once in each Python worker."""
+    return in_worker(("packing", path, pattern), lambda: Encoder(path, pattern))
 
 
 def _each(own, words: list[str]) -> Iterator[tuple]:
@@ -73,7 +87,7 @@ def encode_partitions(docs: DataFrame, path: str, pattern: str, end_id: int = EN
     """doc_id, part (partition), before (tokens before it in its partition), doc_tokens, ids (32-bit little-endian)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, part, before = _chunker(path, pattern), TaskContext.get().partitionId(), 0
+        own, part, before = _encoder(path, pattern), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             for some in passes(texts := b["text"].tolist()):
