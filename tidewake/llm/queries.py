@@ -33,7 +33,8 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+    model, rows = quality.train_and_rows(docs, _table(spark, sf_dir, "labels"))
+    return quality.score_rows(rows, model)
 
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,8 @@ def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+    model, scored = toxicity.train_and_score(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.graded(scored, model)
 
 
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,11 @@
 A word (lower case, cut at ASCII characters other than letters) has the sum of the hashed embeddings of itself and of its
 first bytes; filters of several widths run over a whole text's words, each keeps its largest value (max pooling), and a
 logistic layer makes the score. Embeddings start from how much more often a feature's documents are toxic, and all layers
-are trained by Adagrad on a bounded sample of labelled rows. All usable labelled rows that the fit has not read, scored on
-Spark and counted by language, class and score, calibrate the score (so that 0.7 is the cut that parts the classes best)
-and, by language, the thresholds; a language's own cut is drawn towards 0.7 the more, the fewer rows it has. Rows count as
-often as all labelled rows of their class have them, so the cuts do not follow the sample's share of classes.
+are trained by Adagrad on a bounded sample of labelled rows (ROWS_PER_CLASS, BYTES_PER_CLASS). Then all texts are scored
+on Spark, and the scores, not the texts, meet the labels: all usable labelled rows that the fit has not read, counted by
+language, class and score, calibrate the score (so that 0.7 is the cut that parts the classes best) and, by language, the
+thresholds; a language's own cut is drawn towards 0.7 the more, the fewer rows it has. Rows count as often as all labelled
+rows of their class have them, so the cuts do not follow the sample's share of classes.
 
 Scores depend on the text alone; language picks a threshold only, never the score. Null and empty texts have no words and
 the score of the pooled bias; repeated texts score alike. With no labelled rows, or one class, every score is the sample's
@@ -15,8 +16,8 @@ share of toxic rows (0 without rows). Extra columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,10 +26,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import kept_rows, offsets, passes, texts_of
+from tidewake.llm.common import in_worker, kept_rows, offsets, passes, texts_of, within_bytes, written
 
-#: Labelled rows of either class that training reads at most.
-ROWS_PER_CLASS = 2_000
+#: Labelled rows of either class that training reads at most, and the bytes of their texts.
+ROWS_PER_CLASS, BYTES_PER_CLASS = 2_000, 12_000_000
 BUCKETS, WIDTH, FILTERS, WIDTHS = 1 << 17, 8, 6, (1, 2, 3)
 #: Bytes of a word's first parts that are features beside the word.
 PARTS = (5, 6, 7, 8, 9)
@@ -38,7 +39,7 @@ CUT = 0.7
 LANGUAGE_PRIOR = 20
 #: Score bins in a unit of log-odds.
 BINS = 64
-#: Words whose products a Python worker keeps, for one model at a time.
+#: Words whose products a Python worker keeps.
 WORDS_KEPT = 200_000
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -54,7 +55,18 @@ def features(word: bytes) -> list[int]:
     return out
 
 
-_last: list[Model] = []  # the model whose words this worker keeps; those of earlier ones are let go
+def cut_text(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a text's words one after the other, and how many each word has."""
+    each = [features(w) for w in words(text)]
+    return np.fromiter((x for e in each for x in e), np.int32), np.fromiter(map(len, each), np.uint8, len(each))
+
+
+class _Words:
+    """Words seen and a row of their products with the filters for each."""
+
+    def __init__(self, columns: int):
+        self.known: dict[bytes, int] = {}
+        self.rows = np.zeros((0, columns), np.float32)
 
 
 class Model:
@@ -62,6 +74,7 @@ class Model:
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
+        self.name = uuid.uuid4().hex  # tells workers' words of one model from another's
         self.table = rng.normal(0, 0.05, (BUCKETS, WIDTH)).astype(np.float32)
         self.filters = [rng.normal(0, 0.15, (FILTERS, w, WIDTH)).astype(np.float32) for w in WIDTHS]
         for f in self.filters:
@@ -72,8 +85,6 @@ class Model:
         self.scale, self.shift, self.constant = 1.0, 0.0, None
         self.thresholds: dict[str, float] = {}
         self.fitted = np.zeros(0, bool)  # rows of the sample that the layers were trained on
-        self.known: dict[bytes, int] = {}
-        self.rows = np.zeros((0, sum(WIDTHS) * FILTERS), np.float32)
 
     # Scoring: each distinct word's products with all filters are kept, so a text costs additions and maxima.
 
@@ -87,31 +98,27 @@ class Model:
         flat = np.fromiter((x for e in each for x in e), np.int64)
         return np.add.reduceat(self.table[flat], at, axis=0) / np.sqrt(n)[:, None] if len(ws) else np.zeros((0, WIDTH), np.float32)
 
-    def pooled(self, texts: list[str]) -> np.ndarray:
+    def pooled(self, texts: list[str], seen: _Words) -> np.ndarray:
         """A row of pooled filters for each text."""
-        if not _last or _last[0] is not self:
-            for old in _last:
-                old.known, old.rows = {}, old.rows[:0].copy()
-            _last[:] = [self]
         cut = [words(t) for t in texts]
-        new = list({w for ws in cut for w in ws if w not in self.known})
-        if len(self.known) + len(new) > WORDS_KEPT:
-            self.known, self.rows = {}, self.rows[:0].copy()
+        new = list({w for ws in cut for w in ws if w not in seen.known})
+        if len(seen.known) + len(new) > WORDS_KEPT:
+            seen.known, seen.rows = {}, seen.rows[:0].copy()
             new = list({w for ws in cut for w in ws})
         if new:
-            first = len(self.known)
-            self.known.update((w, first + i) for i, w in enumerate(new))
-            if first + len(new) > len(self.rows):
-                grown = np.zeros((max(2 * len(self.rows), first + len(new)), self.rows.shape[1]), np.float32)
-                grown[:first] = self.rows[:first]
-                self.rows = grown
-            self.rows[first : first + len(new)] = self._products(self._vectors(new))
+            first = len(seen.known)
+            seen.known.update((w, first + i) for i, w in enumerate(new))
+            if first + len(new) > len(seen.rows):
+                grown = np.zeros((max(len(seen.rows) * 3 // 2, first + len(new)), seen.rows.shape[1]), np.float32)
+                grown[:first] = seen.rows[:first]
+                seen.rows = grown
+            seen.rows[first : first + len(new)] = self._products(self._vectors(new))
         out = np.zeros((len(texts), len(WIDTHS) * FILTERS), np.float32)
-        get = self.known.__getitem__
+        get = seen.known.__getitem__
         for i, ws in enumerate(cut):
             if not ws:
                 continue
-            p = self.rows[np.fromiter(map(get, ws), np.int64, len(ws))]
+            p = seen.rows[np.fromiter(map(get, ws), np.int64, len(ws))]
             column = 0
             for j, w in enumerate(WIDTHS):
                 n = max(1, len(ws) - w + 1)
@@ -123,13 +130,22 @@ class Model:
                 out[i, j * FILTERS : (j + 1) * FILTERS] = total.max(0)
         return out
 
-    def raw(self, texts: list[str]) -> np.ndarray:
-        return np.maximum(self.pooled(texts) + self.bias, 0) @ self.out + self.out0
+    def raw(self, texts: list[str], seen: _Words | None = None) -> np.ndarray:
+        """Scores before calibration; seen: the words of earlier calls."""
+        if self.constant is not None:
+            return np.zeros(len(texts))
+        pooled = self.pooled(texts, seen or _Words(sum(WIDTHS) * FILTERS))
+        return (np.maximum(pooled + self.bias, 0) @ self.out + self.out0).astype(np.float64)
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def calibrated(self, z: np.ndarray) -> np.ndarray:
+        """Scores from 0 to 1."""
         if self.constant is not None:
-            return np.full(len(texts), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(texts).astype(np.float64) + self.shift, -30, 30)))
+            return np.full(len(z), self.constant)
+        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
+
+    def least(self, languages: Iterable[str | None]) -> np.ndarray:
+        """The thresholds of languages."""
+        return np.array([self.thresholds.get(x or "", CUT) for x in languages], np.float64)
 
     # Training.
 
@@ -145,45 +161,42 @@ class Model:
             held[:] = False
         train = np.flatnonzero(~held)
         self.fitted = ~held
-        seen: dict[bytes, list[int]] = {}  # a word's features once, however often it stands
-        cut = [[seen.get(w) or seen.setdefault(w, features(w)) for w in words(t)] for t in texts]
+        cut = [cut_text(t) for t in texts]
         self._evidence([cut[i] for i in train], labels[train])
         squares = [np.full_like(a, 0.1) for a in (*self.filters, self.bias, self.out)]
         table_squares, square0 = np.full(BUCKETS, 0.1, np.float32), 0.1
         balance = np.where(labels == 1, 0.5 / max(labels[train].mean(), 0.02), 0.5 / max(1 - labels[train].mean(), 0.02))
         for _ in range(EPOCHS):
             for i in rng.permutation(train):
-                if not cut[i]:
+                if not len(cut[i][0]):
                     continue
                 square0 = self._step(cut[i], float(labels[i]), float(balance[i]), squares, table_squares, square0)
         check = np.flatnonzero(held) if held.any() else np.arange(len(texts))
-        self.known, self.rows = {}, self.rows[:0].copy()
-        self.calibrate(self.raw([texts[i] for i in check]).astype(np.float64), labels[check], [languages[i] for i in check], np.ones(len(check)), weights[check])
-        self.known, self.rows = {}, self.rows[:0].copy()
+        self.calibrate(self.raw([texts[i] for i in check]), labels[check], [languages[i] for i in check], np.ones(len(check)), weights[check])
         return self
 
-    def _evidence(self, cut: list[list[list[int]]], labels: np.ndarray) -> None:
+    def _evidence(self, cut: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> None:
         """First component of each embedding: the log of how much likelier the feature is in toxic documents."""
-        with_toxic, with_clean = Counter(), Counter()
-        for doc, label in zip(cut, labels, strict=True):
-            (with_toxic if label else with_clean).update({x for w in doc for x in w})
+        counts = np.zeros((2, BUCKETS))
+        for (flat, _), label in zip(cut, labels, strict=True):
+            counts[int(label), np.unique(flat)] += 1
+        b, a = counts + 0.5
         toxic, clean = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-        for x in with_toxic.keys() | with_clean.keys():
-            a, b = with_toxic[x], with_clean[x]
-            # Shrunk towards none, by the square root of its standard error, where few documents have the feature.
-            log = np.log((a + 0.5) / toxic) - np.log((b + 0.5) / clean)
-            error = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-            self.table[x, 0] = np.sign(log) * max(0.0, abs(log) - 1.5 * error)
-
-    def _step(self, doc: list[list[int]], label: float, weight: float, squares: list[np.ndarray], table_squares: np.ndarray, square0: float) -> float:
-        at = offsets(map(len, doc))[:-1]
-        flat = np.fromiter((x for w in doc for x in w), np.int64)
-        root = 1 / np.sqrt(np.fromiter(map(len, doc), np.float32, len(doc)))
+        # Shrunk towards none, by the square root of its standard error, where few documents have the feature.
+        log, error = np.log(a / toxic) - np.log(b / clean), np.sqrt(1 / a + 1 / b)
+        there = counts.sum(0) > 0
+        self.table[there, 0] = (np.sign(log) * np.maximum(0.0, np.abs(log) - 1.5 * error))[there]
+
+    def _step(self, doc: tuple[np.ndarray, np.ndarray], label: float, weight: float, squares: list[np.ndarray], table_squares: np.ndarray, square0: float) -> float:
+        flat, sizes = doc
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = ends - sizes
+        root = 1 / np.sqrt(sizes.astype(np.float32))
         x = np.add.reduceat(self.table[flat], at, axis=0) * root[:, None]
         best, value = [], []
         for f in self.filters:
             w = f.shape[1]
-            n = max(1, len(doc) - w + 1)
+            n = max(1, len(x) - w + 1)
             total = np.zeros((n, FILTERS), np.float32)
             for k in range(w):
                 part = x[k : k + n] @ f[:, k].T
@@ -205,7 +218,7 @@ class Model:
                     continue
                 for k in range(f.shape[1]):
                     place = int(best[j][c]) + k
-                    if place < len(doc):
+                    if place < len(x):
                         grads[j][c, k] += b * x[place]
                         rows[place] = rows.get(place, 0) + b * f[c, k]
         for value_, grad, square in zip((*self.filters, self.bias, self.out), (*grads, back, g * on + 1e-4 * self.out), squares, strict=True):
@@ -214,14 +227,11 @@ class Model:
         square0 += g * g
         self.out0 -= np.float32(RATE * g / np.sqrt(square0))
         for place, grad in rows.items():
-            for r in doc[place]:
+            for r in flat[at[place] : ends[place]]:
                 table_squares[r] += float(grad @ grad)
                 self.table[r] -= RATE * root[place] * grad / np.sqrt(table_squares[r])
         return square0
 
-    def log_odds(self, texts: list[str]) -> np.ndarray:
-        return np.clip(self.scale * self.raw(texts).astype(np.float64) + self.shift, -30, 30)
-
     def calibrate(self, z: np.ndarray, labels: np.ndarray, languages: list[str], counts: np.ndarray, weights: np.ndarray) -> None:
         """Scale and shift by logistic regression; then a shift that puts the best cut at CUT; then thresholds by language.
 
@@ -260,17 +270,32 @@ def _best_cut(z: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
     return float((zs[k] + zs[k + 1]) / 2) if k + 1 < len(zs) else float(zs[k])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int = ROWS_PER_CLASS) -> pd.DataFrame:
-    """doc_id, text, lang, label, weight of at most per_class labelled rows of each class, those of least hash of doc_id.
-
-    weight: how many usable labelled ids of its class there are for each one picked.
-    """
+def picked_labels(labels: DataFrame, label: str, usable: Column, per_class: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, label of all usable labelled documents (one with both labels has 0), and of per_class of each class at most,
+    those of least hash of doc_id."""
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(usable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+    rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"))
     some = [rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    picked = F.broadcast(some[0].union(some[1]).dropDuplicates(["doc_id"]))  # 2 * per_class rows at most
-    out = texts_of(docs, "lang").join(picked, "doc_id").toPandas().sort_values(["doc_id", "text"]).reset_index(drop=True)
-    there, own = (dict(x.groupBy("label").agg(F.countDistinct("doc_id")).collect()) for x in (rows, picked))
-    return out.assign(weight=out["label"].map(lambda c: there[c] / own[c]).astype(float))
+    return rows, some[0].union(some[1])
+
+
+def with_weights(rows: pd.DataFrame, there: DataFrame) -> pd.DataFrame:
+    """rows (doc_id, label, ...) and weight: how many documents of there (doc_id, label) stand behind each document of its class."""
+    of_class = dict(there.groupBy("label").count().collect())  # two rows
+    own = rows.groupby("label")["doc_id"].nunique()
+    return rows.assign(weight=rows["label"].map(lambda c: of_class[c] / own[c]).astype(float))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int = ROWS_PER_CLASS, bytes_per_class: int = BYTES_PER_CLASS) -> pd.DataFrame:
+    """doc_id, text, lang, label, weight of at most per_class labelled documents of each class, and of texts that add up to
+    bytes_per_class at most; repeated rows count once. weight: see with_weights."""
+    there, picked = picked_labels(labels, label, usable, per_class)
+    picked = F.broadcast(picked)  # 2 * per_class rows at most
+    held = written(texts_of(docs, "lang").join(picked, "doc_id").dropDuplicates(["doc_id", "text"]).withColumn("bytes", F.octet_length("text").cast("long")), "training")
+    some = within_bytes(held.select("doc_id", "label", "bytes", F.xxhash64("text").alias("of_text"), F.xxhash64("doc_id").alias("place")), "label", "bytes", ["place", "doc_id", "bytes", "of_text"], bytes_per_class)
+    keys = some.select("doc_id", F.col("of_text"))
+    out = held.withColumn("of_text", F.xxhash64("text")).join(F.broadcast(keys), ["doc_id", "of_text"], "left_semi").select("doc_id", "text", "lang", "label")
+    return with_weights(out.toPandas().sort_values(["doc_id", "text"]).reset_index(drop=True), there)
 
 
 def third(doc_id: str = "doc_id") -> Column:
@@ -278,31 +303,29 @@ def third(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 3
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) -> Model:
-    """A model from labelled rows outside the held-out third (crc32(doc_id) mod 3 = 1)."""
-    rows = training_rows(docs, labels, "toxic", third() != 1, per_class)
-    y = rows["label"].to_numpy(np.int64)
-    model = Model().fit(rows["text"].tolist(), y, rows["lang"].tolist(), weights=rows["weight"].to_numpy())
-    if model.constant is None:
-        _calibrate_on_all(model, docs, labels, rows.loc[model.fitted, ["doc_id", "label"]])
-    return model
-
-
-def _calibrate_on_all(model: Model, docs: DataFrame, labels: DataFrame, fitted: pd.DataFrame) -> None:
-    """Calibrate by all usable labelled rows that the layers were not trained on, from counts by language, class and score."""
-    spark = docs.sparkSession
-    given = spark.sparkContext.broadcast(model)
+def raw_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang, held_out and z (the score before calibration) of every whole text."""
+    given = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = given.value
+        seen = in_worker(("toxicity", own.name), lambda: _Words(sum(WIDTHS) * FILTERS))
         for b in batches:
             for part in passes(texts := b["text"].tolist(), 1_000_000):
-                yield pd.DataFrame({"lang": b["lang"].iloc[part], "label": b["label"].iloc[part], "bin": np.floor(BINS * own.log_odds(texts[part])).astype(np.int32)})
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[part], "lang": b["lang"].iloc[part], "held_out": b["held_out"].iloc[part], "z": own.raw(texts[part], seen)})
 
-    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where((third() != 1) & F.col("toxic").isin(0, 1)).distinct()
-    known = spark.createDataFrame([(int(x),) for x in fitted["doc_id"].unique()], "doc_id long")  # 2 * per_class rows at most
+    rows = texts_of(docs, "lang").withColumn("held_out", F.coalesce(third() == 1, F.lit(False)))
+    return rows.mapInPandas(run, "doc_id long, lang string, held_out boolean, z double")
+
+
+def _calibrate_on_all(model: Model, scored: DataFrame, labels: DataFrame, fitted: pd.DataFrame) -> None:
+    """Calibrate by all usable labelled rows that the layers were not trained on, from counts by language, class and score."""
+    usable, _ = picked_labels(labels, "toxic", third() != 1, 0)
+    known = scored.sparkSession.createDataFrame([(int(x),) for x in fitted["doc_id"].unique()], "doc_id long")  # 2 * per_class rows at most
     rest = usable.join(F.broadcast(known), "doc_id", "left_anti")
-    cells = texts_of(docs, "lang").join(rest, "doc_id").select("text", "lang", "label").mapInPandas(run, "lang string, label int, bin int")
+    # A bin holds scores that round to the same part of the first calibration's log-odds, so the cells are bounded in each language.
+    odds = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("z") * model.scale + model.shift))
+    cells = scored.where("not held_out").select("doc_id", "lang", F.floor(odds * BINS).cast("int").alias("bin")).join(rest, "doc_id")
     cells = cells.groupBy("lang", "label", "bin").count().toPandas().sort_values(["lang", "label", "bin"])
     n = cells.groupby("label")["count"].sum()
     if len(n) < 2:
@@ -314,20 +337,41 @@ def _calibrate_on_all(model: Model, docs: DataFrame, labels: DataFrame, fitted:
     model.calibrate(z, cells["label"].to_numpy(), names, counts, counts * cells["label"].map(weight).to_numpy(float))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted (score >= 0.7), threshold (its language's), flagged (score >= threshold)."""
-    given = docs.sparkSession.sparkContext.broadcast(model)
+def train_and_score(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) -> tuple[Model, DataFrame]:
+    """A model from labelled rows outside the held-out third (crc32(doc_id) mod 3 = 1), and the raw scores of all of docs, a
+    table in the shared folder: each text is scored once."""
+    rows = training_rows(docs, labels, "toxic", third() != 1, per_class)
+    y = rows["label"].to_numpy(np.int64)
+    model = Model().fit(rows["text"].tolist(), y, rows["lang"].tolist(), weights=rows["weight"].to_numpy())
+    fitted = rows.loc[model.fitted, ["doc_id", "label"]] if model.constant is None else None
+    del rows
+    scored = written(raw_scores(docs, model), "toxicity-scores")
+    if fitted is not None:
+        _calibrate_on_all(model, scored, labels, fitted)
+    return model, scored
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) -> Model:
+    return train_and_score(docs, labels, per_class)[0]
+
+
+def graded(scored: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted (score >= 0.7), threshold (its language's), flagged (score >= threshold) from raw scores."""
+    given = scored.sparkSession.sparkContext.broadcast((model.constant, model.scale, model.shift, model.thresholds))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = given.value
+        own = Model.__new__(Model)  # calibration alone
+        own.constant, own.scale, own.shift, own.thresholds = given.value
         for b in batches:
-            for part in passes(texts := b["text"].tolist(), 1_000_000):
-                value = own.score(texts[part])
-                least = np.array([own.thresholds.get(x or "", CUT) for x in b["lang"].iloc[part]], np.float64)
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[part], "held_out": b["held_out"].iloc[part], "score": value, "predicted": (value >= CUT).astype(np.int32), "threshold": least, "flagged": value >= least})
+            value, least = own.calibrated(b["z"].to_numpy()), own.least(b["lang"])
+            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": value, "predicted": (value >= CUT).astype(np.int32), "threshold": least, "flagged": value >= least})
 
-    rows = texts_of(docs, "lang").withColumn("held_out", F.coalesce(third() == 1, F.lit(False)))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, threshold double, flagged boolean")
+    return scored.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, threshold double, flagged boolean")
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """Every whole text scored and graded: see graded."""
+    return graded(raw_scores(docs, model), model)
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -335,9 +379,9 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(b: pa.RecordBatch) -> np.ndarray:
-        texts = [t or "" for t in b["text"].to_pylist()]
-        least = np.array([given.value.thresholds.get(x or "", CUT) for x in b["lang"].to_pylist()], np.float64)
-        value = [given.value.score(texts[part]) for part in passes(texts, 1_000_000)]
-        return np.concatenate(value) < least if value else np.zeros(0, bool)
+        texts, own = [t or "" for t in b["text"].to_pylist()], given.value
+        seen = in_worker(("toxicity", own.name), lambda: _Words(sum(WIDTHS) * FILTERS))
+        value = [own.calibrated(own.raw(texts[part], seen)) for part in passes(texts, 1_000_000)]
+        return np.concatenate(value) < own.least(b["lang"].to_pylist()) if value else np.zeros(0, bool)
 
     return kept_rows(docs, keep)
