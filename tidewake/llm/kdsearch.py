@@ -1,21 +1,24 @@
 """Exact top-k by inner product with a KD-tree for each shard of the vectors.
 
 Components are quantised to floor(scale * x), so scores are whole numbers and ties are real ties (the smaller vec_id
-wins). A shard's tree is built by median splits along the widest side until a leaf is small, and each leaf keeps the tight
-box of its vectors. The most that any vector of a box can score with a query is the sum over components of the larger of
-q*low and q*high; a query visits the leaves of a shard in descending order of that bound and stops at the first below its
-kth score. The kth score starts from a bounded pilot sample of all vectors and is carried on from leaf to leaf.
-
-Shards hold a bounded number of vectors and queries travel in blocks, so a task holds one tree and one block; each block
-meets each shard once, which a search of all rows needs, and only the k best of a shard leave it.
-
-Vectors that are null or hold null or non-finite components take no part, as queries or candidates; nor do empty ones.
-Vectors of another length than the query's are no candidates. Repeated rows (same vec_id) are no candidates of each other
-and count once. A table with one vector gives no rows. Scores beyond a long are not defined.
+wins). A shard's tree is built by median splits along the widest side until a leaf is small; each node keeps the tight box
+of its vectors. The most that any vector of a box can score with a query is the sum over components of the larger of
+q*low and q*high. A query goes down the tree best first: of the nodes seen, the one with the largest bound is opened next,
+until that bound is below the kth score. The kth score starts from a bounded pilot sample of all vectors, and is carried on
+from leaf to leaf and from round to round: some shards are searched first, and what they find is where the others start.
+
+Shards hold a bounded number of vectors and groups a bounded number of queries; a task holds one tree and one group. Each
+query meets each shard once, which a search of all rows needs, and only the k best of a shard leave it.
+
+Scores are exact at every size that fits in a long: products that floats cannot hold are summed as 64-bit integers, and
+bounds are rounded up. Scores beyond a long are not defined. Vectors that are null or hold null or non-finite components
+take no part, as queries or candidates; nor do empty ones. Vectors of another length than the query's are no candidates. Of
+rows with one vec_id the shortest and then the least vector counts, once. A table with one vector gives no rows.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +26,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a shard at most, about; of a leaf; queries of a block.
-SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS = 65_536, 128, 1_024
+from tidewake.llm.common import written
+
+#: Vectors of a shard at most, about, and at least where the table fills the cores; vectors of a leaf; queries of a group.
+SHARD_ROWS, LEAST_SHARD_ROWS, LEAF_ROWS, GROUP_ROWS = 65_536, 2_048, 256, 65_536
 #: Vectors whose scores give the queries their first kth score. A bound only: every vector is searched after it.
 PILOT_ROWS = 2_048
+#: One in so many shards is searched in the first round.
+SCOUTS = 8
+#: The kth score of a query that has none yet.
+NONE = -(2**63)
 
 
 def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
@@ -37,118 +46,136 @@ def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     return held.select("vec_id", F.size("embedding").alias("dim"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
 
 
+def scores(rows: np.ndarray, query: np.ndarray, exact_floats: bool) -> np.ndarray:
+    """Inner products as 64-bit integers. rows: whole numbers as floats where these are exact, else as integers."""
+    return (rows @ query.astype(float)).astype(np.int64) if exact_floats else (rows.astype(np.int64) * query).sum(1)
+
+
 class Tree:
-    """Leaves of a KD-tree: rows in leaf order, where each leaf begins, and the tight box of each."""
+    """A KD-tree: rows in leaf order; for each node its box, its rows and its first child (0: a leaf; the other child is next)."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, leaf_rows: int = LEAF_ROWS):
-        order, starts, todo = [], [0], [np.argsort(ids, kind="stable")]
+        order = np.argsort(ids, kind="stable")
+        self.child, spans, todo = [0], [(0, len(ids))], [0]
         while todo:
-            part = todo.pop()
-            if len(part) <= leaf_rows:
-                order.append(part)
-                starts.append(starts[-1] + len(part))
+            node = todo.pop()
+            a, b = spans[node]
+            if b - a <= leaf_rows:
                 continue
-            box = rows[part]
-            side = int(np.argmax(box.max(0) - box.min(0)))
-            half = len(part) // 2
-            split = np.argpartition(box[:, side], half)
-            todo += [part[split[half:]], part[split[:half]]]
-        at = np.concatenate(order)
-        self.ids, self.rows, self.starts = ids[at], rows[at], np.array(starts)
-        self.low = np.minimum.reduceat(self.rows, self.starts[:-1], axis=0)
-        self.high = np.maximum.reduceat(self.rows, self.starts[:-1], axis=0)
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores (-inf: none) and ids of the k best of each query, of those that reach its floor."""
-        bound = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
-        line = np.argsort(-bound, axis=1, kind="stable")
-        best = np.full((len(queries), k), -np.inf)
-        best_ids = np.full((len(queries), k), np.iinfo(np.int64).max)
-        kth, every = floor.astype(float), np.arange(len(queries))
-        for step in range(bound.shape[1]):
-            leaf = line[:, step]
-            on = np.flatnonzero(bound[every, leaf] >= kth)
-            if not len(on):
+            box = rows[order[a:b]]
+            side = int(np.argmax(box.max(0).astype(float) - box.min(0)))
+            half = (b - a) // 2
+            order[a:b] = order[a:b][np.argpartition(box[:, side], half)]
+            self.child[node] = len(spans)
+            todo += [len(spans), len(spans) + 1]
+            spans += [(a, a + half), (a + half, b)]
+            self.child += [0, 0]
+        self.ids, rows = ids[order], rows[order]
+        self.spans = spans
+        self.low = np.array([rows[a:b].min(0) for a, b in spans], float)
+        self.high = np.array([rows[a:b].max(0) for a, b in spans], float)
+        self.most = float(np.abs(np.stack([self.low, self.high])).max())
+        self.small = self.most**2 * rows.shape[1] < 2**53
+        self.rows = rows.astype(float) if self.small else rows
+
+    def search(self, query_id: int, query: np.ndarray, k: int, kth: int = NONE) -> list[tuple[int, int]]:
+        """(score, id) of the k best of the rows that reach kth, the query's own id left out."""
+        q, least = query.astype(float), float(np.abs(query).max())
+        exact = self.small and least * self.most * len(query) < 2**53
+        # Bounds are summed in floats: rounded up by what the sum can be off.
+        slack = 0.0 if exact else 2.0**-50 * least * self.most * len(query) ** 2 + 1
+        best: list[tuple[int, int]] = []  # (score, -id), the worst first
+        heap = [(-float("inf"), 0)]
+        while heap:
+            bound, node = heapq.heappop(heap)
+            if -bound < kth:
                 break
-            on = on[np.argsort(leaf[on], kind="stable")]
-            for some in np.split(on, np.flatnonzero(np.diff(leaf[on])) + 1):
-                a, b = self.starts[leaf[some[0]]], self.starts[leaf[some[0]] + 1]
-                score = queries[some] @ self.rows[a:b].T
-                score[(self.ids[a:b] == query_ids[some, None]) | (score < kth[some, None])] = -np.inf
-                hit = np.flatnonzero((score > -np.inf).any(1))
-                if not len(hit):
+            first = self.child[node]
+            if first:
+                two = np.maximum(q * self.low[first : first + 2], q * self.high[first : first + 2]).sum(1) + slack
+                for i in (0, 1):
+                    if two[i] >= kth:
+                        heapq.heappush(heap, (-float(two[i]), first + i))
+                continue
+            a, b = self.spans[node]
+            score = scores(self.rows[a:b], query, exact)
+            for i in np.flatnonzero(score >= kth):
+                entry = (int(score[i]), -int(self.ids[a + i]))
+                if -entry[1] == query_id:
                     continue
-                some, score = some[hit], score[hit]
-                s = np.concatenate([best[some], score], 1)
-                i = np.concatenate([best_ids[some], np.broadcast_to(self.ids[a:b], score.shape)], 1)
-                top = np.lexsort((i, -s), axis=-1)[:, :k]
-                best[some], best_ids[some] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
-                kth[some] = np.maximum(kth[some], best[some, -1])
-        return best, best_ids
+                if len(best) < k:
+                    heapq.heappush(best, entry)
+                elif entry > best[0]:
+                    heapq.heapreplace(best, entry)
+                if len(best) == k:
+                    kth = max(kth, best[0][0])
+        return [(s, -i) for s, i in best]
 
 
-def _matrix(column: pd.Series, dim: int) -> np.ndarray:
-    """Rows as floats where whole numbers stay exact in them, else as extended floats (64 bits of mantissa)."""
-    out = np.array(column.tolist(), np.int64).reshape(-1, dim)
-    safe = not out.size or int(np.abs(out).max()) ** 2 * dim < 2**53
-    return out.astype(np.float64 if safe else np.longdouble)
+def _pilot(all_of: DataFrame) -> DataFrame:
+    """The vectors that count of PILOT_ROWS ids at most."""
+    ids = all_of.select("vec_id").limit(PILOT_ROWS).distinct()
+    of_id = all_of.join(F.broadcast(ids), "vec_id").groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("x"))
+    return of_id.select("vec_id", "x.dim", "x.v")
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, shard_rows: int = SHARD_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of all other vectors for each vector where is_query holds."""
     spark = vectors.sparkSession
     all_of = quantised(vectors, scale)
-    shards = max(1, -(-all_of.count() // shard_rows))
-    pilot: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for dim, rows in pd.DataFrame([(r["dim"], r["vec_id"], r["v"]) for r in all_of.limit(PILOT_ROWS).collect()], columns=["dim", "id", "v"]).groupby("dim"):
-        rows = rows.drop_duplicates("id")
-        pilot[int(dim)] = (rows["id"].to_numpy(), _matrix(rows["v"], int(dim)))
-    first = spark.sparkContext.broadcast(pilot)
-
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row for each block of queries and shard, with the floors that the pilot gives."""
+    n = all_of.count()
+    shards = max(1, -(-n // shard_rows), min(2 * spark.sparkContext.defaultParallelism, n // LEAST_SHARD_ROWS))
+    pilot = spark.sparkContext.broadcast({dim: (x["vec_id"].to_numpy(), np.array(x["v"].tolist(), np.int64)) for dim, x in _pilot(all_of).toPandas().groupby("dim")})
+
+    def first_kth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for dim, rows in b.groupby("dim"):
-                for at in range(0, len(rows), BLOCK_ROWS):
-                    some = rows.iloc[at : at + BLOCK_ROWS]
-                    ids, q = some["vec_id"].to_numpy(), _matrix(some["v"], int(dim))
-                    floor = np.full(len(ids), -np.inf)
-                    if int(dim) in first.value:
-                        known, p = first.value[int(dim)]
-                        score = (q @ p.T).astype(float)
-                        score[known == ids[:, None]] = -np.inf
-                        if score.shape[1] >= k:
-                            floor = np.sort(score, 1)[:, -k]
-                    yield pd.DataFrame({"dim": dim, "kind": 1, "vec_id": 0, "v": [[]], "ids": [ids.tolist()], "qs": [np.asarray(q, np.int64).ravel().tolist()], "floors": [floor.tolist()]})
+            kth = []
+            for i, dim, v in zip(b["vec_id"], b["dim"], b["v"], strict=True):
+                ids, rows = pilot.value.get(dim, (np.zeros(0, np.int64), None))
+                own = scores(rows, np.array(v, np.int64), False)[ids != i] if len(ids) else ids
+                kth.append(int(np.sort(own)[-k]) if len(own) >= k else NONE)
+            yield b[["vec_id", "dim", "v"]].assign(kth=kth)
+
+    picked = all_of.where(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("x")).select("vec_id", "x.dim", "x.v")
+    queries = written(picked.mapInPandas(first_kth, "vec_id long, dim int, v array<long>, kth long"), "kd-queries")
+    groups = max(1, -(-queries.count() // group_rows))
+    rows = all_of.withColumns({"shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"), "kth": F.lit(NONE), "kind": F.lit(0)})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, built, waiting, key = None, True, [], None
+        """Rows come by shard and group: first the vectors by vec_id, dim and v, then the queries."""
+        key, waiting, trees = None, [], {}
         for b in batches:
-            for (shard, dim, kind), rows in b.groupby(["shard", "dim", "kind"], sort=True):
-                if (shard, dim) != key:
-                    tree, built, waiting, key = None, False, [], (shard, dim)
+            for (shard, group, kind), x in b.groupby(["shard", "grp", "kind"], sort=True):
+                if (shard, group) != key:
+                    key, waiting, trees = (shard, group), [], {}
                 if kind == 0:
-                    waiting.append(rows[["vec_id", "v"]])
+                    waiting.append(x[["vec_id", "dim", "v"]])
                     continue
-                if not built:
-                    built = True
-                    if waiting:
-                        own = pd.concat(waiting).drop_duplicates("vec_id")
-                        tree, waiting = Tree(own["vec_id"].to_numpy(), _matrix(own["v"], int(dim))), []
-                if tree is None:
-                    continue
-                for r in rows.itertuples():
-                    ids = np.array(r.ids, np.int64)
-                    score, found = tree.search(ids, _matrix(pd.Series([r.qs]), int(dim)).reshape(len(ids), -1), k, np.array(r.floors))
-                    q, _ = np.nonzero(score > -np.inf)
-                    yield pd.DataFrame({"query_id": ids[q], "vec_id": found[score > -np.inf], "score": score[score > -np.inf].astype(np.int64)})
-
-    every = "dim int, kind int, vec_id long, v array<long>, ids array<long>, qs array<long>, floors array<double>"
-    queries = all_of.where(is_query).dropDuplicates(["vec_id"]).select("vec_id", "dim", "v").mapInPandas(blocks, every)
-    queries = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "*")
-    none = {"kind": F.lit(0), "ids": F.lit(None).cast("array<long>"), "qs": F.lit(None).cast("array<long>"), "floors": F.lit(None).cast("array<double>")}
-    rows = all_of.withColumns({"shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"), **none}).select(queries.columns)
-    met = rows.unionByName(queries).repartition("shard", "dim").sortWithinPartitions("shard", "dim", "kind", "vec_id")
-    found = met.mapInPandas(search, "query_id long, vec_id long, score long")
+                if waiting:
+                    own, waiting = pd.concat(waiting).drop_duplicates("vec_id"), []
+                    trees = {dim: Tree(t["vec_id"].to_numpy(), np.array(t["v"].tolist(), np.int64)) for dim, t in own.groupby("dim")}
+                out = []
+                for i, dim, v, kth in zip(x["vec_id"], x["dim"], x["v"], x["kth"], strict=True):
+                    if dim in trees:
+                        out += [(i, j, s) for s, j in trees[dim].search(i, np.array(v, np.int64), k, kth)]
+                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
+
+    def searched(asked: DataFrame, some: list[int]) -> DataFrame:
+        """The k best of these shards."""
+        line = ["shard", "grp", "kind", "vec_id", "dim", "v", "kth"]
+        of_shard = F.explode(F.array(*map(F.lit, some)) if len(some) < shards else F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+        there = rows.where(F.col("shard").isin(some)) if len(some) < shards else rows
+        there = there.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(*line)
+        asked = asked.select(of_shard, F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(groups)).cast("int").alias("grp"), F.lit(1).alias("kind"), "vec_id", "dim", "v", "kth")
+        met = there.unionByName(asked).repartition(len(some) * groups, "shard", "grp").sortWithinPartitions("shard", "grp", "kind", "vec_id", "dim", "v")
+        return met.mapInPandas(search, "query_id long, vec_id long, score long")
+
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    scouts = list(range(0, shards, SCOUTS)) if shards >= SCOUTS else list(range(shards))
+    found = searched(queries, scouts)
+    if len(scouts) < shards:
+        found = written(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "kd-found")
+        kth = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("seen"))
+        asked = queries.join(kth, "vec_id", "left").withColumn("kth", F.greatest("kth", F.coalesce("seen", F.lit(NONE)))).drop("seen")
+        found = found.drop("rank").unionByName(searched(asked, [i for i in range(shards) if i % SCOUTS]))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
