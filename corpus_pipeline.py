@@ -6,6 +6,8 @@ the last returns the pieces of the packed sequences. The classifiers learn from
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +38,9 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data get surrogates; n_chars follows the text."""
-    new = surrogates.replace_entities(docs, SURROGATE_KEY)
-    n_chars = F.when(F.col("n_replaced") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    report = (f"n_{uuid.uuid4().hex}", f"kinds_{uuid.uuid4().hex}")  # no column of docs has such a name
+    new = surrogates.replace_entities(docs, SURROGATE_KEY, report=report)
+    n_chars = F.when(F.col(report[0]) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return new.withColumn("n_chars", n_chars).select(docs.columns)
 
 
