@@ -22,9 +22,11 @@ def plain(value):
     if value is None or (np.isscalar(value) or value is pd.NaT or value is pd.NA) and pd.isna(value):
         return None
     if isinstance(value, (decimal.Decimal, float, np.floating)):
-        return f"{float(value) + 0.0:.6g}"
+        v = float(value) + 0.0
+        whole = abs(v) < 2**53 and abs(v - round(v)) <= 1e-12 * abs(v)  # a whole number is compared exactly
+        return str(round(v)) if whole else f"{v:.6g}"
     if isinstance(value, (int, np.integer)) and not isinstance(value, bool):
-        return f"{float(value):.6g}" if abs(value) < 2**53 else str(value)
+        return str(int(value))
     return str(value)
 
 

@@ -6,22 +6,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def remove_multipath(det: DataFrame, keys: tuple[str, ...] = ("rx",), min_gap: float = 1.0) -> DataFrame:
+#: Rows of the input order (seq) in one slice: what one task sorts, however many rows a receiver has.
+SLICE_ROWS = 1_000_000
+
+
+def with_before(det: DataFrame, keys: list[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """_before: t of the row before in the key, in input order; _slice. Slices of the order are sorted apart, and each begins
+    with the last row of the slice before it that has the key, from a summary with one row a slice and key."""
+    rows = det.withColumn("_slice", F.floor(F.col("seq") / slice_rows))
+    last = rows.groupBy(*keys, "_slice").agg(F.max(F.struct("seq", "t"))["t"].alias("_t"))
+    names = [f"_key{i}" for i in range(len(keys))]
+    earlier = last.withColumn("_edge", F.lag("_t").over(Window.partitionBy(*keys).orderBy("_slice"))).where("_edge is not null")
+    earlier = earlier.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_slice").alias("_of"), "_edge")
+    same = F.col("_slice") == F.col("_of")
+    for k, n in zip(keys, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    inside = F.lag("t").over(Window.partitionBy(*keys, "_slice").orderBy("seq"))
+    return rows.join(earlier, same, "left").withColumn("_before", F.coalesce(inside, "_edge")).drop(*names, "_of", "_edge")
+
+
+def with_running_total(rows: DataFrame, keys: list[str], flag: str, out: str) -> DataFrame:
+    """Running total of flag in the key's input order, in slices (rows: _slice of with_before) whose totals are added up."""
+    names = [f"_key{i}" for i in range(len(keys))]
+    of = rows.groupBy(*keys, "_slice").agg(F.sum(flag).alias("_sum"))
+    of = of.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    of = of.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("_slice").alias("_of"), "_base")
+    same = F.col("_slice") == F.col("_of")
+    for k, n in zip(keys, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    inside = F.sum(flag).over(Window.partitionBy(*keys, "_slice").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(of, same).withColumn(out, inside + F.col("_base")).drop(*names, "_of", "_base")
+
+
+def remove_multipath(det: DataFrame, keys: tuple[str, ...] = ("rx",), min_gap: float = 1.0, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Rows more than min_gap after the row before them in their key, in input order (seq); the first of a key stays."""
-    before = F.lag("t").over(Window.partitionBy(*keys).orderBy("seq"))
-    return det.withColumn("_gap", F.col("t") - before).where(F.col("_gap").isNull() | (F.col("_gap") > min_gap)).drop("_gap")
+    rows = with_before(det, list(keys), slice_rows)
+    return rows.where(F.col("_before").isNull() | (F.col("t") - F.col("_before") > min_gap)).drop("_before", "_slice")
 
 
-def split_on_resets(det: DataFrame, is_sync: Column | None = None) -> DataFrame:
+def split_on_resets(det: DataFrame, is_sync: Column | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """segment (from 1) and rx_segment: a new one at a clock set, or where time steps back; empty ones vanish."""
-    w = Window.partitionBy("rx").orderBy("seq")
-    back = F.coalesce(F.col("t") < F.lag("t").over(w), F.lit(False))
-    rows = det.withColumn("_break", (back if is_sync is None else back | is_sync).cast("int"))
-    rows = rows.withColumn("_run", F.sum("_break").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = with_before(det, ["rx"], slice_rows)
+    back = F.coalesce(F.col("t") < F.col("_before"), F.lit(False))
+    rows = with_running_total(rows.withColumn("_break", (back if is_sync is None else back | is_sync).cast("int")), ["rx"], "_break", "_run")
     if is_sync is not None:
         rows = rows.where(~is_sync)
-    rows = rows.withColumn("segment", F.dense_rank().over(Window.partitionBy("rx").orderBy("_run")))
-    return rows.withColumn("rx_segment", F.concat_ws(".", "rx", F.col("segment").cast("string"))).drop("_break", "_run")
+    # A receiver has as many runs as its clock has steps.
+    runs = rows.groupBy("rx", "_run").agg(F.lit(1).alias("_one")).withColumn("segment", F.row_number().over(Window.partitionBy("rx").orderBy("_run")))
+    runs = runs.select(F.col("rx").alias("_key0"), F.col("_run").alias("_of"), "segment")
+    rows = rows.join(runs, F.col("rx").eqNullSafe(F.col("_key0")) & (F.col("_run") == F.col("_of")))
+    return rows.withColumn("rx_segment", F.concat_ws(".", "rx", F.col("segment").cast("string"))).drop("_break", "_run", "_before", "_slice", "_key0", "_of")
 
 
 def with_rx_location(det: DataFrame, rx: DataFrame) -> DataFrame:

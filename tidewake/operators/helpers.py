@@ -176,20 +176,31 @@ def running_weighted_quantile(df: DataFrame, order: str, v: str, w: str, n: int,
     before = sizes.select("_r", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_r").orderBy(order, "seq"))).join(before, "_r").withColumn("_i", (F.col("_k") + F.col("_b") - 1).cast("long"))
     half = n // 2 + 1
-    own = F.floor(F.col("_i") / chunk)
-    rows = rows.withColumn("_c", F.explode(F.array_distinct(F.array(own, F.floor(F.greatest(F.lit(0), F.col("_i") - half) / chunk), F.floor((F.col("_i") + half) / chunk)))))
+    # A row goes to every chunk that has a window over it, however wide the window is.
+    rows = rows.withColumn("_c", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col("_i") - half) / chunk), F.floor((F.col("_i") + half) / chunk))))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("_i")
-        i, val, wt = g["_i"].to_numpy(), g[v].to_numpy(), g[w].to_numpy()
-        out = []
-        for k in np.flatnonzero(i // chunk == g["_c"].iloc[0]):
-            a, b = max(0, k - n // 2), min(len(g), k + n - n // 2)
-            o = np.argsort(val[a:b], kind="stable")
-            x, ww = val[a:b][o], wt[a:b][o]
-            s = np.cumsum(ww)
-            out.append((g["seq"].iloc[k], float(np.interp(q, (s - ww / 2) / s[-1], x))))
-        return pd.DataFrame(out, columns=["seq", "quantile"])
+        own = np.flatnonzero(g["_i"].to_numpy() // chunk == g["_c"].iloc[0])
+        before, after = n // 2, n - n // 2 - 1
+        # Beyond the ends stand values after all others, without weight.
+        val = np.pad(g[v].to_numpy(float), (before, after), constant_values=np.inf)
+        wt = np.pad(g[w].to_numpy(float), (before, after))
+        out = np.empty(len(own))
+        step = max(1, 2_000_000 // n)
+        for at in range(0, len(own), step):
+            place = own[at : at + step, None] + np.arange(n)
+            o = np.argsort(val[place], axis=1, kind="stable")
+            x, ww = np.take_along_axis(val[place], o, 1), np.take_along_axis(wt[place], o, 1)
+            x = np.where(np.isinf(x), np.where(np.isinf(x), -np.inf, x).max(1, keepdims=True), x)
+            s = np.cumsum(ww, axis=1)
+            middle = (s - ww / 2) / s[:, -1:]
+            k = np.clip((middle < q).sum(1), 1, n - 1)[:, None] if n > 1 else np.zeros((len(place), 1), int)
+            lo, hi = (np.take_along_axis(middle, np.maximum(k - 1, 0), 1), np.take_along_axis(middle, k, 1))
+            a, b = (np.take_along_axis(x, np.maximum(k - 1, 0), 1), np.take_along_axis(x, k, 1))
+            share = np.clip(np.divide(q - lo, hi - lo, out=np.zeros_like(lo), where=hi > lo), 0, 1)
+            out[at : at + step] = (a + (b - a) * share)[:, 0]
+        return pd.DataFrame({"seq": g["seq"].to_numpy()[own], "quantile": out})
 
     return rows.select("seq", "_i", "_c", F.col(v).cast("double").alias(v), F.col(w).cast("double").alias(w)).groupBy("_c").applyInPandas(run, "seq long, quantile double")
 
@@ -198,23 +209,17 @@ def split_by_reset_table(det: DataFrame, resets: DataFrame) -> DataFrame:
     """Segments by a table of resets (E3). det: rx, seq, t; resets: rx, pre, post (the clock before and after).
 
     A backward step takes the next reset that steps back; the others open a segment at the first row at or after post."""
-    def run(d: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("seq")
-        t = d["t"].to_numpy()
-        if not len(t):
-            return pd.DataFrame({"rx": [], "seq": [], "segment": []})
-        cut = np.zeros(len(t), bool)
-        cut[1:] = t[1:] < t[:-1]
-        for pre, post in r.sort_values("post")[["pre", "post"]].itertuples(index=False):
-            if post < pre or post > t.max() or pre < t.min():
-                continue  # backward ones are seen in the record itself, others lie outside it
-            after = np.flatnonzero(t >= post)
-            if len(after):
-                cut[after[0]] = True
-        cut[0] = False
-        return pd.DataFrame({"rx": d["rx"], "seq": d["seq"], "segment": np.cumsum(cut) + 1})
-
-    return det.select("rx", "seq", "t").groupBy("rx").cogroup(resets.select("rx", "pre", "post").groupBy("rx")).applyInPandas(run, "rx string, seq long, segment int")
+    from tidewake.operators import detections as D
+
+    rows = D.with_before(det.select("rx", "seq", "t"), ["rx"])
+    ends = rows.groupBy("rx").agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"), F.min("seq").alias("_first"))
+    # Backward resets are seen in the record itself, others may lie outside it. Resets are tens of rows for a receiver.
+    known = resets.select("rx", "pre", "post").join(ends, "rx").where("post >= pre and post <= _hi and pre >= _lo").select("rx", "post").distinct()
+    cuts = rows.join(known, "rx").where("t >= post").groupBy("rx", "post").agg(F.min("seq").alias("seq")).select("rx", "seq").distinct().withColumn("_cut", F.lit(1))
+    rows = rows.join(cuts, ["rx", "seq"], "left").join(ends.select("rx", "_first"), "rx")
+    cut = F.when(F.col("seq") == F.col("_first"), 0).when(F.coalesce(F.col("t") < F.col("_before"), F.lit(False)), 1).otherwise(F.coalesce("_cut", F.lit(0)))
+    rows = D.with_running_total(rows.withColumn("_flag", cut), ["rx"], "_flag", "_n")
+    return rows.select("rx", "seq", (F.col("_n") + 1).cast("int").alias("segment"))
 
 
 def fit_clock_pair(candidates: DataFrame, slope_limit: float = 1.005, max_res: float = 0.5, max_shift: float = 20.0) -> DataFrame:

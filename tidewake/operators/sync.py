@@ -8,46 +8,53 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def closed_form(places: np.ndarray, toa: np.ndarray, c: float) -> list[tuple[float, float, float]]:
-    """Solutions (x, y, emission time) of arrival times at receivers: none, one or two with the emission no later than any arrival.
+def closed_form(places: np.ndarray, toa: np.ndarray, c: float) -> np.ndarray:
+    """Solutions (x, y, emission time) of the arrival times of many pings at as many receivers each: ping, solution, value;
+    nan where there is none. places: ping, receiver, (x, y); toa: ping, receiver.
 
     Differences of the squared range equations are linear in place and emission time given the first receiver's range, whose
     own equation is a quadratic in that range."""
-    first = int(np.argmin(toa))
-    p0, t0 = places[first], toa[first]
-    rest = np.arange(len(toa)) != first
-    dp, dr = places[rest] - p0, c * (toa[rest] - t0)
+    first, n = toa.argmin(1), toa.shape[1]
+    rest = np.arange(n - 1) + (np.arange(n - 1) >= first[:, None])
+    p0, t0 = places[np.arange(len(toa)), first], toa[np.arange(len(toa)), first]
+    dp = np.take_along_axis(places, rest[:, :, None], 1) - p0[:, None]
+    dr = c * (np.take_along_axis(toa, rest, 1) - t0[:, None])
     inv = np.linalg.pinv(dp)
-    g, h = inv @ (0.5 * ((dp**2).sum(1) - dr**2)), -inv @ dr  # place less p0 = g + h r
-    a, b, k = h @ h - 1, 2 * g @ h, g @ g
-    if abs(a) < 1e-12:
-        roots = [-k / b] if abs(b) > 1e-12 else []
-    else:
-        d = b * b - 4 * a * k
-        if d < 0:
-            return []
-        roots = sorted({(-b - d**0.5) / (2 * a), (-b + d**0.5) / (2 * a)})
-    return [(*(p0 + g + h * r), t0 - r / c) for r in roots if r >= 0]
-
-
-def solve_pings(pings: DataFrame, rx: DataFrame, c: float = 1460.0, batch: int = 2_000) -> DataFrame:
+    g = (inv @ (0.5 * ((dp**2).sum(2) - dr**2))[:, :, None])[:, :, 0]
+    h = -(inv @ dr[:, :, None])[:, :, 0]  # place less p0 = g + h r
+    a, b, k = (h * h).sum(1) - 1, 2 * (g * h).sum(1), (g * g).sum(1)
+    with np.errstate(all="ignore"):
+        d = np.sqrt(b * b - 4 * a * k)
+        two = np.sort(np.stack([(-b - d) / (2 * a), (-b + d) / (2 * a)], 1), 1)
+        two[two[:, 0] == two[:, 1], 1] = np.nan
+        one = np.stack([np.where(np.abs(b) > 1e-12, -k / b, np.nan), np.full(len(b), np.nan)], 1)
+        r = np.where(np.abs(a)[:, None] < 1e-12, one, two)
+        r[~(r >= 0)] = np.nan
+    xy = (p0 + g)[:, None] + h[:, None] * r[:, :, None]
+    return np.concatenate([xy, (t0[:, None] - r / c)[:, :, None]], 2)
+
+
+def solve_pings(pings: DataFrame, rx: DataFrame, c: float = 1460.0) -> DataFrame:
     """Positions of pings heard by three receivers or more (H2): ping_id, x, y, t, solution, n_rx, rms (seconds).
 
-    pings: ping_id, rx, toa. Pings are gathered with their receivers' places and solved in batches by numpy."""
-    n_of = pings.groupBy("ping_id").agg(F.count(F.lit(1)).alias("n_rx")).where("n_rx >= 3")
-    rows = pings.join(n_of, "ping_id").join(rx.select("rx", "rx_x", "rx_y"), "rx")
-    nested = rows.groupBy("ping_id").agg(F.sort_array(F.collect_list(F.struct("rx", "rx_x", "rx_y", "toa"))).alias("heard"))  # an array has tens of receivers
+    pings: ping_id, rx, toa. Pings are gathered with their receivers' places; those of a batch that as many receivers heard
+    are solved at once by numpy."""
+    rows = pings.join(rx.select("rx", "rx_x", "rx_y"), "rx")
+    heard = rows.groupBy("ping_id").agg(F.sort_array(F.collect_list(F.struct("rx", "rx_x", "rx_y", "toa"))).alias("h"))  # an array has tens of receivers
+    nested = heard.where(F.size("h") >= 3).select("ping_id", F.size("h").alias("n_rx"), F.transform("h", lambda x: x["rx_x"]).alias("xs"), F.transform("h", lambda x: x["rx_y"]).alias("ys"), F.transform("h", lambda x: x["toa"]).alias("toa"))
 
     def run(batches):
         for b in batches:
-            out = []
-            for ping, heard in zip(b["ping_id"], b["heard"], strict=True):
-                places = np.array([[h["rx_x"], h["rx_y"]] for h in heard])
-                toa = np.array([h["toa"] for h in heard])
-                for k, (x, y, t) in enumerate(closed_form(places, toa, c)):
-                    res = toa - t - np.hypot(places[:, 0] - x, places[:, 1] - y) / c
-                    out.append((ping, x, y, t, k + 1, len(toa), float(np.sqrt(np.mean(res**2)))))
-            yield pd.DataFrame(out, columns=["ping_id", "x", "y", "t", "solution", "n_rx", "rms"])
+            for n, own in b.groupby("n_rx"):
+                places = np.stack([np.stack(own["xs"].to_list()), np.stack(own["ys"].to_list())], 2).astype(float)
+                toa = np.stack(own["toa"].to_list()).astype(float)
+                found = closed_form(places, toa, c)
+                # Of two roots of which one fits, that one is the first solution.
+                at, which = np.nonzero(~np.isnan(found[:, :, 0]))
+                x, y, t = found[at, which].T
+                number = np.where((which == 1) & ~np.isnan(found[at, 0, 0]), 2, 1)
+                res = toa[at] - t[:, None] - np.hypot(places[at, :, 0] - x[:, None], places[at, :, 1] - y[:, None]) / c
+                yield pd.DataFrame({"ping_id": own["ping_id"].to_numpy()[at], "x": x, "y": y, "t": t, "solution": number, "n_rx": n, "rms": np.sqrt((res**2).mean(1))})
 
     kind = dict(pings.dtypes)["ping_id"]
     return nested.mapInPandas(run, f"ping_id {kind}, x double, y double, t double, solution int, n_rx int, rms double")

@@ -112,9 +112,11 @@ def _beacon_pings(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def h4_solve_clock(spark: SparkSession, d: str) -> DataFrame:
     """Constant offsets of a tenth of a second for each letter of a receiver's name are recovered."""
-    pings = _beacon_pings(spark, d).where("t >= 0 and t < 864000")
+    pings = _beacon_pings(spark, d)
+    lo, hi = pings.agg(F.min("t"), F.max("t")).first()
     eq = Y.clock_equations(pings, D.rx_distances(receivers(spark)))
-    return r6(Y.solve_clock(eq, -10.0, 86400.0, "click", 10).select("rx", "idx", "off"), "off", digits=3)
+    days = int((hi - lo + 20) // 86400) + 1  # intervals of a day over all pings
+    return r6(Y.solve_clock(eq, lo - 10.0, 86400.0, "click", days).select("rx", "idx", "off"), "off", digits=3)
 
 
 @query()

@@ -114,8 +114,9 @@ def d28_kde_circular(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def d43_clusters(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    return S.segment_clusters(rows, ["x", "y"], 4).select("vec_id", "cluster")
+    """Segments by heading, speed and time; those without a speed have no cluster."""
+    rows = T.make_segments(positions(spark, d)).where("speed is not null").select("id", "seq", "head", "speed", "t1")
+    return S.segment_clusters(rows, ["head", "speed", "t1"], 4).select("id", "seq", "cluster")
 
 
 @query(f"WITH {DET} SELECT rx, CAST(floor((t - 86400 * floor(t / 86400)) / 3600) AS BIGINT) AS hour, count(*) AS n FROM det GROUP BY 1, 2")

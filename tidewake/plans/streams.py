@@ -19,9 +19,9 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     """Events as receiver lines: detections, statuses, clock sets, and some that are none."""
     e = detections(spark, d)
     stamp = F.date_format("time", "yyyy-MM-dd HH:mm:ss")
-    det = F.format_string("187014,%03d,%s,%.6f,%04X,%d,-%d,%d,%d,%.1f", F.col("seq") % 1000, stamp, F.lit(0.5), F.col("tag"), F.lit(120), F.lit(9), F.lit(1), F.lit(100801), F.floor("sensor").cast("double"))
-    sts = F.format_string("187014,%03d,%s,STS,FW=3.6.64,VDC=%d,WTEMP=%.1f", F.col("seq") % 1000, stamp, F.col("tag"), F.floor("sensor").cast("double"))
-    sync = F.format_string("*187016.0#23[0020],%.6f,%d,OK", F.col("sensor") / 1000, F.col("seq") % 2)
+    det = F.format_string("402311,%03d,%s,%.6f,%04X,%d,-%d,%d,%d,%.1f", F.col("seq") % 1000, stamp, F.lit(0.5), F.col("tag"), F.lit(120), F.lit(9), F.lit(1), F.lit(99120), F.floor("sensor").cast("double"))
+    sts = F.format_string("402311,%03d,%s,STS,FW=2.1.7,VDC=%d,WTEMP=%.1f", F.col("seq") % 1000, stamp, F.col("tag"), F.floor("sensor").cast("double"))
+    sync = F.format_string("*402313.0#23[0020],%.6f,%d,OK", F.col("sensor") / 1000, F.col("seq") % 2)
     body = F.when(F.col("rx") == "error", sts).when(F.col("rx") == "signup", sync).when(F.col("rx") == "view", F.concat(F.lit("no such line "), "seq")).otherwise(det)
     return e.select("rx", F.col("rx").alias("file"), F.col("seq").alias("line_no"), F.concat(body, F.lit(",#"), X.line_checksum(body)).alias("line"))
 
@@ -107,7 +107,12 @@ def a16_flow_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
-    return S.event_stream(spark, f"{d}/events.parquet", f"{d}/event[s].parquet")
+    """The events in three files that arrive one after the other, a batch each."""
+    e, at = table(spark, d, "events"), f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
+    cuts = e.approxQuantile("event_id", [1 / 3, 2 / 3], 0.001)
+    for lo, hi in zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True):
+        e.where((F.col("event_id") > lo) & (F.col("event_id") <= hi)).coalesce(1).write.mode("append").parquet(at)
+    return S.event_stream(spark, at)
 
 
 LIMIT = f"WITH {DET}, m AS (SELECT max(time) AS m FROM det)"

@@ -100,29 +100,30 @@ def stream_segments(det: DataFrame) -> DataFrame:
 def stream_beacon_health(det: DataFrame, rx: DataFrame, n: int = 10, interval_s: float = 30.0, delay: str = "1 minute") -> DataFrame:
     """Silences of a receiver's own beacon of more than n intervals, as they end (S7): rx, from_t, to_t, missed.
 
-    A silence that has not ended is reported by event-time timeout with to_t null."""
+    A silence that has not ended is reported once, by event-time timeout, with to_t null; the receiver's last time stays in
+    the state, so its end is reported as well when a ping of a later batch ends it."""
     limit = n * interval_s
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         names = ["rx", "from_t", "to_t", "missed"]
+        last, told = state.get if state.exists else (None, False)
         if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame([(key[0], last, None, None)], columns=names)
+            state.update((last, True))
+            yield pd.DataFrame([] if told else [(key[0], last, None, None)], columns=names)
             return
-        times = sorted(t for b in batches for t in b["t"])
-        last = state.get[0] if state.exists else None
         out = []
-        for t in times:
+        for t in sorted(t for b in batches for t in b["t"]):
             if last is not None and t - last > limit:
                 out.append((key[0], last, t, int(round((t - last) / interval_s)) - 1))
-            last = t if last is None else max(last, t)
-        state.update((float(last),))
-        state.setTimeoutTimestamp(max(int((last + limit) * 1000), state.getCurrentWatermarkMs() + 1))
+            if last is None or t > last:
+                last, told = t, False
+        state.update((float(last), told))
+        if not told:
+            state.setTimeoutTimestamp(max(int((last + limit) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=names)
 
     own = det.withWatermark("time", delay).join(rx.select(F.col("rx"), F.col("sync_tag").alias("tag")), ["rx", "tag"])
-    return own.select("rx", "time", "t").groupBy("rx").applyInPandasWithState(run, "rx string, from_t double, to_t double, missed int", "last double", "append", GroupStateTimeout.EventTimeTimeout)
+    return own.select("rx", "time", "t").groupBy("rx").applyInPandasWithState(run, "rx string, from_t double, to_t double, missed int", "last double, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_enrich(det: DataFrame, rx: DataFrame) -> DataFrame:
