@@ -77,6 +77,16 @@ def test_neighbours_are_the_next_by_doc_id(spark, odd):
     prints = got.dropna().set_index("doc_id")["fingerprint"]
     assert len(set(prints.loc[[1, 3]])) == 1 and prints.loc[5] == ""
     assert got["near_edited"].between(0, 1).all()
+    hashes = lambda text: {text[i + 2 : i + 10] for i in range(0, len(text), 10)}
+    for r in got.itertuples():
+        a, b = hashes(r.fingerprint), hashes(r.edited_fingerprint)
+        assert abs(r.near_edited - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-12
+
+
+def test_empty_tables_of_texts_and_pages(spark, none):
+    assert winnowing.neighbour_likeness(none).count() == 0
+    assert bpe.round_trip_digests(none, RANKS, P.PATTERN).count() == 0
+    assert warc.derivatives(warc.responses(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
 
 # 2: search
@@ -357,6 +367,13 @@ def test_near_duplicates_of_odd_rows(spark, odd, none):
     assert {r["doc_id"] for r in kept.where("doc_id is not null").collect()} == {c for _, c in _components(TEXT_OF, 5).values()}
 
 
+def test_near_duplicates_of_a_given_table_lose_no_link(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    for size in (2, 5):
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs, size).collect()} == _components(texts, size)
+
+
 def test_a_group_without_a_centre(spark):
     """Edits of edits: members are linked in chains, and pairs stand on both sides of the threshold."""
     rng = random.Random(8)
@@ -411,6 +428,11 @@ def test_derivatives_of_odd_pages(spark):
     assert own["conversion"]["source_digest"] == "sha256:" + hashlib.sha256(html.encode()).hexdigest()
     empty = next(r for r in got if r["page_id"] == 2 and r["warc_type"] == "conversion")
     assert empty["block"] == "" and "WARC-Target-URI" not in empty["header"]
+    odd = "<script>a</style>b</script>x&copy;&#8364;&#x1F642;&nbsp;&#160;&#0;&#xD800;&bogus;&amp;lt;&#9999999;"
+    text = warc.derivatives(warc.responses(spark.createDataFrame([(9, "u", odd)], "page_id long, url string, html string"))).where("warc_type = 'conversion'").first()["block"]
+    assert text == "x©€🙂 &#0;&#xD800;&bogus;&lt;&#9999999;"
+    named = warc.responses(pages).where("page_id = 2").withColumn("http_header", F.lit("HTTP/1.1 404 Not Found\r\nServer: x:y\r\nETag: \"1\"\r\n\r\n"))
+    assert "http-status-line: HTTP/1.1 404 Not Found\r\nhttp-header-server: x:y\r\nhttp-header-etag: \"1\"\r\ntitle: " in warc.derivatives(named).where("warc_type = 'metadata'").first()["block"]
     whole = warc.record_texts(warc.derivatives(warc.responses(pages))).first()["record"]
     assert whole.startswith("WARC/1.1\r\nWARC-Type: ") and whole.endswith("\r\n\r\n")
 
@@ -446,6 +468,15 @@ def test_shunting_yard():
 # 10: packing
 
 
+def test_ids_are_those_of_the_plain_call(spark, data):
+    own, rng = Tokenizer.from_file(JSON), random.Random(6)
+    parts = [*"abc\n\t'sd.,!?1²éßЖ中🙂 ", "  ", "<|endoftext|>", "<|endoftext", "|>", "the", " word"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    texts += [r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()]
+    got = packing.Encoder(JSON, P.PATTERN).encode(texts)
+    assert all(np.frombuffer(x, "<u4").tolist() == own.encode(t, add_special_tokens=False).ids for x, t in zip(got, texts, strict=True))
+
+
 def test_packing(spark, odd, none):
     own = Tokenizer.from_file(JSON)
     got = packing.pack(odd, JSON, P.PATTERN, length=64).toPandas()

@@ -29,6 +29,16 @@ def test_stages(spark, data):
     assert labels.where("quality = 1 and toxic = 0").join(packed, "doc_id").count() > 0.5 * good
 
 
+def test_stages_on_odd_rows_and_of_none(spark, data, odd, none):
+    for name, stage in corpus_pipeline.STAGES:
+        out, empty = stage(spark, odd, data), stage(spark, none, data)
+        assert empty.count() == 0
+        if name == "packing":
+            assert out.agg({"length": "sum"}).first()[0] > 0
+        else:
+            assert out.columns == odd.columns and out.count() <= odd.count() and (name != "privacy" or out.count() == odd.count())
+
+
 def test_run_and_names(spark, data):
     import __spark_entry__
 

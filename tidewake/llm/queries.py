@@ -86,9 +86,13 @@ def _warc_sql() -> str:
         return f"regexp_replace({text}, {lit(pattern)}, {by}, 'g')"
 
     def unescaped(text: str) -> str:
-        for reference, character in warc.REFERENCES:
-            text = f"replace({text}, {lit(reference)}, {lit(character)})"
-        return text
+        """References found by their form, looked up by name or made from their number, and put back between the other parts."""
+        form = lit(r"&(#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[[:alpha:]][[:alnum:]]{1,31});")
+        names = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in warc.NAMED.items()) + "}"
+        code = "CASE WHEN r[2:3] IN ('#x', '#X') THEN CAST('0x' || r[4:-2] AS INTEGER) WHEN r[2] = '#' THEN CAST(r[3:-2] AS INTEGER) END"
+        char = f"CASE WHEN ({code}) IS NULL THEN {names}[r[2:-2]] WHEN ({code}) = 160 THEN ' ' WHEN ({code}) BETWEEN 1 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111 THEN chr({code}) END"
+        made = f"list_transform(regexp_extract_all({text}, {form}), lambda r: coalesce({char}, r))"
+        return f"array_to_string(list_transform(list_zip(string_split_regex({text}, {form}), {made}), lambda p: coalesce(p[1], '') || coalesce(p[2], '')), '')"
 
     def squeezed(text: str) -> str:
         return sub(sub(sub(text, r"[ \t\r\f]+", "' '"), r" ?\n[ \n]*", "chr(10)"), r"^[ \n]+|[ \n]+$", "''")
@@ -98,12 +102,17 @@ def _warc_sql() -> str:
         return f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12) || '>'"
 
     crlf = "chr(13) || chr(10)"
-    plain = squeezed(unescaped(sub(sub(sub("html", warc.DROPPED, "' '"), warc.BLOCK_ENDS, "chr(10)"), warc.ANY_TAG, "''")))
-    title = squeezed(unescaped(sub(f"regexp_extract(html, {lit(warc.TITLE)}, 1)", warc.ANY_TAG, "''")))
-    links = f"regexp_extract_all(html, {lit(warc.LINK)}, 1)"
+    # The rules of the markup, written apart from the operator's.
+    gone = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>|<template\b[^>]*>.*?</template\s*>|<!--.*?-->"
+    ends = r"(?i)<(?:br|hr|/(?:p|div|li|h[1-6]|tr|article|section|title|table|ul|ol))\b[^>]*>"
+    tag = r"(?s)<[/!?a-zA-Z][^>]*>"
+    plain = squeezed(unescaped(sub(sub(sub("html", gone, "' '"), ends, "chr(10)"), tag, "''")))
+    title = squeezed(unescaped(sub(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)", tag, "''")))
+    links = "regexp_extract_all(html, " + lit(r"(?i)<a\s[^>]*?href=[\"']([^\"'<>\s]+)[\"']") + ", 1)"
+    language = "lower(regexp_extract(html, " + lit(r"(?i)<html[^>]*\blang=[\"']?([a-z-]+)") + ", 1))"
     fields = (
-        f"'http-content-type: text/html; charset=utf-8' || {crlf} || 'http-content-length: ' || strlen(html) || {crlf} || 'title: ' || {title} || {crlf} || 'language: ' || "
-        f"lower(regexp_extract(html, {lit(warc.LANGUAGE)}, 1)) || {crlf} || 'outlinks: ' || len({links}) || {crlf} || array_to_string(list_transform({links}, lambda x: 'outlink: ' || x || {crlf}), '')"
+        f"'http-status-line: HTTP/1.1 200 OK' || {crlf} || 'http-header-content-type: text/html; charset=utf-8' || {crlf} || 'http-header-content-length: ' || strlen(html) || {crlf} || 'title: ' || {title} || {crlf} || 'language: ' || "
+        f"{language} || {crlf} || 'outlinks: ' || len({links}) || {crlf} || array_to_string(list_transform({links}, lambda x: 'outlink: ' || x || {crlf}), '')"
     )
     line = [("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"),
             ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Digest", "source_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length")]

@@ -1,33 +1,47 @@
 """WARC derivatives: from each response record a linked metadata record and a plain-text conversion record.
 
 Both refer to the response (WARC-Refers-To, target URI, date) and carry its payload digest; the metadata record lists the
-source's headers, title, language and out-links, the conversion record the readable text. Identifiers are made from the
-source's, so a record made again has the same name. All columns are expressions: one pass, no shuffle.
+source's status line, each of its headers, title, language and out-links, the conversion record the readable text, with
+named and numeric character references spelt out. Identifiers are made from the source's, so a record made again has the
+same name. All columns are expressions: one pass, no shuffle.
 
 A null payload counts as empty: its conversion is empty and its digests are those of no bytes. A null URI stays null and
-is left out of the header. Rows may repeat, each gives its two records; extra columns are not read.
+is left out of the header. A null http_header has no lines. References to no character stay as they are. A repeated row
+gives its two records again, under the same identifiers, as they are the same records; extra columns are not read.
 """
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns of markup, in the dialect that Java and RE2 share.
-DROPPED = r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</(script|style|noscript|template)\s*>|<!--.*?-->"
+DROPPED = "(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("script", "style", "noscript", "template")) + "|<!--.*?-->"
 BLOCK_ENDS = r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/article|/section|/title|/table|/ul|/ol|hr)\b[^>]*>"
 ANY_TAG = r"(?s)<[a-zA-Z/!?][^>]*>"
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 LANGUAGE = r"(?i)<html[^>]*\blang=[\"']?([a-z-]+)"
 LINK = r"(?i)<a\s[^>]*?href=[\"']([^\"'<>\s]+)[\"']"
-# Character references that are spelt out, in the order in which they are replaced.
-REFERENCES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+#: Named references by the standard's table; a no-break space is read as a space.
+NAMED = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'", "nbsp": " "}
 
 
 def _unescaped(text: Column) -> Column:
-    for reference, character in REFERENCES:
-        text = F.replace(text, F.lit(reference), F.lit(character))
-    return text
+    """Character references spelt out, in one pass."""
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def one(reference: Column) -> Column:
+        name = F.substring(reference, F.lit(2), F.length(reference) - 2)
+        code = F.when(F.regexp_like(name, F.lit("^#[xX]")), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).when(F.startswith(name, F.lit("#")), F.substring(name, F.lit(2), F.length(name))).cast("int")
+        real = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        spelt = F.when(code == 160, F.lit(" ")).when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(F.when(code.isNull(), F.try_element_at(names, name)).otherwise(spelt), reference)
+
+    made = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), one)
+    return F.array_join(F.zip_with(F.split(text, REFERENCE, -1), made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 def _squeezed(text: Column) -> Column:
@@ -72,9 +86,11 @@ def derivatives(records: DataFrame) -> DataFrame:
     source = _digest(F.col("payload"))
     title = _squeezed(_unescaped(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), ANY_TAG, "")))
     links = F.regexp_extract_all("payload", F.lit(LINK), F.lit(1))
+    lines = F.split(F.regexp_replace(F.coalesce("http_header", F.lit("")), r"(\r\n)+$", ""), "\r\n")
+    headers = F.transform(F.filter(F.slice(lines, 2, 1_000_000), lambda x: F.contains(x, F.lit(":"))), lambda x: F.concat(F.lit("http-header-"), F.lower(F.substring_index(x, ":", 1)), F.regexp_extract(x, "(?s)(:.*)$", 1), F.lit("\r\n")))
     fields = F.concat(
-        F.lit("http-content-type: "), F.col("content_type"), F.lit("\r\nhttp-content-length: "), _bytes(F.col("payload")).cast("string"),
-        F.lit("\r\ntitle: "), title, F.lit("\r\nlanguage: "), F.lower(F.regexp_extract("payload", LANGUAGE, 1)),
+        F.lit("http-status-line: "), lines[0], F.lit("\r\n"), F.array_join(headers, ""),
+        F.lit("title: "), title, F.lit("\r\nlanguage: "), F.lower(F.regexp_extract("payload", LANGUAGE, 1)),
         F.lit("\r\noutlinks: "), F.size(links).cast("string"), F.lit("\r\n"),
         F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), x, F.lit("\r\n"))), ""),
     )
