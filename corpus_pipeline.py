@@ -2,6 +2,12 @@
 
 Each stage is one operator of tidewake.llm, works on all that its predecessor kept, and returns the columns of documents;
 the last returns the pieces of the packed sequences. The classifiers learn from the labelled rows of documents.
+
+In every stage: a null or empty text is a text without words, which the classifiers score by their bias (quality also by the
+record), near-duplicate search links with nothing, privacy leaves as it is, and packing turns into its end mark. A null
+lang, source or n_chars is a value of its own. Rows without doc_id are scored and packed like others and never go as copies.
+Repeated rows get the same score; of those with one doc_id, near-duplicate search keeps all or none. Empty tables give empty
+results; columns beside those of documents pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -57,7 +63,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Trained models and tokens are beyond SQL; tests hold the pipeline against a brute-force version.
+#: Trained models and tokens are beyond SQL; tests hold each stage against a plain version of its rule.
 ORACLE_SQL = None
 
 
