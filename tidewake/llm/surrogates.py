@@ -26,12 +26,11 @@ way to the report.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import written
+from tidewake.llm.common import let, written
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # Hexadecimal in either case; runs longer than any one digest are keys only if they hold a digit ("aaaa..." is none).
@@ -70,11 +69,6 @@ OVERRIDES_BROADCAST = 10_000
 ROUNDS = 8
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value worked out once however often body has it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 
@@ -280,8 +274,8 @@ def _syllables(script: str, n: Column, *parts: Column) -> Column:
 def surrogate(unit: Column, secret: str, attempt: Column | None = None) -> Column:
     """The surrogate of a unit at an attempt (0 first), with the unit's type before it."""
     attempt = F.lit(0) if attempt is None else attempt
-    parts = _let(F.substring_index(unit, "|", 1), lambda kind: F.struct(kind.alias("kind"), _after(unit, F.concat(kind, F.lit("|"))).alias("value"), F.concat_ws("|", F.lit(secret), attempt.cast("string"), kind).alias("key")))
-    return _let(parts, lambda x: F.concat(x["kind"], F.lit("|"), _made(x["kind"], x["value"], x["key"], attempt)))
+    parts = let(F.substring_index(unit, "|", 1), lambda kind: F.struct(kind.alias("kind"), _after(unit, F.concat(kind, F.lit("|"))).alias("value"), F.concat_ws("|", F.lit(secret), attempt.cast("string"), kind).alias("key")))
+    return let(parts, lambda x: F.concat(x["kind"], F.lit("|"), _made(x["kind"], x["value"], x["key"], attempt)))
 
 
 def _made(kind: Column, value: Column, key: Column, attempt: Column) -> Column:
@@ -292,12 +286,12 @@ def _made(kind: Column, value: Column, key: Column, attempt: Column) -> Column:
     host = F.concat(F.repeat(F.lit("a"), more), F.substring(value, F.lit(1), F.length(value) - F.length(top)))
     prefix = F.regexp_extract(value, "^(AKIA|sk-)", 1)
     out = (
-        F.when(kind == "email", F.concat(_let(stream, lambda s: _masked(host, s)), top))
+        F.when(kind == "email", F.concat(let(stream, lambda s: _masked(host, s)), top))
         .when(kind == "ip", _address(value, key))
         .when(kind.isin("ssn", "phone"), _permuted(value, key))
         .when(kind == "card", _card(value, key))
         .when(kind == "hex", _secret(value, key))
-        .when(kind == "key", F.concat(prefix, _let(stream, lambda s: _masked(_after(value, prefix), s))))
+        .when(kind == "key", F.concat(prefix, let(stream, lambda s: _masked(_after(value, prefix), s))))
     )
     for script in SYLLABLES:
         for gender in ("m", "f"):
@@ -309,7 +303,7 @@ def _made(kind: Column, value: Column, key: Column, attempt: Column) -> Column:
 
 def rendered(entity: Column, kind: Column, new: Column) -> Column:
     """new (the surrogates of the entity's units) in the entity's own spelling."""
-    return _let(F.transform(new, lambda u: _after(u, F.concat(F.substring_index(u, "|", 1), F.lit("|")))), lambda value: _spelt(entity, kind, value))
+    return let(F.transform(new, lambda u: _after(u, F.concat(F.substring_index(u, "|", 1), F.lit("|")))), lambda value: _spelt(entity, kind, value))
 
 
 def _spelt(entity: Column, kind: Column, value: Column) -> Column:
@@ -319,7 +313,7 @@ def _spelt(entity: Column, kind: Column, value: Column) -> Column:
 
     country, form = _country(entity), F.regexp_extract(entity, rf"^((?:{_FORMS})\.? )", 1)
     return (
-        F.when(kind == "email", F.when(F.lower(entity) == entity, value[0]).otherwise(_let(F.length(value[0]) - F.length(entity), cased)))
+        F.when(kind == "email", F.when(F.lower(entity) == entity, value[0]).otherwise(let(F.length(value[0]) - F.length(entity), cased)))
         .when(kind == "phone", F.concat(country, _filled(_after(entity, country), value[0])))
         .when(kind.isin("ssn", "card"), _filled(entity, value[0]))
         .when((kind == "secret") & F.regexp_like(entity, F.lit("^[0-9a-fA-F]*[A-F][0-9a-fA-F]*$")), F.upper(value[0]))

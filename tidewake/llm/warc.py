@@ -17,6 +17,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewake.llm.common import let
+
 # Patterns of markup, in the dialect that Java and RE2 share.
 DROPPED = "(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("script", "style", "noscript", "template")) + "|<!--.*?-->"
 BLOCK_ENDS = r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/article|/section|/title|/table|/ul|/ol|hr)\b[^>]*>"
@@ -40,8 +42,12 @@ def _unescaped(text: Column) -> Column:
         spelt = F.when(code == 160, F.lit(" ")).when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
         return F.coalesce(F.when(code.isNull(), F.try_element_at(names, name)).otherwise(spelt), reference)
 
-    made = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), one)
-    return F.array_join(F.zip_with(F.split(text, REFERENCE, -1), made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    def whole(t: Column) -> Column:
+        made = F.transform(F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0)), one)
+        joined = F.array_join(F.zip_with(F.split(t, REFERENCE, -1), made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.when(F.contains(t, F.lit("&")), joined).otherwise(t)
+
+    return let(text, whole)
 
 
 def _squeezed(text: Column) -> Column:
@@ -91,8 +97,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     fields = F.concat(
         F.lit("http-status-line: "), lines[0], F.lit("\r\n"), F.array_join(headers, ""),
         F.lit("title: "), title, F.lit("\r\nlanguage: "), F.lower(F.regexp_extract("payload", LANGUAGE, 1)),
-        F.lit("\r\noutlinks: "), F.size(links).cast("string"), F.lit("\r\n"),
-        F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), x, F.lit("\r\n"))), ""),
+        F.lit("\r\noutlinks: "), let(links, lambda found: F.concat(F.size(found).cast("string"), F.lit("\r\n"), F.array_join(F.transform(found, lambda x: F.concat(F.lit("outlink: "), x, F.lit("\r\n"))), ""))),
     )
     made = F.inline(
         F.array(
