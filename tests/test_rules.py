@@ -1,5 +1,6 @@
 """Small hand-made cases of rules that SQL does not check, and recovery of what was planted."""
 
+import datetime
 import math
 
 import numpy as np
@@ -167,11 +168,153 @@ def test_files_round_trip(spark, tmp_path):
     (tmp_path / "a.det").write_text("1,2021,7,5,3,21,9,1625455269,250000,2B7D ,1,2,3,4,1,98214.6,17.2\n")
     det = R.read_detections(spark, str(tmp_path / "a.det"), spark.createDataFrame([("a.det", "S1")], "file string, station string")).first()
     assert det["station"] == "S1" and det["epoch"] == 1625455269
-    (tmp_path / "gauge.csv").write_text("station\nflow\ntime,value\n03/13/2018 12:00:00,5.5\n03/13/2018 12:15:00,NaN\n")
-    import datetime
 
-    gauge = R.read_gauge(spark, str(tmp_path / "gauge.csv"), datetime.datetime(2018, 3, 13), datetime.datetime(2018, 3, 14)).collect()
-    assert len(gauge) == 1 and gauge[0]["value"] == 5.5 and gauge[0]["time"].hour == 20
+
+def test_a_gauge_must_cover_its_range(spark, tmp_path):
+    start, end = datetime.datetime(2018, 3, 13), datetime.datetime(2018, 3, 14)
+    lines = [f"{start + datetime.timedelta(hours=h):%m/%d/%Y %H:%M:%S},{h + 0.5}" for h in range(-40, 60, 2)]
+
+    def read(rows):
+        at = tmp_path / "gauge.csv"
+        at.write_text("\n".join(["station", "flow", "time,value", *rows, "03/13/2018 12:15:00,NaN", "03/13/2018 12:20:00,Infinity"]) + "\n")
+        return R.read_gauge(spark, str(at), start, end).orderBy("time").collect()
+
+    rows = read(lines)
+    assert len(rows) == 36 and rows[0]["time"] == start - datetime.timedelta(days=1) and rows[0]["value"] == -31.5
+    for bad in (lines[:20] + lines[21:], lines[:30], lines[12:], []):  # a gap of four hours, an early end, a late start, nothing
+        with pytest.raises(ValueError, match="does not cover"):
+            read(bad)
+
+
+def test_clock_resets_of_a_log(spark):
+    log = [("01/02/2024 00:00:00", " RTC: 1.0 FPGA: 10.5 dt=-0.3"), ("01/02/2024 00:10:00", " nothing"), ("01/02/2024 00:20:00", " FPGA started!! Init FPGA clock using RTC=30.5"), ("01/02/2024 00:30:00", "x FPGA=31.0 -Before SYNC"), ("01/02/2024 00:30:01", "x FPGA=40.0 -After SYNC")]
+    got = R.clock_resets(spark.createDataFrame([("f", i, *r) for i, r in enumerate(log)], "file string, line_no long, time string, message string")).orderBy("line_no").collect()
+    assert [(r["fpga_pre"], r["fpga_post"], r["msg_pre"], r["msg_post"]) for r in got] == [(10.5, 30.5, log[0][1], log[2][1]), (31.0, 40.0, log[3][1], log[4][1])]
+
+
+def test_regular_steps(spark):
+    pos = _pos(spark, [(0, 0, 0), (5, 1, 2), (21, 4, 8)])
+    got = [tuple(r) for r in T.expand_regular(pos, 5.0, "linear").orderBy("step").select("step", "x", "y").collect()]
+    assert got == [(0, 0, 0), (1, 1, 2), (2, 2, 4), (3, 3, 6), (4, 4, 8)]
+    assert [r["x"] for r in T.expand_regular(pos, 5.0).orderBy("step").collect()] == [0, 1, None, None, 4]
+    with pytest.raises(Exception, match="half a step apart"):
+        T.expand_regular(_pos(spark, [(0, 0, 0), (1, 1, 2)]), 5.0).collect()
+
+
+def test_place_at_entry(spark):
+    pos = _pos(spark, [(0, 0, 0), (10, 10, 20)])
+    exits = lambda *r: spark.createDataFrame([(1, *r)], "id long, entry double, exit_a double, exit_b double")
+    one = T.route_table(pos, exits(4.0, 9.0, 8.0)).first()
+    assert (one["route"], one["x"], one["y"], one["exit_time"]) == ("b", 4.0, 8.0, 8.0)
+    none = T.route_table(pos, exits(None, None, None)).first()
+    assert (none["route"], none["x"], none["entry_time"]) == ("no_exit", 0.0, 0.0)
+
+
+def test_a_filled_straight_track_stays_straight(spark):
+    got = H.smooth_fill(_pos(spark, [(t, 2 * t, 1 - t) for t in (0, 5, 7, 20, 26)]), 3, 2.0).toPandas()
+    assert len(got) == 14 and np.allclose(got["x"], 2 * got["t"]) and np.allclose(got["y"], 1 - got["t"])
+
+
+def test_turns_of_a_filled_track(spark):
+    rng = np.random.default_rng(4)
+    head = np.where(np.arange(80) < 40, 0.0, 2.0) + rng.normal(0, 0.2, 80)
+    x, y = np.concatenate([[0], np.cumsum(np.cos(head))]), np.concatenate([[0], np.cumsum(np.sin(head))])
+    fill = spark.createDataFrame([(1, 5.0 * i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "id long, t double, x double, y double")
+    heard = [5.0 * i for i in range(81) if i % 3]
+    raw = spark.createDataFrame([(1, t) for t in heard], "id long, tnum double")
+    got = H.change_points_filled(fill, raw).toPandas().sort_values("t").reset_index(drop=True)
+    head, want = np.arctan2(np.diff(y), np.diff(x)), np.ones(81)
+    for i in range(7, 74):
+        a, b = head[i - 6 : i], head[i : i + 6]
+        (ma, va), (mb, vb) = [(math.atan2(np.sin(q).mean(), np.cos(q).mean()), -2 * math.log(math.hypot(np.sin(q).mean(), np.cos(q).mean()))) for q in (a, b)]
+        n1, n2 = sum(5.0 * (i - 3) <= t <= 5.0 * i for t in heard), sum(5.0 * i <= t <= 5.0 * (i + 4) for t in heard)
+        t = abs((ma - mb + math.pi) % (2 * math.pi) - math.pi) / max(0.05 * math.pi, math.sqrt(va / n1 + vb / n2))
+        want[i] = H.student_tail(np.array([t]), np.array([max(1, min(n1, n2) - 1)]))[0] / 2
+    assert np.allclose(got["p"], want)
+    assert list(got.index[got["is_change"]]) == [i for i in range(7, 74) if want[i] < 0.05 and want[i] == want[i - 3 : i + 3].min()]
+    assert any(38 <= i <= 42 for i in got.index[got["is_change"]])
+
+
+def test_partial_autocorrelation(spark):
+    v = [1.0, 3.0, 2.0, 5.0, 4.0, 6.0, 2.0, 7.0, 3.0, 1.0, 4.0, 4.0]
+    got = H.pacf(spark.createDataFrame([(1, i, x) for i, x in enumerate(v)], "id long, step long, v double"), "v", 5).orderBy("lag").toPandas()["pacf"]
+    d = np.array(v) - np.mean(v)
+    r = [1.0] + [float((d[:-k] * d[k:]).mean() / (d * d).mean()) for k in range(1, 6)]
+    for k in range(1, 6):  # the last coefficient of the k equations of Yule and Walker
+        m = np.array([[r[abs(i - j)] for j in range(k)] for i in range(k)])
+        assert abs(got[k - 1] - np.linalg.solve(m, r[1 : k + 1])[-1]) < 1e-9
+
+
+def test_a_daily_signal_is_told_from_noise(spark):
+    rng = np.random.default_rng(6)
+    theta, noise = rng.uniform(0, 2 * math.pi, 60), rng.normal(size=60)
+    rows = lambda v: spark.createDataFrame([(i, float(a), float(t)) for i, (a, t) in enumerate(zip(v, theta, strict=True))], "id long, v double, theta double")
+    signal = S.diel_permutation(rows(3 * np.cos(theta) + noise), "id", "v", "theta", 199).first()
+    assert signal["p"] <= 0.01 and abs(signal["observed"] - abs(np.mean((3 * np.cos(theta) + noise) * np.exp(1j * theta)))) < 1e-9
+    assert S.diel_permutation(rows(noise), "id", "v", "theta", 199).first()["p"] > 0.01
+
+
+def test_planted_clusters(spark):
+    rng = np.random.default_rng(7)
+    middles = [(0, 0, 0), (10, 0, 5), (0, 10, -5)]
+    rows = [(i, *(float(c + e) for c, e in zip(middles[i % 3], rng.normal(0, 0.3, 3), strict=True))) for i in range(90)]
+    got = S.segment_clusters(spark.createDataFrame(rows, "seq long, a double, b double, c double"), ["a", "b", "c"], 3).toPandas()
+    assert len(got) == 90 and got.groupby(got["seq"] % 3)["cluster"].nunique().tolist() == [1, 1, 1] and got["cluster"].nunique() == 3
+
+
+def test_poisson_draws():
+    import pandas as pd
+
+    u = pd.Series((np.arange(20_000) + 0.5) / 20_000)
+    for n in (1, 7, 400, 1_000_000):
+        got = S.poisson_draw(pd.Series([n] * len(u)), u)
+        assert abs(got.mean() - n) < 0.01 * math.sqrt(n) and abs(got.var() / n - 1) < 0.02
+    one = S.poisson_draw(pd.Series([1, 1, 1]), pd.Series([0.36, 0.37, 0.74]))
+    assert one.tolist() == [0.0, 1.0, 2.0]
+
+
+def test_shift_and_drift_are_recovered(spark):
+    src = [86400.0 * k / 4 for k in range(40)]
+    clock = lambda s: 1200.0 + 0.4 * s / 86400
+    ab = spark.createDataFrame([(1, s + 30 + clock(s), s) for s in src], "tag long, t double, src double")
+    ba = spark.createDataFrame([(1, s + 30 - clock(s), s) for s in src], "tag long, t double, src double")
+    got = Y.search_shift_drift(ab, ba, [600.0 * k for k in range(-4, 5)], [0.1 * k for k in range(-6, 7)], ["tag"]).first()
+    assert got["shift"] == 1200.0 and abs(got["drift"] - 0.4) < 1e-9 and abs(got["cost"] - 60) < 1e-3
+
+
+def test_sync_quality_by_interval(spark):
+    dist = spark.createDataFrame([("a", "b", 1460.0), ("a", "a", 0.0)], "rx_a string, rx_b string, dist double")
+    pings = spark.createDataFrame([(1, "a", "a", 10.0), (1, "a", "b", 11.5), (2, "a", "a", 100.0), (2, "a", "b", 101.0)], "ping_id long, tx string, rx string, t double")
+    speeds = spark.createDataFrame([(0, 1 / 1460), (1, 1 / 1460)], "idx long, inv_c double")
+    for inv in (1 / 1460, speeds):
+        got = {(r["rx"], r["idx"]): (r["pings"], round(r["rms"], 9)) for r in Y.evaluate_sync(pings, dist, inv, 0.0, 60.0).collect()}
+        assert got == {("a", 0): (1, 0.25), ("b", 0): (1, 0.25), ("a", 1): (1, 0.0), ("b", 1): (1, 0.0)}
+
+
+def test_nearest_samples_far_away(spark):
+    rng = np.random.default_rng(8)
+    at = np.r_[rng.uniform(0, 10, (60, 2)), [[500.0, 3.0], [900.0, 900.0]]]
+    samples = spark.createDataFrame([(i, float(x), float(y), float(i)) for i, (x, y) in enumerate(at)], "sid long, x double, y double, z double")
+    places = [(0, 5.0, 5.0), (1, 450.0, 0.0), (2, -300.0, 700.0)]
+    for k in (3, 100):
+        got = G.near_samples(spark.createDataFrame(places, "target long, x double, y double"), samples, 2.0, k).toPandas()
+        for t, x, y in places:
+            want = sorted(range(62), key=lambda i: (math.hypot(at[i][0] - x, at[i][1] - y), i))[:k]
+            assert sorted(got[got["target"] == t]["sid"]) == sorted(want)
+    assert G.near_samples(spark.createDataFrame(places, "target long, x double, y double"), samples.where("false"), 2.0, 3).count() == 0
+
+
+def test_closure_around_a_triangle(spark):
+    leg = lambda *rows: spark.createDataFrame([tuple(map(float, r)) for r in rows], "t double, skew double, travel double, stale double")
+    got = J.triangle_closure([leg((0, 1, 10, 0), (10, 3, 10, 100)), leg((0, -1, 5, 0), (10, -1, 5, 0)), leg((5, 0, 1, 0), (10, -2, 1, 200))], max_stale=100.0)
+    rows = {r["t"]: (r["net_skew"], r["net_travel"], r["low_stale"]) for r in got.collect()}
+    assert rows == {0.0: (None, None, None), 5.0: (1.0, 16.0, True), 10.0: (0.0, 16.0, False)}
+
+
+def test_sources_of_a_two_way_clock(spark):
+    series = lambda *rows: spark.createDataFrame([tuple(map(float, r)) for r in rows], "t double, value double")
+    got = {r["t"]: (r["travel"], r["skew"], r["src_is_a"]) for r in J.two_way_clock(series((0, 4), (10, 4)), series((0, 2), (5, 2))).collect()}
+    assert got == {0.0: (3.0, 1.0, True), 5.0: (3.0, 1.0, False), 10.0: (3.0, 1.0, True)}
 
 
 def test_empty_tables(spark, data):
@@ -203,8 +346,6 @@ def test_slices_do_not_matter(spark, data):
 
 
 def test_silences_over_several_batches(spark, tmp_path):
-    import datetime
-
     from tidewake.streaming import jobs as S
 
     times = [0.0, 100.0, 20_000.0, 20_100.0, 20_200.0, 90_000.0]

@@ -66,6 +66,11 @@ def local_second(t: Column, offset_h: int = 7) -> Column:
     return F.pmod(t - offset_h * 3600, F.lit(86400.0))
 
 
+def local_day_of_year(t: Column, offset_h: int = 7) -> Column:
+    """Day of the local year, from 1."""
+    return F.dayofyear(F.date_add(F.lit("1970-01-01").cast("date"), F.floor((t - offset_h * 3600) / 86400).cast("int")))
+
+
 def bin_centre_h(second: Column) -> Column:
     """Centre in hours of the three-hour bin of a second of the day."""
     return 1.5 + 3 * F.floor(second / 10800)

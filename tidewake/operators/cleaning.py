@@ -112,7 +112,7 @@ def split_epoch(df: DataFrame, t: str = "t") -> DataFrame:
     return df.withColumns({"epo": F.floor(t), "frac": F.col(t) - F.floor(t)})
 
 
-def pings_to_long(wide: DataFrame, key: str, receivers: list[str]) -> DataFrame:
+def pings_to_long(wide: DataFrame, key: str | list[str], receivers: list[str]) -> DataFrame:
     """A row for each receiver that heard a ping."""
     return wide.unpivot(key, receivers, "rx", "toa").where("toa is not null")
 

@@ -122,12 +122,13 @@ def match_candidates(det: DataFrame, max_shift: float = 20.0) -> DataFrame:
     return a.join(b, ["tag", "_b"]).where((F.col("rx_a") < F.col("rx_b")) & near).drop("_b")
 
 
-def merge_matched(a: DataFrame, b: DataFrame, match: DataFrame) -> DataFrame:
-    """Two records as one (C15): matched rows once at the earlier time, the rest of both. a, b: seq, tag, t; match: seq_a, seq_b."""
+def merge_matched(a: DataFrame, b: DataFrame, match: DataFrame, slope: float = 1.0, shift: float = 0.0) -> DataFrame:
+    """Two records as one (C15): a's times set to b's clock by the fitted line (C14), matched rows once at the earlier time, the rest of
+    both. a, b: seq, tag, t; match: seq_a, seq_b. t_a stays as it was heard."""
     left = a.select(F.col("seq").alias("seq_a"), F.col("tag").alias("tag_a"), F.col("t").alias("t_a")).join(match, "seq_a", "left")
     right = b.select(F.col("seq").alias("seq_b"), F.col("tag").alias("tag_b"), F.col("t").alias("t_b"))
     out = left.join(right, "seq_b", "full_outer")
-    return out.select(F.coalesce("tag_a", "tag_b").alias("tag"), F.least("t_a", "t_b").alias("t"), "seq_a", "seq_b", "t_a", "t_b")
+    return out.select(F.coalesce("tag_a", "tag_b").alias("tag"), F.least(F.col("t_a") * slope + shift, "t_b").alias("t"), "seq_a", "seq_b", "t_a", "t_b")
 
 
 def rx_locations(shots: DataFrame) -> DataFrame:

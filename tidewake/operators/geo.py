@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewake.session import shared_folder
+
 
 def inside(x: Column, y: Column, polygon: list[tuple[float, float]]) -> Column:
     """Point in polygon by crossing parity; a fold over the edges, no UDF (C17)."""
@@ -153,8 +157,8 @@ def idw_plane(met: DataFrame, k: int) -> DataFrame:
     return s.select("target", (F.col("mz") - F.coalesce(a, F.lit(0.0)) * F.col("mds") - F.coalesce(b, F.lit(0.0)) * F.col("mdn")).alias("z"))
 
 
-def near_samples(targets: DataFrame, samples: DataFrame, bucket: float) -> DataFrame:
-    """Samples in the lattice buckets of a target and around it, with offsets ds, dn. targets: target, x, y; samples: sid, x, y, z."""
+def _in_buckets(targets: DataFrame, samples: DataFrame, bucket: float) -> DataFrame:
+    """Samples in the lattice buckets of a target and around it, with offsets ds, dn."""
     steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
     t = targets.select("target", F.col("x").alias("tx"), F.col("y").alias("ty"), F.floor(F.col("x") / bucket).alias("_x"), F.floor(F.col("y") / bucket).alias("_y"))
     t = t.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps)).withColumns({"_bx": F.col("_x") + F.col("_i"), "_by": F.col("_y") + F.col("_j")})
@@ -162,6 +166,33 @@ def near_samples(targets: DataFrame, samples: DataFrame, bucket: float) -> DataF
     return t.join(s, ["_bx", "_by"]).select("target", "sid", (F.col("x") - F.col("tx")).alias("ds"), (F.col("y") - F.col("ty")).alias("dn"), "z")
 
 
+def near_samples(targets: DataFrame, samples: DataFrame, bucket: float, k: int) -> DataFrame:
+    """The k nearest samples of each target (all, if fewer; ties to the smaller sid): target, sid, ds, dn, z, in the shared folder.
+
+    Buckets are joined with their neighbours; a target whose kth sample is farther than a bucket, or that has fewer, looks again in
+    buckets of twice the size, until a bucket spans the whole field. targets: target, x, y; samples: sid, x, y, z."""
+    spark = targets.sparkSession
+    at = f"{shared_folder(spark)}/near-{uuid.uuid4().hex}"
+    span = [df.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first() for df in (samples, targets)]
+    sides = [max(r[i + 1] for r in span if r[0] is not None) - min(r[i] for r in span if r[0] is not None) for i in (0, 2)] if any(r[0] is not None for r in span) else [0.0]
+    open_, n = targets.select("target", "x", "y"), 0
+    nearest = Window.partitionBy("target").orderBy(F.hypot("ds", "dn"), "sid")
+    while True:
+        last = bucket > max(sides)
+        found = _in_buckets(open_, samples, bucket).withColumn("_k", F.row_number().over(nearest)).where(F.col("_k") <= k)
+        kth = F.max(F.when(F.col("_k") == k, F.hypot("ds", "dn"))).over(Window.partitionBy("target"))
+        found = found.withColumn("_done", F.lit(True) if last else F.coalesce(kth <= bucket, F.lit(False)))
+        found.drop("_k").write.parquet(f"{at}/round={n}")
+        done = spark.read.parquet(f"{at}/round={n}").where("_done")
+        if last:
+            break
+        open_ = open_.join(done.select("target").distinct(), "target", "left_anti")
+        if open_.isEmpty():
+            break
+        bucket, n = bucket * 2, n + 1
+    return spark.read.parquet(at).where("_done").select("target", "sid", "ds", "dn", "z")
+
+
 def thin_points(df: DataFrame, q: float) -> DataFrame:
     """Points averaged on a coarse lattice."""
     return df.groupBy(F.bround(F.col("x") / q).alias("i"), F.bround(F.col("y") / q).alias("j")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"), F.count(F.lit(1)).alias("n"))

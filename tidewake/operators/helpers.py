@@ -31,21 +31,21 @@ def _dv(t: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _cross(dv: np.ndarray, limit: float) -> np.ndarray:
-    """Larger than the limit and than the one before, whose flag it takes."""
-    flag = np.zeros(len(dv), bool)
-    for i in range(1, len(dv)):
-        if dv[i] > limit and dv[i] > dv[i - 1]:
-            flag[i], flag[i - 1] = True, False
-    return flag
+    """Larger than the limit and than the one before, unless the next one is so too."""
+    up = np.append((dv > limit) & (dv > np.append(np.inf, dv[:-1])), False)
+    return up[:-1] & ~up[1:]
 
 
 def flag_cross(pos: DataFrame, limit: float) -> DataFrame:
     """Local maxima of the change of velocity (E24): id, seq, cross."""
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        flag = _cross(_dv(p["tnum"].to_numpy(), p["x"].to_numpy(), p["y"].to_numpy()), limit)
-        return pd.DataFrame({"id": p["id"], "seq": p["seq"], "cross": flag})
-
-    return apply_per_track(pos, run, "id long, seq long, cross boolean")
+    w = Window.partitionBy("id").orderBy("tnum", "seq")
+    dt = F.lead("tnum").over(w) - F.col("tnum")
+    step = F.when(dt > 0, dt)
+    rows = pos.withColumns({"_u": (F.lead("x").over(w) - F.col("x")) / step, "_v": (F.lead("y").over(w) - F.col("y")) / step})
+    turn = F.hypot(F.col("_u") - F.lag("_u").over(w), F.col("_v") - F.lag("_v").over(w))
+    rows = rows.withColumn("_dv", F.coalesce(turn, F.lit(0.0)))
+    rows = rows.withColumn("_up", F.coalesce((F.col("_dv") > limit) & (F.col("_dv") > F.lag("_dv").over(w)), F.lit(False)))
+    return rows.select("id", "seq", (F.col("_up") & ~F.coalesce(F.lead("_up").over(w), F.lit(False))).alias("cross"))
 
 
 def flag_iterative(pos: DataFrame, limit: float, rounds: int = 5) -> DataFrame:
@@ -126,27 +126,36 @@ def student_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.array([one(float(a), float(b)) for a, b in zip(np.atleast_1d(t), np.atleast_1d(df), strict=True)])
 
 
-def change_points_filled(seg: DataFrame, w: int = 12, near: int = 3, p_max: float = 0.05) -> DataFrame:
-    """Rows where circular means of the w/2 headings before and after differ most, by a t-like statistic (E29): id, seq, p, is_change."""
-    h = w // 2
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["t1", "seq"])
-        a, n = g["head"].to_numpy(), len(g)
-        t, df = np.full(n, np.nan), np.full(n, np.nan)
-        for i in range(1, n):
-            one, two = a[max(0, i - h) : i], a[i : i + h]
-            if len(one) > 1 and len(two) > 1:
-                m, r = zip(*[(math.atan2(np.sin(q).sum(), np.cos(q).sum()), min(1.0, max(1e-12, math.hypot(np.sin(q).mean(), np.cos(q).mean())))) for q in (one, two)], strict=True)
-                s = [math.sqrt(-2 * math.log(v)) for v in r]
-                d = math.atan2(math.sin(m[0] - m[1]), math.cos(m[0] - m[1]))
-                t[i] = d / max(0.05 * math.pi, math.sqrt(s[0] ** 2 / len(one) + s[1] ** 2 / len(two)))
-                df[i] = min(len(one), len(two)) - 1
-        p = student_tail(t, df) if n else t
-        least = pd.Series(p).rolling(2 * near + 1, center=True, min_periods=1).min().to_numpy() if n else p
-        return pd.DataFrame({"id": g["id"], "seq": g["seq"], "p": p, "is_change": (p < p_max) & (p == least)})
-
-    return seg.groupBy("id").applyInPandas(run, "id long, seq long, p double, is_change boolean")
+def change_points_filled(fill: DataFrame, raw: DataFrame, w: int = 12, p_max: float = 0.05) -> DataFrame:
+    """Rows of a filled track where the circular mean heading turns (E29): id, t, p, is_change. fill: id, t, x, y (smooth_fill); raw: id, tnum.
+
+    Means over w/2 headings, w/4 rows before and after, are compared by Student's t, one-sided, with a denominator of 0.05 pi at least;
+    sample sizes are the heard positions of each side. Rows without a whole window have p 1. A change has the least p, the first on
+    ties, of the rows from w/4 before to w/4 - 1 after."""
+    half, quarter = w // 2, w // 4
+
+    def run(f: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        f, heard = f.sort_values("t"), np.sort(r["tnum"].to_numpy())
+        t, n = f["t"].to_numpy(), len(f)
+        p = np.ones(n)
+        mid = np.arange(half + 1, n - half - 1)
+        if len(mid):
+            head = np.arctan2(np.diff(f["y"].to_numpy()), np.diff(f["x"].to_numpy()))
+            total = np.concatenate([[0], np.cumsum(np.exp(1j * head))])
+            mean = lambda i: (total[np.minimum(n - 1, i + half // 2)] - total[i - half // 2]) / (np.minimum(n - 1, i + half // 2) - i + half // 2)
+            a, b = mean(mid - quarter), mean(mid + quarter)
+            n1 = np.searchsorted(heard, t[mid], "right") - np.searchsorted(heard, t[mid - quarter], "left")
+            n2 = np.searchsorted(heard, t[mid + quarter + 1], "right") - np.searchsorted(heard, t[mid], "left")
+            n1, n2 = np.maximum(1, n1), np.maximum(1, n2)
+            var = [-2 * np.log(np.clip(np.abs(m), 1e-300, 1)) for m in (a, b)]
+            d = np.abs(np.angle(a * np.conj(b))) / np.maximum(0.05 * math.pi, np.sqrt(var[0] / n1 + var[1] / n2))
+            p[mid] = student_tail(d, np.maximum(1, np.minimum(n1, n2) - 1)) / 2
+        change = np.zeros(n, bool)
+        for i in mid[p[mid] < p_max]:
+            change[i] = np.argmin(p[i - quarter : i + quarter]) == quarter
+        return pd.DataFrame({"id": f["id"], "t": t, "p": p, "is_change": change})
+
+    return fill.groupBy("id").cogroup(raw.groupBy("id")).applyInPandas(run, "id long, t double, p double, is_change boolean")
 
 
 def pacf(steps: DataFrame, v: str, max_lag: int = 20) -> DataFrame:

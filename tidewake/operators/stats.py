@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,17 +48,24 @@ def weighted_median(df: DataFrame, by: list[str], v: str, w: str) -> DataFrame:
     return rows.where(F.col("_c") >= F.col("_t") / 2).groupBy(*by).agg(F.min(v).alias("median"))
 
 
+def poisson_draw(n: pd.Series, u: pd.Series) -> pd.Series:
+    """Poisson draws of means n from uniforms u, by inversion within twelve deviations of the mean; the sum of n draws of mean 1."""
+    out = pd.Series(0.0, index=n.index)
+    for mean, at in n.groupby(n).groups.items():
+        spread = 12 * math.sqrt(mean) + 30
+        k = np.arange(max(0, int(mean - spread)), int(mean + spread))
+        log_p = k[0] * math.log(mean) - mean - math.lgamma(k[0] + 1) + np.concatenate([[0.0], np.cumsum(math.log(mean) - np.log(k[1:]))])
+        out[at] = k[0] + np.searchsorted(np.cumsum(np.exp(log_p)), u[at].to_numpy())
+    return out
+
+
 def boot_weighted_median(df: DataFrame, v: str, w: str, reps: int = 1000, seed: int = 1) -> DataFrame:
     """Mean, 5 % and 95 % of the weighted median over Poisson resamples, by hashes of the row and the replicate.
 
-    Values are summed to distinct ones first, so rows times replicates is bounded by distinct values times replicates."""
-    rows = df.groupBy(v).agg(F.sum(w).alias("_w"), F.count(F.lit(1)).alias("_n")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), F.col(v)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    # A Poisson draw of mean n by inversion for few rows, by its normal limit for many.
-    few = F.aggregate(F.sequence(F.lit(0), F.lit(20)), F.struct(F.lit(0.0).alias("c"), F.lit(1.0).alias("f"), F.lit(0.0).alias("k")),
-        lambda s, i: F.struct((s["c"] + F.exp(-F.col("_n").cast("double")) * s["f"]).alias("c"), (s["f"] * F.col("_n") / (i + 1)).alias("f"), F.when(u > s["c"] + F.exp(-F.col("_n").cast("double")) * s["f"], s["k"] + 1).otherwise(s["k"]).alias("k")), lambda s: s["k"])
-    many = F.greatest(F.lit(0.0), F.col("_n") + F.sqrt("_n") * (F.sqrt(F.lit(2.0)) * 1.2533 * (2 * u - 1)))
-    drawn = rows.withColumn("_d", F.when(F.col("_n") <= 8, few).otherwise(many) * F.col("_w") / F.col("_n")).where("_d > 0")
+    Rows of one value and weight are counted first, so rows times replicates is bounded by distinct pairs times replicates."""
+    rows = df.groupBy(v, F.col(w).alias("_w")).agg(F.count(F.lit(1)).alias("_n")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), F.col(v), F.col("_w")), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    drawn = rows.withColumn("_d", F.pandas_udf(poisson_draw, "double")("_n", u) * F.col("_w")).where("_d > 0")
     medians = weighted_median(drawn, ["rep"], v, "_d")
     return medians.agg(F.avg("median").alias("mean"), F.percentile("median", F.lit(0.05)).alias("q05"), F.percentile("median", F.lit(0.95)).alias("q95"))
 

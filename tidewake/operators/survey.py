@@ -66,13 +66,29 @@ def transect_flow(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("transect").agg(F.sum(F.col("un") * a).alias("flow"), F.sum(a).alias("area")).withColumn("mean_velocity", F.try_divide("flow", "area"))
 
 
-def average_transects(profiles: DataFrame, dbin: float, zbin: float) -> DataFrame:
-    """Repeat transects on their principal line, averaged in bins of distance and depth (D36). profiles: section, x, y, z, u."""
+def sample_spacing(profiles: DataFrame) -> DataFrame:
+    """Bins for a section from its own transects (D36): section, dbin (median distance of neighbouring samples), zbin (tenth percentile
+    of bin heights). profiles: section, transect, sample, x, y, dz. A section is one survey's boat runs, some thousand samples."""
+    at = profiles.groupBy("section", "transect", "sample").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    w = Window.partitionBy("section", "transect").orderBy("sample")
+    step = at.withColumn("_d", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)))
+    d = step.groupBy("section").agg(F.percentile("_d", F.lit(0.5)).alias("dbin"))
+    return d.join(profiles.groupBy("section").agg(F.percentile(F.abs("dz"), F.lit(0.1)).alias("zbin")), "section")
+
+
+def average_transects(profiles: DataFrame, dbin: float | None = None, zbin: float | None = None) -> DataFrame:
+    """Repeat transects on their principal line, averaged in bins of distance and depth (D36). profiles: section, x, y, z, u, and where the
+    bins are not given also transect, sample, dz, from which sample_spacing takes them."""
+    if dbin is None or zbin is None:
+        own = sample_spacing(profiles).select("section", F.lit(dbin).alias("_dbin") if dbin else F.col("dbin").alias("_dbin"), F.lit(zbin).alias("_zbin") if zbin else F.col("zbin").alias("_zbin"))
+        rows = profiles.join(own, "section")
+    else:
+        rows = profiles.withColumns({"_dbin": F.lit(dbin), "_zbin": F.lit(zbin)})
     mean = profiles.groupBy("section").agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"), F.var_pop("x").alias("_xx"), F.var_pop("y").alias("_yy"), F.covar_pop("x", "y").alias("_xy"))
     mean = mean.select("section", "_mx", "_my", (0.5 * F.atan2(2 * F.col("_xy"), F.col("_xx") - F.col("_yy"))).alias("_a"))
     d = (F.col("x") - F.col("_mx")) * F.cos("_a") + (F.col("y") - F.col("_my")) * F.sin("_a")
-    rows = profiles.join(mean, "section")
-    return rows.groupBy("section", F.floor(d / dbin).alias("dbin"), F.floor(F.col("z") / zbin).alias("zbin")).agg(F.avg("u").alias("u"), F.count(F.lit(1)).alias("n"))
+    rows = rows.join(mean, "section")
+    return rows.groupBy("section", F.floor(F.try_divide(d, "_dbin")).alias("dbin"), F.floor(F.try_divide("z", "_zbin")).alias("zbin")).agg(F.avg("u").alias("u"), F.count(F.lit(1)).alias("n"))
 
 
 def flow_split(upstream: DataFrame, branch: DataFrame, tracks: DataFrame) -> DataFrame:

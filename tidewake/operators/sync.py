@@ -131,12 +131,18 @@ def solve_clock(equations: DataFrame, start: float, width: float, keeper: str, n
     return got.withColumn("_k", F.row_number().over(pick)).where("_k = 1").select("rx", "idx", "off", "inv_c", "rms")
 
 
-def evaluate_sync(pings: DataFrame, distances: DataFrame, inv_c: float) -> DataFrame:
-    """Emission times seen by each receiver of a ping against their mean: rms, pings by receiver (H5). pings: ping_id, tx, rx, t (corrected)."""
+def evaluate_sync(pings: DataFrame, distances: DataFrame, inv_c: DataFrame | float, start: float = 0.0, width: float = 86400.0) -> DataFrame:
+    """Emission times seen by each receiver of a ping against their mean: rms, pings by receiver and interval (H5). pings: ping_id, tx, rx,
+    t (corrected). inv_c: one inverse speed, or idx, inv_c by interval of equal width from start (those of solve_clock: tens)."""
+    pings = pings.withColumn("idx", F.floor((F.col("t") - start) / width).cast("long"))
+    if isinstance(inv_c, DataFrame):
+        pings = pings.join(inv_c.groupBy(F.col("idx").cast("long").alias("idx")).agg(F.avg("inv_c").alias("_inv")), "idx")
+    else:
+        pings = pings.withColumn("_inv", F.lit(inv_c))
     d = distances.select(F.col("rx_a").alias("tx"), F.col("rx_b").alias("rx"), "dist")
-    rows = pings.join(d, ["tx", "rx"]).withColumn("emitted", F.col("t") - F.col("dist") * inv_c)
+    rows = pings.join(d, ["tx", "rx"]).withColumn("emitted", F.col("t") - F.col("dist") * F.col("_inv"))
     rows = rows.withColumn("error", F.col("emitted") - F.avg("emitted").over(Window.partitionBy("ping_id")))
-    return rows.groupBy("rx").agg(F.count(F.lit(1)).alias("pings"), F.sqrt(F.avg(F.col("error") ** 2)).alias("rms"))
+    return rows.groupBy("rx", "idx").agg(F.count(F.lit(1)).alias("pings"), F.sqrt(F.avg(F.col("error") ** 2)).alias("rms"))
 
 
 def search_shift_drift(ab: DataFrame, ba: DataFrame, shifts: list[float], drifts: list[float], by: list[str], grain: float = 60.0) -> DataFrame:

@@ -99,8 +99,10 @@ def union_times(*series: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def two_way_clock(ab: DataFrame, ba: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """travel and skew at the times of either direction."""
-    times = union_times(ab, ba, by=by)
+    """travel and skew at the times of either direction, and whether ab has a sample at that time."""
+    keys = [*(by or []), "t"]
+    flagged = ab.select(*keys, F.lit(True).alias("src_is_a")).union(ba.select(*keys, F.lit(False)))
+    times = flagged.groupBy(*keys).agg(F.max("src_is_a").alias("src_is_a"))
     both = interp_join(interp_join(times, ab, by, "hold", "ab"), ba, by, "hold", "ba")
     return both.withColumns({"travel": (F.col("ab") + F.col("ba")) / 2, "skew": (F.col("ab") - F.col("ba")) / 2})
 
@@ -114,13 +116,18 @@ def staleness(points: DataFrame, legs: list[DataFrame], by: list[str] | None = N
     return out.withColumn("stale", total).select(*points.columns, "stale")
 
 
-def triangle_closure(legs: list[DataFrame], by: list[str] | None = None) -> DataFrame:
-    """Sum of three legs' values at the union of their times, null outside any."""
-    out, total = union_times(*legs, by=by), F.lit(0.0)
-    for i, leg in enumerate(legs):
-        out = interp_join(out, leg, by, "null", f"_leg{i}")
-        total = total + F.col(f"_leg{i}")
-    return out.withColumn("closure", total).select(*(by or []), "t", "closure")
+def triangle_closure(legs: list[DataFrame], by: list[str] | None = None, columns: tuple[str, ...] = ("skew", "travel", "stale"), max_stale: float = 250.0) -> DataFrame:
+    """Sums of three legs' columns at the union of their times, null outside any (E41): by, t, net_<column>, and low_stale where
+    the net staleness is under a limit in seconds. legs: by, t, columns."""
+    out = union_times(*legs, by=by)
+    for c in columns:
+        total = F.lit(0.0)
+        for i, leg in enumerate(legs):
+            out = interp_join(out, leg.select(*(by or []), "t", F.col(c).alias("value")), by, "null", f"_{c}{i}")
+            total = total + F.col(f"_{c}{i}")
+        out = out.withColumn(f"net_{c}", total)
+    net = out.select(*(by or []), "t", *[f"net_{c}" for c in columns])
+    return net.withColumn("low_stale", F.col("net_stale") < max_stale) if "stale" in columns else net
 
 
 def marks(pos: DataFrame, every: float = 120.0) -> DataFrame:

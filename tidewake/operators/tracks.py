@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.functions.exprs import rotate, wrap_angle
+from tidewake.functions.exprs import is_daytime, local_second, rotate, wrap_angle
+from tidewake.operators.timejoin import interp_join
 
 
 def _w(order: str = "tnum", key: str = "id") -> Window:
@@ -130,14 +131,24 @@ def smooth_velocity(pos: DataFrame, n: int = 4) -> DataFrame:
     return rows.withColumns(out).where("not _last").drop("_t", "_last")
 
 
-def expand_regular(pos: DataFrame, dt: float = 5.0) -> DataFrame:
-    """id, step, tnum, x, y with a row for every step of about dt; steps without a position are null."""
+def expand_regular(pos: DataFrame, dt: float = 5.0, fill: str = "null", repeats: str = "error") -> DataFrame:
+    """id, step, tnum, x, y with a row for every step of about dt; steps without a position are null, or with fill "linear" on the
+    line between their neighbours (E15). Two positions in one step are an error, or with repeats "first" the first of them counts."""
     w = _w()
-    step = F.coalesce(F.bround((F.col("tnum") - F.lag("tnum").over(w)) / dt), F.lit(0.0)).cast("long")
-    rows = pos.withColumn("_d", step).withColumn("step", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    step = F.bround((F.col("tnum") - F.lag("tnum").over(w)) / dt)
+    if repeats == "error":
+        step = F.when(step <= 0, F.raise_error(F.lit("two positions of a track are less than half a step apart"))).otherwise(step)
+    rows = pos.withColumn("_d", F.coalesce(step, F.lit(0.0)).cast("long")).withColumn("step", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.groupBy("id", "step").agg(F.min(F.struct("tnum", "seq", "x", "y")).alias("p"))
     all_of = rows.groupBy("id").agg(F.max("step").alias("m")).select("id", F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("step"))
-    return all_of.join(rows, ["id", "step"], "left").select("id", "step", "p.tnum", "p.x", "p.y")
+    out = all_of.join(rows, ["id", "step"], "left").select("id", "step", "p.tnum", "p.x", "p.y", F.when(F.col("p").isNotNull(), F.struct("step", "p.*")).alias("_p"))
+    if fill == "linear":
+        o = Window.partitionBy("id").orderBy("step")
+        out = out.withColumns({"_a": F.last("_p", True).over(o.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.first("_p", True).over(o.rowsBetween(0, Window.unboundedFollowing))})
+        done, whole = F.col("step") - F.col("_a.step"), F.col("_b.step") - F.col("_a.step")
+        line = {c: F.when(F.col("_p").isNotNull(), F.col(c)).otherwise(F.col(f"_a.{c}") + F.try_divide((F.col(f"_b.{c}") - F.col(f"_a.{c}")) * done, whole)) for c in ("tnum", "x", "y")}
+        out = out.withColumns(line)
+    return out.select("id", "step", "tnum", "x", "y")
 
 
 def rolling_circular(seg: DataFrame, w: int = 10) -> DataFrame:
@@ -213,11 +224,15 @@ def trim_to_gates(pos: DataFrame, summary: DataFrame) -> DataFrame:
 
 
 def route_table(pos: DataFrame, exits: DataFrame) -> DataFrame:
-    """Route by the exit gate crossed first, exit time, entry time and place (E33). exits: id, entry, exit_a, exit_b."""
+    """Route by the exit gate crossed first (b if both at once), exit time, entry time and the place then (E33): on the line between the
+    positions around the entry, or the first position where there is no entry. exits: id, entry, exit_a, exit_b."""
+    at = exits.where("entry is not null").select("id", F.col("entry").alias("t"))
+    for c in ("x", "y"):
+        at = interp_join(at, pos.select("id", F.col("tnum").alias("t"), F.col(c).alias("value")), ["id"], "hold", f"_{c}")
     first = pos.groupBy("id").agg(F.min(F.struct("tnum", "seq", "x", "y")).alias("f"))
-    rows = first.join(exits, "id", "left")
-    route = F.when(F.col("exit_a").isNull() & F.col("exit_b").isNull(), "no_exit").when(F.col("exit_b").isNull() | (F.col("exit_a") <= F.col("exit_b")), "a").otherwise("b")
-    return rows.select("id", route.alias("route"), F.coalesce("entry", "f.tnum").alias("entry_time"), F.least("exit_a", "exit_b").alias("exit_time"), F.col("f.x").alias("x"), F.col("f.y").alias("y"))
+    rows = first.join(exits, "id", "left").join(at.select("id", "_x", "_y"), "id", "left")
+    route = F.when(F.col("exit_a").isNull() & F.col("exit_b").isNull(), "no_exit").when(F.col("exit_b").isNull() | (F.col("exit_a") < F.col("exit_b")), "a").otherwise("b")
+    return rows.select("id", route.alias("route"), F.coalesce("entry", "f.tnum").alias("entry_time"), F.least("exit_a", "exit_b").alias("exit_time"), F.coalesce("_x", "f.x").alias("x"), F.coalesce("_y", "f.y").alias("y"))
 
 
 def route_from_end(pos: DataFrame, x0: float, y0: float) -> DataFrame:
@@ -232,6 +247,12 @@ def transit_times(pos: DataFrame) -> DataFrame:
     return out.select("id", (F.col("t1") - F.col("t0")).alias("transit"), (F.col("t0") + (F.col("t1") - F.col("t0")) / 2).alias("t"))
 
 
+def transit_histogram(transits: DataFrame, width: float, offset_h: int = 7) -> DataFrame:
+    """Transits by bin of duration, those whose middle is by day (strictly between hours 7 and 19) apart from those by night (E35): day, bin, n."""
+    day = is_daytime(F.floor(local_second(F.col("t"), offset_h) / 3600))
+    return transits.groupBy(day.alias("day"), F.floor(F.col("transit") / width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def autocorr(steps: DataFrame, v: str, max_lag: int) -> DataFrame:
     """Autocorrelation of a series by (id, step), for lags up to max_lag and length - 1, skipping nulls."""
     m = Window.partitionBy("id")
@@ -281,8 +302,11 @@ def track_means(seg: DataFrame, columns: list[str], absolute: list[str]) -> Data
 
 
 def track_quality(pos: DataFrame, seg: DataFrame, dt_signal: float = 5.0) -> DataFrame:
-    """Detections, missed ones, share heard, speed and its change, position error, elapsed time and daytime entry."""
-    p = smooth_position(pos).groupBy("id").agg(F.count(F.lit(1)).alias("ndetects"), (F.max("tnum") - F.min("tnum")).alias("t_elapsed"), F.avg("noise").alias("pos_error"), F.min("tnum").alias("_t0"))
+    """Detections, missed ones, share heard, speed and its change, position error, elapsed time and daytime entry (D15); where pos has
+    depth (of the water) and z (below the surface) also the largest and mean depth, mean z and mean height as a share of the depth."""
+    ratio = F.least(F.lit(1.0), F.col("z") / F.greatest(F.lit(0.01), "depth")) if {"z", "depth"} <= set(pos.columns) else None
+    deep = [] if ratio is None else [F.max("depth").alias("max_depth"), F.avg("depth").alias("avg_depth"), F.avg(1 - ratio).alias("avg_ht"), F.avg("z").alias("avg_z")]
+    p = smooth_position(pos).groupBy("id").agg(*deep, F.count(F.lit(1)).alias("ndetects"), (F.max("tnum") - F.min("tnum")).alias("t_elapsed"), F.avg("noise").alias("pos_error"), F.min("tnum").alias("_t0"))
     missed = F.col("t_elapsed") / dt_signal - F.col("ndetects")
     p = p.withColumns({"non_detects": missed, "frac_detects": F.try_divide(F.col("ndetects"), F.col("t_elapsed") / dt_signal)})
     s = delta_velocity(seg).groupBy("id").agg(F.stddev_pop("speed").alias("vel_sd"), F.avg("dvel").alias("dvel_mag"), F.stddev_pop("dvel").alias("dvel_sd"))

@@ -62,10 +62,10 @@ def b7_b8_clip_and_tnum(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {DET}, s AS (SELECT seq, t, (t - 7 * 3600) - 86400 * floor((t - 7 * 3600) / 86400) AS sec FROM det)
-SELECT seq, round(sec, 3) AS sec, 1.5 + 3 * floor(sec / 10800) AS centre, round(sec / 86400 * 2 * pi(), 6) AS angle, floor(sec / 3600) > 7 AND floor(sec / 3600) < 19 AS day FROM s""")
+SELECT seq, round(sec, 3) AS sec, 1.5 + 3 * floor(sec / 10800) AS centre, round(sec / 86400 * 2 * pi(), 6) AS angle, floor(sec / 3600) > 7 AND floor(sec / 3600) < 19 AS day, CAST(dayofyear(make_timestamp(CAST(floor(t - 25200) AS BIGINT) * 1000000)) AS INT) AS day_of_year FROM s""")
 def b12_b13_diel(spark: SparkSession, d: str) -> DataFrame:
     sec = X.local_second(F.col("t"))
-    return detections(spark, d).select("seq", F.round(sec, 3).alias("sec"), X.bin_centre_h(sec).alias("centre"), F.round(X.day_angle(sec), 6).alias("angle"), X.is_daytime(F.floor(sec / 3600)).alias("day"))
+    return detections(spark, d).select("seq", F.round(sec, 3).alias("sec"), X.bin_centre_h(sec).alias("centre"), F.round(X.day_angle(sec), 6).alias("angle"), X.is_daytime(F.floor(sec / 3600)).alias("day"), X.local_day_of_year(F.col("t")).alias("day_of_year"))
 
 
 @query(f"WITH {DET} SELECT seq, round_even(sensor / 30, 0) * 30 AS q30, round_even(k / 3, 0) * 3 AS q3, round_even(sensor / 40, 0) * 40 AS q40 FROM det")
@@ -106,6 +106,14 @@ def b27_split_epoch(spark: SparkSession, d: str) -> DataFrame:
     return r6(C.split_epoch(detections(spark, d)).select("seq", "epo", "frac"), "frac")
 
 
+@query(PING + " SELECT tag || '-' || ping AS ping_id, rx, round(t, 6) AS toa FROM pings")
+def b27_pings_to_long(spark: SparkSession, d: str) -> DataFrame:
+    """Pings as a column for each receiver, and back to rows."""
+    rx = [r[0] for r in RECEIVERS]
+    wide = _pings(spark, d).groupBy(F.concat_ws("-", "tag", "ping").alias("ping_id")).pivot("rx", rx).agg(F.min("t"))
+    return r6(C.pings_to_long(wide, "ping_id", rx), "toa")
+
+
 @query(f"WITH {DET}, {RX} SELECT seq, det.rx, rx_x, rx_y FROM det LEFT JOIN rx USING (rx)")
 def c1_rx_location(spark: SparkSession, d: str) -> DataFrame:
     return D.with_rx_location(detections(spark, d), receivers(spark)).select("seq", "rx", "rx_x", "rx_y")
@@ -162,13 +170,13 @@ def c13_match_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {DET}, m AS (SELECT a.seq AS seq_a, min(b.seq) AS seq_b FROM det a JOIN det b ON a.tag = b.tag AND a.rx = 'click' AND b.rx = 'view' AND abs(a.t - b.t) < 1800 GROUP BY 1),
 o AS (SELECT seq_b, min(seq_a) AS seq_a FROM m GROUP BY 1), a AS (SELECT * FROM det WHERE rx = 'click'), b AS (SELECT * FROM det WHERE rx = 'view'), l AS (SELECT a.*, o.seq_b FROM a LEFT JOIN o ON a.seq = o.seq_a)
-SELECT coalesce(l.tag, b.tag) AS tag, round(least(l.t, b.t), 6) AS t, l.seq AS seq_a, b.seq AS seq_b FROM l FULL JOIN b ON l.seq_b = b.seq""")
+SELECT coalesce(l.tag, b.tag) AS tag, round(least(l.t * 1.00000001::DOUBLE + 90, b.t), 6) AS t, l.seq AS seq_a, b.seq AS seq_b FROM l FULL JOIN b ON l.seq_b = b.seq""")
 def c15_merge_matched(spark: SparkSession, d: str) -> DataFrame:
     det = detections(spark, d)
     a, b = det.where("rx = 'click'"), det.where("rx = 'view'")
     pairs = D.match_candidates(a.unionByName(b), 1800.0).groupBy("seq_a").agg(F.min("seq_b").alias("seq_b"))
     match = pairs.groupBy("seq_b").agg(F.min("seq_a").alias("seq_a"))
-    return r6(D.merge_matched(a, b, match).select("tag", "t", "seq_a", "seq_b"), "t")
+    return r6(D.merge_matched(a, b, match, 1.00000001, 90.0).select("tag", "t", "seq_a", "seq_b"), "t")
 
 
 @query(f"WITH {DET} SELECT rx, round(avg(sensor), 6) AS x, round(avg(k), 6) AS y, round(avg(-k / 10), 6) AS z FROM det GROUP BY rx")
@@ -264,11 +272,18 @@ def d40_pair_offsets(spark: SparkSession, d: str) -> DataFrame:
     return r6(D.pair_offsets(_pings(spark, d)), "offset", "largest", digits=4)
 
 
-@query(PING + """, a1 AS (SELECT rx, tag, ping, t - avg(t) OVER (PARTITION BY tag, ping) AS res, t FROM pings), s1 AS (SELECT rx, avg(res) AS s FROM a1 GROUP BY rx),
-b1 AS (SELECT rx, tag, ping, t, t - s AS adj FROM a1 JOIN s1 USING (rx)), a2 AS (SELECT *, adj - avg(adj) OVER (PARTITION BY tag, ping) AS res FROM b1), s2 AS (SELECT rx, avg(res) AS s FROM a2 GROUP BY rx)
-SELECT s1.rx, round(s1.s + s2.s, 3) AS "offset" FROM s1 JOIN s2 USING (rx)""")
+def _rounds(n: int) -> str:
+    """SQL of n alternations of ping means and receiver means."""
+    out, adj = "a0 AS (SELECT rx, tag, ping, t, t AS adj FROM pings)", "a0"
+    for i in range(1, n + 1):
+        out += f", s{i} AS (SELECT rx, avg(res) AS s FROM (SELECT rx, adj - avg(adj) OVER (PARTITION BY tag, ping) AS res FROM {adj}) GROUP BY rx), a{i} AS (SELECT rx, tag, ping, t, adj - s AS adj FROM {adj} JOIN s{i} USING (rx))"
+        adj = f"a{i}"
+    return out
+
+
+@query(f'{PING}, {_rounds(5)} SELECT rx, round(avg(t - adj), 3) AS "offset" FROM a5 GROUP BY rx')
 def d41_remove_mean_offsets(spark: SparkSession, d: str) -> DataFrame:
-    return r6(D.remove_mean_offsets(_pings(spark, d), 2), "offset", digits=3)
+    return r6(D.remove_mean_offsets(_pings(spark, d)), "offset", digits=3)
 
 
 @query(PING + """, own AS (SELECT ping, tag, p.rx AS tx, t AS t0 FROM pings p JOIN rx ON rx.rx = p.rx AND rx.sync_tag = p.tag),

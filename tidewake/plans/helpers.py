@@ -11,7 +11,7 @@ from tidewake.operators import sync as Y
 from tidewake.operators import timejoin as J
 from tidewake.operators import tracks as T
 from tidewake.plans.registry import query
-from tidewake.plans.roles import DET, POS, detections, positions, r6, receivers
+from tidewake.plans.roles import DET, POS, RX, detections, positions, r6, receivers
 
 
 @query(f"WITH {POS} SELECT id, count(*) AS n, round(max(x) - min(x), 6) AS span FROM pos GROUP BY id")
@@ -24,7 +24,9 @@ def h1_apply_per_track(spark: SparkSession, d: str) -> DataFrame:
     return r6(H.apply_per_track(positions(spark, d), spread, "id long, n long, span double"), "span")
 
 
-@query()
+@query(f"""WITH {POS}, v AS (SELECT id, seq, tnum, CASE WHEN lead(tnum) OVER w > tnum THEN (lead(x) OVER w - x) / (lead(tnum) OVER w - tnum) END AS u, CASE WHEN lead(tnum) OVER w > tnum THEN (lead(y) OVER w - y) / (lead(tnum) OVER w - tnum) END AS v FROM pos WINDOW w AS (PARTITION BY id ORDER BY tnum, seq)),
+c AS (SELECT *, coalesce(sqrt((u - lag(u) OVER w) ** 2 + (v - lag(v) OVER w) ** 2), 0) AS dv FROM v WINDOW w AS (PARTITION BY id ORDER BY tnum, seq)), f AS (SELECT *, coalesce(dv > 0.005 AND dv > lag(dv) OVER (PARTITION BY id ORDER BY tnum, seq), false) AS up FROM c)
+SELECT id, seq, up AND NOT coalesce(lead(up) OVER (PARTITION BY id ORDER BY tnum, seq), false) AS "cross" FROM f""")
 def e24_flag_cross(spark: SparkSession, d: str) -> DataFrame:
     return H.flag_cross(positions(spark, d), 0.005)
 
@@ -46,7 +48,8 @@ def e14_smooth_fill(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def e29_change_points_filled(spark: SparkSession, d: str) -> DataFrame:
-    return r6(H.change_points_filled(T.make_segments(positions(spark, d))), "p")
+    pos = positions(spark, d)
+    return r6(H.change_points_filled(H.smooth_fill(pos, 3, 21600.0), pos), "p")
 
 
 @query()
@@ -119,13 +122,27 @@ def h4_solve_clock(spark: SparkSession, d: str) -> DataFrame:
     return r6(Y.solve_clock(eq, lo - 10.0, 86400.0, "click", days).select("rx", "idx", "off"), "off", digits=3)
 
 
-@query()
+@query(f"""WITH {DET}, {RX}, heard AS (SELECT det.seq AS ping_id, r.rx, sqrt((b.rx_x - r.rx_x) ** 2 + (b.rx_y - r.rx_y) ** 2) AS dist, t - 1704067200 AS t0 FROM det JOIN rx b ON b.rx = det.rx CROSS JOIN rx r),
+a AS (SELECT *, t0 + dist / 1460 - length(rx) * CASE WHEN rx = 'click' THEN 0 ELSE 0.1 END AS t FROM heard), e AS (SELECT *, t - dist * (1.0::DOUBLE / 1460) AS emitted FROM a), m AS (SELECT *, emitted - avg(emitted) OVER (PARTITION BY ping_id) AS error FROM e)
+SELECT rx, CAST(floor(t / 86400) AS BIGINT) AS idx, count(*) AS pings, round(sqrt(avg(error * error)), 6) AS rms FROM m GROUP BY 1, 2""")
 def h5_evaluate_sync(spark: SparkSession, d: str) -> DataFrame:
     pings = _beacon_pings(spark, d)
     return r6(Y.evaluate_sync(pings, D.rx_distances(receivers(spark)), 1 / 1460), "rms")
 
 
-@query()
+def _leg(name: str, a: str, b: str) -> str:
+    """SQL of arrivals at b with the nearest emission of a within ten hours."""
+    return f"""{name} AS (SELECT tag, t, CASE WHEN n IS NULL OR t - p <= n - t THEN p ELSE n END AS src FROM (SELECT y.*, z.t AS n FROM (SELECT x.tag, x.t, q.t AS p FROM (SELECT * FROM det WHERE rx = '{b}') x ASOF LEFT JOIN (SELECT * FROM det WHERE rx = '{a}') q ON x.tag = q.tag AND x.t >= q.t) y
+ASOF LEFT JOIN (SELECT * FROM det WHERE rx = '{a}') z ON y.tag = z.tag AND y.t <= z.t)), {name}n AS (SELECT *, t - src AS dt, src / 86400 AS day FROM {name} WHERE abs(t - src) <= 36000)"""
+
+
+def _rms(leg: str, sign: str) -> str:
+    return f"(SELECT tag, shift, drift, sqrt(avg((dt {sign} (shift + drift * day)) ** 2)) AS rms FROM {leg}n, grid GROUP BY 1, 2, 3)"
+
+
+@query(f"""WITH {DET}, {_leg('ab', 'click', 'view')}, {_leg('ba', 'view', 'click')}, grid AS (SELECT 600.0::DOUBLE * i AS shift, 0.1::DOUBLE * j AS drift FROM range(-10, 11) a(i), range(-10, 11) b(j)),
+c AS (SELECT tag, shift, drift, p.rms + q.rms AS cost FROM {_rms('ab', '-')} p JOIN {_rms('ba', '+')} q USING (tag, shift, drift))
+SELECT tag, round(cost, 3) AS cost, shift, drift FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY cost, shift, drift) AS n FROM c) WHERE n = 1""")
 def h6_search_shift_drift(spark: SparkSession, d: str) -> DataFrame:
     det = detections(spark, d)
     legs = []

@@ -79,16 +79,36 @@ def _asof(points: str, leg: str, name: str, edge: str) -> str:
 LEGS = f"WITH {DET}, l1 AS (SELECT tag, t, sensor AS value FROM det WHERE rx = 'click'), l2 AS (SELECT tag, t, sensor AS value FROM det WHERE rx = 'view'), l3 AS (SELECT tag, t, sensor AS value FROM det WHERE rx = 'error'), "
 
 
-@query(LEGS + f"pts AS (SELECT tag, t FROM l1 UNION SELECT tag, t FROM l2) SELECT tag, round(t, 6) AS t, round((ab.v + ba.v) / 2, 5) AS travel, round((ab.v - ba.v) / 2, 5) AS skew FROM {_asof('pts', 'l1', 'ab', 'hold')} JOIN {_asof('pts', 'l2', 'ba', 'hold')} USING (tag, t)")
+@query(LEGS + f"pts AS (SELECT tag, t FROM l1 UNION SELECT tag, t FROM l2) SELECT tag, round(t, 6) AS t, round((ab.v + ba.v) / 2, 5) AS travel, round((ab.v - ba.v) / 2, 5) AS skew, EXISTS (SELECT 1 FROM l1 WHERE l1.tag = ab.tag AND l1.t = ab.t) AS src_is_a FROM {_asof('pts', 'l1', 'ab', 'hold')} JOIN {_asof('pts', 'l2', 'ba', 'hold')} USING (tag, t)")
 def e40_two_way_clock(spark: SparkSession, d: str) -> DataFrame:
     out = J.two_way_clock(_b(spark, d, "click"), _b(spark, d, "view"), ["tag"])
-    return r6(r6(out.select("tag", "t", "travel", "skew"), "t"), "travel", "skew", digits=5)
+    return r6(r6(out.select("tag", "t", "travel", "skew", "src_is_a"), "t"), "travel", "skew", digits=5)
 
 
-@query(LEGS + f"pts AS (SELECT tag, t FROM l1 UNION SELECT tag, t FROM l2 UNION SELECT tag, t FROM l3) SELECT tag, round(t, 6) AS t, round(a.v + b.v + c.v, 5) AS closure FROM {_asof('pts', 'l1', 'a', 'null')} JOIN {_asof('pts', 'l2', 'b', 'null')} USING (tag, t) JOIN {_asof('pts', 'l3', 'c', 'null')} USING (tag, t)")
+def _gap(points: str, leg: str, name: str) -> str:
+    """SQL of the distance in time to the nearest sample of a leg, by tag."""
+    return f"(SELECT z.tag, z.t, least(z.t - z.t0, n.t - z.t) AS v FROM (SELECT x.*, p.t AS t0 FROM {points} x ASOF LEFT JOIN {leg} p ON x.tag = p.tag AND x.t >= p.t) z ASOF LEFT JOIN {leg} n ON z.tag = n.tag AND z.t <= n.t) AS {name}"
+
+
+def _closure() -> str:
+    """SQL of the sums around a triangle of three receivers' legs."""
+    out, columns = "", ("skew", "travel", "stale")
+    for i, (a, b) in enumerate((("l1", "l2"), ("l2", "l3"), ("l3", "l1"))):
+        out += f"pts{i} AS (SELECT tag, t FROM {a} UNION SELECT tag, t FROM {b}), leg{i} AS (SELECT tag, t, (ab.v + ba.v) / 2 AS travel, (ab.v - ba.v) / 2 AS skew, ga.v + gb.v AS stale FROM {_asof(f'pts{i}', a, 'ab', 'hold')} JOIN {_asof(f'pts{i}', b, 'ba', 'hold')} USING (tag, t) JOIN {_gap(f'pts{i}', a, 'ga')} USING (tag, t) JOIN {_gap(f'pts{i}', b, 'gb')} USING (tag, t)), "
+        out += "".join(f"{c}{i} AS (SELECT tag, t, {c} AS value FROM leg{i}), " for c in columns)
+    out += "pts AS (SELECT tag, t FROM leg0 UNION SELECT tag, t FROM leg1 UNION SELECT tag, t FROM leg2)"
+    joins = " JOIN ".join(f"{_asof('pts', f'{c}{i}', f'{c[0:2]}{i}', 'null')}" + ("" if c == "skew" and i == 0 else " USING (tag, t)") for c in columns for i in range(3))
+    return f"{out}, net AS (SELECT tag, t, sk0.v + sk1.v + sk2.v AS skew, tr0.v + tr1.v + tr2.v AS travel, st0.v + st1.v + st2.v AS stale FROM {joins})"
+
+
+@query(LEGS + _closure() + " SELECT tag, round(t, 6) AS t, round(skew, 5) AS net_skew, round(travel, 5) AS net_travel, round(stale, 3) AS net_stale, stale < 250000 AS low_stale FROM net")
 def e41_triangle_closure(spark: SparkSession, d: str) -> DataFrame:
-    out = J.triangle_closure([_b(spark, d, r) for r in ("click", "view", "error")], ["tag"])
-    return r6(r6(out, "t"), "closure", digits=5)
+    rx, legs = ("click", "view", "error"), []
+    for a, b in zip(rx, rx[1:] + rx[:1], strict=True):
+        one, two = _b(spark, d, a), _b(spark, d, b)
+        legs.append(J.staleness(J.two_way_clock(one, two, ["tag"]), [one, two], ["tag"]))
+    out = J.triangle_closure(legs, ["tag"], max_stale=250_000.0)
+    return r6(r6(r6(out, "t"), "net_skew", "net_travel", digits=5), "net_stale", digits=3)
 
 
 @query(LEGS + "pts AS (SELECT tag, t, seq FROM det WHERE rx = 'signup'), g AS (SELECT p.seq, 1 AS leg, min(abs(p.t - l.t)) AS gap FROM pts p LEFT JOIN l1 l USING (tag) GROUP BY 1 UNION ALL SELECT p.seq, 2, min(abs(p.t - l.t)) FROM pts p LEFT JOIN l2 l USING (tag) GROUP BY 1) SELECT seq, round(CASE WHEN count(gap) = 2 THEN sum(gap) END, 4) AS stale FROM g GROUP BY seq")

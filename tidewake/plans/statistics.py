@@ -47,7 +47,7 @@ def h8_weighted_median(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def d13_boot_weighted_median(spark: SparkSession, d: str) -> DataFrame:
-    return S.boot_weighted_median(S.with_individual_weight(positions(spark, d)), "y", "w", 200)
+    return S.boot_weighted_median(S.with_individual_weight(positions(spark, d)), "y", "w", 1000)
 
 
 @query(PAIR + """ SELECT transect, slice, model, count(*) AS n, round(sqrt(avg(du * du + dv * dv)), 4) AS rmse, round(avg(sqrt(du * du + dv * dv)), 4) AS mae, round(avg(du), 4) AS bias_u, round(avg(dv), 4) AS bias_v,
@@ -98,7 +98,7 @@ def d26_circular_stats(spark: SparkSession, d: str) -> DataFrame:
 def d27_diel_permutation(spark: SparkSession, d: str) -> DataFrame:
     rows = positions(spark, d).groupBy("id").agg(F.avg("x").alias("v"), F.min("tnum").alias("t"))
     rows = rows.withColumn("theta", F.pmod("t", F.lit(86400.0)) / 86400 * 2 * F.pi())
-    return S.diel_permutation(rows, "id", "v", "theta", 199)
+    return S.diel_permutation(rows, "id", "v", "theta", 9999)
 
 
 @query(IW + ', b AS (SELECT round_even(x / 0.5, 0) * 0.5 AS v, sum(w) AS w FROM iw GROUP BY 1), t AS (SELECT sum(w) AS t FROM iw), g AS (SELECT i, i * 500.0 / 50 AS p FROM range(0, 51) r(i)) SELECT CAST(i AS INT) AS i, round(any_value(p), 6) AS "at", round(sum(w * exp(-0.5 * ((p - v) / 5.0) ** 2)) / any_value(t) / (5.0 * sqrt(2 * pi())), 9) AS density FROM b, g, t GROUP BY i')

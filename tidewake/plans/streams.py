@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions import exprs as X
 from tidewake.plans.registry import query
-from tidewake.plans.roles import DET, RECEIVERS, RX, detections, r6, receivers, table
+from tidewake.plans.roles import DET, POS, RECEIVERS, RX, detections, positions, r6, receivers, table
 from tidewake.session import shared_folder
 from tidewake.sources import readers as R
 from tidewake.streaming import jobs as S
@@ -32,8 +33,9 @@ def a2_a3_a4_receiver_lines(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("line_no", "type", "checksum", "tag", "temp", "sync_status", F.try_element_at("status", F.lit("VDC")).alias("vdc"))
 
 
-@query(f"""WITH {DET}, l AS (SELECT rx AS file, seq AS line_no, t, CASE WHEN seq % 10 = 0 THEN 'start' ELSE 'status' END AS kind, floor(t) + 0.5 AS fpga, date_trunc('second', time) AS time FROM det)
-SELECT file, line_no, time_pre, time AS time_post, fpga_pre, fpga AS fpga_post FROM (SELECT *, lag(time) OVER (PARTITION BY file ORDER BY line_no) AS time_pre, lag(fpga) OVER (PARTITION BY file ORDER BY line_no) AS fpga_pre FROM l) WHERE kind = 'start'""")
+@query(f"""WITH {DET}, l AS (SELECT rx AS file, seq AS line_no, t, CASE WHEN seq % 10 = 0 THEN 'start' ELSE 'status' END AS kind, floor(t) + 0.5 AS fpga, date_trunc('second', time) AS time,
+CASE WHEN seq % 10 = 0 THEN ' FPGA started!! Init FPGA clock using RTC=' || CAST(floor(t) AS BIGINT) || '.500000' ELSE ' RTC: 1.0 FPGA: ' || CAST(floor(t) AS BIGINT) || '.500000 dt=-0.3' END AS message FROM det)
+SELECT file, line_no, time_pre, time AS time_post, fpga_pre, fpga AS fpga_post, msg_pre, message AS msg_post FROM (SELECT *, lag(message) OVER (PARTITION BY file ORDER BY line_no) AS msg_pre, lag(time) OVER (PARTITION BY file ORDER BY line_no) AS time_pre, lag(fpga) OVER (PARTITION BY file ORDER BY line_no) AS fpga_pre FROM l) WHERE kind = 'start'""")
 def a5_clock_resets(spark: SparkSession, d: str) -> DataFrame:
     e = detections(spark, d)
     clock = F.format_string("%d.500000", F.floor("t"))
@@ -56,11 +58,54 @@ def a1_read_detections(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "epoch", "tag", "pressure", "temp", "station")
 
 
-@query(f"WITH {DET} SELECT CASE WHEN t < 1704800000 THEN 0 WHEN t < 1705300000 THEN 1 ELSE 2 END AS period, count(*) AS n, min(seq) AS first FROM det WHERE t >= 1704200000 AND t < 1705700000 GROUP BY 1")
+@query(f"""WITH {DET}, p AS (SELECT *, CASE WHEN t < 1704800000 THEN 0 WHEN t < 1705300000 THEN 1 ELSE 2 END AS period FROM det WHERE t >= 1704200000 AND t < 1705700000)
+SELECT 'detections' AS part, period, count(*) AS n, round(sum(seq), 3) AS total FROM p GROUP BY 2 UNION ALL SELECT 'receivers', period, count(*), CAST(sum(length(rx)) AS DOUBLE) FROM (SELECT DISTINCT period, rx FROM p) GROUP BY 2
+UNION ALL SELECT 'sound_speed', period, count(*), round(sum(1400 + k), 3) FROM p WHERE rx = 'view' GROUP BY 2""")
 def a8_export_periods(spark: SparkSession, d: str) -> DataFrame:
     at = f"{shared_folder(spark)}/a8-{uuid.uuid4().hex}"
-    R.export_periods(detections(spark, d).select("seq", "t"), [1704200000.0, 1704800000.0, 1705300000.0, 1705700000.0], at)
-    return spark.read.parquet(at).groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+    det = detections(spark, d)
+    rx = receivers(spark).withColumn("size", F.length("rx").cast("double"))
+    R.export_periods(det.select("seq", "rx", "t"), [1704200000.0, 1704800000.0, 1705300000.0, 1705700000.0], at, rx, det.where("rx = 'view'").select("t", (1400 + F.col("k")).alias("speed")))
+    out = None
+    for part, c in (("detections", "seq"), ("receivers", "size"), ("sound_speed", "speed")):
+        own = spark.read.parquet(f"{at}/{part}").groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col(c).cast("double")), 3).alias("total")).select(F.lit(part).alias("part"), "period", "n", "total")
+        out = own if out is None else out.union(own)
+    return out
+
+
+@query(f"WITH {POS} SELECT CAST(id AS VARCHAR) AS id, x, y, round(tnum, 6) AS tnum, x_sd, y_sd, CAST(num_rx AS INT) AS num_rx FROM pos")
+def a6_read_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Positions written as track files, a tag in each name, and read back."""
+    at = f"{shared_folder(spark)}/a6-{uuid.uuid4().hex}"
+    pos = positions(spark, d).select(F.concat(F.lit("track-"), "id", F.lit(".csv")).alias("f"), "seq", "x", "y", "tnum", "x_sd", "y_sd", "num_rx")
+    pos.repartition("f").sortWithinPartitions("f", "tnum").write.option("header", True).partitionBy("f").csv(at)
+    return r6(R.read_tracks(spark, f"{at}/*"), "tnum")
+
+
+@query(f"""WITH {DET}, g AS (SELECT date_trunc('day', time) + INTERVAL 20 HOUR AS time, round(avg(sensor), 4) AS value FROM det GROUP BY 1)
+SELECT epoch(time) AS t, value FROM g WHERE time >= TIMESTAMP '2024-01-04' AND time < TIMESTAMP '2024-01-26'""")
+def a9_read_gauge(spark: SparkSession, d: str) -> DataFrame:
+    """Daily means of all detections as a gauge file in local time, read for a range that they cover."""
+    at = f"{shared_folder(spark)}/a9-{uuid.uuid4().hex}"
+    days = detections(spark, d).groupBy(F.date_trunc("day", "time").alias("day")).agg(F.round(F.avg("sensor"), 4).alias("value"))
+    lines = days.select(F.concat_ws(",", F.date_format(F.col("day") + F.expr("INTERVAL 12 HOUR"), "MM/dd/yyyy HH:mm:ss"), "value").alias("value"))
+    lines.union(spark.createDataFrame([("station",), ("mean value",), ("time,value",)], "value string")).write.text(at)
+    got = R.read_gauge(spark, at, datetime(2024, 1, 5), datetime(2024, 1, 25), 8, 25.0)
+    return got.select(X.to_tnum(F.col("time")).alias("t"), "value")
+
+
+@query(f"""WITH {DET}, c AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY seq) - 1 AS col FROM det)
+SELECT 'S' || tag AS section, CAST(col AS INT) AS "column", sensor AS dist, CAST(tag AS DOUBLE) AS x, k AS y, -1.5 - tag % 7 AS z_bed, 1.5::DOUBLE AS z_surf, CAST(l AS INT) AS k, k / 8 AS u, l * 0.25 AS v, 0.5::DOUBLE AS dz FROM c, range(20, 23) r(l) WHERE l <= 20 + seq % 3""")
+def a12_parse_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as section files, a section for each tag and a water column for each event, and read back."""
+    at = f"{shared_folder(spark)}/a12-{uuid.uuid4().hex}"
+    top = 20 + F.col("seq") % 3
+    layers = F.transform(F.sequence(F.lit(20).cast("long"), top), lambda i: F.concat_ws(" ", i, F.col("k") / 8, i * 0.25, F.lit(0.5)))
+    head = F.concat_ws(" ", "sensor", F.col("tag").cast("double"), "k", F.col("seq") % 400, F.lit(20), top, -1.5 - F.col("tag") % 7, F.lit(1.5))
+    first = F.row_number().over(Window.partitionBy("tag").orderBy("seq")) == 1
+    rows = detections(spark, d).withColumn("value", F.concat_ws("\n", F.when(first, F.concat(F.lit("section S"), "tag")), head, F.concat_ws("\n", layers)))
+    rows.withColumn("part", F.col("tag")).repartition("part").sortWithinPartitions("part", "seq").select("value", "part").write.partitionBy("part").text(at)
+    return R.parse_sections(spark, f"{at}/*").drop("file")
 
 
 @query(f"WITH {DET} SELECT CASE rx WHEN 'error' THEN 'STATUS' WHEN 'signup' THEN 'SYNC' WHEN 'view' THEN 'unknown' ELSE 'DET' END AS type, count(*) AS n FROM det GROUP BY 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewake.operators import geo as G
 from tidewake.operators import survey as V
 from tidewake.operators import tracks as T
+from tidewake.operators import workloads as W
 from tidewake.plans.registry import query
 from tidewake.plans.roles import DET, GAUGE, HOURLY, POS, SEG, detections, gauge, hourly, positions, r6, table
 
@@ -138,11 +139,10 @@ def d30_section_flow(spark: SparkSession, d: str) -> DataFrame:
     return r6(V.section_flow(flux, edges), "flow", digits=4)
 
 
-@query(f"WITH {POS}, h AS (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY tnum) AS i, count(*) OVER (PARTITION BY id) AS n FROM pos), w AS (SELECT id, x, CASE WHEN n = 1 THEN 1 ELSE 0.5 - 0.5 * cos(2 * pi() * (i - 1) / (n - 1)) END AS w FROM h) SELECT id, CASE WHEN sum(w) <> 0 THEN round(sum(w * x) / sum(w), 5) END AS total FROM w GROUP BY id HAVING count(*) > 2")
+@query(f"WITH {POS}, h AS (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY tnum) AS i, count(*) OVER (PARTITION BY id) AS n FROM pos), w AS (SELECT id, x, CASE WHEN n = 1 THEN 1 ELSE 0.5 - 0.5 * cos(2 * pi() * (i - 1) / (n - 1)) END AS w FROM h) SELECT id, CASE WHEN sum(w) <> 0 THEN round(sum(w * x) / sum(w), 5) END AS total FROM w GROUP BY id")
 def d31_hann_total(spark: SparkSession, d: str) -> DataFrame:
     pos = positions(spark, d)
-    many = pos.groupBy("id").count().where("count > 2").select("id")
-    return r6(V.hann_total(pos.join(many, "id", "left_semi"), "id", "tnum", "x"), "total", digits=5)
+    return r6(V.hann_total(pos, "id", "tnum", "x"), "total", digits=5)
 
 
 def _rate(rx: str, name: str) -> str:
@@ -191,34 +191,35 @@ def d35_transect_flow(spark: SparkSession, d: str) -> DataFrame:
     return r6(r6(out, "flow", "area", digits=3), "mean_velocity", digits=8)
 
 
-@query(f"""WITH {PROF}, m AS (SELECT transect AS section, avg(x) AS mx, avg(dx) AS my, 0.5 * atan2(2 * covar_pop(x, dx), var_pop(x) - var_pop(dx)) AS a FROM prof GROUP BY 1)
-SELECT section, CAST(floor(((x - mx) * cos(a) + (dx - my) * sin(a)) / 10) AS BIGINT) AS dbin, CAST(floor(layer / 2) AS BIGINT) AS zbin, round(avg(u), 6) AS u, count(*) AS n FROM prof JOIN m ON section = transect GROUP BY 1, 2, 3""")
+@query(f"""WITH prof AS (SELECT l_returnflag AS transect, l_linestatus AS run, l_orderkey AS sample, l_extendedprice / 1000 AS x, l_quantity AS dx, l_linenumber AS layer, l_discount - 0.04 AS u, 0.5 + l_discount AS dz FROM lineitem),
+places AS (SELECT transect, run, sample, avg(x) AS x, avg(dx) AS y FROM prof GROUP BY 1, 2, 3), st AS (SELECT transect, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS d FROM places WINDOW w AS (PARTITION BY transect, run ORDER BY sample)),
+b AS (SELECT * FROM (SELECT transect, quantile_cont(d, 0.5) AS db FROM st GROUP BY 1) JOIN (SELECT transect, quantile_cont(dz, 0.1) AS zb FROM prof GROUP BY 1) USING (transect)), m AS (SELECT transect AS section, avg(x) AS mx, avg(dx) AS my, 0.5 * atan2(2 * covar_pop(x, dx), var_pop(x) - var_pop(dx)) AS a FROM prof GROUP BY 1)
+SELECT section, CAST(floor(((x - mx) * cos(a) + (dx - my) * sin(a)) / db) AS BIGINT) AS dbin, CAST(floor(layer / zb) AS BIGINT) AS zbin, round(avg(u), 6) AS u, count(*) AS n FROM prof JOIN m ON section = transect JOIN b USING (transect) GROUP BY 1, 2, 3""")
 def d36_average_transects(spark: SparkSession, d: str) -> DataFrame:
-    rows = _profiles(spark, d).select(F.col("transect").alias("section"), "x", F.col("dx").alias("y"), F.col("layer").alias("z"), "u")
-    return r6(V.average_transects(rows, 10.0, 2.0), "u")
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("section"), F.col("l_linestatus").alias("transect"), F.col("l_orderkey").alias("sample"), (F.col("l_extendedprice") / 1000).alias("x"),
+        F.col("l_quantity").alias("y"), F.col("l_linenumber").alias("z"), (F.col("l_discount") - 0.04).alias("u"), (0.5 + F.col("l_discount")).alias("dz"))
+    return r6(V.average_transects(rows), "u")
 
 
-TARGETS = "tg AS (SELECT i AS target, 20.0 + 20 * (i % 10) AS tx, 15.0 + 15 * (i // 10) AS ty FROM range(0, 50) r(i)), met AS (SELECT target, seq AS sid, x - tx AS ds, y - ty AS dn, x_sd AS z FROM tg, pos WHERE abs(floor(x / 20) - floor(tx / 20)) <= 1 AND abs(floor(y / 20) - floor(ty / 20)) <= 1), w AS (SELECT *, (5 + sqrt(ds ** 2 + (50 * dn) ** 2)) ** -2 AS w FROM met)"
+TARGETS = "tg AS (SELECT i AS target, 20.0 + 20 * (i % 10) AS tx, 15.0 + 15 * (i // 10) AS ty FROM range(0, 50) r(i)), met AS (SELECT target, seq AS sid, x - tx AS ds, y - ty AS dn, x_sd AS z FROM tg, pos), w AS (SELECT *, (5 + sqrt(ds ** 2 + (50 * dn) ** 2)) ** -2 AS w FROM met), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY sqrt(ds * ds + dn * dn), sid) AS r FROM w) WHERE r <= 8)"
 
 
 def _met(spark: SparkSession, d: str) -> DataFrame:
     targets = spark.range(50).select(F.col("id").alias("target"), (20.0 + 20 * (F.col("id") % 10)).alias("x"), (15.0 + 15 * F.floor(F.col("id") / 10)).alias("y"))
     samples = positions(spark, d).select(F.col("seq").alias("sid"), "x", "y", F.col("x_sd").alias("z"))
-    return G.near_samples(targets, samples, 20.0)
+    return G.near_samples(targets, samples, 20.0, 8)
 
 
-@query(f"WITH {POS}, {TARGETS} SELECT target, round(sum(w * z) / sum(w), 6) AS z FROM w GROUP BY target")
+@query(f"WITH {POS}, {TARGETS} SELECT target, round(sum(w * z) / sum(w), 6) AS z FROM k GROUP BY target")
 def d37_idw(spark: SparkSession, d: str) -> DataFrame:
     return r6(G.idw(_met(spark, d)), "z")
 
 
-@query(f"""WITH {POS}, {TARGETS}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY sqrt(ds * ds + dn * dn), sid) AS r FROM w) WHERE r <= 8), m AS (SELECT target, sum(w * ds) / sum(w) AS ms, sum(w * dn) / sum(w) AS mn, sum(w * z) / sum(w) AS mz FROM k GROUP BY target),
+@query(f"""WITH {POS}, {TARGETS}, m AS (SELECT target, sum(w * ds) / sum(w) AS ms, sum(w * dn) / sum(w) AS mn, sum(w * z) / sum(w) AS mz FROM k GROUP BY target),
 s AS (SELECT target, ms, mn, mz, sum(w * (ds - ms) ** 2) AS ss, sum(w * (ds - ms) * (dn - mn)) AS sn, sum(w * (dn - mn) ** 2) AS nn, sum(w * (ds - ms) * (z - mz)) AS sz, sum(w * (dn - mn) * (z - mz)) AS nz FROM k JOIN m USING (target) GROUP BY 1, 2, 3, 4)
-SELECT target, round(mz - coalesce((sz * nn - nz * sn) / nullif(ss * nn - sn * sn, 0), 0) * ms - coalesce((nz * ss - sz * sn) / nullif(ss * nn - sn * sn, 0), 0) * mn, 3) AS z FROM s WHERE target IN (SELECT target FROM k GROUP BY target HAVING count(*) = 8)""")
+SELECT target, round(mz - coalesce((sz * nn - nz * sn) / nullif(ss * nn - sn * sn, 0), 0) * ms - coalesce((nz * ss - sz * sn) / nullif(ss * nn - sn * sn, 0), 0) * mn, 3) AS z FROM s""")
 def d38_idw_plane(spark: SparkSession, d: str) -> DataFrame:
-    met = _met(spark, d)
-    enough = met.groupBy("target").count().where("count >= 8").select("target")
-    return r6(G.idw_plane(met.join(enough, "target", "left_semi"), 8), "z", digits=3)
+    return r6(G.idw_plane(_met(spark, d), 8), "z", digits=3)
 
 
 @query(f"WITH {POS} SELECT round_even(x / 25, 0) AS i, round_even(y / 25, 0) AS j, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(x_sd), 6) AS z, count(*) AS n FROM pos GROUP BY 1, 2")
@@ -261,3 +262,19 @@ def a9_coverage(spark: SparkSession, d: str) -> DataFrame:
     return r6(V.coverage(detections(spark, d).where("rx = 'view'"), 1704100000.0, 1706500000.0, 9000.0), "lo", "hi", "gap", digits=4)
 
 
+SCREENED = CROSS.replace(POS, POS.replace("pos AS", "raw AS", 1) + """, g AS (SELECT * FROM raw WHERE num_rx >= 2 AND sqrt(x_sd ** 2 + y_sd ** 2) <= 30), ge AS (SELECT id, min(tnum) AS a, max(tnum) AS b FROM g WHERE num_rx > 2 GROUP BY id),
+tw AS (SELECT g.* FROM g JOIN ge USING (id) WHERE tnum BETWEEN a AND b), pos AS (SELECT * FROM tw WHERE id IN (SELECT id FROM tw GROUP BY id HAVING max(tnum) - min(tnum) < 2588000 AND count(*) >= 5))""", 1)
+
+
+@query(SCREENED + """, ends AS (SELECT id, max(last) FILTER (gate = 'top') AS entered, min(first) FILTER (gate = 'low') AS left_, CAST(sum(reverse) AS BIGINT) AS reversals FROM summary GROUP BY id),
+sp AS (SELECT id, min(tnum) AS lo, max(tnum) AS hi FROM pos GROUP BY id), kept AS (SELECT pos.*, entered, left_, reversals FROM pos JOIN sp USING (id) LEFT JOIN ends USING (id) WHERE tnum BETWEEN greatest(entered, lo) AND least(left_, hi) AND id % 7 <> 3),
+vel AS (SELECT *, lead(tnum) OVER w - tnum AS dt, sqrt(((lead(x) OVER w - x) / (lead(tnum) OVER w - tnum) - sin(tnum / 3600)) ** 2 + ((lead(y) OVER w - y) / (lead(tnum) OVER w - tnum) - cos(tnum / 3600)) ** 2) AS speed FROM kept WINDOW w AS (PARTITION BY id ORDER BY tnum, seq)),
+ms AS (SELECT id, sum(speed * dt) / sum(dt) AS mean_speed, sum(dt) AS seconds, count(*) AS n FROM vel WHERE speed IS NOT NULL GROUP BY id), sds AS (SELECT id, sqrt(sum((speed - mean_speed) ** 2 * dt) / sum(dt)) AS std_speed FROM vel JOIN ms USING (id) WHERE speed IS NOT NULL GROUP BY id),
+q AS (SELECT id, sqrt(avg(x_sd ** 2 + y_sd ** 2)) AS rms_error, any_value(entered) AS entered, any_value(left_) AS left_, coalesce(any_value(reversals), 0) AS reversals FROM kept GROUP BY id)
+SELECT id, round(rms_error, 6) AS rms_error, round(entered, 3) AS entered, round(left_, 3) AS "left", reversals, round(mean_speed, 7) AS mean_speed, round(seconds, 3) AS seconds, n, round(std_speed, 7) AS std_speed FROM q LEFT JOIN ms USING (id) LEFT JOIN sds USING (id)""")
+def workload_screened_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Workload 2 over all events: positions of periods of ten days to screened tracks, a row each."""
+    pos = positions(spark, d).withColumns({"period": F.floor(F.col("tnum") / 864000), "water_u": F.sin(F.col("tnum") / 3600), "water_v": F.cos(F.col("tnum") / 3600)})
+    predators = pos.select("id").distinct().where("id % 7 = 3")
+    out = W.swim_metrics(W.screened_tracks(pos, _gates(spark), predators, "top", "low", 30.0, 2588000.0, 5))
+    return r6(r6(r6(out, "rms_error"), "entered", "left", "seconds", digits=3), "mean_speed", "std_speed", digits=7)

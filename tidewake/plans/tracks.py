@@ -148,10 +148,12 @@ def e13_smooth_position(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {POS}, s AS (SELECT *, coalesce(CAST(round_even((tnum - lag(tnum) OVER (PARTITION BY id ORDER BY tnum, seq)) / 3600, 0) AS BIGINT), 0) AS dd FROM pos), r AS (SELECT *, sum(dd) OVER (PARTITION BY id ORDER BY tnum, seq ROWS UNBOUNDED PRECEDING) AS step FROM s),
-k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, step ORDER BY tnum, seq) AS n FROM r) WHERE n = 1), a AS (SELECT id, unnest(range(0, CAST(max(step) AS BIGINT) + 1)) AS step FROM r GROUP BY id)
-SELECT a.id, CAST(a.step AS BIGINT) AS step, x, y FROM a LEFT JOIN k ON a.id = k.id AND a.step = k.step""")
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, step ORDER BY tnum, seq) AS n FROM r) WHERE n = 1), a AS (SELECT id, unnest(range(0, CAST(max(step) AS BIGINT) + 1)) AS step FROM r GROUP BY id),
+g AS (SELECT a.id, a.step, x, y, k.step AS own, last_value(k.step IGNORE NULLS) OVER lo AS s0, last_value(x IGNORE NULLS) OVER lo AS x0, last_value(y IGNORE NULLS) OVER lo AS y0, first_value(k.step IGNORE NULLS) OVER hi AS s1, first_value(x IGNORE NULLS) OVER hi AS x1, first_value(y IGNORE NULLS) OVER hi AS y1
+FROM a LEFT JOIN k ON a.id = k.id AND a.step = k.step WINDOW lo AS (PARTITION BY a.id ORDER BY a.step ROWS UNBOUNDED PRECEDING), hi AS (PARTITION BY a.id ORDER BY a.step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT id, CAST(step AS BIGINT) AS step, round(CASE WHEN own IS NULL THEN x0 + (x1 - x0) * (step - s0) / (s1 - s0) ELSE x END, 9) AS x, round(CASE WHEN own IS NULL THEN y0 + (y1 - y0) * (step - s0) / (s1 - s0) ELSE y END, 9) AS y FROM g""")
 def e15_expand_regular(spark: SparkSession, d: str) -> DataFrame:
-    return T.expand_regular(positions(spark, d), 3600.0).select("id", "step", "x", "y")
+    return r6(T.expand_regular(positions(spark, d), 3600.0, "linear", "first").select("id", "step", "x", "y"), "x", "y", digits=9)
 
 
 @query(f"WITH {SEG}, r AS (SELECT id, seq, count(head) OVER w AS n, sum(sin(head)) OVER w AS s, sum(cos(head)) OVER w AS c FROM seg WINDOW w AS (PARTITION BY id ORDER BY t1, seq ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)) SELECT id, seq, CASE WHEN n > 1 THEN round(atan2(s, c), 5) END AS circ_mean, CASE WHEN n > 1 THEN round(sqrt(-2 * ln(least(1.0, sqrt(s * s + c * c) / n))), 5) END AS circ_std FROM r")
@@ -209,13 +211,15 @@ def e32_trim_to_gates(spark: SparkSession, d: str) -> DataFrame:
     return T.trim_to_gates(pos, gates).select("id", "seq")
 
 
-@query(f"""WITH {POS}, ex AS (SELECT id, min(CASE WHEN x > 150 THEN tnum END) AS entry, min(CASE WHEN x > 200 THEN tnum END) AS ea, min(CASE WHEN y > 97 THEN tnum END) AS eb FROM pos GROUP BY id), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tnum, seq) AS n FROM pos) WHERE n = 1)
-SELECT f.id, CASE WHEN ea IS NULL AND eb IS NULL THEN 'no_exit' WHEN eb IS NULL OR ea <= eb THEN 'a' ELSE 'b' END AS route, round(coalesce(entry, tnum), 4) AS entry_time, round(least(ea, eb), 4) AS exit_time, x, y FROM f LEFT JOIN ex USING (id)""")
+@query(f"""WITH {POS}, ex AS (SELECT id, min(CASE WHEN x > 150 THEN tnum END) - 1800 AS entry, min(CASE WHEN x > 200 THEN tnum END) AS ea, min(CASE WHEN y > 97 THEN tnum END) AS eb FROM pos GROUP BY id), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tnum, seq) AS n FROM pos) WHERE n = 1), lo AS (SELECT ex.id, entry, p.tnum AS t0, p.x AS x0, p.y AS y0 FROM ex ASOF LEFT JOIN pos p ON ex.id = p.id AND entry >= p.tnum), lh AS (SELECT lo.*, n.tnum AS t1, n.x AS x1, n.y AS y1 FROM lo ASOF LEFT JOIN pos n ON lo.id = n.id AND entry <= n.tnum),
+entered AS (SELECT id, CASE WHEN t0 IS NULL THEN x1 WHEN t1 > t0 THEN x0 + (x1 - x0) * ((entry - t0) / (t1 - t0)) ELSE x0 END AS ax, CASE WHEN t0 IS NULL THEN y1 WHEN t1 > t0 THEN y0 + (y1 - y0) * ((entry - t0) / (t1 - t0)) ELSE y0 END AS ay FROM lh)
+SELECT f.id, CASE WHEN ea IS NULL AND eb IS NULL THEN 'no_exit' WHEN eb IS NULL OR ea < eb THEN 'a' ELSE 'b' END AS route, round(coalesce(ex.entry, tnum), 4) AS entry_time, round(least(ea, eb), 4) AS exit_time, round(coalesce(ax, x), 5) AS x, round(coalesce(ay, y), 5) AS y FROM f LEFT JOIN ex USING (id) LEFT JOIN entered USING (id)""")
 def e33_route_table(spark: SparkSession, d: str) -> DataFrame:
     pos = positions(spark, d)
     at = {"entry": "x > 150", "exit_a": "x > 200", "exit_b": "y > 97"}
     exits = pos.groupBy("id").agg(*[F.min(F.when(F.expr(c), F.col("tnum"))).alias(n) for n, c in at.items()])
-    return r6(T.route_table(pos, exits), "entry_time", "exit_time", digits=4)
+    exits = exits.withColumn("entry", F.col("entry") - 1800)  # a gate half an hour before
+    return r6(r6(T.route_table(pos, exits), "entry_time", "exit_time", digits=4), "x", "y", digits=5)
 
 
 @query(f"WITH {POS}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tnum DESC, seq DESC) AS n FROM pos) WHERE n = 1) SELECT id, CASE WHEN x > 30 AND y < 50 THEN 'branch' WHEN y >= 50 THEN 'main' ELSE 'none' END AS route FROM l")
@@ -228,6 +232,11 @@ def e35_transit_times(spark: SparkSession, d: str) -> DataFrame:
     return r6(T.transit_times(positions(spark, d)), "transit", "t", digits=4)
 
 
+@query(f"WITH {POS}, t AS (SELECT id, max(tnum) - min(tnum) AS transit, min(tnum) + (max(tnum) - min(tnum)) / 2 AS t FROM pos GROUP BY id), h AS (SELECT transit, floor(((t - 25200) - 86400 * floor((t - 25200) / 86400)) / 3600) AS hour FROM t) SELECT hour > 7 AND hour < 19 AS day, CAST(floor(transit / 86400) AS BIGINT) AS bin, count(*) AS n FROM h GROUP BY 1, 2")
+def e35_transit_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return T.transit_histogram(T.transit_times(positions(spark, d)), 86400.0)
+
+
 STEP = "st AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY tnum, seq) AS step, x, atan2(y - 50, x - 30) AS a FROM pos)"
 
 
@@ -259,17 +268,18 @@ def d14_track_means(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    return T.track_quality(positions(spark, d), _segments(spark, d), 36000.0)
+    pos = positions(spark, d).withColumns({"depth": F.col("x_sd"), "z": F.col("y_sd")})
+    return T.track_quality(pos, _segments(spark, d), 36000.0)
 
 
-METRICS = DV + """, q AS (SELECT id, count(*) AS ndetects, max(tnum) - min(tnum) AS t_elapsed, min(tnum) AS t0 FROM pos GROUP BY id), sd AS (SELECT id, stddev_pop(speed) AS vel_sd, avg(dvel) AS dvel_mag, stddev_pop(dvel) AS dvel_sd FROM dv GROUP BY id),
+METRICS = DV + """, q AS (SELECT id, count(*) AS ndetects, max(tnum) - min(tnum) AS t_elapsed, min(tnum) AS t0, max(x_sd) AS max_depth, avg(x_sd) AS avg_depth, avg(1 - least(1.0, y_sd / greatest(0.01, x_sd))) AS avg_ht, avg(y_sd) AS avg_z FROM pos GROUP BY id), sd AS (SELECT id, stddev_pop(speed) AS vel_sd, avg(dvel) AS dvel_mag, stddev_pop(dvel) AS dvel_sd FROM dv GROUP BY id),
 metrics AS (SELECT q.*, t_elapsed / 36000 - ndetects AS non_detects, ndetects / (t_elapsed / 36000) AS frac_detects, vel_sd, dvel_mag, dvel_sd, floor(((t0 - 25200) - 86400 * floor((t0 - 25200) / 86400)) / 3600) AS hour FROM q LEFT JOIN sd USING (id))"""
 
 
-@query(METRICS + " SELECT id, ndetects, round(t_elapsed, 4) AS t_elapsed, round(non_detects, 5) AS non_detects, round(frac_detects, 6) AS frac_detects, round(vel_sd, 8) AS vel_sd, round(dvel_mag, 8) AS dvel_mag, round(dvel_sd, 8) AS dvel_sd, hour > 7 AND hour < 19 AS daytime_entry FROM metrics")
+@query(METRICS + " SELECT id, ndetects, round(t_elapsed, 4) AS t_elapsed, round(non_detects, 5) AS non_detects, round(frac_detects, 6) AS frac_detects, round(vel_sd, 8) AS vel_sd, round(dvel_mag, 8) AS dvel_mag, round(dvel_sd, 8) AS dvel_sd, hour > 7 AND hour < 19 AS daytime_entry, round(max_depth, 6) AS max_depth, round(avg_depth, 6) AS avg_depth, round(avg_ht, 6) AS avg_ht, round(avg_z, 6) AS avg_z FROM metrics")
 def d15_track_quality(spark: SparkSession, d: str) -> DataFrame:
     out = r6(_metrics(spark, d).drop("pos_error"), "vel_sd", "dvel_mag", "dvel_sd", digits=8)
-    return r6(r6(r6(out, "t_elapsed", digits=4), "non_detects", digits=5), "frac_detects")
+    return r6(r6(r6(out, "t_elapsed", digits=4), "non_detects", digits=5), "frac_detects", "max_depth", "avg_depth", "avg_ht", "avg_z")
 
 
 @query(METRICS + " SELECT id, concat_ws(' ', CASE WHEN ndetects < 60 THEN 'invalid' END, CASE WHEN frac_detects < 0.95 THEN 'nondetects' END, CASE WHEN vel_sd > 0.02 THEN 'vel_sd' END) AS quality, ndetects < 60 OR t_elapsed > 720 * 3600.0 AS excluded FROM metrics")

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewake.functions.exprs import line_checksum
+from tidewake.functions.exprs import line_checksum, to_tnum
+from tidewake.operators.survey import coverage
 
 # Columns of the headerless detection file.
 DET_SCHEMA = "id long, year int, month int, day int, hour int, minute int, second int, epoch long, usec long, tag string, nbwQ double, corrQ double, num1 int, num2 int, one int, pressure double, temp double"
@@ -64,7 +65,7 @@ def parse_receiver_lines(lines: DataFrame) -> DataFrame:
 
 
 def clock_resets(log: DataFrame) -> DataFrame:
-    """Clock resets of a debug log (A5): file, line_no, time_pre, time_post, fpga_pre, fpga_post. log: file, line_no, time, message.
+    """Clock resets of a debug log (A5): file, line_no, time_pre, time_post, fpga_pre, fpga_post, msg_pre, msg_post. log: file, line_no, time, message.
 
     A start of the clock closes the last hourly status (or start) before it; a line before a set pairs with the next line."""
     w = Window.partitionBy("file").orderBy("line_no")
@@ -72,18 +73,19 @@ def clock_resets(log: DataFrame) -> DataFrame:
     number = lambda pattern: F.regexp_extract(m, pattern, 1).try_cast("double")
     status, started = number(r"^\s*RTC: [0-9.]+ FPGA: ([0-9.]+) dt="), number(r"^\s*FPGA started!! Init FPGA clock using RTC=([0-9.]+)")
     rows = log.withColumns({"time": F.to_timestamp("time", "MM/dd/yyyy HH:mm:ss"), "_status": status, "_started": started, "_fpga": number(r"FPGA=([0-9.]+)"), "_before": F.contains(m, F.lit("-Before SYNC"))})
-    state = F.when(F.coalesce("_status", "_started").isNotNull(), F.struct("time", F.coalesce("_status", "_started").alias("fpga")))
+    state = F.when(F.coalesce("_status", "_started").isNotNull(), F.struct("time", F.coalesce("_status", "_started").alias("fpga"), "message"))
     rows = rows.withColumn("_last", F.last(state, True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumns({"_next_time": F.lead("time").over(w), "_next_fpga": F.lead("_fpga").over(w)})
-    starts = rows.where("_started is not null").select("file", "line_no", F.col("_last.time").alias("time_pre"), F.col("time").alias("time_post"), F.col("_last.fpga").alias("fpga_pre"), F.col("_started").alias("fpga_post"))
-    sets = rows.where("_before").select("file", "line_no", F.col("time").alias("time_pre"), F.col("_next_time").alias("time_post"), F.col("_fpga").alias("fpga_pre"), F.col("_next_fpga").alias("fpga_post"))
+    rows = rows.withColumns({"_next_time": F.lead("time").over(w), "_next_fpga": F.lead("_fpga").over(w), "_next_message": F.lead("message").over(w)})
+    starts = rows.where("_started is not null").select("file", "line_no", F.col("_last.time").alias("time_pre"), F.col("time").alias("time_post"), F.col("_last.fpga").alias("fpga_pre"), F.col("_started").alias("fpga_post"), F.col("_last.message").alias("msg_pre"), m.alias("msg_post"))
+    sets = rows.where("_before").select("file", "line_no", F.col("time").alias("time_pre"), F.col("_next_time").alias("time_post"), F.col("_fpga").alias("fpga_pre"), F.col("_next_fpga").alias("fpga_post"), m.alias("msg_pre"), F.col("_next_message").alias("msg_post"))
     return starts.union(sets)
 
 
 def read_tracks(spark: SparkSession, glob: str) -> DataFrame:
     """Track files, the tag from the file name, the index column dropped."""
     rows = spark.read.csv(glob, schema=POSITION_SCHEMA, header=True, **NAN_AS_NULL)
-    return rows.select(F.regexp_extract(F.input_file_name(), r"track-(.*)\.csv", 1).alias("id"), *[c for c in rows.columns if c != "_row"])
+    columns = [c.split()[0] for c in POSITION_SCHEMA.split(", ")][1:]
+    return rows.select(F.regexp_extract(F.input_file_name(), r"track-([^/]*)\.csv", 1).alias("id"), *columns)
 
 
 def write_collection(nested: DataFrame, path: str) -> None:
@@ -95,9 +97,16 @@ def read_collection(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def export_periods(det: DataFrame, breaks: list[float], path: str) -> None:
-    """Detections by period of a break list, each in a folder of its own."""
-    with_period(det, breaks).where("period >= 0").write.mode("errorifexists").partitionBy("period").parquet(path)
+def export_periods(det: DataFrame, breaks: list[float], path: str, rx: DataFrame | None = None, speed: DataFrame | None = None) -> None:
+    """By period of a break list, each in a folder of its own (A8): detections, the receivers that heard any of them (rx: rx, ...) and the
+    sound speed (speed: t, ...), the last two where they are given."""
+    parts = {"detections": with_period(det, breaks)}
+    if rx is not None:
+        parts["receivers"] = parts["detections"].select("rx", "period").distinct().join(rx, "rx")
+    if speed is not None:
+        parts["sound_speed"] = with_period(speed, breaks)
+    for name, rows in parts.items():
+        rows.where("period >= 0").write.mode("errorifexists").partitionBy("period").parquet(f"{path}/{name}")
 
 
 def with_period(det: DataFrame, breaks: list[float]) -> DataFrame:
@@ -106,13 +115,20 @@ def with_period(det: DataFrame, breaks: list[float]) -> DataFrame:
     return det.withColumn("period", F.when(F.col("t") < breaks[-1], at).otherwise(-1))
 
 
-def read_gauge(spark: SparkSession, path: str, start, end, offset_h: int = 8) -> DataFrame:
-    """Gauge file with three header lines: UTC times within a day of the range, finite values (A9; see survey.coverage)."""
+def read_gauge(spark: SparkSession, path: str, start, end, offset_h: int = 8, max_gap_h: float = 2.5) -> DataFrame:
+    """Gauge file with three header lines: UTC times within a day of the range, finite values (A9). An error where the file does not reach
+    over the range and a day on either side, or holds a gap of max_gap_h hours or more there."""
     rows = spark.read.text(path).select(F.split("value", ",").alias("f")).where(F.get("f", F.lit(0)).rlike(r"^\d"))
     time = F.coalesce(*[F.try_to_timestamp(F.get("f", F.lit(0)), F.lit(p)) for p in ("MM/dd/yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss")])
     rows = rows.select((time + F.make_dt_interval(hours=F.lit(offset_h))).alias("time"), F.get("f", F.lit(1)).try_cast("double").alias("value"))
     day = F.make_dt_interval(days=F.lit(1))
-    return rows.where((F.col("time") >= F.lit(start) - day) & (F.col("time") < F.lit(end) + day) & F.col("value").isNotNull() & ~F.isnan("value"))
+    good = rows.where(F.col("time").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    kept = good.where((F.col("time") >= F.lit(start) - day) & (F.col("time") < F.lit(end) + day))
+    ends = good.agg(F.coalesce((F.min("time") <= F.lit(start) - day) & (F.max("time") >= F.lit(end) + day), F.lit(False)).alias("reaches")).first()
+    gap = coverage(kept.select(to_tnum(F.col("time")).alias("t")), 0.0, 0.0, max_gap_h * 3600).first()["gap"]
+    if not ends["reaches"] or gap is None or gap >= max_gap_h * 3600:
+        raise ValueError(f"{path} does not cover {start} to {end}, with a day on either side: largest gap {gap} s")
+    return kept
 
 
 def parse_sections(spark: SparkSession, paths: str | list[str]) -> DataFrame:
