@@ -3,15 +3,16 @@
 The content view is what the words are: hashed words and shapes of words, and shares of symbols, capitals, digits and
 repeats. The metadata view is what a crawl's record tells without reading: language, source, length and layout (lines and
 their length). Each view is a logistic regression, fitted to the labelled rows by Adagrad. Then, in each round, both views
-score all unlabelled documents on Spark; those beyond a view's own quantiles of score, a larger share in each round and in
-the labelled rows' proportion, are lessons for the other view: the gradients of all of them are summed on Spark and make
-one step, as if they were LESSONS times as many rows as the labelled ones, and a pass over the labelled rows follows. A
-held-back part of the labelled rows calibrates either view, and a last regression weighs the two calibrated views; in both,
-rows count as often as all labelled rows of their class have them. Every document is scored, and a document is rejected
-only if its combined score is below CUT.
-
-Every whole text is read once, for its features, which are a table that rounds and scoring read. Labelled rows are a bounded
-sample chosen by hash (ROWS_PER_CLASS, BYTES_PER_CLASS); unlabelled ones are all used. Per round, the driver gets counts by
+score all documents but the fitted ones on Spark, labels unseen; those beyond a view's own quantiles of score, a larger
+share in each round and in the labelled rows' proportion, are lessons for the other view: the gradients of all of them are
+summed on Spark and make one step, as if they were LESSONS times as many rows as the labelled ones, and a pass over the
+labelled rows follows. A held-back part of the labelled rows calibrates either view, and a last regression weighs the two
+calibrated views; in both, rows count as often as all labelled rows of their class have them. Every document is scored, and
+a document is rejected only if its combined score is below CUT.
+
+Every whole text is read once, for its features, which are a table that rounds and scoring read where it is, without a
+shuffle. The fitted rows are a bounded sample of the labelled ones, chosen by hash (ROWS_PER_CLASS, BYTES_PER_CLASS); all
+other documents count as unlabelled, those with a label that the fit does not read too. Per round, the driver gets counts by
 score bin and one sum for each feature, which do not grow with the documents.
 
 Null and empty texts have no words and are scored by their metadata and bias. Null lang, source or n_chars are values of
@@ -196,7 +197,7 @@ class CoTraining:
         self.weights, self.constant = np.array([1.0, 0.0, 0.0]), None
 
     def fit(self, content: Rows, meta: Rows, labels: np.ndarray, pool: DataFrame | None = None, seed: int = 11, weights: np.ndarray | None = None) -> CoTraining:
-        """pool: the features of unlabelled documents."""
+        """pool: the features of the documents that count as unlabelled."""
         weights = np.ones(len(labels)) if weights is None else weights
         if len(set(labels.tolist())) < 2:
             self.constant = 1.0
@@ -315,16 +316,15 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def train_on(rows: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS, bytes_per_class: int = BYTES_PER_CLASS) -> CoTraining:
-    """Views taught by labelled rows of a table of features, and by all others."""
+    """Views taught by a sample of the labelled rows of a table of features, and by all other rows, without their labels."""
     there, picked = picked_labels(labels, "quality", F.lit(True), per_class)
     bound = F.broadcast(picked)  # 2 * per_class rows at most
     held = rows.join(bound, "doc_id").withColumn("of_row", F.xxhash64(*[c.split()[0] for c in FEATURES.split(", ")])).dropDuplicates(["doc_id", "of_row"])
     held = written(held.withColumns({"bytes": (F.octet_length("keys") * 3).cast("long"), "place": F.xxhash64("doc_id")}), "quality-training")
     known = within_bytes(held, "label", "bytes", ["place", "doc_id", "of_row"], bytes_per_class).drop("bytes", "place").toPandas()
     known = with_weights(known.sort_values(["doc_id", "of_row"]).reset_index(drop=True), there)
-    pool = rows.join(there.select("doc_id"), "doc_id", "left_anti")
-    if len(set(known["label"])) == 2:  # without both classes there is nothing to teach
-        pool = written(pool, "quality-pool")
+    fitted = rows.sparkSession.createDataFrame(known[["doc_id"]].drop_duplicates(), "doc_id long")  # the same bound
+    pool = rows.join(F.broadcast(fitted), "doc_id", "left_anti")
     return CoTraining().fit(Rows.of(known), Rows.of(known, "meta_"), known["label"].to_numpy(np.int64), pool, weights=known["weight"].to_numpy())
 
 
