@@ -121,6 +121,19 @@ def test_clock_pair_drops_bad_matches(spark):
     assert abs(got["slope"] - 1.0001) < 1e-6 and got["n"] == 100 and got["rms"] < 1e-6
 
 
+def test_contradictions_of_a_match(spark):
+    a = spark.createDataFrame([(1, 7, 100.0), (2, 7, 130.0), (3, 7, 160.0), (4, 9, 500.0), (5, None, 1.0), (6, 9, None)], "seq long, tag int, t double")
+    b = spark.createDataFrame([(1, 7, 110.0), (2, 7, 143.0), (3, 7, 171.0), (4, 9, 530.0), (5, None, 1.0)], "seq long, tag int, t double")
+    match = spark.createDataFrame([(1, 1), (3, 3)], "seq_a long, seq_b long")
+    for width in (10.0, 25.0, 86400.0):  # slices do not show
+        got = D.contradictions(a, b, match, F.lit(30.0), shift=10.0, slice_seconds=width).collect()
+        # Of tag 7 at 140 and 143 neither hit is matched; 143 lies 27 before the next. Tag 9's hits lie 20 apart.
+        assert sorted(tuple(r) for r in got) == [(7, "a", 2, "b", 2, 3.0), (9, "a", 4, "b", 4, 20.0)]
+        strict = D.contradictions(a, b, match, F.when(F.col("tag") == 7, 30.0).otherwise(20.0), shift=10.0, share=1.0, slice_seconds=width)
+        assert sorted((r["tag"], r["seq_1"], r["seq_2"], r["gap"]) for r in strict.collect()) == [(7, 2, 2, 3.0), (7, 2, 3, 27.0)]
+    assert D.contradictions(a.limit(0), b.limit(0), match, F.lit(30.0)).count() == 0
+
+
 def test_student_tail():
     assert np.allclose(H.student_tail(np.array([0.0, 2.0, 12.706]), np.array([5.0, 10.0, 1.0])), [1.0, 0.07338803, 0.05], atol=1e-5)
 

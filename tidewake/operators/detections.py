@@ -131,6 +131,27 @@ def merge_matched(a: DataFrame, b: DataFrame, match: DataFrame, slope: float = 1
     return out.select(F.coalesce("tag_a", "tag_b").alias("tag"), F.least(F.col("t_a") * slope + shift, "t_b").alias("t"), "seq_a", "seq_b", "t_a", "t_b")
 
 
+def contradictions(a: DataFrame, b: DataFrame, match: DataFrame, interval: Column, slope: float = 1.0, shift: float = 0.0, share: float = 0.8, slice_seconds: float = 86400.0) -> DataFrame:
+    """Hits of a tag that follow each other in two records, a's on b's clock by the fitted line, closer than share of the tag's
+    interval though not both are matched: signs that a match is wrong (C14). a, b: seq, tag, t; match: seq_a, seq_b; interval:
+    seconds, over tag. Equal times: a's first, then by seq. Hits without tag or time take no part. Slices of time are sorted
+    apart, and each begins with the tag's last hit before it, from a summary with one row a tag and slice."""
+    sides = []
+    for det, side, t in ((a, "a", F.col("t") * slope + shift), (b, "b", F.col("t"))):
+        known = match.select(F.col(f"seq_{side}").alias("_seq")).distinct().withColumn("matched", F.lit(True))
+        own = det.where("tag is not null and t is not null").select("tag", F.struct(t.cast("double").alias("t"), F.lit(side).alias("side"), "seq").alias("_hit"))
+        own = own.join(known, F.col("_hit.seq") == F.col("_seq"), "left")
+        sides.append(own.select("tag", F.col("_hit").withField("matched", F.coalesce("matched", F.lit(False))).alias("hit")))
+    rows = sides[0].unionByName(sides[1]).withColumn("_slice", F.floor(F.col("hit.t") / slice_seconds))
+    last = rows.groupBy("tag", "_slice").agg(F.max("hit").alias("_last"))
+    edges = last.select("tag", "_slice", F.lag("_last").over(Window.partitionBy("tag").orderBy("_slice")).alias("_edge"))
+    inside = F.lag("hit").over(Window.partitionBy("tag", "_slice").orderBy("hit"))
+    pairs = rows.join(edges, ["tag", "_slice"]).select("tag", "hit", F.coalesce(inside, "_edge").alias("before"))
+    gap = F.col("hit.t") - F.col("before.t")
+    pairs = pairs.where((gap < share * interval) & ~(F.col("hit.matched") & F.col("before.matched")))
+    return pairs.select("tag", F.col("before.side").alias("side_1"), F.col("before.seq").alias("seq_1"), F.col("hit.side").alias("side_2"), F.col("hit.seq").alias("seq_2"), gap.alias("gap"))
+
+
 def rx_locations(shots: DataFrame) -> DataFrame:
     """Mean place of repeated survey shots of a receiver."""
     return shots.groupBy("rx").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"))

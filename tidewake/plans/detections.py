@@ -168,17 +168,34 @@ def c13_match_candidates(spark: SparkSession, d: str) -> DataFrame:
     return D.match_candidates(detections(spark, d), 600.0).select("tag", "seq_a", "seq_b", "rx_a", "rx_b")
 
 
+def _two_records(det: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two receivers' records and one match for a hit at most."""
+    a, b = det.where("rx = 'click'"), det.where("rx = 'view'")
+    pairs = D.match_candidates(a.unionByName(b), 1800.0).groupBy("seq_a").agg(F.min("seq_b").alias("seq_b"))
+    return a, b, pairs.groupBy("seq_b").agg(F.min("seq_a").alias("seq_a"))
+
+
 @query(f"""WITH {DET}, m AS (SELECT a.seq AS seq_a, min(b.seq) AS seq_b FROM det a JOIN det b ON a.tag = b.tag AND a.rx = 'click' AND b.rx = 'view' AND abs(a.t - b.t) < 1800 GROUP BY 1),
 o AS (SELECT seq_b, min(seq_a) AS seq_a FROM m GROUP BY 1), a AS (SELECT * FROM det WHERE rx = 'click'), b AS (SELECT * FROM det WHERE rx = 'view'), l AS (SELECT a.*, o.seq_b FROM a LEFT JOIN o ON a.seq = o.seq_a)
 SELECT coalesce(l.tag, b.tag) AS tag, round(least(l.t * 1.00000001::DOUBLE + 90, b.t), 6) AS t, l.seq AS seq_a, b.seq AS seq_b FROM l FULL JOIN b ON l.seq_b = b.seq""")
 def c15_merge_matched(spark: SparkSession, d: str) -> DataFrame:
     det = detections(spark, d)
-    a, b = det.where("rx = 'click'"), det.where("rx = 'view'")
-    pairs = D.match_candidates(a.unionByName(b), 1800.0).groupBy("seq_a").agg(F.min("seq_b").alias("seq_b"))
-    match = pairs.groupBy("seq_b").agg(F.min("seq_a").alias("seq_a"))
+    a, b, match = _two_records(det)
     return r6(D.merge_matched(a, b, match, 1.00000001, 90.0).select("tag", "t", "seq_a", "seq_b"), "t")
 
 
+@query(f"""WITH {DET}, m AS (SELECT a.seq AS seq_a, min(b.seq) AS seq_b FROM det a JOIN det b ON a.tag = b.tag AND a.rx = 'click' AND b.rx = 'view' AND abs(a.t - b.t) < 1800 GROUP BY 1),
+o AS (SELECT seq_b, min(seq_a) AS seq_a FROM m GROUP BY 1),
+h AS (SELECT tag, t * 1.00000001::DOUBLE + 90 AS t, 'a' AS side, seq, seq IN (SELECT seq_a FROM o) AS matched FROM det WHERE rx = 'click'
+  UNION ALL SELECT tag, t, 'b', seq, seq IN (SELECT seq_b FROM o) FROM det WHERE rx = 'view'),
+n AS (SELECT *, lag(t) OVER w AS t_1, lag(side) OVER w AS side_1, lag(seq) OVER w AS seq_1, lag(matched) OVER w AS matched_1 FROM h WINDOW w AS (PARTITION BY tag ORDER BY t, side, seq))
+SELECT tag, side_1, seq_1, side AS side_2, seq AS seq_2, round(t - t_1, 3) AS gap FROM n WHERE t - t_1 < 0.8 * CASE WHEN tag <= 5 THEN 7200.0::DOUBLE ELSE 3600.0::DOUBLE END AND NOT (matched AND matched_1)""")
+def c14_contradictions(spark: SparkSession, d: str) -> DataFrame:
+    a, b, match = _two_records(detections(spark, d))
+    interval = F.when(F.col("tag") <= 5, 7200.0).otherwise(3600.0)  # of beacons and of other tags
+    return r6(D.contradictions(a, b, match, interval, 1.00000001, 90.0), "gap", digits=3)
+
+
 @query(f"WITH {DET} SELECT rx, round(avg(sensor), 6) AS x, round(avg(k), 6) AS y, round(avg(-k / 10), 6) AS z FROM det GROUP BY rx")
 def d1_rx_locations(spark: SparkSession, d: str) -> DataFrame:
     shots = detections(spark, d).select("rx", F.col("sensor").alias("x"), F.col("k").alias("y"), (-F.col("k") / 10).alias("z"))
