@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import bpe, kdsearch, licenses, neardup, packing, quality, surrogates, toxicity, warc, winnowing
+from tidewake.llm import bpe, extract, kdsearch, licenses, neardup, packing, quality, spelling, surrogates, toxicity, warc, whitening, winnowing
 
 #: The key of the surrogates in the query and the pipeline; a production run passes its own.
 SURROGATE_KEY = "tidewake"
@@ -65,6 +65,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, length=2048).drop("ids")
 
 
+def op11_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_texts(_table(spark, sf_dir, "pages"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
