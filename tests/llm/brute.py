@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import string
+import zlib
+from collections import Counter
+from html import unescape
 
+import numpy as np
 import regex
 from tidewake.llm import surrogates as S
 
@@ -171,3 +177,51 @@ def replaced(texts: list[str | None], secret: str) -> list[tuple[str | None, int
         kinds = [x[3] for x in f if x[3] != "none"]
         out.append((None if t is None else made + t[at:], len(kinds), sorted(set(kinds))))
     return out
+
+
+def article_between_tags(html: str) -> str:
+    """The article of a page like those of the given table, by its tags alone."""
+    inside = re.search(r"(?s)<article>(.*?)</article>", html)[1]
+    lines = (" ".join(unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", inside))
+    return "\n".join(x for x in lines if x)
+
+
+def whitening(vectors: list, k: int) -> tuple[int, dict, np.ndarray]:
+    """Distinct vectors, deviation by vector, and eigenvalues over their sum, by floats."""
+    x = [tuple(math.floor(256 * c) for c in v) for v in vectors if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    fit = np.array(sorted(set(x)), object)
+    n, sums = len(fit), fit.sum(0)
+    values = np.linalg.eigvalsh(np.cov(fit.astype(float).T, bias=True))[::-1]
+    return n, {v: int(((n * np.array(v, object) - sums) ** 2).sum()) for v in set(x)}, values[:k] / values.sum()
+
+
+def spelling_words(docs: list[tuple]) -> Counter:
+    """Counts of the words of (doc_id, text)."""
+    lower, out = str.maketrans(string.ascii_uppercase, string.ascii_lowercase), Counter()
+    for i, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(lower)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            out[run if h % 97 else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
+    return Counter({w: n for w, n in out.items() if len(w) >= 5 and n >= 3})
+
+
+def spelling_variants(counts: Counter) -> set[tuple]:
+    """word, form, root, n, n_near, form_n by a look-up of every string one edit away."""
+    letters = {c for w in counts for c in w}
+
+    def near(w: str) -> set[str]:
+        cuts = [(w[:i], w[i:]) for i in range(len(w) + 1)]
+        all_of = {a + b[1:] for a, b in cuts if b} | {a + c + b[1:] for a, b in cuts if b for c in letters} | {a + c + b for a, b in cuts for c in letters}
+        return (all_of & counts.keys()) - {w}
+
+    found = {w: near(w) for w in counts}
+    best = {w: min(x, key=lambda v: (-counts[v], v)) if x else None for w, x in found.items()}
+    form = {w: b if b and counts[b] >= 2 * counts[w] else None for w, b in best.items()}
+
+    def root(w: str) -> str:
+        while form[w]:
+            w = form[w]
+        return w
+
+    return {(w, form[w], root(w), n, len(found[w]), counts[form[w]] if form[w] else None) for w, n in counts.items()}
