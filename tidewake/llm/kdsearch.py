@@ -12,8 +12,9 @@ query meets each shard once, which a search of all rows needs, and only the k be
 
 Scores are exact at every size that fits in a long: products that floats cannot hold are summed as 64-bit integers, and
 bounds are rounded up. Scores beyond a long are not defined. Vectors that are null or hold null or non-finite components
-take no part, as queries or candidates; nor do empty ones. Vectors of another length than the query's are no candidates. Of
-rows with one vec_id the shortest and then the least vector counts, once. A table with one vector gives no rows.
+take no part, as queries or candidates; nor do empty ones. Vectors of another length than the query's are no candidates. Rows
+with one vec_id and different vectors are candidates each, though not of their own id's query; a repeated row counts once. Of
+such rows the shortest and then the least vector asks. A table with one vector gives no rows.
 """
 
 from __future__ import annotations
@@ -139,7 +140,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     picked = all_of.where(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("x")).select("vec_id", "x.dim", "x.v")
     queries = written(picked.mapInPandas(first_kth, "vec_id long, dim int, v array<long>, kth long"), "kd-queries")
     groups = max(1, -(-queries.count() // group_rows))
-    rows = all_of.withColumns({"shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"), "kth": F.lit(NONE), "kind": F.lit(0)})
+    rows = all_of.withColumns({"shard": F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int"), "kth": F.lit(NONE), "kind": F.lit(0)})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come by shard and group: first the vectors by vec_id, dim and v, then the queries."""
@@ -152,7 +153,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
                     waiting.append(x[["vec_id", "dim", "v"]])
                     continue
                 if waiting:
-                    own, waiting = pd.concat(waiting).drop_duplicates("vec_id"), []
+                    own, waiting = pd.concat(waiting), []
+                    own = own[~own.assign(v=[np.asarray(v).tobytes() for v in own["v"]]).duplicated()]
                     trees = {dim: Tree(t["vec_id"].to_numpy(), np.array(t["v"].tolist(), np.int64)) for dim, t in own.groupby("dim")}
                 out = []
                 for i, dim, v, kth in zip(x["vec_id"], x["dim"], x["v"], x["kth"], strict=True):

@@ -84,7 +84,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _TOP_K = """
 WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+q AS (SELECT vec_id, min({'n': len(v), 'v': v}).v AS v FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
@@ -115,13 +116,13 @@ def _warc_sql() -> str:
 
     crlf = "chr(13) || chr(10)"
     # The rules of the markup, written apart from the operator's.
-    gone = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>|<template\b[^>]*>.*?</template\s*>|<!--.*?-->"
-    ends = r"(?i)<(?:br|hr|/(?:p|div|li|h[1-6]|tr|article|section|title|table|ul|ol))\b[^>]*>"
-    tag = r"(?s)<[/!?a-zA-Z][^>]*>"
+    gone = "(?is)" + "".join(rf"<{t}\b[^>]*(?:>.*?(?:</{t}\s*>|\z)|\z)|" for t in ("script", "style", "noscript", "template")) + r"<!--.*?(?:-->|\z)"
+    ends = r"(?i)<(?:br|hr|/(?:p|div|li|h[1-6]|tr|article|section|title|table|ul|ol))\b[^>]*(?:>|\z)"
+    tag = r"(?s)<[/!?a-zA-Z][^>]*(?:>|\z)"
     plain = squeezed(unescaped(sub(sub(sub("html", gone, "' '"), ends, "chr(10)"), tag, "''")))
-    title = squeezed(unescaped(sub(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)", tag, "''")))
-    links = "regexp_extract_all(html, " + lit(r"(?i)<a\s[^>]*?href=[\"']([^\"'<>\s]+)[\"']") + ", 1)"
-    language = "lower(regexp_extract(html, " + lit(r"(?i)<html[^>]*\blang=[\"']?([a-z-]+)") + ", 1))"
+    title = squeezed(unescaped(sub(r"regexp_extract(html, '(?is)<title[^>]*(?:>(.*?)(?:</title|\z)|\z)', 1)", tag, "''")))
+    links = "regexp_extract_all(html, " + lit(r"(?i)<a\s[^<>]*?href=[\"']([^\"'<>\s]+)[\"']") + ", 1)"
+    language = "lower(regexp_extract(regexp_extract(html, " + lit(r"(?is)\A.*?<html\b([^>]*)") + ", 1), " + lit(r"(?i)\blang=[\"']?([a-z-]+)") + ", 1))"
     fields = (
         f"'http-status-line: HTTP/1.1 200 OK' || {crlf} || 'http-header-content-type: text/html; charset=utf-8' || {crlf} || 'http-header-content-length: ' || strlen(html) || {crlf} || 'title: ' || {title} || {crlf} || 'language: ' || "
         f"{language} || {crlf} || 'outlinks: ' || len({links}) || {crlf} || array_to_string(list_transform({links}, lambda x: 'outlink: ' || x || {crlf}), '')"

@@ -56,8 +56,8 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?!\d)",
-    "secret": rf"(?<![0-9A-Za-z])(?:{_HEX}|AKIA[0-9A-Z]{{16}}|sk-[A-Za-z0-9]{{20,64}})(?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}})(?:{_FORMS})\.? \p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?(?!\p{{L}})",
+    "secret": rf"(?<![0-9A-Za-z])(?:{_HEX}|AKIA[0-9A-Z]{{16}}|sk-(?:(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{{20,}}+|[A-Za-z0-9]{{20,}}+))(?![0-9A-Za-z])",
+    "name": rf"(?<!\p{{L}})(?:{_FORMS})\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?",
 }
 # No pattern begins inside a word but those that begin with a digit, a plus or a bracket: other places are passed by at once.
 ANY = "(?:(?<![A-Za-z])|(?=[\\d+(]))(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"

@@ -6,7 +6,8 @@ named and numeric character references spelt out. Identifiers are made from the
 same name. All columns are expressions: one pass, no shuffle.
 
 A null payload counts as empty: its conversion is empty and its digests are those of no bytes. A null URI stays null and
-is left out of the header. A null http_header has no lines. References to no character stay as they are. A repeated row
+is left out of the header. A null http_header has no lines. A comment, script, title or tag without its end reaches to the page's
+end, as in browsers; a link's address is found in front of any angle bracket within its tag. References to no character stay as they are. A repeated row
 gives its two records again, under the same identifiers, as they are the same records; extra columns are not read.
 """
 
@@ -20,12 +21,13 @@ from pyspark.sql import functions as F
 from tidewake.llm.common import let
 
 # Patterns of markup, in the dialect that Java and RE2 share.
-DROPPED = "(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("script", "style", "noscript", "template")) + "|<!--.*?-->"
-BLOCK_ENDS = r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/article|/section|/title|/table|/ul|/ol|hr)\b[^>]*>"
-ANY_TAG = r"(?s)<[a-zA-Z/!?][^>]*>"
-TITLE = r"(?is)<title[^>]*>(.*?)</title"
-LANGUAGE = r"(?i)<html[^>]*\blang=[\"']?([a-z-]+)"
-LINK = r"(?i)<a\s[^>]*?href=[\"']([^\"'<>\s]+)[\"']"
+# What has no end reaches to the page's end, so no place is passed twice, whatever the page.
+DROPPED = "(?is)" + "|".join(rf"<{t}\b[^>]*(?:>.*?(?:</{t}\s*>|\z)|\z)" for t in ("script", "style", "noscript", "template")) + r"|<!--.*?(?:-->|\z)"
+BLOCK_ENDS = r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/article|/section|/title|/table|/ul|/ol|hr)\b[^>]*(?:>|\z)"
+ANY_TAG = r"(?s)<[a-zA-Z/!?][^>]*(?:>|\z)"
+TITLE = r"(?is)<title[^>]*(?:>(.*?)(?:</title|\z)|\z)"
+FIRST_TAG, LANGUAGE = r"(?is)\A.*?<html\b([^>]*)", r"(?i)\blang=[\"']?([a-z-]+)"
+LINK = r"(?i)<a\s[^<>]*?href=[\"']([^\"'<>\s]+)[\"']"
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 #: Named references by the standard's table; a no-break space is read as a space.
 NAMED = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'", "nbsp": " "}
@@ -92,11 +94,11 @@ def derivatives(records: DataFrame) -> DataFrame:
     source = _digest(F.col("payload"))
     title = _squeezed(_unescaped(F.regexp_replace(F.regexp_extract("payload", TITLE, 1), ANY_TAG, "")))
     links = F.regexp_extract_all("payload", F.lit(LINK), F.lit(1))
-    lines = F.split(F.regexp_replace(F.coalesce("http_header", F.lit("")), r"(\r\n)+$", ""), "\r\n")
-    headers = F.transform(F.filter(F.slice(lines, 2, 1_000_000), lambda x: F.contains(x, F.lit(":"))), lambda x: F.concat(F.lit("http-header-"), F.lower(F.substring_index(x, ":", 1)), F.regexp_extract(x, "(?s)(:.*)$", 1), F.lit("\r\n")))
+    lines = F.split(F.regexp_replace(F.coalesce("http_header", F.lit("")), r"(?<!\n)(\r\n)++$", ""), "\r\n")
+    headers = F.transform(F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.contains(x, F.lit(":"))), lambda x: F.concat(F.lit("http-header-"), F.lower(F.substring_index(x, ":", 1)), F.regexp_extract(x, "(?s)(:.*)$", 1), F.lit("\r\n")))
     fields = F.concat(
         F.lit("http-status-line: "), lines[0], F.lit("\r\n"), F.array_join(headers, ""),
-        F.lit("title: "), title, F.lit("\r\nlanguage: "), F.lower(F.regexp_extract("payload", LANGUAGE, 1)),
+        F.lit("title: "), title, F.lit("\r\nlanguage: "), F.lower(F.regexp_extract(F.regexp_extract("payload", FIRST_TAG, 1), LANGUAGE, 1)),
         F.lit("\r\noutlinks: "), let(links, lambda found: F.concat(F.size(found).cast("string"), F.lit("\r\n"), F.array_join(F.transform(found, lambda x: F.concat(F.lit("outlink: "), x, F.lit("\r\n"))), ""))),
     )
     made = F.inline(
