@@ -30,11 +30,29 @@ def clip_to_region(pos: DataFrame, polygon: list[tuple[float, float]], min_remai
     return left.join(n.select("id"), "id", "left_semi")
 
 
+#: Lines up to which they are broadcast, some 1 MB.
+LINES_BROADCAST = 10_000
+
+
+def _met(seg: DataFrame, lines: DataFrame, both: bool = True) -> DataFrame:
+    """Segments with the lines whose box (with both false: whose x-range) they touch. Few lines are broadcast; of many, those of a
+    stretch of x meet the segments there, a pair in the first stretch that both reach."""
+    touch = (F.least("x1", "x2") <= F.greatest("gx1", "gx2")) & (F.greatest("x1", "x2") >= F.least("gx1", "gx2"))
+    if both:
+        touch = touch & (F.least("y1", "y2") <= F.greatest("gy1", "gy2")) & (F.greatest("y1", "y2") >= F.least("gy1", "gy2"))
+    if lines.limit(LINES_BROADCAST + 1).count() <= LINES_BROADCAST:
+        return seg.join(F.broadcast(lines), touch)
+    width = max(1e-9, 2 * (lines.agg(F.avg(F.abs(F.col("gx2") - F.col("gx1")))).first()[0] or 0.0), 2 * (seg.agg(F.avg(F.abs(F.col("x2") - F.col("x1")))).first()[0] or 0.0))
+    of = lambda a, b: F.sequence(F.floor(F.least(a, b) / width), F.floor(F.greatest(a, b) / width))
+    a = seg.withColumn("_s", of("x1", "x2")).withColumn("_at", F.explode("_s")).withColumn("_s", F.element_at("_s", 1))
+    b = lines.withColumn("_l", of("gx1", "gx2")).withColumn("_at", F.explode("_l")).withColumn("_l", F.element_at("_l", 1))
+    return a.join(b, "_at").where(touch & (F.col("_at") == F.greatest("_s", "_l"))).drop("_at", "_s", "_l")
+
+
 def gate_crossings(seg: DataFrame, gates: DataFrame) -> DataFrame:
     """id, gate, tnum, x, y, l2r where a segment properly crosses a gate edge (C19). gates: gate, gx1, gy1, gx2, gy2; tens of rows."""
     g = gates.where(~F.col("gate").like("%levee%"))
-    box = (F.least("x1", "x2") <= F.greatest("gx1", "gx2")) & (F.greatest("x1", "x2") >= F.least("gx1", "gx2")) & (F.least("y1", "y2") <= F.greatest("gy1", "gy2")) & (F.greatest("y1", "y2") >= F.least("gy1", "gy2"))
-    met = seg.join(F.broadcast(g), box)
+    met = _met(seg, g)
     dx, dy, ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("gx2") - F.col("gx1"), F.col("gy2") - F.col("gy1")
     cross = dx * ey - dy * ex
     along = F.try_divide((F.col("gx1") - F.col("x1")) * ey - (F.col("gy1") - F.col("y1")) * ex, cross)
@@ -56,7 +74,7 @@ def gate_totals(summary: DataFrame) -> DataFrame:
 
 def crossing_fraction(seg: DataFrame, lines: DataFrame, as_written: bool = False) -> DataFrame:
     """Place along a transect line, 0 to 1, where a track crosses it (C20). as_written tests only the line's x-range."""
-    met = seg.join(F.broadcast(lines))  # tens of lines
+    met = _met(seg, lines, not as_written)
     dx, dy, ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("gx2") - F.col("gx1"), F.col("gy2") - F.col("gy1")
     cross = dx * ey - dy * ex
     along = F.try_divide((F.col("gx1") - F.col("x1")) * ey - (F.col("gy1") - F.col("y1")) * ex, cross)

@@ -84,46 +84,63 @@ def skill_metrics(paired: DataFrame) -> DataFrame:
     return rows.withColumns({"urmse": total, "signed_urmse": F.when(F.col("mod_sd") < F.col("obs_sd"), -total).otherwise(total)})
 
 
-def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
-    """Least squares of y on one to three regressors: coefficients (intercept first), r2, aic, bic, n.
-
-    One pass of sums about the means of the first pass; the normal equations are solved as an expression (Cramer)."""
-    names = [*xs, y]
-    means = df.agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(names)])
-    rows = df.crossJoin(F.broadcast(means)).select(*[(F.col(c) - F.col(f"_m{i}")).alias(f"_c{i}") for i, c in enumerate(names)], *[f"_m{i}" for i in range(len(names))])  # one row of means
-    k = len(xs)
-    sums = rows.agg(F.count(F.lit(1)).alias("n"), *[F.first(f"_m{i}").alias(f"_m{i}") for i in range(k + 1)], *[F.sum(F.col(f"_c{i}") * F.col(f"_c{j}")).alias(f"_s{i}{j}") for i in range(k + 1) for j in range(i, k + 1)])
+def _fits(df: DataFrame, y: str, models: list[list[str]]) -> DataFrame:
+    """One row with, for each model, a struct of n, intercept, coefficients, r2, aic and bic. A model reads the rows that have
+    all its columns; all models share one pass for means and one for sums about them. The normal equations are solved as an
+    expression (Cramer)."""
+    whole = [F.lit(True) for _ in models]
+    for m, xs in enumerate(models):
+        for c in (*xs, y):
+            whole[m] = whole[m] & F.col(c).isNotNull()
+    means = df.agg(*[F.avg(F.when(whole[m], F.col(c))).alias(f"_m{m}_{i}") for m, xs in enumerate(models) for i, c in enumerate((*xs, y))])
+    rows = df.crossJoin(F.broadcast(means))  # one row of means
+    sums, parts = [], []
+    for m, xs in enumerate(models):
+        k, c = len(xs), [F.when(whole[m], F.col(v)) - F.col(f"_m{m}_{i}") for i, v in enumerate((*xs, y))]
+        sums.append(F.count_if(whole[m]).alias(f"_n{m}"))
+        sums += [F.first(f"_m{m}_{i}").alias(f"_m{m}_{i}") for i in range(k + 1)]
+        sums += [F.sum(c[i] * c[j]).alias(f"_s{m}_{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]
+        parts.append(_solved(m, xs))
+    return rows.agg(*sums).select(*[p.alias(f"_fit{m}") for m, p in enumerate(parts)])
+
+
+def _solved(m: int, xs: list[str]) -> Column:
+    k, n = len(xs), F.col(f"_n{m}")
 
     def s(i: int, j: int) -> Column:
-        return F.col(f"_s{min(i, j)}{max(i, j)}")
+        return F.col(f"_s{m}_{min(i, j)}_{max(i, j)}")
 
-    def det(m: list[list[Column]]) -> Column:
-        if len(m) == 1:
-            return m[0][0]
+    def det(a: list[list[Column]]) -> Column:
+        if len(a) == 1:
+            return a[0][0]
         total = F.lit(0.0)
-        for j in range(len(m)):
-            total = total + (1 if j % 2 == 0 else -1) * m[0][j] * det([r[:j] + r[j + 1 :] for r in m[1:]])
+        for j in range(len(a)):
+            total = total + (1 if j % 2 == 0 else -1) * a[0][j] * det([r[:j] + r[j + 1 :] for r in a[1:]])
         return total
 
-    a = [[s(i, j) for j in range(k)] for i in range(k)]
-    b = [s(i, k) for i in range(k)]
+    a, b = [[s(i, j) for j in range(k)] for i in range(k)], [s(i, k) for i in range(k)]
     whole = det(a)
     beta = [F.try_divide(det([[b[i] if j == c else a[i][j] for j in range(k)] for i in range(k)]), whole) for c in range(k)]
-    fitted, centre = F.lit(0.0), F.col(f"_m{k}")
+    fitted, centre = F.lit(0.0), F.col(f"_m{m}_{k}")
     for c in range(k):
-        fitted, centre = fitted + beta[c] * b[c], centre - beta[c] * F.col(f"_m{c}")
+        fitted, centre = fitted + beta[c] * b[c], centre - beta[c] * F.col(f"_m{m}_{c}")
     rss = F.greatest(F.lit(0.0), s(k, k) - fitted)
-    like = -F.col("n") / 2 * (F.log(2 * F.pi()) + F.log(rss / F.col("n")) + 1)
-    return sums.select("n", centre.alias("intercept"), *[x.alias(f"b_{c}") for x, c in zip(beta, xs, strict=True)], (1 - rss / s(k, k)).alias("r2"), (2 * (k + 1) - 2 * like).alias("aic"), (F.log("n") * (k + 1) - 2 * like).alias("bic"))
+    like = -n / 2 * (F.log(2 * F.pi()) + F.log(F.try_divide(rss, n)) + 1)
+    out = [n.alias("n"), centre.alias("intercept"), *[x.alias(f"b_{c}") for x, c in zip(beta, xs, strict=True)], (1 - F.try_divide(rss, s(k, k))).alias("r2")]
+    return F.struct(*out, (2 * (k + 1) - 2 * like).alias("aic"), (F.log(n) * (k + 1) - 2 * like).alias("bic"))
+
+
+def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
+    """Least squares of y on one to three regressors: n, intercept, a coefficient for each, r2, aic, bic (D23). Rows with a null
+    in any of the columns take no part."""
+    return _fits(df, y, [xs]).select("_fit0.*")
 
 
 def compare_models(df: DataFrame, y: str, models: list[list[str]]) -> DataFrame:
-    """Models by BIC, the best first."""
-    out = None
-    for xs in models:
-        row = ols(df, y, xs).select(F.lit(" + ".join(xs)).alias("model"), "n", "r2", "aic", "bic")
-        out = row if out is None else out.union(row)
-    return out.orderBy("bic")
+    """Models by BIC, the best first, each over the rows that have its columns: two passes for all."""
+    fits = _fits(df, y, models)
+    each = [F.struct(F.lit(" + ".join(xs)).alias("model"), *[F.col(f"_fit{m}.{c}").alias(c) for c in ("n", "r2", "aic", "bic")]) for m, xs in enumerate(models)]
+    return fits.select(F.inline(F.array(*each))).orderBy("bic")
 
 
 def detrend(df: DataFrame, x: str, y: str, out: str = "residual") -> DataFrame:
@@ -133,8 +150,8 @@ def detrend(df: DataFrame, x: str, y: str, out: str = "residual") -> DataFrame:
 
 
 def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Rank of each value, the mean rank on ties, from the distinct values' counts."""
-    n = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    """Rank of each value, the mean rank on ties, from the distinct values' counts; nulls have none."""
+    n = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
     # Distinct values are numbered by ranges, as in rank_cells, so that no task sorts all of them.
     lo_hi = n.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
     n = n.crossJoin(F.broadcast(lo_hi)).withColumn("_r", F.coalesce(F.floor(64 * F.try_divide(F.col(col) - F.col("_lo"), F.col("_hi") - F.col("_lo"))).cast("int"), F.lit(0)))
@@ -142,7 +159,7 @@ def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
     before = sizes.select("_r", F.coalesce(F.sum("_c").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # 65 rows
     run = F.coalesce(F.sum("_n").over(Window.partitionBy("_r").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = n.withColumn("_k", run).join(before, "_r").select(F.col(col), (F.col("_b") + F.col("_k") + (F.col("_n") + 1) / 2).alias(out))
-    return df.join(ranks, col)
+    return df.join(ranks, col, "left")
 
 
 def correlations(df: DataFrame, ys: list[str], xs: list[str], method: str = "pearson") -> DataFrame:

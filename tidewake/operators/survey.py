@@ -16,8 +16,9 @@ def pair_fields(obs: DataFrame, mods: DataFrame, n_models: int) -> DataFrame:
 
 
 def flows_by_label(flows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Mean, population deviation and median of flows whose file name starts with a label (C24). labels: tens of rows."""
-    met = flows.join(F.broadcast(labels), F.startswith(F.col("filename"), F.col("label")))
+    """Mean, population deviation and median of flows whose file name starts with a label."""
+    starts = F.explode(F.transform(F.sequence(F.lit(0), F.length("filename")), lambda n: F.substring(F.col("filename"), F.lit(1), n))).alias("label")
+    met = flows.select("*", starts).join(labels, "label")
     return met.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("flow").alias("mean"), F.stddev_pop("flow").alias("sd"), F.percentile("flow", F.lit(0.5)).alias("median"))
 
 

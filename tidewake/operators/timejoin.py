@@ -23,7 +23,7 @@ def _sequence(points: DataFrame, series: DataFrame, by: list[str], slice_s: floa
     ends = s.groupBy("_cut").agg(F.min(F.struct("t", "_v")).alias("lo"), F.max(F.struct("t", "_v")).alias("hi"))
     slices = p.select("_cut").distinct().join(ends, "_cut", "full_outer")
     w = Window.orderBy("_cut")  # one row a slice
-    edge = slices.select("_cut", F.last("hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("a"), F.first("lo", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("b"))
+    edge = slices.select("_cut", F.last("hi", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("a"), F.last("lo", True).over(Window.orderBy(F.desc("_cut")).rowsBetween(Window.unboundedPreceding, -1)).alias("b"))
     more = edge.select("_cut", F.explode(F.array_compact(F.array("a", "b"))).alias("e")).select("_cut", F.col("e.t").alias("t"), F.lit(0).alias("_side"), F.col("e._v").alias("_v"))
     return p.unionByName(s, allowMissingColumns=True).unionByName(more, allowMissingColumns=True), ["_cut"]
 

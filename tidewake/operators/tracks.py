@@ -140,15 +140,12 @@ def expand_regular(pos: DataFrame, dt: float = 5.0, fill: str = "null", repeats:
         step = F.when(step <= 0, F.raise_error(F.lit("two positions of a track are less than half a step apart"))).otherwise(step)
     rows = pos.withColumn("_d", F.coalesce(step, F.lit(0.0)).cast("long")).withColumn("step", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.groupBy("id", "step").agg(F.min(F.struct("tnum", "seq", "x", "y")).alias("p"))
-    all_of = rows.groupBy("id").agg(F.max("step").alias("m")).select("id", F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("step"))
-    out = all_of.join(rows, ["id", "step"], "left").select("id", "step", "p.tnum", "p.x", "p.y", F.when(F.col("p").isNotNull(), F.struct("step", "p.*")).alias("_p"))
-    if fill == "linear":
-        o = Window.partitionBy("id").orderBy("step")
-        out = out.withColumns({"_a": F.last("_p", True).over(o.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.first("_p", True).over(o.rowsBetween(0, Window.unboundedFollowing))})
-        done, whole = F.col("step") - F.col("_a.step"), F.col("_b.step") - F.col("_a.step")
-        line = {c: F.when(F.col("_p").isNotNull(), F.col(c)).otherwise(F.col(f"_a.{c}") + F.try_divide((F.col(f"_b.{c}") - F.col(f"_a.{c}")) * done, whole)) for c in ("tnum", "x", "y")}
-        out = out.withColumns(line)
-    return out.select("id", "step", "tnum", "x", "y")
+    # Every position makes the steps up to the next one, on the line to it.
+    after = F.lead(F.struct("step", "p.*")).over(Window.partitionBy("id").orderBy("step"))
+    out = rows.select("id", F.col("step").alias("_from"), "p", after.alias("_b")).withColumn("step", F.explode(F.sequence("_from", F.greatest(F.col("_from"), F.coalesce(F.col("_b.step") - 1, "_from")))))
+    done, whole = F.col("step") - F.col("_from"), F.col("_b.step") - F.col("_from")
+    between = lambda c: F.col(f"p.{c}") + F.try_divide((F.col(f"_b.{c}") - F.col(f"p.{c}")) * done, whole) if fill == "linear" else F.lit(None)
+    return out.select("id", "step", *[F.when(done == 0, F.col(f"p.{c}")).otherwise(between(c)).alias(c) for c in ("tnum", "x", "y")])
 
 
 def rolling_circular(seg: DataFrame, w: int = 10) -> DataFrame:

@@ -50,7 +50,7 @@ def parse_receiver_lines(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("type", kind).withColumn("_f", F.split("body", ","))
     is_ = lambda *names: F.col("type").isin(*names)
     field = lambda i: F.get("_f", F.lit(i))
-    pairs = F.str_to_map(F.array_join(F.filter(F.slice("_f", 5, 100), lambda x: F.contains(x, F.lit("="))), ","), F.lit(","), F.lit("="))
+    pairs = F.str_to_map(F.array_join(F.filter(F.slice("_f", F.lit(5), F.size("_f")), lambda x: F.contains(x, F.lit("="))), ","), F.lit(","), F.lit("="))
     rows = rows.withColumn("status", F.when(is_("STATUS"), pairs))
     number = lambda i: F.when(is_("DET"), field(i).try_cast("double"))
     return rows.select(
