@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tidewake.operators import detections as D
 from tidewake.operators import helpers as H
+from tidewake.operators import matching as M
 from tidewake.operators import sync as Y
 from tidewake.operators import timejoin as J
 from tidewake.operators import tracks as T
 from tidewake.plans.registry import query
 from tidewake.plans.roles import DET, POS, RX, detections, positions, r6, receivers
+from tidewake.session import kept
 
 
 @query(f"WITH {POS} SELECT id, count(*) AS n, round(max(x) - min(x), 6) AS span FROM pos GROUP BY id")
@@ -80,6 +82,41 @@ def c14_fit_clock_pair(spark: SparkSession, d: str) -> DataFrame:
     return r6(H.fit_clock_pair(match, 1.005, 1200.0, 7200.0), "slope", "shift", "t_mean", "rms", digits=4)
 
 
+def _fit_sql(max_res: float, max_shift: float, limit: float) -> str:
+    """The rounds of fit_lines, each a line of the candidates near the line before."""
+    res = "c.t_b - l.b_mean - l.slope * (c.t_a - l.a_mean)"
+    out = [f"""c AS (SELECT a.rx AS rx_a, b.rx AS rx_b, CAST(floor(a.t / 864000) AS BIGINT) AS chunk, a.t AS t_a, b.t AS t_b FROM det a JOIN det b ON a.tag = b.tag AND a.rx < b.rx AND abs(a.t - b.t) < 3600),
+e AS (SELECT rx_a, rx_b, chunk, min(t_a) AS a0, max(t_a) - min(t_a) AS span FROM c GROUP BY ALL),
+g AS (SELECT *, 1 + coalesce(CASE WHEN span > 0 THEN k * {2 * max_res} / span END, 0) AS s FROM (SELECT *, unnest(range(-CAST(ceil({limit - 1} * span / {2 * max_res}) AS BIGINT), CAST(ceil({limit - 1} * span / {2 * max_res}) AS BIGINT) + 1)) AS k FROM e)),
+v AS (SELECT rx_a, rx_b, chunk, a0, k, s, CAST(floor((t_b - a0 - s * (t_a - a0)) / {max_res}) AS BIGINT) + o AS step FROM c JOIN g USING (rx_a, rx_b, chunk), range(2) r(o)),
+l0 AS (SELECT rx_a, rx_b, chunk, s AS slope, a0 AS a_mean, a0 + step * {max_res} AS b_mean FROM (SELECT *, row_number() OVER (PARTITION BY rx_a, rx_b, chunk ORDER BY n DESC, abs(k), k, step) AS place FROM (SELECT rx_a, rx_b, chunk, a0, k, s, step, count(*) AS n FROM v GROUP BY ALL)) WHERE place = 1)"""]
+    near = M.distances(max_res)
+    for k, d in enumerate(near):
+        out.append(f"""l{k + 1} AS (SELECT rx_a, rx_b, chunk, greatest(1 / {limit}::DOUBLE, least({limit}::DOUBLE, coalesce(CASE WHEN var_pop(t_a) > 0 THEN covar_pop(t_b, t_a) / var_pop(t_a) END, 1))) AS slope, avg(t_a) AS a_mean, avg(t_b) AS b_mean
+FROM c JOIN l{k} l USING (rx_a, rx_b, chunk) WHERE abs({res}) < {d} GROUP BY 1, 2, 3)""")
+    return ", ".join(out) + f""" SELECT rx_a, rx_b, chunk, round(slope, 6) AS slope, round(a_mean, 2) AS a_mean, round(b_mean, 2) AS b_mean, count(*) AS n, round(sqrt(avg(({res}) ** 2)), 2) AS rms
+FROM c JOIN l{len(near)} l USING (rx_a, rx_b, chunk) WHERE abs({res}) < {max_res} GROUP BY rx_a, rx_b, chunk, slope, a_mean, b_mean HAVING count(*) >= 2 AND abs(b_mean - a_mean) < {max_shift}"""
+
+
+@query(f"WITH {DET}, " + _fit_sql(1200.0, 7200.0, 1.005))
+def c14_fit_lines(spark: SparkSession, d: str) -> DataFrame:
+    match = D.match_candidates(detections(spark, d), 3600.0).withColumn("chunk", F.floor(F.col("t_a") / 864000))
+    lines = M.fit_lines(match, ["rx_a", "rx_b", "chunk"], 1.005, 1200.0, 7200.0)
+    return r6(r6(lines, "slope"), "a_mean", "b_mean", "rms", digits=2)
+
+
+@query()
+def c14_c15_matched_records(spark: SparkSession, d: str) -> DataFrame:
+    """The records of two receivers, the second's clock 100 s behind, matched and merged: each hit is in one row of the result, and
+    matched hits of a tag keep their order (held against a plain search in the tests)."""
+    det = detections(spark, d).where("rx in ('click', 'view')").withColumn("t", F.col("t") - F.when(F.col("rx") == "view", 100.0).otherwise(0.0))
+    lines = kept(M.fit_lines(D.match_candidates(det, 3600.0), ["rx_a", "rx_b"], 1.005, 1200.0, 7200.0), "lines")
+    match = M.match_records(det, lines, F.lit(1500.0), None, 1200.0, slice_s=864000.0)
+    line = lines.select("slope", (F.col("b_mean") - F.col("slope") * F.col("a_mean")).alias("shift")).first()  # one pair, one line
+    merged = D.merge_matched(det.where("rx = 'click'"), det.where("rx = 'view'"), match.select("seq_a", "seq_b"), *(line or (1.0, 0.0)))
+    return r6(merged, "t", "t_a", "t_b", digits=3)
+
+
 def _toa(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Arrivals at all receivers of a call from each event's place (value, k) at its time, at 1460 m/s."""
     rx = receivers(spark)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: What the jobs rely on, whatever the cluster: UTC clocks and adaptive plans.
 SETTINGS = {
@@ -43,3 +44,10 @@ def shared_folder(spark: SparkSession) -> str:
             own = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = own.get()
     return folder.rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read again, for what is used more than once: its lineage ends there."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
