@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewake.session import kept
+
 
 def closed_form(places: np.ndarray, toa: np.ndarray, c: float) -> np.ndarray:
     """Solutions (x, y, emission time) of the arrival times of many pings at as many receivers each: ping, solution, value;
@@ -77,58 +79,118 @@ def clock_equations(pings: DataFrame, distances: DataFrame) -> DataFrame:
     return rows.join(da, ["tx", "a"]).join(db, ["tx", "b"]).withColumn("ddist", F.col("dist_b") - F.col("dist_a"))
 
 
+#: Scale of the inverse speeds among the unknowns, so that they are of the size of the offsets.
+SLOWNESS = 1 / 1460
+#: Rounds of dropping bad equations. Each halves the largest residual at least.
+ROUNDS = 40
+
+
+def banded_solution(size: int, band: int, u: np.ndarray, v: np.ndarray, s: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Solution of a symmetric positive system whose entries (u <= v, value s) lie within a band, by Cholesky elimination along it.
+
+    A trace of a ridge gives unknowns without a say the least values. Memory is size times band, work that times band."""
+    low = np.zeros((size, band + 1))  # low[j, d]: entry (j + d, j)
+    low[u, v - u] = s
+    low[:, 0] += 1e-13 * max(1e-300, low[:, 0].max())
+    for j in range(size):
+        low[j] /= np.sqrt(low[j, 0])
+        column = low[j, 1:]
+        for d in range(1, min(band, size - 1 - j) + 1):
+            if column[d - 1]:
+                low[j + d, : band + 1 - d] -= column[d - 1] * column[d - 1 :]
+    x = y.astype(float).copy()
+    for j in range(size):
+        x[j] /= low[j, 0]
+        n = min(band, size - 1 - j)
+        x[j + 1 : j + 1 + n] -= low[j, 1 : n + 1] * x[j]
+    for j in range(size - 1, -1, -1):
+        n = min(band, size - 1 - j)
+        x[j] = (x[j] - low[j, 1 : n + 1] @ x[j + 1 : j + 1 + n]) / low[j, 0]
+    return x
+
+
+def _clock_terms(equations: DataFrame, names: list[str], start: float, width: float, keeper: str, n_intervals: int, window: int, step: int) -> DataFrame:
+    """win, lo, n, terms (unknown u with its factor c) and y of each equation in each window that has its interval. Unknowns are
+    numbered by break: the receivers' offsets there, then the inverse speed of the interval that follows."""
+    idx = F.floor((F.col("ta") - start) / width).cast("long")
+    first, last = F.greatest(F.lit(0), F.ceil((idx - window + 1) / step)), F.greatest(F.lit(0), F.floor(idx / step))
+    rows = equations.withColumn("idx", idx).where((F.col("idx") >= 0) & (F.col("idx") < n_intervals)).withColumn("win", F.explode(F.sequence(first, last)))
+    rows = rows.withColumn("lo", F.col("win") * step).withColumn("n", F.least(F.lit(window), n_intervals - F.col("lo")))
+    block = len(names) + 1
+    number = F.create_map(*[F.lit(x) for pair in zip(names, range(len(names)), strict=True) for x in pair]) if names else F.create_map(F.lit(keeper), F.lit(0))
+
+    def offset(rx: str, t: str, sign: float) -> list[Column]:
+        at = F.least(F.greatest((F.col(t) - start) / width - F.col("lo"), F.lit(0.0)), F.col("n") - 1e-9)
+        u, share = (F.floor(at) * block + F.try_element_at(number, F.col(rx))).cast("int"), at - F.floor(at)
+        told = F.col(rx) != keeper
+        return [F.when(told, F.struct(u.alias("u"), (sign * (1 - share)).alias("c"))), F.when(told, F.struct((u + block).alias("u"), (sign * share).alias("c")))]
+
+    speed = F.struct(((F.col("idx") - F.col("lo")) * block + len(names)).cast("int").alias("u"), (-SLOWNESS * F.col("ddist")).alias("c"))
+    terms = F.array_compact(F.array(*offset("b", "tb", 1.0), *offset("a", "ta", -1.0), speed))
+    return rows.select("win", "lo", "n", terms.alias("terms"), (F.col("ta") - F.col("tb")).alias("y"))
+
+
+def _clock_solutions(rows: DataFrame, block: int) -> DataFrame:
+    """win and x, the unknowns' values; null where no equation has one. Sums of products meet by window and pair of unknowns."""
+    products = F.flatten(F.transform("terms", lambda a: F.transform(F.filter("terms", lambda b: b["u"] >= a["u"]), lambda b: F.struct(a["u"].alias("u"), b["u"].alias("v"), (a["c"] * b["c"]).alias("s")))))
+    sides = F.transform("terms", lambda a: F.struct(a["u"].alias("u"), F.lit(-1).alias("v"), (a["c"] * F.col("y")).alias("s")))
+    cells = rows.select("win", "n", F.inline(F.concat(products, sides))).groupBy("win", "n", "u", "v").agg(F.sum("s").alias("s"))
+
+    def solved(g: pd.DataFrame) -> pd.DataFrame:
+        size = (int(g["n"].iloc[0]) + 1) * block
+        m, r = g[g["v"] >= 0], g[g["v"] < 0]
+        y = np.zeros(size)
+        y[r["u"].to_numpy()] = r["s"].to_numpy()
+        u, v = m["u"].to_numpy(), m["v"].to_numpy()
+        x = banded_solution(size, int((v - u).max()), u, v, m["s"].to_numpy(), y)
+        told = np.zeros(size, bool)
+        told[u] = told[v] = True
+        return pd.DataFrame({"win": [g["win"].iloc[0]], "x": [[float(c) if k else None for c, k in zip(x, told, strict=True)]]})
+
+    return cells.groupBy("win").applyInPandas(solved, "win long, x array<double>")
+
+
 def solve_clock(equations: DataFrame, start: float, width: float, keeper: str, n_intervals: int, window: int = 6, overlap: int = 2, target: float = 1e-3, max_drops: int = 200) -> DataFrame:
     """Offsets at breaks and inverse sound speed by interval from windows of intervals (H4): rx, idx, off, inv_c, rms.
 
-    Each equation says that b's time less a's, both corrected, is ddist by the interval's inverse speed. The keeper's offset
-    is 0. The worst row goes until the RMS is below target, at most max_drops, else the window has no solution."""
-    idx = F.floor((F.col("ta") - start) / width).cast("long")
-    step = window - overlap
-    last = F.greatest(F.lit(0), F.floor(idx / step))
-    first = F.greatest(F.lit(0), F.ceil((idx - window + 1) / step))
-    rows = equations.withColumn("idx", idx).where((F.col("idx") >= 0) & (F.col("idx") < n_intervals)).withColumn("win", F.explode(F.sequence(first, last)))
-    trim = (overlap + 1) // 2
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        win = int(g["win"].iloc[0])
-        lo = win * step
-        hi = min(lo + window, n_intervals)
-        n = hi - lo
-        names = [r for r in sorted(set(g["a"]) | set(g["b"])) if r != keeper]
-        col = {r: i * (n + 1) for i, r in enumerate(names)}
-        a = np.zeros((len(g), len(names) * (n + 1) + n))
-        y = (g["ta"] - g["tb"]).to_numpy()
-        for k, (ra, ta, rb, tb, dd) in enumerate(g[["a", "ta", "b", "tb", "ddist"]].itertuples(index=False)):
-            for r, t, sign in ((rb, tb, 1.0), (ra, ta, -1.0)):
-                if r != keeper:
-                    at = min(max((t - start) / width - lo, 0.0), n - 1e-9)
-                    i = int(at)
-                    a[k, col[r] + i] += sign * (1 - (at - i))
-                    a[k, col[r] + i + 1] += sign * (at - i)
-            a[k, len(names) * (n + 1) + int(min(max((ta - start) / width - lo, 0), n - 1))] = -dd
-        keep = np.ones(len(g), bool)
-        for _ in range(max_drops + 1):
-            sol, *_ = np.linalg.lstsq(a[keep], y[keep], rcond=None)
-            res = a @ sol - y
-            rms = float(np.sqrt(np.mean(res[keep] ** 2)))
-            if rms < target:
-                break
-            keep[np.flatnonzero(keep)[np.argmax(np.abs(res[keep]))]] = False
-            if keep.sum() < 2:
-                return pd.DataFrame(columns=["rx", "idx", "off", "inv_c", "rms", "edge"])
-        else:
-            return pd.DataFrame(columns=["rx", "idx", "off", "inv_c", "rms", "edge"])
-        out = []
-        for i in range(n + 1):
-            edge = 0 if (lo == 0 or i >= trim) and (hi == n_intervals or i <= n - trim) else 1
-            inv = float(sol[len(names) * (n + 1) + min(i, n - 1)])
-            out += [(r, lo + i, float(sol[col[r] + i]), inv, rms, edge) for r in names] + [(keeper, lo + i, 0.0, inv, rms, edge)]
-        return pd.DataFrame(out, columns=["rx", "idx", "off", "inv_c", "rms", "edge"])
-
-    cols = ["win", "idx", "a", "ta", "b", "tb", "ddist"]
-    got = rows.select(*cols).groupBy("win").applyInPandas(run, "rx string, idx long, off double, inv_c double, rms double, edge int")
-    pick = Window.partitionBy("rx", "idx").orderBy("edge", "rms")
-    return got.withColumn("_k", F.row_number().over(pick)).where("_k = 1").select("rx", "idx", "off", "inv_c", "rms")
+    Each equation says that b's time less a's, both corrected, is ddist by the interval's inverse speed; offsets are linear between
+    breaks and the keeper's is 0. Spark sums the equations' products by window and pair of unknowns, so a task solves a banded
+    system of the window's breaks and receivers, however many pings there are. In rounds, every window whose RMS is not below
+    target loses the equations within half of its largest residual, at most max_drops in all, else it has no solution. Of windows
+    that share a break, the one whose edge is not near it counts. A break that no equation reaches has offset 0. Equations with a
+    null take no part."""
+    whole = equations.where("a is not null and b is not null and ta is not null and tb is not null and ddist is not null").select("a", "ta", "b", "tb", "ddist")
+    names = [r[0] for r in whole.select(F.explode(F.array("a", "b")).alias("r")).where(F.col("r") != keeper).distinct().orderBy("r").collect()]  # the receivers of an array: tens
+    step, block, spark = window - overlap, len(names) + 1, equations.sparkSession
+    active = kept(_clock_terms(whole, names, start, width, keeper, n_intervals, window, step).withColumn("dropped", F.lit(0).cast("long")), "clock-rows")
+    done = None
+    for _ in range(ROUNDS):
+        if active.isEmpty():
+            break
+        fitted = F.aggregate("terms", F.lit(0.0), lambda total, e: total + e["c"] * F.coalesce(F.element_at("x", e["u"] + 1), F.lit(0.0)))
+        solved = kept(_clock_solutions(active, block), "clock-solutions")
+        rows = active.join(solved, "win").withColumn("_res", F.abs(fitted - F.col("y"))).drop("x")
+        rms = F.sqrt(F.avg(F.col("_res") ** 2)).alias("rms")
+        state = kept(rows.groupBy("win", "lo", "n").agg(rms, F.max("_res").alias("_worst"), F.count(F.lit(1)).alias("_rows")), "clock-state")
+        good = solved.join(state.where(F.col("rms") < target), "win").select("win", "lo", "n", "x", "rms")
+        done = good if done is None else done.unionByName(good)
+        left = rows.join(state.where(F.col("rms") >= target).select("win", "_worst", "_rows"), "win").where(F.col("_res") * 2 < F.col("_worst"))
+        n = F.count(F.lit(1)).over(Window.partitionBy("win"))
+        left = left.withColumn("_left", n).withColumn("dropped", F.col("dropped") + F.col("_rows") - F.col("_left"))
+        active = kept(left.where((F.col("dropped") <= max_drops) & (F.col("_left") >= 2)).select("win", "lo", "n", "terms", "y", "dropped"), "clock-rows")
+    schema = f"rx {dict(whole.dtypes)['a']}, idx long, off double, inv_c double, rms double"
+    if done is None:
+        return spark.createDataFrame([], schema)
+    trim, at = (overlap + 1) // 2, F.col("i")
+    edge = ~(((F.col("lo") == 0) | (at >= trim)) & ((F.col("lo") + F.col("n") == n_intervals) | (at <= F.col("n") - trim)))
+    breaks = done.select("*", F.explode(F.sequence(F.lit(0), F.col("n").cast("int"))).alias("i"))
+    value = lambda k: F.element_at("x", (at * block + k + 1).cast("int"))
+    heard = lambda k: F.exists(F.sequence(F.lit(0), F.col("n").cast("int")), lambda i: F.element_at("x", i * block + k + 1).isNotNull())
+    receivers = F.array(F.struct(F.lit(keeper).alias("rx"), F.lit(0.0).alias("off")), *[F.struct(F.lit(r).alias("rx"), F.when(heard(k), F.coalesce(value(k), F.lit(0.0))).alias("off")) for k, r in enumerate(names)])
+    speed = F.element_at("x", (F.least(at, F.col("n") - 1) * block + len(names) + 1).cast("int")) * SLOWNESS
+    rows = breaks.select((F.col("lo") + at).cast("long").alias("idx"), speed.alias("inv_c"), "rms", edge.alias("edge"), F.inline(receivers)).where("off is not null")
+    pick = Window.partitionBy("rx", "idx").orderBy("edge", "rms", F.col("inv_c").isNull())
+    return rows.withColumn("_k", F.row_number().over(pick)).where("_k = 1").select("rx", "idx", "off", "inv_c", "rms")
 
 
 def evaluate_sync(pings: DataFrame, distances: DataFrame, inv_c: DataFrame | float, start: float = 0.0, width: float = 86400.0) -> DataFrame:
