@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions import exprs as X
+from tidewake.operators import detections as D
 from tidewake.plans.registry import query
 from tidewake.plans.roles import DET, POS, RECEIVERS, RX, detections, positions, r6, receivers, table
 from tidewake.session import shared_folder
@@ -119,6 +120,47 @@ def s1_parse_stream(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+_NUMBERED = "n AS (SELECT *, row_number() OVER (PARTITION BY rx ORDER BY seq) - 1 AS line_no FROM det)"
+_KIND = "CASE rx WHEN 'error' THEN 'STATUS' WHEN 'signup' THEN 'SYNC' WHEN 'view' THEN 'unknown' ELSE 'DET' END"
+
+
+def _written_logs(spark: SparkSession, d: str, name: str) -> str:
+    """The lines of each receiver as one file, rx=<receiver>/..., in the order of the events."""
+    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _lines(spark, d).select("rx", "line_no", "line").repartition("rx").sortWithinPartitions("rx", "line_no").select("rx", "line").write.partitionBy("rx").text(at)
+    return at
+
+
+@query(f"WITH {DET}, {_NUMBERED} SELECT rx, line_no, {_KIND} AS type, CASE WHEN rx IN ('click', 'purchase') THEN printf('%04X', tag) END AS tag FROM n")
+def s1_parse_files_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Each receiver's log, arriving as a stream of files, line by line with its place in its file."""
+    known, unknown = S.parse_files(spark, f"{_written_logs(spark, d, 's1f')}/*", "s1f")
+    return known.unionByName(unknown).select(F.regexp_extract("file", "rx=([a-z]+)/", 1).alias("rx"), "line_no", "type", "tag")
+
+
+@query(f"WITH {DET}, {_NUMBERED} SELECT rx, line_no, {_KIND} AS type FROM n")
+def a2_read_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Each receiver's log, read in blocks and numbered."""
+    lines = R.read_lines(spark, f"{_written_logs(spark, d, 'a2')}/*")
+    return R.parse_receiver_lines(lines.withColumn("file", F.regexp_extract("path", "rx=([a-z]+)/", 1))).select(F.col("file").alias("rx"), "line_no", "type")
+
+
+@query(f"WITH {DET}, {_NUMBERED}, b AS (SELECT *, t - k * 100 AS tt FROM n) SELECT id, rx, line_no FROM (SELECT seq AS id, rx, line_no, floor(tt) - lag(floor(tt)) OVER (PARTITION BY rx ORDER BY seq) AS gap FROM b) WHERE gap IS NULL OR gap > 600")
+def a1_e1_order_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Detection files whose times step back and forth, written and read; multipath is judged in the files' own order."""
+    e, at = detections(spark, d), f"{shared_folder(spark)}/a1o-{uuid.uuid4().hex}"
+    part = lambda f: getattr(F, f)("time")
+    rows = e.select("rx", "seq", *[part(f).alias(f) for f in ("year", "month", "day", "hour", "minute", "second")], F.floor(F.col("t") - F.col("k") * 100).alias("epoch"), F.lit(0).alias("usec"), F.hex("tag").alias("tag"),
+        F.lit(9.0).alias("q1"), F.lit(8.0).alias("q2"), F.lit(1).alias("n1"), F.lit(2).alias("n2"), F.lit(1).alias("one"), F.floor("sensor").cast("double").alias("pressure"), F.lit(0.0).alias("temp"))
+    rows.repartition("rx").sortWithinPartitions("rx", "seq").write.partitionBy("rx").csv(at)
+    det = None
+    for rx in [r[0] for r in RECEIVERS]:
+        own = R.read_detections(spark, f"{at}/rx={rx}").withColumn("rx", F.lit(rx))
+        det = own if det is None else det.unionByName(own)
+    kept = D.remove_multipath(det.select("rx", "id", "line_no", "seq", F.col("epoch").cast("double").alias("t")), ("rx",), 600.0)
+    return kept.select("id", "rx", "line_no")
+
+
 @query(f"WITH {DET} SELECT seq, CASE WHEN t >= 1705700000 OR t < 1704200000 THEN -1 WHEN t < 1704800000 THEN 0 WHEN t < 1705300000 THEN 1 ELSE 2 END AS period FROM det")
 def a8_periods(spark: SparkSession, d: str) -> DataFrame:
     return R.with_period(detections(spark, d), [1704200000.0, 1704800000.0, 1705300000.0, 1705700000.0]).select("seq", F.col("period").cast("int").alias("period"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions.exprs import line_checksum, to_tnum
+from tidewake.operators.detections import with_running_total
 from tidewake.operators.survey import coverage
 
 # Columns of the headerless detection file.
@@ -17,16 +15,34 @@ POSITION_SCHEMA = "_row string, x double, y double, tnum double, x_sd double, y_
 NAN_AS_NULL = {"nanValue": "NaN", "nullValue": ""}
 
 
-def read_detections(spark: SparkSession, paths: str | list[str], stations: DataFrame | None = None) -> DataFrame:
-    """Detection files with their file name and, by it, their station (A1). stations: file, station."""
-    rows = spark.read.csv(paths, schema=DET_SCHEMA, header=False).withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
-    return rows if stations is None else rows.join(stations, "file", "left")
+def number_lines(rows: DataFrame) -> DataFrame:
+    """path, file (its name), line_no (from 0) and line of text rows in the order of their files.
+
+    rows: path, start (of the file's block), at (any number that grows by one from row to row of a block), line. Lines are counted
+    by block; a block's lines begin after those of the file's blocks before it. Only the blocks' counts are shuffled, the lines are not."""
+    blocks = rows.groupBy("path", "start").agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select(F.col("path").alias("_path"), F.col("start").alias("_start"), (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    # A row a block of files: the optimiser broadcasts it while it is small.
+    met = rows.join(blocks, (F.col("path") == F.col("_path")) & (F.col("start") == F.col("_start")))
+    return met.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), (F.col("at") + F.col("_shift")).alias("line_no"), "line")
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Text lines with file and line_no; files are read whole, one in a task, so that lines keep their order."""
-    files = spark.read.text(paths, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), F.split("value", "\n").alias("lines"))
-    return files.select("file", F.posexplode("lines").alias("line_no", "line"))
+    """Text lines with path, file and line_no (A2). Files are read in blocks, as Spark splits them, and numbered exactly."""
+    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    return number_lines(text)
+
+
+def read_detections(spark: SparkSession, paths: str | list[str], stations: DataFrame | None = None) -> DataFrame:
+    """Detection files with their file name and, by it, their station; line_no and seq (both from 0, seq over all files by path) keep
+    the input order, on which E1 to E3 rest (A1). Blank lines have no row. stations: file, station."""
+    lines = read_lines(spark, paths).where(F.trim("line") != "")
+    rows = lines.select("path", "file", "line_no", F.from_csv("line", DET_SCHEMA).alias("_r")).select("path", "file", "line_no", "_r.*")
+    files = lines.groupBy("path").agg((F.max("line_no") + 1).alias("_n"))
+    files = files.select(F.col("path").alias("_path"), F.coalesce(F.sum("_n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a file
+    rows = rows.join(files, F.col("path") == F.col("_path")).withColumn("seq", F.col("line_no") + F.col("_before")).drop("path", "_path", "_before")
+    return rows if stations is None else rows.join(stations, "file", "left")
 
 
 def parse_receiver_lines(lines: DataFrame) -> DataFrame:
@@ -131,30 +147,20 @@ def read_gauge(spark: SparkSession, path: str, start, end, offset_h: int = 8, ma
     return kept
 
 
-def parse_sections(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Section files to rows of layers (A12): file, section, column, dist, x, y, z_bed, z_surf, k, u, v, dz. A file is one task's work."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["file", "section", "column", "dist", "x", "y", "z_bed", "z_surf", "k", "u", "v", "dz"]
-        for b in batches:
-            out = []
-            for file, text in zip(b["file"], b["value"], strict=True):
-                section, column, left, head = None, -1, 0, None
-                for line in text.split("\n"):
-                    items = line.split()
-                    if not items:
-                        continue
-                    if items[0] == "section":
-                        section, column, left = items[1], -1, 0
-                    elif left:
-                        out.append((file, section, column, *head, int(items[0]), *map(float, items[1:4])))
-                        left -= 1
-                    else:
-                        d, x, y, _, bed, surf, z_bed, z_surf = map(float, items)
-                        column, left, head = column + 1, int(surf) - int(bed) + 1, (d, x, y, z_bed, z_surf)
-            yield pd.DataFrame(out, columns=names)
-
-    files = spark.read.text(paths, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), "value")
-    return files.mapInPandas(run, "file string, section string, column int, dist double, x double, y double, z_bed double, z_surf double, k int, u double, v double, dz double")
+def parse_sections(spark: SparkSession, paths: str | list[str], slice_rows: int = 1_000_000) -> DataFrame:
+    """Section files to rows of layers (A12): file, section, column, dist, x, y, z_bed, z_surf, k, u, v, dz.
+
+    Lines are numbered over a file's blocks. A line of two words names a section, one of eight numbers heads a column, one of four
+    is a layer of the column before it. Sections are counted over slices of a file; columns and layers within their section."""
+    words = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
+    rows = read_lines(spark, paths).where(F.trim("line") != "").select("path", "file", F.col("line_no").alias("seq"), words.alias("w")).withColumn("_slice", F.floor(F.col("seq") / slice_rows))
+    named = F.col("w")[0] == "section"
+    rows = with_running_total(rows.withColumn("_flag", named.cast("int")), ["path"], "_flag", "_section")
+    in_order = Window.partitionBy("path", "_section").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    head = F.when(~named & (F.size("w") == 8), F.struct(*[F.col("w")[i].cast("double").alias(c) for i, c in ((0, "dist"), (1, "x"), (2, "y"), (6, "z_bed"), (7, "z_surf"))]))
+    rows = rows.withColumns({"section": F.first(F.when(named, F.col("w")[1]), True).over(in_order), "column": (F.count(head).over(in_order) - 1).cast("int"), "_head": F.last(head, True).over(in_order)})
+    layer = rows.where(~named & (F.size("w") == 4))
+    return layer.select("file", "section", "column", "_head.*", F.col("w")[0].cast("int").alias("k"), *[F.col("w")[i].cast("double").alias(c) for i, c in ((1, "u"), (2, "v"), (3, "dz"))])
 
 
 def export_releases(tracks: DataFrame, offset_h: int = 8) -> DataFrame:

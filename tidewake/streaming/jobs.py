@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewake.session import shared_folder
-from tidewake.sources.readers import parse_receiver_lines
+from tidewake.sources.readers import number_lines, parse_receiver_lines
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
@@ -36,6 +36,24 @@ def parse_stream(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("type <> 'unknown'"), rows.where("type = 'unknown'")
 
 
+def parse_files(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Receiver logs that arrive in a folder, parsed batch by batch with their paths and line numbers: known lines and the others, as
+    tables in the shared folder (S1). A file arrives whole; a batch numbers the lines of its files, and done again writes the same."""
+    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def batch(rows: DataFrame, number: int) -> None:
+        lines = number_lines(rows.withColumn("at", F.monotonically_increasing_id()))
+        parsed = parse_receiver_lines(lines.withColumn("file", F.col("path")))
+        parsed.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    text = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
+    text = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
+    q = text.writeStream.foreachBatch(batch).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.parquet(f"{at}/out").drop("batch")
+    return rows.where("type <> 'unknown'"), rows.where("type = 'unknown'")
+
+
 def stream_bin_mean(det: DataFrame, width: str = "15 minutes", delay: str = "1 hour") -> DataFrame:
     """Mean sensor value by time bin; rows later than the delay are dropped, and counted by the query's progress."""
     out = det.withWatermark("time", delay).groupBy(F.window("time", width).alias("w")).agg(F.avg("sensor").alias("sensor"), F.count(F.lit(1)).alias("n"))
