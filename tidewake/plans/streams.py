@@ -12,7 +12,7 @@ from tidewake.functions import exprs as X
 from tidewake.operators import detections as D
 from tidewake.plans.registry import query
 from tidewake.plans.roles import DET, POS, RECEIVERS, RX, detections, positions, r6, receivers, table
-from tidewake.session import shared_folder
+from tidewake.session import kept, shared_folder
 from tidewake.sources import readers as R
 from tidewake.streaming import jobs as S
 
@@ -157,8 +157,8 @@ def a1_e1_order_kept(spark: SparkSession, d: str) -> DataFrame:
     for rx in [r[0] for r in RECEIVERS]:
         own = R.read_detections(spark, f"{at}/rx={rx}").withColumn("rx", F.lit(rx))
         det = own if det is None else det.unionByName(own)
-    kept = D.remove_multipath(det.select("rx", "id", "line_no", "seq", F.col("epoch").cast("double").alias("t")), ("rx",), 600.0)
-    return kept.select("id", "rx", "line_no")
+    left = D.remove_multipath(det.select("rx", "id", "line_no", "seq", F.col("epoch").cast("double").alias("t")), ("rx",), 600.0)
+    return left.select("id", "rx", "line_no")
 
 
 @query(f"WITH {DET} SELECT seq, CASE WHEN t >= 1705700000 OR t < 1704200000 THEN -1 WHEN t < 1704800000 THEN 0 WHEN t < 1705300000 THEN 1 ELSE 2 END AS period FROM det")
@@ -232,6 +232,36 @@ def s6_stream_segments(spark: SparkSession, d: str) -> DataFrame:
     return S.drained(S.stream_segments(rows), "s6").select("seq", "rx", F.col("segment").cast("long").alias("segment"))
 
 
+def _shuffled(spark: SparkSession, d: str, files: int = 10) -> DataFrame:
+    """The events in files that each hold what reached a recorder in turn, up to two days after its time, and at last a row without
+    a receiver, ten days on, which moves the watermark past all of them."""
+    e, at = table(spark, d, "events"), f"{shared_folder(spark)}/shuffled-{uuid.uuid4().hex}"
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = e.agg(F.min(us), F.max(us)).first()
+    place = F.floor((us - lo + F.pmod(F.xxhash64("event_id"), F.lit(2 * 86_400_000_000))) / F.lit((hi - lo + 2 * 86_400_000_000 + 1) / files))
+    dealt = kept(e.withColumn("_place", place), "dealt")
+    for i in range(files):
+        dealt.where(F.col("_place") == i).drop("_place").coalesce(1).write.mode("append").parquet(at)
+    last = e.orderBy(F.desc("ts")).limit(1)
+    last.select(*[F.lit(None).cast(k).alias(c) if c in ("event_type", "user_id") else (F.col("ts") + F.expr("INTERVAL 10 DAYS")).cast(k).alias(c) if c == "ts" else F.col(c) for c, k in e.dtypes]).write.mode("append").parquet(at)
+    return S.event_stream(spark, at)
+
+
+@query(f"WITH {DET} SELECT rx, tag, seq FROM (SELECT *, t - lag(t) OVER (PARTITION BY rx ORDER BY seq) AS gap FROM det) WHERE gap IS NULL OR gap > 600")
+def s5_stream_multipath_shuffled(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that arrive up to two days late, over eleven files, are judged as the batch job judges them; state lives for a day of silence."""
+    out = S.drained(S.stream_multipath_in_order(_shuffled(spark, d), ("rx",), 600.0, "3 days", "1 day"), "s5o", S.ROCKS)
+    return out.where("rx is not null").select("rx", "tag", "seq")
+
+
+@query(f"""WITH {DET}, r AS (SELECT *, sensor > 200 AS sync, t - tag * 600 AS tt FROM det), b AS (SELECT *, CASE WHEN sync OR coalesce(tt < lag(tt) OVER (PARTITION BY rx ORDER BY seq), false) THEN 1 ELSE 0 END AS brk FROM r), s AS (SELECT *, sum(brk) OVER (PARTITION BY rx ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM b)
+SELECT seq, rx, dense_rank() OVER (PARTITION BY rx ORDER BY run) AS segment FROM s WHERE NOT sync""")
+def s6_stream_segments_shuffled(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of receivers whose rows arrive up to two days late."""
+    rows = _shuffled(spark, d).withColumns({"t": F.col("t") - F.col("tag") * 600, "is_sync": F.col("sensor") > 200})
+    return S.drained(S.stream_segments_in_order(rows, "3 days"), "s6o", S.ROCKS).where("rx is not null").select("seq", "rx", F.col("segment").cast("long").alias("segment"))
+
+
 @query(f"WITH {DET}, {RX}, o AS (SELECT det.rx, t, lag(t) OVER (PARTITION BY det.rx ORDER BY t) AS f FROM det JOIN rx ON rx.rx = det.rx AND sync_tag = tag) SELECT rx, round(f, 4) AS from_t, round(t, 4) AS to_t, CAST(round((t - f) / 3600) AS INT) - 1 AS missed FROM o WHERE t - f > 36000")
 def s7_stream_beacon_health(spark: SparkSession, d: str) -> DataFrame:
     out = S.drained(S.stream_beacon_health(_stream(spark, d), receivers(spark), 10, 3600.0), "s7")

@@ -3,23 +3,34 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewake.session import shared_folder
 from tidewake.sources.readers import number_lines, parse_receiver_lines
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over all that its source has now and returns what it appended, as a table in the shared folder."""
+#: The state store that list states and timers need.
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drained(stream: DataFrame, name: str, store: str | None = None) -> DataFrame:
+    """Runs a stream over all that its source has now and returns what it appended, as a table in the shared folder. store: the
+    state store's class for this stream, where it is not the session's."""
     spark = stream.sparkSession
     at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, store or before)
+    try:
+        q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(STORE, before)
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
@@ -97,7 +108,8 @@ def stream_multipath(det: DataFrame, keys: tuple[str, ...] = ("rx", "tag"), min_
 
 
 def stream_segments(det: DataFrame) -> DataFrame:
-    """Segment of each row of a receiver, a new one where time steps back or the clock is set (S6). det: rx, seq, t, is_sync."""
+    """Segment of each row of a receiver, a new one where time steps back or the clock is set (S6). det: rx, seq, t, is_sync; batches
+    in seq order (stream_segments_in_order takes any)."""
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("seq")
         last, segment, used = state.get if state.exists else (None, 1, False)
@@ -115,6 +127,118 @@ def stream_segments(det: DataFrame) -> DataFrame:
     return det.select("rx", "seq", "t", "is_sync").groupBy("rx").applyInPandasWithState(run, "rx string, seq long, segment int", "last double, segment int, used boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Kinds of columns in pandas; a batch with a null turns whole numbers into floats.
+_KINDS = {"long": "Int64", "int": "Int32", "boolean": "boolean", "double": "float64", "string": "object"}
+
+
+def _typed(rows: pd.DataFrame, schema: str) -> pd.DataFrame:
+    return rows.astype({c: _KINDS[k] for c, k in (x.split() for x in schema.split(", "))})
+
+
+def _tuples(rows: pd.DataFrame, schema: str) -> list[tuple]:
+    """Rows as Python values, None for nulls."""
+    rows = _typed(rows[[x.split()[0] for x in schema.split(", ")]], schema).astype(object)
+    return [tuple(x) for x in rows.where(rows.notna(), None).itertuples(index=False)]
+
+
+class _InOrder(StatefulProcessor):
+    """Holds a key's rows until the watermark has passed them, then gives them to a rule in the order of time and seq.
+
+    rule: rows in order and what it carried (None at first) to its result and what it carries on. State: the rows that wait, as
+    many as a key has within the watermark's delay, and what the rule carries. After a silence of more than ttl_ms, by the rows' own
+    time, a key begins anew; a timer drops what it carried once the watermark has passed that."""
+
+    def __init__(self, keys: list[str], waiting: str, carry: str, rule: Callable, out: str, ttl_ms: int | None):
+        self.keys, self.waiting, self.carry, self.rule, self.out, self.ttl_ms = keys, waiting, carry, rule, out, ttl_ms
+        self.names = [c.split()[0] for c in waiting.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("waiting", self.waiting)
+        self.last = handle.getValueState("carried", f"seen_ms long, {self.carry}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        self.rows.appendList(_tuples(new, self.waiting))
+        self.handle.registerTimer(int(new["ms"].min()) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = pd.DataFrame(list(self.rows.get()), columns=self.names)
+        ready, rest = held[held["ms"] <= passed], held[held["ms"] > passed]
+        if len(rest):
+            self.rows.put(_tuples(rest, self.waiting))
+            self.handle.registerTimer(int(rest["ms"].min()) + 1)
+        else:
+            self.rows.clear()
+        seen, carried = None, None
+        if self.last.exists():
+            seen, *carried = self.last.get()
+        if len(ready):
+            ready = ready.sort_values(["us", "seq"])
+            before = ready["ms"].shift(1)
+            before.iloc[0] = float("nan") if seen is None else seen
+            silences = (ready["ms"] - before > (float("inf") if self.ttl_ms is None else self.ttl_ms)).cumsum()
+            for _, run in ready.groupby(silences):
+                if self.ttl_ms is not None and seen is not None and run["ms"].iloc[0] - seen > self.ttl_ms:
+                    carried = None
+                made, carried = self.rule(run, carried)
+                seen = int(run["ms"].iloc[-1])
+                made = _typed(made.assign(**dict(zip(self.keys, key, strict=True))), self.out)
+                yield made[[x.split()[0] for x in self.out.split(", ")]]
+            self.last.update((seen, *carried))
+            if self.ttl_ms is not None:
+                self.handle.registerTimer(seen + self.ttl_ms + 1)
+        elif self.ttl_ms is not None and seen is not None and seen + self.ttl_ms < passed:
+            self.last.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(det: DataFrame, keys: list[str], more: str, carry: str, rule: Callable, out: str, delay: str, ttl: str | None) -> DataFrame:
+    waiting = ", ".join(["ms long, us long, seq long, t double", *([more] if more else [])])
+    names = [c.split()[0] for c in waiting.split(", ")]
+    rows = det.withWatermark("time", delay).withColumns({"us": F.unix_micros("time"), "ms": F.unix_millis("time")})
+    ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
+    processor = _InOrder(keys, waiting, carry, rule, out, ttl_ms)
+    return rows.select("time", *dict.fromkeys([*keys, *names])).groupBy(*keys).transformWithStateInPandas(processor, out, "Append", "EventTime")
+
+
+def stream_multipath_in_order(det: DataFrame, keys: tuple[str, ...] = ("rx", "tag"), min_gap: float = 1.0, delay: str = "1 hour", ttl: str | None = "1 day") -> DataFrame:
+    """Rows more than min_gap after the row before them in their key, in the order of time and seq whatever the order in which they
+    arrive (S5): rx, tag, seq, t. Rows are judged once the watermark has passed them; later ones are dropped. A key that is silent
+    for more than ttl, by its rows' time, begins anew. The query needs the store of ROCKS."""
+    def rule(rows: pd.DataFrame, carried: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        before = rows["t"].shift(1)
+        if carried is not None:
+            before.iloc[0] = carried[0]
+        return rows[before.isna() | (rows["t"] - before > min_gap)], (float(rows["t"].iloc[-1]),)
+
+    more = ", ".join(f"{c} {k}" for c, k in (("rx", "string"), ("tag", "long")) if c not in keys)
+    return _in_order(det, list(keys), more, "last double", rule, "rx string, tag long, seq long, t double", delay, ttl)
+
+
+def stream_segments_in_order(det: DataFrame, delay: str = "1 hour", ttl: str | None = None) -> DataFrame:
+    """Segment of each row of a receiver, in the order of time and seq whatever the order of arrival (S6): rx, seq, segment. det: rx,
+    seq, time (of arrival at the recorder), t (the receiver's clock), is_sync. Rows are judged once the watermark has passed them."""
+    def rule(rows: pd.DataFrame, carried: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        last, segment, used = carried if carried is not None else (None, 1, False)
+        seqs, segments = [], []
+        for seq, t, sync in rows[["seq", "t", "is_sync"]].itertuples(index=False):
+            if (sync or (last is not None and t < last)) and used:
+                segment, used = segment + 1, False
+            last = t
+            if not sync:
+                used = True
+                seqs.append(seq)
+                segments.append(segment)
+        return pd.DataFrame({"seq": seqs, "segment": segments}), (float(last), int(segment), bool(used))
+
+    return _in_order(det, ["rx"], "is_sync boolean", "last double, segment int, used boolean", rule, "rx string, seq long, segment int", delay, ttl)
+
+
 def stream_beacon_health(det: DataFrame, rx: DataFrame, n: int = 10, interval_s: float = 30.0, delay: str = "1 minute") -> DataFrame:
     """Silences of a receiver's own beacon of more than n intervals, as they end (S7): rx, from_t, to_t, missed.
 
