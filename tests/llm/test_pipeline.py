@@ -42,6 +42,6 @@ def test_stages_on_odd_rows_and_of_none(spark, data, odd, none):
 def test_run_and_names(spark, data):
     import __spark_entry__
 
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in __spark_entry__.queries() if q.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in __spark_entry__.queries() if q.startswith("op")}
     assert "pipeline" in __spark_entry__.queries() and len(corpus_pipeline.STAGES) == 5
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
