@@ -12,7 +12,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidewake.llm import extract, kdsearch, spelling, surrogates, warc, whitening
+from tidewake.llm import extract, kdsearch, quality, spelling, surrogates, warc, whitening
+from tidewake.llm.common import written
 
 # 11: extraction
 
@@ -222,3 +223,34 @@ def test_more_headers_than_any_bound(spark):
     record = spark.createDataFrame([(1, "<urn:a>", "u", "d", "t", header, "x")], "page_id long, record_id string, target_uri string, date string, content_type string, http_header string, payload string")
     block = warc.derivatives(record).where("warc_type = 'metadata'").first()["block"]
     assert block.count("http-header-x-") == 3000
+
+
+# 4: what co-training teaches
+
+
+def _ranked(score: np.ndarray, label: np.ndarray) -> float:
+    place, good = np.argsort(np.argsort(score)), label == 1
+    return (place[good].sum() - good.sum() * (good.sum() - 1) / 2) / (good.sum() * (~good).sum())
+
+
+def test_the_exchange_teaches_words_that_no_label_has(spark, monkeypatch):
+    """Twenty labels hold half of the vocabulary; the other half's worth is known from the record alone, and the ranked documents'
+    records say nothing. Only lessons from the metadata view teach it to the content view."""
+    rng, rows, labels = random.Random(3), [], []
+    of = {(half, good): [f"{'ab'[half]}{'xy'[good]}{i:02d}q" for i in range(40)] for half in (0, 1) for good in (0, 1)}
+    for i in range(1500):
+        labelled, ranked = i < 20, i >= 1200
+        good, half = (i % 2 == 0, 0) if labelled else (rng.random() < 0.5, 1 if ranked else rng.randrange(2))
+        words = [f"cc{rng.randrange(60):02d}w" for _ in range(30)] + [rng.choice(of[half, good if rng.random() < 0.85 else not good]) for _ in range(10)]
+        rng.shuffle(words)
+        source = rng.choice(["s0", "s1"]) if ranked else f"s{int(good == (rng.random() < 0.95))}"
+        rows.append((i, " ".join(words), "en", source, 239))
+        labels.append(int(good))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    table, known = written(quality.features(docs), "test-features"), spark.createDataFrame(list(enumerate(labels[:20])), "doc_id long, quality int")
+    last = quality.Rows.of(table.toPandas().sort_values("doc_id").iloc[-300:])
+    fit = quality.CoTraining.fit
+    taught = _ranked(quality.train_on(table, known).content.raw(last), np.array(labels[-300:]))
+    monkeypatch.setattr(quality.CoTraining, "fit", lambda self, c, m, y, pool=None, **more: fit(self, c, m, y, None, **more))
+    alone = _ranked(quality.train_on(table, known).content.raw(last), np.array(labels[-300:]))
+    assert taught > alone + 0.1 and taught > 0.6

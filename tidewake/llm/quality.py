@@ -5,8 +5,8 @@ repeats. The metadata view is what a crawl's record tells without reading: langu
 their length). Each view is a logistic regression, fitted to the labelled rows by Adagrad. Then, in each round, both views
 score all documents but the fitted ones on Spark, labels unseen; those beyond a view's own quantiles of score, a larger
 share in each round and in the labelled rows' proportion, are lessons for the other view: the gradients of all of them are
-summed on Spark and make one step, as if they were LESSONS times as many rows as the labelled ones, and a pass over the
-labelled rows follows. A held-back part of the labelled rows calibrates either view, and a last regression weighs the two
+summed on Spark and make a step, as if they were LESSONS times as many rows as the labelled ones, STEPS times over, and a pass
+over the labelled rows follows. A held-back part of the labelled rows calibrates either view, and a last regression weighs the two
 calibrated views; in both, rows count as often as all labelled rows of their class have them. Every document is scored, and
 a document is rejected only if its combined score is below CUT.
 
@@ -37,8 +37,9 @@ from tidewake.llm.toxicity import picked_labels, with_weights
 #: Labelled rows of either class that training reads at most, and the bytes of their features.
 ROWS_PER_CLASS, BYTES_PER_CLASS = 2_000, 12_000_000
 BUCKETS, META_BUCKETS = 1 << 16, 1 << 10
-#: Rounds, the share of unlabelled documents that each round adds to the lessons, and what all lessons weigh against the labelled rows.
-ROUNDS, SHARE_A_ROUND, LESSONS = 4, 0.05, 0.25
+#: Rounds, the share of unlabelled documents that each round adds to the lessons, what all lessons weigh against the labelled rows, and
+#: the steps that a round makes over its lessons.
+ROUNDS, SHARE_A_ROUND, LESSONS, STEPS = 3, 0.07, 2.0, 3
 #: Score bins in a unit of log-odds, and the log-odds at which they end on either side.
 BINS, BIN_END = 64, 30
 CUT = 0.4
@@ -172,7 +173,7 @@ class View:
     def for_tasks(self) -> View:
         """Without the state of training."""
         own = View(1)
-        own.hashed, own.dense, own.bias, own.mean, own.spread, own.of_class, own.a, own.b = self.hashed, self.dense, self.bias, self.mean, self.spread, self.of_class, self.a, self.b
+        own.hashed, own.dense, own.bias, own.mean, own.spread, own.of_class, own.a, own.b = self.hashed.copy(), self.dense.copy(), self.bias, self.mean, self.spread, self.of_class, self.a, self.b
         return own
 
 
@@ -215,9 +216,12 @@ class CoTraining:
             view.epochs(rows, labels[own], seed, 6)
         for turn in range(ROUNDS if pool is not None else 0):
             ends = confident(pool, self.content, self.meta, SHARE_A_ROUND * (turn + 1), share)
-            for (view, rows), (total, n) in zip(each, lessons(pool, self.content, self.meta, ends), strict=True):
-                if n:
-                    view.step(total * (LESSONS * len(own) / n))
+            teachers = self.content.for_tasks(), self.meta.for_tasks()  # a round's pseudo-labels stay as they are over its steps
+            for _ in range(STEPS):
+                for (view, _), (total, n) in zip(each, lessons(pool, teachers, (self.content, self.meta), ends), strict=True):
+                    if n:
+                        view.step(total * (LESSONS * len(own) / n))
+            for view, rows in each:
                 view.epochs(rows, labels[own], seed + 1 + turn, 1)
         check = np.flatnonzero(held) if held.any() else own
         y = labels[check]
@@ -265,17 +269,17 @@ def confident(pool: DataFrame, content: View, meta: View, share: float, good: fl
     return out
 
 
-def lessons(pool: DataFrame, content: View, meta: View, ends: list[tuple[float, float]]) -> list[tuple[np.ndarray, int]]:
-    """For each view, the summed gradient of the documents that the other view is confident of, and their number."""
-    given = pool.sparkSession.sparkContext.broadcast((content.for_tasks(), meta.for_tasks()))
+def lessons(pool: DataFrame, teachers: tuple[View, View], learners: tuple[View, View], ends: list[tuple[float, float]]) -> list[tuple[np.ndarray, int]]:
+    """For each of the learners, the summed gradient of the documents that the other view's teacher is confident of, and their number."""
+    given = pool.sparkSession.sparkContext.broadcast((teachers, tuple(v.for_tasks() for v in learners)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        views = given.value
+        taught, views = given.value
         total, n = [np.zeros(len(v.hashed) + N_DENSE + 1) for v in views], [0, 0]
         for b in batches:
             rows = [Rows.of(b, ""), Rows.of(b, "meta_")]
             for k in (0, 1):
-                z = views[1 - k].raw(rows[1 - k])
+                z = taught[1 - k].raw(rows[1 - k])
                 at = np.flatnonzero((z < ends[1 - k][0]) | (z >= ends[1 - k][1]))
                 if len(at):
                     total[k] += views[k].gradient(rows[k].some(at), (z[at] >= ends[1 - k][1]).astype(np.int64))
@@ -286,7 +290,7 @@ def lessons(pool: DataFrame, content: View, meta: View, ends: list[tuple[float,
 
     found = pool.mapInPandas(run, "view int, key int, g double").groupBy("view", "key").agg(F.sum("g").alias("g")).toPandas()  # a row a feature
     out = []
-    for k, view in enumerate((content, meta)):
+    for k, view in enumerate(learners):
         own, total = found[found["view"] == k], np.zeros(len(view.hashed) + N_DENSE + 1)
         real = own[own["key"] >= 0]
         total[real["key"].to_numpy()] = real["g"].to_numpy()
