@@ -5,6 +5,7 @@ Groups are bounded by what they stand for (a track of an hour, a receiver's file
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable
 
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewake.operators.ordering import numbered
+
 
 def apply_per_track(pos: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """A user's function on each track, rows in time order (H1)."""
@@ -65,16 +68,44 @@ def flag_iterative(pos: DataFrame, limit: float, rounds: int = 5) -> DataFrame:
 
 
 def flag_greedy(pos: DataFrame, limit: float = 2.0, max_bed: float = 2.5) -> DataFrame:
-    """Land first (bed above max_bed), then the worst change of velocity again and again (E26): id, seq, removed."""
+    """Land first (bed above max_bed), then the worst change of velocity again and again, the first of equals (E26): id, seq, removed.
+
+    What is left is a chain; a removal changes its two neighbours alone, so the worst is the top of a heap whose outdated entries
+    are passed over: n log n for a track."""
     def run(p: pd.DataFrame) -> pd.DataFrame:
         gone = (p["bed"].to_numpy() > max_bed) if "bed" in p else np.zeros(len(p), bool)
-        t, x, y = p["tnum"].to_numpy(), p["x"].to_numpy(), p["y"].to_numpy()
-        while True:
-            left = np.flatnonzero(~gone)
-            dv = _dv(t[left], x[left], y[left])
-            if not len(dv) or dv.max() < limit:
+        left = np.flatnonzero(~gone)
+        t, x, y = (p[c].to_numpy(float)[left] for c in ("tnum", "x", "y"))
+        before, after = np.arange(len(left)) - 1, np.append(np.arange(1, len(left)), -1)
+        now = _dv(t, x, y)
+        heap = [(-v, i) for i, v in enumerate(now)]
+        heapq.heapify(heap)
+        t, x, y, now = t.tolist(), x.tolist(), y.tolist(), now.tolist()
+
+        def change(i: int) -> float:
+            a, b = before[i], after[i]
+            if a < 0 or b < 0 or t[i] <= t[a] or t[b] <= t[i]:
+                return 0.0
+            d, e = t[i] - t[a], t[b] - t[i]
+            v = math.hypot((x[b] - x[i]) / e - (x[i] - x[a]) / d, (y[b] - y[i]) / e - (y[i] - y[a]) / d)
+            return 0.0 if math.isnan(v) else v
+
+        while heap:
+            worst, i = heapq.heappop(heap)
+            if gone[left[i]] or -worst != now[i]:
+                continue
+            if -worst < limit:
                 break
-            gone[left[int(dv.argmax())]] = True
+            gone[left[i]] = True
+            a, b = before[i], after[i]
+            if a >= 0:
+                after[a] = b
+            if b >= 0:
+                before[b] = a
+            for k in (a, b):
+                if k >= 0:
+                    now[k] = change(k)
+                    heapq.heappush(heap, (-now[k], k))
         return pd.DataFrame({"id": p["id"], "seq": p["seq"], "removed": gone})
 
     return apply_per_track(pos, run, "id long, seq long, removed boolean")
@@ -178,12 +209,8 @@ def pacf(steps: DataFrame, v: str, max_lag: int = 20) -> DataFrame:
 def running_weighted_quantile(df: DataFrame, order: str, v: str, w: str, n: int, q: float, chunk: int = 5_000) -> DataFrame:
     """Weighted quantile of the n rows around each along a sort key, clipped at the ends.
 
-    Rows are numbered by ranges of the key; chunks of the numbering carry n/2 rows of their neighbours. df has seq."""
-    lo_hi = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    rows = df.crossJoin(F.broadcast(lo_hi)).withColumn("_r", F.coalesce(F.floor(256 * F.try_divide(F.col(order) - F.col("_lo"), F.col("_hi") - F.col("_lo"))).cast("int"), F.lit(0)))  # one row
-    sizes = rows.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))  # 257 rows at most
-    before = sizes.select("_r", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_r").orderBy(order, "seq"))).join(before, "_r").withColumn("_i", (F.col("_k") + F.col("_b") - 1).cast("long"))
+    Rows are numbered in the order of the key, whatever its skew; chunks of the numbering carry n/2 rows of their neighbours. df has seq."""
+    rows = numbered(df.select(*dict.fromkeys(["seq", order, v, w])), [order, "seq"], "_i")
     half = n // 2 + 1
     # A row goes to every chunk that has a window over it, however wide the window is.
     rows = rows.withColumn("_c", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col("_i") - half) / chunk), F.floor((F.col("_i") + half) / chunk))))

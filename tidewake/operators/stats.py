@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewake.operators.ordering import numbered
+
 
 def histogram(df: DataFrame, col: str, lo: float, hi: float, bins: int, weight: str | None = None, log: bool = False) -> DataFrame:
     """bin (from 0) and the count or weight in it; edges linear or logarithmic, the last bin closed on the right."""
@@ -152,13 +154,7 @@ def detrend(df: DataFrame, x: str, y: str, out: str = "residual") -> DataFrame:
 def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
     """Rank of each value, the mean rank on ties, from the distinct values' counts; nulls have none."""
     n = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    # Distinct values are numbered by ranges, as in rank_cells, so that no task sorts all of them.
-    lo_hi = n.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    n = n.crossJoin(F.broadcast(lo_hi)).withColumn("_r", F.coalesce(F.floor(64 * F.try_divide(F.col(col) - F.col("_lo"), F.col("_hi") - F.col("_lo"))).cast("int"), F.lit(0)))
-    sizes = n.groupBy("_r").agg(F.sum("_n").alias("_c"))
-    before = sizes.select("_r", F.coalesce(F.sum("_c").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # 65 rows
-    run = F.coalesce(F.sum("_n").over(Window.partitionBy("_r").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = n.withColumn("_k", run).join(before, "_r").select(F.col(col), (F.col("_b") + F.col("_k") + (F.col("_n") + 1) / 2).alias(out))
+    ranks = numbered(n, [col], "_k", "_n").select(F.col(col), (F.col("_k") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, col, "left")
 
 

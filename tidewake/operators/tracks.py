@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions.exprs import is_daytime, local_second, rotate, wrap_angle
+from tidewake.operators.ordering import numbered
 from tidewake.operators.timejoin import interp_join
 
 
@@ -354,15 +355,9 @@ def cell_occupancy(points: DataFrame) -> DataFrame:
 
 
 def rank_cells(cells: DataFrame, by: str = "n") -> DataFrame:
-    """Rank of cells by a value, the cell as tie-break, without one task for all: ranges of the value are numbered apart and
-    the counts of the ranges before are added (F4). cells: cell and the value."""
-    lo_hi = cells.agg(F.min(by).alias("_lo"), F.max(by).alias("_hi"))
-    rows = cells.crossJoin(F.broadcast(lo_hi))  # one row
-    rows = rows.withColumn("_r", F.floor(64 * F.try_divide(F.col("_hi") - F.col(by), F.col("_hi") - F.col("_lo"))).cast("int")).fillna(0, "_r")
-    sizes = rows.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))  # 65 rows at most
-    before = sizes.select("_r", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_r").orderBy(F.desc(by), "cell")))
-    return ranked.join(before, "_r").withColumn("rank", F.col("_k") + F.col("_b")).drop("_r", "_k", "_b", "_lo", "_hi")
+    """Rank of cells by a value, the cell as tie-break, without one task for all (F4). cells: cell and the value; cells without a
+    value come last."""
+    return numbered(cells, [F.desc(by), F.col("cell")], "_k").withColumn("rank", F.col("_k") + 1).drop("_k")
 
 
 def track_collection(pos: DataFrame) -> DataFrame:
