@@ -237,11 +237,11 @@ def test_the_exchange_teaches_words_that_no_label_has(spark, monkeypatch):
     """Twenty labels hold half of the vocabulary; the other half's worth is known from the record alone, and the ranked documents'
     records say nothing. Only lessons from the metadata view teach it to the content view."""
     rng, rows, labels = random.Random(3), [], []
-    of = {(half, good): [f"{'ab'[half]}{'xy'[good]}{i:02d}q" for i in range(40)] for half in (0, 1) for good in (0, 1)}
+    of = {(half, good): [f"{'ab'[half]}{'xy'[good]}{i:02d}q" for i in range(8)] for half in (0, 1) for good in (0, 1)}
     for i in range(1500):
         labelled, ranked = i < 20, i >= 1200
         good, half = (i % 2 == 0, 0) if labelled else (rng.random() < 0.5, 1 if ranked else rng.randrange(2))
-        words = [f"cc{rng.randrange(60):02d}w" for _ in range(30)] + [rng.choice(of[half, good if rng.random() < 0.85 else not good]) for _ in range(10)]
+        words = [f"cc{rng.randrange(20):02d}w" for _ in range(20)] + [rng.choice(of[half, good if rng.random() < 0.85 else not good]) for _ in range(20)]
         rng.shuffle(words)
         source = rng.choice(["s0", "s1"]) if ranked else f"s{int(good == (rng.random() < 0.95))}"
         rows.append((i, " ".join(words), "en", source, 239))
@@ -253,4 +253,4 @@ def test_the_exchange_teaches_words_that_no_label_has(spark, monkeypatch):
     taught = _ranked(quality.train_on(table, known).content.raw(last), np.array(labels[-300:]))
     monkeypatch.setattr(quality.CoTraining, "fit", lambda self, c, m, y, pool=None, **more: fit(self, c, m, y, None, **more))
     alone = _ranked(quality.train_on(table, known).content.raw(last), np.array(labels[-300:]))
-    assert taught > alone + 0.1 and taught > 0.6
+    assert taught > alone + 0.1 and taught > 0.6, (taught, alone)
