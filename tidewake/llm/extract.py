@@ -9,9 +9,10 @@ or id: menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
 
 Character references are decoded, white space inside a line (a line break too) becomes one space, lines without text go, and
 the others are joined by line ends in page order. A null or empty page has an empty text. Unclosed comments, tags and scripts
-reach to the page's end, as in browsers; a quote without its partner does not, its tag ends at the first sign. The parser's scans for the ends of tags and comments are replaced by such that look
-at each character a bounded number of times, so a page of nothing but ``<a`` or ``<!--`` takes linear time too. Repeated rows are
-results of their own; columns but page_id, url and html are not read.
+reach to the page's end, as in browsers; a quote without its partner does not, its tag ends at the first sign. The
+parser's scans for the ends of tags and comments are replaced by such that look at each character a bounded number of times, so a
+page of nothing but ``<a`` or ``<!--`` takes linear time too. Repeated rows are results of their own; columns but page_id, url and
+html are not read.
 """
 
 from __future__ import annotations
