@@ -112,22 +112,29 @@ def flag_greedy(pos: DataFrame, limit: float = 2.0, max_bed: float = 2.5) -> Dat
 
 
 def smooth_fill(pos: DataFrame, n: int = 3, dt: float = 5.0) -> DataFrame:
-    """Track filled every dt seconds from the local line, whose index steps on at most once a time (E14): id, t, x, y."""
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        t, x, y = p["tnum"].to_numpy(), p["x"].to_numpy(), p["y"].to_numpy()
-        if len(t) < 3:
-            return pd.DataFrame({"id": [], "t": [], "x": [], "y": []})
-        at, i, rows = np.arange(t[0], t[-1] + 1e-9, dt), 0, []
-        for now in at:
-            if i < len(t) - 2 and t[i + 1] <= now:
-                i += 1
-            a, b = max(0, i - n), min(len(t) - 1, i + n)
-            w = t[a:b] - t[i]
-            fit = [np.polyval(np.polyfit(w, c[a:b], 1), now - t[i]) if b - a > 1 and np.ptp(w) > 0 else c[i] for c in (x, y)]
-            rows.append((p["id"].iloc[0], now, *fit))
-        return pd.DataFrame(rows, columns=["id", "t", "x", "y"])
-
-    return apply_per_track(pos, run, "id long, t double, x double, y double")
+    """Track filled every dt seconds, its last time included, from the local line, whose index steps on at most once a time (E14): id, t, x, y.
+
+    With c(j) the last row heard by time j, or the last but one of the track, the index at time k is the least of c(j) + k - j over the
+    times up to k, and k + 1: a running minimum. Lines are regressions in a window of 2 n rows, the track's last row left out. Where
+    the window has one time only, the row's own place stands; tracks of fewer than three rows have no row; nulls of x or y are passed over."""
+    track = Window.partitionBy("id")
+    order = track.orderBy("tnum", "seq")
+    rows = pos.select("id", "seq", "tnum", "x", "y", (F.row_number().over(order) - 1).alias("_i"), F.count(F.lit(1)).over(track).alias("_n"), F.min("tnum").over(track).alias("_t0"))
+    rows = rows.where("_n >= 3").withColumn("_t", F.col("tnum") - F.col("_t0"))
+    near = F.ceil(F.col("_t") / dt)
+    at = lambda k: F.col("_t0") + k * F.lit(float(dt))
+    first = F.when(at(near) < F.col("tnum"), near + 1).when(at(near - 1) >= F.col("tnum"), near - 1).otherwise(near)
+    rows = rows.withColumn("_k", F.greatest(first, F.lit(0)))
+    until = F.coalesce(F.lead("_k").over(order) - 1, F.when(at(F.col("_k")) <= F.col("tnum"), F.col("_k")))
+    times = rows.select("id", "_t0", F.least("_i", F.col("_n") - 2).alias("_c"), "_k", until.alias("_to")).where("_to >= _k")
+    times = times.select("id", "_t0", "_c", F.explode(F.sequence("_k", "_to")).alias("_k"))
+    least = F.min(F.col("_c") - F.col("_k")).over(track.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))
+    times = times.select("id", at(F.col("_k")).alias("t"), (at(F.col("_k")) - F.col("_t0")).alias("_w"), (F.least(least, F.lit(1)) + F.col("_k")).cast("int").alias("_i"))
+    frame = track.orderBy("_i").rowsBetween(-n, n - 1)
+    lines = rows.where("_i < _n - 1").select("id", "_i", *[g(c, "_t").over(frame).alias(f"_{name}_{c}") for c in ("x", "y") for name, g in (("b", F.regr_slope), ("at", F.regr_avgx), ("mean", F.regr_avgy))], "x", "y")
+    met = times.join(lines, ["id", "_i"])
+    on_line = [F.coalesce(F.col(f"_mean_{c}") + F.col(f"_b_{c}") * (F.col("_w") - F.col(f"_at_{c}")), F.col(c)).alias(c) for c in ("x", "y")]
+    return met.select(F.col("id").alias("id"), "t", *on_line)  # a column of its own, so that pos may be joined
 
 
 def student_tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -180,16 +181,32 @@ def circular_stats(df: DataFrame, angle: str, by: list[str]) -> DataFrame:
     return out.withColumns({"std": F.sqrt(-2 * F.log("r")), "p": F.least(F.lit(1.0), p)}).drop("_s", "_c")
 
 
-def diel_permutation(df: DataFrame, key: str, v: str, theta: str, reps: int = 999, seed: int = 1) -> DataFrame:
-    """Mean vector of value times direction against shuffles of values among rows, and its p (D27). A row a track: small."""
-    n = df.withColumn("_i", F.row_number().over(Window.orderBy(key)))  # rows are tracks, some hundreds
-    reps_of = n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
-    shuffled = F.when(F.col("rep") == 0, F.col("_i").cast("long")).otherwise(F.xxhash64(F.lit(seed), "rep", "_i"))
-    values = reps_of.select("rep", v, F.row_number().over(Window.partitionBy("rep").orderBy(shuffled, "_i")).alias("_i"))
-    met = values.join(n.select("_i", theta), "_i")
-    size = met.groupBy("rep").agg(F.hypot(F.avg(F.col(v) * F.cos(theta)), F.avg(F.col(v) * F.sin(theta))).alias("m"))
-    own = size.where("rep = 0").select(F.col("m").alias("observed"))
-    both = size.crossJoin(F.broadcast(own))  # one row
+def diel_permutation(df: DataFrame, key: str, v: str, theta: str, reps: int = 999, seed: int = 1, block: int = 65_536, chunk: int = 1_000) -> DataFrame:
+    """Mean vector of value times direction against shuffles of values among rows, and its p (D27): observed, p. Rows with a null in
+    either are left out; without rows there is no result.
+
+    Rows are dealt over as few blocks of at most `block` rows as hold them, by their place in the order of key, and values are
+    shuffled within their block: among all rows, where one block holds them. Such shuffles make a group, so the test stays exact. A
+    task holds one block and makes `chunk` shuffles, each from a generator keyed by seed, block and shuffle; only sums leave it."""
+    whole = df.select(F.col(key).alias("_key"), F.col(v).cast("double").alias("_v"), F.col(theta).cast("double").alias("_th")).dropna(subset=["_v", "_th"])
+    rows = numbered(whole, ["_key", "_v", "_th"], "_i")
+    blocks = max(1, -(-rows.count() // block))
+    held = rows.groupBy(F.pmod("_i", F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("_i", "_v", "_th"))).alias("_r"))
+    held = held.select("block", F.col("_r._v").alias("values"), F.col("_r._th").alias("angles"))
+    work = held.withColumn("from", F.explode(F.sequence(F.lit(0), F.lit(reps), F.lit(chunk)))).repartition("block", "from")
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for b, values, angles, first in zip(batch["block"], batch["values"], batch["angles"], batch["from"], strict=True):
+                own, to = np.asarray(values, float), np.exp(1j * np.asarray(angles, float))
+                of = range(first, min(first + chunk, reps + 1))
+                z = np.array([(np.random.default_rng([seed, b, r]).permutation(own) if r else own) @ to for r in of])
+                yield pd.DataFrame({"rep": np.array(of), "n": len(own), "re": z.real, "im": z.imag})
+
+    by_rep = work.mapInPandas(sums, "rep int, n long, re double, im double").groupBy("rep").agg(F.sum("n").alias("n"), F.sum("re").alias("re"), F.sum("im").alias("im"))
+    size = by_rep.select("rep", F.hypot(F.col("re") / F.col("n"), F.col("im") / F.col("n")).alias("m"))
+    own = F.max(F.when(F.col("rep") == 0, F.col("m")))
+    both = size.crossJoin(F.broadcast(size.agg(own.alias("observed")).where("observed is not null")))  # one row
     below = F.count_if((F.col("rep") > 0) & (F.col("m") < F.col("observed")))
     return both.groupBy("observed").agg((1 - below / (1 + reps)).alias("p"))
 

@@ -43,7 +43,12 @@ def e26_flag_greedy(spark: SparkSession, d: str) -> DataFrame:
     return H.flag_greedy(positions(spark, d).withColumn("bed", F.col("x") / 100), 0.02, 2.5)
 
 
-@query()
+@query(f"""WITH {POS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tnum, seq) - 1 AS i, count(*) OVER (PARTITION BY id) AS n, min(tnum) OVER (PARTITION BY id) AS t0 FROM pos),
+l AS (SELECT id, i, x, y, avg(tnum - t0) OVER f AS mt, avg(x) OVER f AS mx, avg(y) OVER f AS my, regr_slope(x, tnum - t0) OVER f AS gx, regr_slope(y, tnum - t0) OVER f AS gy FROM r WHERE i < n - 1 WINDOW f AS (PARTITION BY id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING)),
+k AS (SELECT id, t0, n, unnest(range(0, CAST(floor((max(tnum) - t0) / 21600) AS BIGINT) + 1)) AS k FROM r WHERE n >= 3 GROUP BY id, t0, n), h AS (SELECT id, tnum, max(i) AS i FROM r GROUP BY id, tnum),
+c AS (SELECT k.id, k, t0, k * 21600 AS w, least(h.i, n - 2) AS c FROM (SELECT *, t0 + k * 21600 AS t FROM k) k ASOF JOIN h ON k.id = h.id AND h.tnum <= k.t),
+s AS (SELECT *, k + least(1, min(c - k) OVER (PARTITION BY id ORDER BY k ROWS UNBOUNDED PRECEDING)) AS i FROM c)
+SELECT id, t0 + w AS t, round(coalesce(mx + gx * (w - mt), x), 6) AS x, round(coalesce(my + gy * (w - mt), y), 6) AS y FROM s JOIN l USING (id, i)""")
 def e14_smooth_fill(spark: SparkSession, d: str) -> DataFrame:
     return r6(H.smooth_fill(positions(spark, d), 3, 21600.0), "x", "y")
 
