@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions.exprs import is_daytime, local_second, rotate, wrap_angle
@@ -370,6 +370,16 @@ def from_collection(nested: DataFrame) -> DataFrame:
     return nested.select("id", F.inline("track"))
 
 
+def write_collection(nested: DataFrame, path: str) -> None:
+    """A collection with whatever derived columns its tracks have, as Parquet (A7): a row for each track, positions nested."""
+    nested.write.mode("errorifexists").parquet(path)
+
+
+def read_collection(spark: SparkSession, path: str) -> DataFrame:
+    """A written collection, a row for each track."""
+    return spark.read.parquet(path)
+
+
 def tracks_to_wkt(pos: DataFrame) -> DataFrame:
     """Line of each track with two positions or more."""
     nested = track_collection(pos).where(F.size("track") >= 2)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions import exprs as X
@@ -232,26 +233,52 @@ def s6_stream_segments(spark: SparkSession, d: str) -> DataFrame:
     return S.drained(S.stream_segments(rows), "s6").select("seq", "rx", F.col("segment").cast("long").alias("segment"))
 
 
-def _shuffled(spark: SparkSession, d: str, files: int = 10) -> DataFrame:
-    """The events in files that each hold what reached a recorder in turn, up to two days after its time, and at last a row without
-    a receiver, ten days on, which moves the watermark past all of them."""
-    e, at = table(spark, d, "events"), f"{shared_folder(spark)}/shuffled-{uuid.uuid4().hex}"
+def _arriving(spark: SparkSession, d: str, name: str, place: Callable[[int, int], Column], files: int) -> DataFrame:
+    """The events in files by place(lo, hi), from 0, of the first and last time in microseconds; at last a row of a receiver 'none',
+    ten days on, which moves the watermark past all of them."""
+    e, at = table(spark, d, "events"), f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     lo, hi = e.agg(F.min(us), F.max(us)).first()
-    place = F.floor((us - lo + F.pmod(F.xxhash64("event_id"), F.lit(2 * 86_400_000_000))) / F.lit((hi - lo + 2 * 86_400_000_000 + 1) / files))
-    dealt = kept(e.withColumn("_place", place), "dealt")
+    dealt = kept(e.withColumn("_place", place(lo, hi)), "dealt")
     for i in range(files):
         dealt.where(F.col("_place") == i).drop("_place").coalesce(1).write.mode("append").parquet(at)
     last = e.orderBy(F.desc("ts")).limit(1)
-    last.select(*[F.lit(None).cast(k).alias(c) if c in ("event_type", "user_id") else (F.col("ts") + F.expr("INTERVAL 10 DAYS")).cast(k).alias(c) if c == "ts" else F.col(c) for c, k in e.dtypes]).write.mode("append").parquet(at)
+    last.select(*[F.lit("none" if c == "event_type" else "-1").cast(k).alias(c) if c in ("event_type", "user_id") else (F.col("ts") + F.expr("INTERVAL 10 DAYS")).cast(k).alias(c) if c == "ts" else F.col(c) for c, k in e.dtypes]).write.mode("append").parquet(at)
     return S.event_stream(spark, at)
 
 
+def _us() -> Column:
+    return F.unix_micros(F.col("ts").cast("timestamp"))
+
+
+def _shuffled(spark: SparkSession, d: str, files: int = 10) -> DataFrame:
+    """The events in files that each hold what reached a recorder in turn, up to two days after its time."""
+    late = 2 * 86_400_000_000
+    return _arriving(spark, d, "shuffled", lambda lo, hi: F.floor((_us() - lo + F.pmod(F.xxhash64("event_id"), F.lit(late))) / F.lit((hi - lo + late + 1) / files)), files)
+
+
+def _tardy(spark: SparkSession, d: str) -> DataFrame:
+    """The same in four files, with a lateness that SQL can say: event_id * 7919 modulo two days, in seconds."""
+    late = 172_800_000_000
+    return _arriving(spark, d, "tardy", lambda lo, hi: F.floor((_us() - lo + F.col("event_id") * 7919 % 172_800 * 1_000_000) * 4 / F.lit(hi - lo + late)), 4)
+
+
+_TARDY = """e AS (SELECT min(epoch_us(time)) AS lo, max(epoch_us(time)) AS hi FROM det), p AS (SELECT det.*, (epoch_us(time) - lo + seq * 7919 % 172800 * 1000000) * 4 // (hi - lo + 172800000000) AS place FROM det, e),
+w AS (SELECT place, max(max(epoch_ms(time))) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 86400000 AS wm FROM p GROUP BY place),
+q AS (SELECT p.*, time_bucket(INTERVAL 1 HOUR, time) AS start, coalesce(epoch_ms(time) // 3600000 * 3600000 + 3600000 <= wm, false) AS late FROM p JOIN w USING (place))"""
+
+
+@query(f"WITH {DET}, {_TARDY} SELECT false AS late, start, round(avg(sensor), 6) AS sensor, count(*) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS TIMESTAMP) AS time FROM q WHERE NOT late GROUP BY start UNION ALL SELECT true, start, round(sensor, 6), NULL, seq, time FROM q WHERE late")
+def s2_stream_bin_mean_and_late(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly means with a watermark of a day over rows that arrive up to two days late, and each row that was too late."""
+    return r6(S.drained(S.stream_bin_mean_and_late(_tardy(spark, d), "1 hour", "1 day"), "s2l", S.ROCKS), "sensor")
+
+
 @query(f"WITH {DET} SELECT rx, tag, seq FROM (SELECT *, t - lag(t) OVER (PARTITION BY rx ORDER BY seq) AS gap FROM det) WHERE gap IS NULL OR gap > 600")
 def s5_stream_multipath_shuffled(spark: SparkSession, d: str) -> DataFrame:
     """Rows that arrive up to two days late, over eleven files, are judged as the batch job judges them; state lives for a day of silence."""
     out = S.drained(S.stream_multipath_in_order(_shuffled(spark, d), ("rx",), 600.0, "3 days", "1 day"), "s5o", S.ROCKS)
-    return out.where("rx is not null").select("rx", "tag", "seq")
+    return out.where("rx <> 'none'").select("rx", "tag", "seq")
 
 
 @query(f"""WITH {DET}, r AS (SELECT *, sensor > 200 AS sync, t - tag * 600 AS tt FROM det), b AS (SELECT *, CASE WHEN sync OR coalesce(tt < lag(tt) OVER (PARTITION BY rx ORDER BY seq), false) THEN 1 ELSE 0 END AS brk FROM r), s AS (SELECT *, sum(brk) OVER (PARTITION BY rx ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM b)
@@ -259,7 +286,7 @@ SELECT seq, rx, dense_rank() OVER (PARTITION BY rx ORDER BY run) AS segment FROM
 def s6_stream_segments_shuffled(spark: SparkSession, d: str) -> DataFrame:
     """Segments of receivers whose rows arrive up to two days late."""
     rows = _shuffled(spark, d).withColumns({"t": F.col("t") - F.col("tag") * 600, "is_sync": F.col("sensor") > 200})
-    return S.drained(S.stream_segments_in_order(rows, "3 days"), "s6o", S.ROCKS).where("rx is not null").select("seq", "rx", F.col("segment").cast("long").alias("segment"))
+    return S.drained(S.stream_segments_in_order(rows, "3 days"), "s6o", S.ROCKS).where("rx <> 'none'").select("seq", "rx", F.col("segment").cast("long").alias("segment"))
 
 
 @query(f"WITH {DET}, {RX}, o AS (SELECT det.rx, t, lag(t) OVER (PARTITION BY det.rx ORDER BY t) AS f FROM det JOIN rx ON rx.rx = det.rx AND sync_tag = tag) SELECT rx, round(f, 4) AS from_t, round(t, 4) AS to_t, CAST(round((t - f) / 3600) AS INT) - 1 AS missed FROM o WHERE t - f > 36000")
@@ -268,6 +295,17 @@ def s7_stream_beacon_health(spark: SparkSession, d: str) -> DataFrame:
     return r6(out.where("to_t is not null"), "from_t", "to_t", digits=4)
 
 
+@query(f"""WITH {DET}, {RX}, p AS (SELECT *, seq * 3 // (SELECT max(seq) + 1 FROM det) AS b FROM det), w AS (SELECT b, max(max(t)) OVER (ORDER BY b) - 60 AS wm FROM p GROUP BY b),
+o AS (SELECT p.rx, b, t, lag(t) OVER (PARTITION BY p.rx ORDER BY t) AS f FROM p JOIN rx ON rx.rx = p.rx AND sync_tag = tag), l AS (SELECT rx, b, max(t) AS last FROM o GROUP BY rx, b), n AS (SELECT *, lead(b) OVER (PARTITION BY rx ORDER BY b) AS nb FROM l)
+SELECT rx, round(f, 4) AS from_t, round(t, 4) AS to_t, CAST(round((t - f) / 3600) AS INT) - 1 AS missed FROM o WHERE t - f > 36000
+UNION ALL SELECT rx, round(last, 4), NULL, NULL FROM n WHERE nb IS NULL OR EXISTS (SELECT 1 FROM w WHERE w.b >= n.b AND w.b < nb - 1 AND wm > last + 36000)""")
+def s7_stream_open_silences(spark: SparkSession, d: str) -> DataFrame:
+    """Silences that end, and each that had not ended when the watermark passed its limit: the last one of every receiver at least."""
+    top = table(spark, d, "events").agg(F.max("event_id")).first()[0]
+    rows = _arriving(spark, d, "silences", lambda lo, hi: F.floor(F.col("event_id") * 3 / F.lit(top + 1)), 3)
+    return r6(S.drained(S.stream_beacon_health(rows, receivers(spark), 10, 3600.0), "s7o"), "from_t", "to_t", digits=4)
+
+
 @query(f"WITH {DET}, {RX} SELECT seq, det.rx, rx_x, rx_y FROM det LEFT JOIN rx USING (rx)")
 def s8_stream_enrich(spark: SparkSession, d: str) -> DataFrame:
     return S.drained(S.stream_enrich(_stream(spark, d), receivers(spark)).select("seq", "rx", "rx_x", "rx_y"), "s8")

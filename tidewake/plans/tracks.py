@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tidewake.operators import cleaning as C
 from tidewake.operators import tracks as T
 from tidewake.plans.registry import query
 from tidewake.plans.roles import POS, SEG, positions, r6
+from tidewake.session import shared_folder
 
 WATER = "sin(tnum / 3600) AS water_u, cos(tnum / 3600) AS water_v"
 VEL = f"""WITH {POS}, wp AS (SELECT *, {WATER}, lead(tnum) OVER w - tnum AS dt, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM pos WINDOW w AS (PARTITION BY id ORDER BY tnum, seq)),
@@ -329,6 +332,16 @@ def a7_collection_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return T.from_collection(T.track_collection(positions(spark, d)))
 
 
+@query(f"WITH {POS}, n AS (SELECT id, count(*) AS n FROM pos GROUP BY id) SELECT id, n, tnum, seq, x, y FROM pos JOIN n USING (id)")
+def a7_collection_written_and_read(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks with a derived column, written as a collection, read back, and laid out again."""
+    at = f"{shared_folder(spark)}/a7-{uuid.uuid4().hex}"
+    nested = T.track_collection(positions(spark, d))
+    T.write_collection(nested.withColumn("n", F.size("track").cast("long")), at)
+    back = T.read_collection(spark, at)
+    return T.from_collection(back).join(back.select("id", "n"), "id")
+
+
 @query(f"WITH {POS} SELECT id, 'LINESTRING (' || string_agg(CAST(x AS VARCHAR) || ' ' || CAST(y AS VARCHAR), ', ' ORDER BY tnum, seq) || ')' AS wkt FROM pos GROUP BY id HAVING count(*) >= 2")
 def a13_tracks_to_wkt(spark: SparkSession, d: str) -> DataFrame:
     return T.tracks_to_wkt(positions(spark, d))

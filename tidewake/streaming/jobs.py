@@ -66,7 +66,8 @@ def parse_files(spark: SparkSession, folder: str, name: str, files_per_trigger:
 
 
 def stream_bin_mean(det: DataFrame, width: str = "15 minutes", delay: str = "1 hour") -> DataFrame:
-    """Mean sensor value by time bin; rows later than the delay are dropped, and counted by the query's progress."""
+    """Mean sensor value by time bin; rows later than the delay are dropped, and counted by the query's progress (S2);
+    stream_bin_mean_and_late gives them out."""
     out = det.withWatermark("time", delay).groupBy(F.window("time", width).alias("w")).agg(F.avg("sensor").alias("sensor"), F.count(F.lit(1)).alias("n"))
     return out.select(F.col("w.start").alias("start"), "sensor", "n")
 
@@ -239,11 +240,66 @@ def stream_segments_in_order(det: DataFrame, delay: str = "1 hour", ttl: str | N
     return _in_order(det, ["rx"], "is_sync boolean", "last double, segment int, used boolean", rule, "rx string, seq long, segment int", delay, ttl)
 
 
+class _BinSums(StatefulProcessor):
+    """Sums of a bin until the watermark passes its end; rows that come after that, or without a time, are given out one by one.
+
+    State: three numbers a bin, while it is open."""
+
+    def __init__(self, width_ms: int):
+        self.width_ms = width_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getValueState("sums", "total double, heard long, n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed, start = timerValues.getCurrentWatermarkInMs(), key[0]
+        none = start is None or start != start
+        if none or int(start) + self.width_ms <= passed:
+            for late in rows:
+                yield _typed(late.assign(late=True, start_ms=None if none else int(start), n=None)[_BIN_NAMES], _BIN_ROWS)
+            return
+        total, heard, n = self.sums.get() if self.sums.exists() else (0.0, 0, 0)
+        for own in rows:
+            total, heard, n = total + float(own["sensor"].sum()), heard + int(own["sensor"].count()), n + len(own)
+        self.sums.update((total, heard, n))
+        self.handle.registerTimer(int(start) + self.width_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        total, heard, n = self.sums.get()
+        self.sums.clear()
+        made = pd.DataFrame({"late": [False], "start_ms": [int(key[0])], "sensor": [total / heard if heard else None], "n": [n], "seq": [None], "us": [None]})
+        yield _typed(made, _BIN_ROWS)
+
+    def close(self) -> None:
+        pass
+
+
+_BIN_ROWS = "late boolean, start_ms long, sensor double, n long, seq long, us long"
+_BIN_NAMES = [c.split()[0] for c in _BIN_ROWS.split(", ")]
+
+
+def stream_bin_mean_and_late(det: DataFrame, width: str = "15 minutes", delay: str = "1 hour") -> DataFrame:
+    """Mean sensor value by time bin, and every row that came too late for its bin (S2): late, start, sensor, n, seq, time.
+
+    A row is late where the watermark had passed the end of its bin before its batch began; a row without a time is late in no bin.
+    Rows with late false are bins (sensor: the mean, null where none has a value; seq and time null), the others single rows (n null).
+    So each row is in one bin's n or is a late row itself; their count by start says what a bin has missed. The query needs the store
+    of ROCKS. The event time stays behind the watermark's node, as Spark would drop late rows before the operator sees them."""
+    width_ms = int(pd.Timedelta(width).total_seconds() * 1000)
+    us = F.unix_micros("time")
+    start = F.floor(F.unix_millis("time") / F.lit(width_ms)) * width_ms
+    rows = det.withWatermark("time", delay).select(start.alias("start_ms"), F.col("sensor").cast("double").alias("sensor"), "seq", us.alias("us"))
+    out = rows.groupBy("start_ms").transformWithStateInPandas(_BinSums(width_ms), _BIN_ROWS, "Append", "EventTime")
+    return out.select("late", F.timestamp_millis("start_ms").alias("start"), "sensor", "n", "seq", F.timestamp_micros("us").alias("time"))
+
+
 def stream_beacon_health(det: DataFrame, rx: DataFrame, n: int = 10, interval_s: float = 30.0, delay: str = "1 minute") -> DataFrame:
     """Silences of a receiver's own beacon of more than n intervals, as they end (S7): rx, from_t, to_t, missed.
 
     A silence that has not ended is reported once, by event-time timeout, with to_t null; the receiver's last time stays in
-    the state, so its end is reported as well when a ping of a later batch ends it."""
+    the state, so its end is reported as well when a ping of a later batch ends it. Rows without receiver or tag do not move the
+    watermark, as the join leaves them out before it."""
     limit = n * interval_s
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
