@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewake.functions import exprs as X
 from tidewake.operators import detections as D
+from tidewake.operators import workloads as W
 from tidewake.plans.registry import query
 from tidewake.plans.roles import DET, POS, RECEIVERS, RX, detections, positions, r6, receivers, table
 from tidewake.session import kept, shared_folder
@@ -162,6 +163,29 @@ def a1_e1_order_kept(spark: SparkSession, d: str) -> DataFrame:
     return left.select("id", "rx", "line_no")
 
 
+_BREAKS = [1704200000.0, 1704800000.0, 1705300000.0, 1705700000.0]
+
+
+@query(f"""WITH {DET}, l AS (SELECT 'st' || seq % 3 AS st, row_number() OVER (PARTITION BY seq % 3 ORDER BY seq) - 1 AS seq, rx = 'signup' AS sync, rx, tag, CASE WHEN rx <> 'signup' THEN epoch(date_trunc('second', time)) + 0.5 END AS t, CASE WHEN rx <> 'signup' AND floor(sensor) BETWEEN 5 AND 120 THEN floor(sensor) END AS temp FROM det),
+r AS (SELECT * FROM l WHERE sync OR (rx IN ('click', 'purchase') AND t BETWEEN 1704150000 AND 1706000000)), v AS (SELECT st, min(seq) AS lo, max(seq) AS hi FROM r WHERE temp IS NOT NULL GROUP BY st), c AS (SELECT r.* FROM r JOIN v USING (st) WHERE seq BETWEEN lo AND hi),
+m AS (SELECT st, tag AS beacon FROM (SELECT st, tag, row_number() OVER (PARTITION BY st ORDER BY count(*) DESC, tag) AS k FROM c WHERE NOT sync GROUP BY st, tag) WHERE k = 1),
+b AS (SELECT *, CASE WHEN sync OR coalesce(t < lag(t) OVER (PARTITION BY st ORDER BY seq), false) THEN 1 ELSE 0 END AS brk FROM c), s AS (SELECT *, sum(brk) OVER (PARTITION BY st ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM b),
+g AS (SELECT *, dense_rank() OVER (PARTITION BY st ORDER BY run) AS segment FROM s WHERE NOT sync), e AS (SELECT *, t - lag(t) OVER (PARTITION BY st, segment ORDER BY seq) AS gap FROM g)
+SELECT st AS rx, seq, segment, tag, t, temp, CAST(right(st, 1) AS DOUBLE) * 50 AS rx_x, CAST(right(st, 1) AS DOUBLE) + 7 AS rx_y, beacon, CASE WHEN t < 1704800000 THEN 0 WHEN t < 1705300000 THEN 1 ELSE 2 END AS period FROM e JOIN m USING (st) WHERE (gap IS NULL OR gap > 300) AND t >= 1704200000 AND t < 1705700000""")
+def workload_clean_detections(spark: SparkSession, d: str) -> DataFrame:
+    """Workload 1 over all events: logs of three stations, written and read line by line, to clean detections in periods, which are
+    exported and read back."""
+    at = f"{shared_folder(spark)}/w1-{uuid.uuid4().hex}"
+    rows = _lines(spark, d).withColumn("st", F.concat(F.lit("st"), F.col("line_no") % 3))
+    rows.repartition("st").sortWithinPartitions("st", "line_no").select("st", "line").write.partitionBy("st").text(f"{at}/logs")
+    lines = R.parse_receiver_lines(R.read_lines(spark, f"{at}/logs/*").withColumn("file", F.regexp_extract("path", "st=(st[0-9])/", 1))).withColumnRenamed("file", "rx")
+    places = spark.createDataFrame([(f"st{i}", 50.0 * i, 7.0 + i) for i in range(3)], "rx string, rx_x double, rx_y double")
+    clean = W.clean_detections(lines, places, 1704150000.0, 1706000000.0, {"temp": (5, 120)}, 300.0)
+    R.export_periods(clean, _BREAKS, f"{at}/periods", places)
+    out = spark.read.parquet(f"{at}/periods/detections")
+    return out.select("rx", "seq", F.col("segment").cast("long").alias("segment"), "tag", "t", "temp", "rx_x", "rx_y", "beacon", F.col("period").cast("int").alias("period"))
+
+
 @query(f"WITH {DET} SELECT seq, CASE WHEN t >= 1705700000 OR t < 1704200000 THEN -1 WHEN t < 1704800000 THEN 0 WHEN t < 1705300000 THEN 1 ELSE 2 END AS period FROM det")
 def a8_periods(spark: SparkSession, d: str) -> DataFrame:
     return R.with_period(detections(spark, d), [1704200000.0, 1704800000.0, 1705300000.0, 1705700000.0]).select("seq", F.col("period").cast("int").alias("period"))

@@ -13,6 +13,7 @@ from tidewake.operators import tracks as T
 from tidewake.plans.registry import query
 from tidewake.plans.roles import POS, SEG, positions, r6
 from tidewake.session import shared_folder
+from tidewake.sources import readers as R
 
 WATER = "sin(tnum / 3600) AS water_u, cos(tnum / 3600) AS water_v"
 VEL = f"""WITH {POS}, wp AS (SELECT *, {WATER}, lead(tnum) OVER w - tnum AS dt, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM pos WINDOW w AS (PARTITION BY id ORDER BY tnum, seq)),
@@ -337,8 +338,8 @@ def a7_collection_written_and_read(spark: SparkSession, d: str) -> DataFrame:
     """Tracks with a derived column, written as a collection, read back, and laid out again."""
     at = f"{shared_folder(spark)}/a7-{uuid.uuid4().hex}"
     nested = T.track_collection(positions(spark, d))
-    T.write_collection(nested.withColumn("n", F.size("track").cast("long")), at)
-    back = T.read_collection(spark, at)
+    R.write_collection(nested.withColumn("n", F.size("track").cast("long")), at)
+    back = R.read_collection(spark, at)
     return T.from_collection(back).join(back.select("id", "n"), "id")
 
 
