@@ -63,8 +63,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Trained models and tokens are beyond SQL; tests hold the stages of near duplicates, privacy and packing against their rules, and the
-#: classifiers by held-out labels.
+#: Trained models and tokens are beyond SQL; tests hold each stage against a plain version of its rule (the classifiers' scores from the
+#: trained weights), and what the classifiers learned by held-out labels.
 ORACLE_SQL = None
 
 
