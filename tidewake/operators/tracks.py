@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.functions.exprs import is_daytime, local_second, rotate, wrap_angle
+from tidewake.functions.exprs import heading, is_daytime, local_second, rotate, wrap_angle
 from tidewake.operators.ordering import numbered
 from tidewake.operators.timejoin import interp_join
 
@@ -33,7 +33,7 @@ def make_segments(pos: DataFrame) -> DataFrame:
     return rows.withColumns(
         {
             "xm": (F.col("x1") + F.col("x2")) / 2, "ym": (F.col("y1") + F.col("y2")) / 2, "tm": F.col("t1") + dt / 2, "dt": dt, "dist": F.sqrt(dx * dx + dy * dy),
-            "u": dx / step, "v": dy / step, "speed": F.sqrt(dx * dx + dy * dy) / step, "head": F.atan2(dy, dx),
+            "u": dx / step, "v": dy / step, "speed": F.sqrt(dx * dx + dy * dy) / step, "head": heading(dx, dy),
         }
     )
 
