@@ -2,11 +2,13 @@
 
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import rows
+from tidewake.operators import sync as Y
 from tidewake.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -44,3 +46,18 @@ def test_heading_keeps_nulls(spark):
 
     got = spark.createDataFrame([(1.0, 1.0), (None, 1.0), (float("nan"), 1.0), (0.0, 0.0)], "x double, y double").select(heading(F.col("x"), F.col("y")).alias("h")).collect()
     assert got[0][0] == math.pi / 4 and got[1][0] is None and math.isnan(got[2][0]) and got[3][0] == 0
+
+
+def test_pings_at_a_receiver(spark):
+    """A ping at the place of a receiver has range 0 there; rounding must not lose it."""
+    places = {"a": (0.0, 0.0), "b": (120.0, 10.0), "c": (60.0, 90.0), "d": (10.0, 70.0), "e": (130.0, 80.0)}
+    rng, pings, at = np.random.default_rng(3), [], {}
+    for x, y in places.values():
+        for t in rng.uniform(0, 1000, 200):
+            at[len(at)] = (x, y)
+            pings += [(len(at) - 1, rx, float(t + math.hypot(x - a, y - b) / 1460)) for rx, (a, b) in places.items()]
+    rx = spark.createDataFrame([(k, *v) for k, v in places.items()], "rx string, rx_x double, rx_y double")
+    found = Y.solve_pings(spark.createDataFrame(pings, "ping_id long, rx string, toa double"), rx).toPandas()
+    best = found.sort_values("rms").drop_duplicates("ping_id").set_index("ping_id")
+    assert len(best) == len(at)
+    assert all(math.hypot(best["x"][i] - x, best["y"][i] - y) < 1e-3 for i, (x, y) in at.items())

@@ -15,7 +15,8 @@ def closed_form(places: np.ndarray, toa: np.ndarray, c: float) -> np.ndarray:
     nan where there is none. places: ping, receiver, (x, y); toa: ping, receiver.
 
     Differences of the squared range equations are linear in place and emission time given the first receiver's range, whose
-    own equation is a quadratic in that range."""
+    own equation is a quadratic in that range. At a receiver's place the range is 0, and rounding may put it below, or the
+    discriminant: both are taken as 0 within what rounding can do."""
     first, n = toa.argmin(1), toa.shape[1]
     rest = np.arange(n - 1) + (np.arange(n - 1) >= first[:, None])
     p0, t0 = places[np.arange(len(toa)), first], toa[np.arange(len(toa)), first]
@@ -26,11 +27,15 @@ def closed_form(places: np.ndarray, toa: np.ndarray, c: float) -> np.ndarray:
     h = -(inv @ dr[:, :, None])[:, :, 0]  # place less p0 = g + h r
     a, b, k = (h * h).sum(1) - 1, 2 * (g * h).sum(1), (g * g).sum(1)
     with np.errstate(all="ignore"):
-        d = np.sqrt(b * b - 4 * a * k)
-        two = np.sort(np.stack([(-b - d) / (2 * a), (-b + d) / (2 * a)], 1), 1)
-        two[two[:, 0] == two[:, 1], 1] = np.nan
+        near = 1e-6 + 64 * c * np.spacing(np.abs(toa).max(1))  # metres
+        d2 = b * b - 4 * a * k
+        d = np.sqrt(np.where((d2 < 0) & (-d2 <= 1e-9 * (b * b + np.abs(4 * a * k)) + (2 * a * near) ** 2), 0.0, d2))
+        q = -(b + np.where(b < 0, -d, d)) / 2  # no difference of like numbers
+        two = np.stack([q / a, np.where(q == 0, 0.0, k / q)], 1)
         one = np.stack([np.where(np.abs(b) > 1e-12, -k / b, np.nan), np.full(len(b), np.nan)], 1)
         r = np.where(np.abs(a)[:, None] < 1e-12, one, two)
+        r = np.sort(np.where((r < 0) & (r >= -near[:, None]), 0.0, r), 1)
+        r[r[:, 0] == r[:, 1], 1] = np.nan
         r[~(r >= 0)] = np.nan
     xy = (p0 + g)[:, None] + h[:, None] * r[:, :, None]
     return np.concatenate([xy, (t0[:, None] - r / c)[:, :, None]], 2)

@@ -134,7 +134,7 @@ def _toa(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query(f"WITH {DET} SELECT seq AS ping_id, round(sensor, 2) AS x, round(k, 2) AS y, 5 AS n_rx FROM det")
 def h2_solve_pings(spark: SparkSession, d: str) -> DataFrame:
     toa, rx = _toa(spark, d)
-    fixes = Y.solve_pings(toa.select("ping_id", "rx", "toa"), rx).withColumn("_k", F.row_number().over(Window.partitionBy("ping_id").orderBy("rms"))).where("_k = 1")
+    fixes = Y.solve_pings(toa.select("ping_id", "rx", "toa"), rx).withColumn("_k", F.row_number().over(Window.partitionBy("ping_id").orderBy("rms", "solution"))).where("_k = 1")
     return r6(fixes.select("ping_id", "x", "y", "n_rx"), "x", "y", digits=2)
 
 
