@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import rows
+from tests.test_clock import equations
 from tidewake.operators import sync as Y
 from tidewake.plans import registry
 
@@ -61,3 +62,11 @@ def test_pings_at_a_receiver(spark):
     best = found.sort_values("rms").drop_duplicates("ping_id").set_index("ping_id")
     assert len(best) == len(at)
     assert all(math.hypot(best["x"][i] - x, best["y"][i] - y) < 1e-3 for i, (x, y) in at.items())
+
+
+def test_bad_arrivals_in_proportion(spark):
+    """A share of bad arrivals is dropped however many that is."""
+    eq, turn, _ = equations(spark, 600, bad=12)
+    assert Y.solve_clock(eq, 0.0, 100.0, "A", 6, max_drops=3).count() < 4 * 7
+    got = Y.solve_clock(eq, 0.0, 100.0, "A", 6, max_drops=3, max_share=0.05).collect()
+    assert len(got) == 4 * 7 and all(abs(r["off"] - turn[r["rx"]][r["idx"]]) < 2e-4 for r in got)

@@ -155,13 +155,14 @@ def _clock_solutions(rows: DataFrame, block: int) -> DataFrame:
     return cells.groupBy("win").applyInPandas(solved, "win long, x array<double>")
 
 
-def solve_clock(equations: DataFrame, start: float, width: float, keeper: str, n_intervals: int, window: int = 6, overlap: int = 2, target: float = 1e-3, max_drops: int = 200) -> DataFrame:
+def solve_clock(equations: DataFrame, start: float, width: float, keeper: str, n_intervals: int, window: int = 6, overlap: int = 2, target: float = 1e-3, max_drops: int = 200, max_share: float = 0.0) -> DataFrame:
     """Offsets at breaks and inverse sound speed by interval from windows of intervals (H4): rx, idx, off, inv_c, rms.
 
     Each equation says that b's time less a's, both corrected, is ddist by the interval's inverse speed; offsets are linear between
     breaks and the keeper's is 0. Spark sums the equations' products by window and pair of unknowns, so a task solves a banded
     system of the window's breaks and receivers, however many pings there are. In rounds, every window whose RMS is not below
-    target loses the equations within half of its largest residual, at most max_drops in all, else it has no solution. Of windows
+    target loses the equations within half of its largest residual, at most max_drops in all, or max_share of the window's
+    equations where that is more (bad arrivals grow in number with the pings), else it has no solution. Of windows
     that share a break, the one whose edge is not near it counts. A break that no equation reaches has offset 0. Equations with a
     null take no part."""
     whole = equations.where("a is not null and b is not null and ta is not null and tb is not null and ddist is not null").select("a", "ta", "b", "tb", "ddist")
@@ -182,7 +183,8 @@ def solve_clock(equations: DataFrame, start: float, width: float, keeper: str, n
         left = rows.join(state.where(F.col("rms") >= target).select("win", "_worst", "_rows"), "win").where(F.col("_res") * 2 < F.col("_worst"))
         n = F.count(F.lit(1)).over(Window.partitionBy("win"))
         left = left.withColumn("_left", n).withColumn("dropped", F.col("dropped") + F.col("_rows") - F.col("_left"))
-        active = kept(left.where((F.col("dropped") <= max_drops) & (F.col("_left") >= 2)).select("win", "lo", "n", "terms", "y", "dropped"), "clock-rows")
+        most = F.greatest(F.lit(max_drops), max_share * (F.col("dropped") + F.col("_left")))
+        active = kept(left.where((F.col("dropped") <= most) & (F.col("_left") >= 2)).select("win", "lo", "n", "terms", "y", "dropped"), "clock-rows")
     schema = f"rx {dict(whole.dtypes)['a']}, idx long, off double, inv_c double, rms double"
     if done is None:
         return spark.createDataFrame([], schema)

@@ -187,7 +187,7 @@ def h4_solve_clock_drift(spark: SparkSession, d: str) -> DataFrame:
     pings = heard.select("ping_id", "tx", "rx", (read + odd).alias("t"))
     days = int(pings.agg(F.max("t")).first()[0] // 86400) + 1
     eq = Y.clock_equations(pings, D.rx_distances(rx))
-    out = Y.solve_clock(eq, 0.0, 86400.0, "click", days, max_drops=10_000)
+    out = Y.solve_clock(eq, 0.0, 86400.0, "click", days, max_drops=10_000, max_share=0.05)
     return r6(r6(out.select("rx", "idx", "off", (F.col("inv_c") * 1e6).alias("micros")), "off", digits=4), "micros", digits=1)
 
 
