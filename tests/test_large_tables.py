@@ -79,3 +79,17 @@ def test_checksum_of_whole_lines(spark):
     df = spark.createDataFrame([("AB",), ("",), (None,), ("Ünï\x00",), ("z" * 100_000,)], "line string").select("line", line_checksum(F.col("line")).alias("c"))
     assert "aggregate(" not in df._jdf.queryExecution().toString()
     assert all(c == f"{sum((x or '').encode()) % 256:02X}" for x, c in df.collect())
+
+
+def test_sections_share_files(spark, data):
+    """The query's files do not grow in number with the tags."""
+    import glob
+
+    from tidewake.session import shared_folder
+
+    def written() -> set[str]:
+        return set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/a12-*/**/part-*", recursive=True))
+
+    before = written()
+    tags = QUERIES["a12_parse_sections"](spark, data).select("section").distinct().count()
+    assert 0 < len(written() - before) < tags

@@ -100,15 +100,15 @@ def a9_read_gauge(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {DET}, c AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY seq) - 1 AS col FROM det)
 SELECT 'S' || tag AS section, CAST(col AS INT) AS "column", sensor AS dist, CAST(tag AS DOUBLE) AS x, k AS y, -1.5 - tag % 7 AS z_bed, 1.5::DOUBLE AS z_surf, CAST(l AS INT) AS k, k / 8 AS u, l * 0.25 AS v, 0.5::DOUBLE AS dz FROM c, range(20, 23) r(l) WHERE l <= 20 + seq % 3""")
 def a12_parse_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Events written as section files, a section for each tag and a water column for each event, and read back."""
+    """Events written as section files of many sections, a section for each tag and a water column for each event, and read back."""
     at = f"{shared_folder(spark)}/a12-{uuid.uuid4().hex}"
     top = 20 + F.col("seq") % 3
     layers = F.transform(F.sequence(F.lit(20).cast("long"), top), lambda i: F.concat_ws(" ", i, F.col("k") / 8, i * 0.25, F.lit(0.5)))
     head = F.concat_ws(" ", "sensor", F.col("tag").cast("double"), "k", F.col("seq") % 400, F.lit(20), top, -1.5 - F.col("tag") % 7, F.lit(1.5))
     first = F.row_number().over(Window.partitionBy("tag").orderBy("seq")) == 1
     rows = detections(spark, d).withColumn("value", F.concat_ws("\n", F.when(first, F.concat(F.lit("section S"), "tag")), head, F.concat_ws("\n", layers)))
-    rows.withColumn("part", F.col("tag")).repartition("part").sortWithinPartitions("part", "seq").select("value", "part").write.partitionBy("part").text(at)
-    return R.parse_sections(spark, f"{at}/*").drop("file")
+    rows.repartition("tag").sortWithinPartitions("tag", "seq").select("value").write.text(at)
+    return R.parse_sections(spark, at).drop("file")
 
 
 @query(f"WITH {DET} SELECT CASE rx WHEN 'error' THEN 'STATUS' WHEN 'signup' THEN 'SYNC' WHEN 'view' THEN 'unknown' ELSE 'DET' END AS type, count(*) AS n FROM det GROUP BY 1")
