@@ -93,3 +93,19 @@ def test_sections_share_files(spark, data):
     before = written()
     tags = QUERIES["a12_parse_sections"](spark, data).select("section").distinct().count()
     assert 0 < len(written() - before) < tags
+
+
+def test_waiting_rows_in_blocks():
+    """Rows wait in blocks, not one by one, and come back as they were, nulls too."""
+    import pickle
+
+    from tidewake.streaming import jobs as S
+
+    waiting = "ms long, us long, seq long, t double, is_sync boolean"
+    processor = S._InOrder(["rx"], waiting, "last double", lambda rows, carried: (rows, carried), "rx string", None)
+    n = 2 * S.CHUNK + 1
+    sent = pd.DataFrame({"ms": range(n), "us": range(n), "seq": range(n), "t": 0.5, "is_sync": [None] + [True] * (n - 1)})
+    blocks = processor._blocks(sent)
+    back = S._plain(pd.concat([pickle.loads(b) for (b,) in blocks], ignore_index=True))
+    assert len(blocks) == 3 and str(back["ms"].dtype) == "int64" and back["seq"].tolist() == list(range(n))
+    assert pd.isna(back["is_sync"][0]) and bool(back["is_sync"][1])
