@@ -42,6 +42,23 @@ def test_turned_back_as_sql(spark, turned_back, name):
     assert rows(ours) == rows(theirs)
 
 
+@pytest.mark.parametrize("name", ["e28_change_points", "e7_e8_steps"])
+def test_many_turned_back_as_sql(spark, tmp_path, name):
+    """Tracks drawn at random, each straight back over its own line, all the way or a part or beyond."""
+    rng, m = np.random.default_rng(12), 5_000
+    way = np.stack([rng.integers(1, 400, m), rng.integers(0, 8, m)]) * rng.choice([-1, 1], (2, m))
+    a = np.stack([rng.integers(3_000, 50_000, m), rng.integers(45, 55, m)])
+    b = a + rng.integers(1, 7, m) * way
+    c = np.where(rng.random(m) < 0.5, a, b - rng.integers(1, 7, m) * way)
+    x, y = np.stack([a, b, c], 2)
+    ts = pd.Timestamp("2024-01-02") + pd.to_timedelta(np.sort(rng.integers(0, 20 * 86_400_000_000, (m, 3)), 1).ravel(), "us")
+    events = pd.DataFrame({"event_id": np.arange(3 * m), "ts": ts.astype("datetime64[us]"), "user_id": np.repeat(np.arange(m), 3), "event_type": "click", "value": x.ravel() / 100, "props": [f'{{"k": {k}}}' for k in y.ravel()]})
+    events.to_parquet(tmp_path / "events.parquet", index=False)
+    columns = ["id", "seq", "turn"] if name == "e7_e8_steps" else ["id", "seq", "by_turn", "by_rate"]
+    ours, theirs = (df.sort_values("seq")[columns].reset_index(drop=True) for df in (QUERIES[name](spark, str(tmp_path)).toPandas(), _sql(str(tmp_path), name)))
+    pd.testing.assert_frame_equal(ours, theirs, check_dtype=False)
+
+
 def test_heading_keeps_nulls(spark):
     from tidewake.functions.exprs import heading
 
