@@ -126,3 +126,21 @@ def test_waiting_rows_in_blocks():
     back = S._plain(pd.concat([pickle.loads(b) for (b,) in blocks], ignore_index=True))
     assert len(blocks) == 3 and str(back["ms"].dtype) == "int64" and back["seq"].tolist() == list(range(n))
     assert pd.isna(back["is_sync"][0]) and bool(back["is_sync"][1])
+
+
+def test_arriving_batches_are_many_files(spark, data, monkeypatch):
+    """No task writes or reads a whole batch, and the batches hold the same rows."""
+    import glob
+
+    from tests.compare import connection
+    from tidewake.plans import streams
+    from tidewake.session import shared_folder
+
+    def written(name: str) -> set[str]:
+        return set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/{name}-*/part-*"))
+
+    monkeypatch.setattr(streams, "ROWS_A_FILE", 50)
+    for query, name in (("s7_stream_open_silences", "silences"), ("s2_stream_bin_mean_and_late", "tardy"), ("s5_stream_multipath", "arrivals")):
+        before = written(name)
+        assert rows(QUERIES[query](spark, data).toPandas()) == rows(connection(data).execute(SQL[query]).df())
+        assert len(written(name) - before) > 5

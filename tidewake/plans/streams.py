@@ -218,13 +218,26 @@ def a16_flow_table(spark: SparkSession, d: str) -> DataFrame:
     return a.select(F.lit("flow").alias("part"), "n", "total").union(rejected.agg(F.count(F.lit(1)).alias("n")).select(F.lit("rejected"), "n", F.lit(None).cast("double")))
 
 
+#: Rows that a file of an arriving batch holds at least, where a batch is more files than one.
+ROWS_A_FILE = 250_000
+
+
+def _arrived(spark: SparkSession, at: str, batches: list[DataFrame], last: DataFrame | None = None) -> DataFrame:
+    """The rows of batches as a stream that brings them one after the other: all batches are written in as many files, so that no
+    task writes or reads a whole batch and the files of a trigger are one batch's. last: a row that comes after them."""
+    files = max(1, min(b.count() for b in batches) // ROWS_A_FILE)
+    for b in batches:
+        (b.repartition(files) if files > 1 else b.coalesce(1)).write.mode("append").parquet(at)
+    if last is not None:
+        last.coalesce(1).write.mode("append").parquet(at)
+    return S.event_stream(spark, at, files_per_trigger=files)
+
+
 def _stream(spark: SparkSession, d: str) -> DataFrame:
-    """The events in three files that arrive one after the other, a batch each."""
+    """The events in three batches that arrive one after the other."""
     e, at = table(spark, d, "events"), f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
     cuts = e.approxQuantile("event_id", [1 / 3, 2 / 3], 0.001)
-    for lo, hi in zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True):
-        e.where((F.col("event_id") > lo) & (F.col("event_id") <= hi)).coalesce(1).write.mode("append").parquet(at)
-    return S.event_stream(spark, at)
+    return _arrived(spark, at, [e.where((F.col("event_id") > lo) & (F.col("event_id") <= hi)) for lo, hi in zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True)])
 
 
 LIMIT = f"WITH {DET}, m AS (SELECT max(time) AS m FROM det)"
@@ -258,17 +271,15 @@ def s6_stream_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _arriving(spark: SparkSession, d: str, name: str, place: Callable[[int, int], Column], files: int) -> DataFrame:
-    """The events in files by place(lo, hi), from 0, of the first and last time in microseconds; at last a row of a receiver 'none',
+    """The events in batches by place(lo, hi), from 0, of the first and last time in microseconds; at last a row of a receiver 'none',
     ten days on, which moves the watermark past all of them."""
     e, at = table(spark, d, "events"), f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     lo, hi = e.agg(F.min(us), F.max(us)).first()
     dealt = kept(e.withColumn("_place", place(lo, hi)), "dealt")
-    for i in range(files):
-        dealt.where(F.col("_place") == i).drop("_place").coalesce(1).write.mode("append").parquet(at)
     last = e.orderBy(F.desc("ts")).limit(1)
-    last.select(*[F.lit("none" if c == "event_type" else "-1").cast(k).alias(c) if c in ("event_type", "user_id") else (F.col("ts") + F.expr("INTERVAL 10 DAYS")).cast(k).alias(c) if c == "ts" else F.col(c) for c, k in e.dtypes]).write.mode("append").parquet(at)
-    return S.event_stream(spark, at)
+    last = last.select(*[F.lit("none" if c == "event_type" else "-1").cast(k).alias(c) if c in ("event_type", "user_id") else (F.col("ts") + F.expr("INTERVAL 10 DAYS")).cast(k).alias(c) if c == "ts" else F.col(c) for c, k in e.dtypes])
+    return _arrived(spark, at, [dealt.where(F.col("_place") == i).drop("_place") for i in range(files)], last)
 
 
 def _us() -> Column:
@@ -276,13 +287,13 @@ def _us() -> Column:
 
 
 def _shuffled(spark: SparkSession, d: str, files: int = 10) -> DataFrame:
-    """The events in files that each hold what reached a recorder in turn, up to two days after its time."""
+    """The events in batches that each hold what reached a recorder in turn, up to two days after its time."""
     late = 2 * 86_400_000_000
     return _arriving(spark, d, "shuffled", lambda lo, hi: F.floor((_us() - lo + F.pmod(F.xxhash64("event_id"), F.lit(late))) / F.lit((hi - lo + late + 1) / files)), files)
 
 
 def _tardy(spark: SparkSession, d: str) -> DataFrame:
-    """The same in four files, with a lateness that SQL can say: event_id * 7919 modulo two days, in seconds."""
+    """The same in four batches, with a lateness that SQL can say: event_id * 7919 modulo two days, in seconds."""
     late = 172_800_000_000
     return _arriving(spark, d, "tardy", lambda lo, hi: F.floor((_us() - lo + F.col("event_id") * 7919 % 172_800 * 1_000_000) * 4 / F.lit(hi - lo + late)), 4)
 
