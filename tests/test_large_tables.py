@@ -128,6 +128,47 @@ def test_waiting_rows_in_blocks():
     assert pd.isna(back["is_sync"][0]) and bool(back["is_sync"][1])
 
 
+def test_multipath_keys_share_state(spark, tmp_path):
+    """Many keys, also without a receiver or tag, over three batches: judged as by a plain loop, their state in few entries."""
+    from tidewake.streaming import jobs as S
+
+    rng, n = np.random.default_rng(4), 9_000
+    tags = [None if k == 0 else 2**60 + k for k in rng.integers(0, 2_000, n).tolist()]
+    sent = [(None if i % 50 == 0 else "ab"[i % 2], tag, i, t) for i, (tag, t) in enumerate(zip(tags, rng.uniform(0, 20, n).cumsum().tolist(), strict=True))]
+    at = str(tmp_path / "m")
+    for i in range(0, n, n // 3):
+        spark.createDataFrame(sent[i : i + n // 3], "rx string, tag long, seq long, t double").coalesce(1).write.mode("append").parquet(at)
+    stream = spark.readStream.schema("rx string, tag long, seq long, t double").option("maxFilesPerTrigger", 1).parquet(at)
+    q = S.stream_multipath(stream, ("rx", "tag"), 9_000.0, None).writeStream.format("memory").queryName("shared_state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    want, last = set(), {}
+    for rx, tag, seq, t in sent:
+        if (rx, tag) not in last or t - last[rx, tag] > 9_000.0:
+            want.add((rx, tag, seq))
+        last[rx, tag] = t
+    assert {tuple(r) for r in spark.table("shared_state").select("rx", "tag", "seq").collect()} == want
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] < len(last) / 4
+
+
+def test_multipath_silence_by_key(spark, tmp_path):
+    """A silent key's time goes though others of its group go on."""
+    import time
+
+    from tidewake.streaming import jobs as S
+
+    at = str(tmp_path / "t")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else a run that waits for silences never ends
+    for i, (tag, t) in enumerate([(1, 0.0), (2, 0.0), (1, 0.5), (1, 0.7)]):
+        spark.createDataFrame([("a", tag, i, t)], "rx string, tag long, seq long, t double").coalesce(1).write.mode("append").parquet(at)
+        stream = spark.readStream.schema("rx string, tag long, seq long, t double").parquet(at)
+        q = S.stream_multipath(stream, ("rx", "tag"), 1.0, "2 seconds").writeStream.format("parquet").option("path", f"{tmp_path}/o").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        q.awaitTermination()
+        time.sleep(2.5 if i == 0 else 0)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    out = sorted(r["seq"] for r in spark.read.parquet(f"{tmp_path}/o").collect())
+    assert out == [0, 1, 2]
+
+
 def test_arriving_batches_are_many_files(spark, data, monkeypatch):
     """No task writes or reads a whole batch, and the batches hold the same rows."""
     import glob
