@@ -185,3 +185,11 @@ def test_arriving_batches_are_many_files(spark, data, monkeypatch):
         before = written(name)
         assert rows(QUERIES[query](spark, data).toPandas()) == rows(connection(data).execute(SQL[query]).df())
         assert len(written(name) - before) > 5
+
+
+def test_grid_is_scored_within_rows(spark):
+    """H6 makes no row for each point of the grid, and finds the planted shift and drift."""
+    legs = [spark.createDataFrame([(g, 86400.0 * k + sign * (30.0 * g + 0.5 * g * k) + 0.2, 86400.0 * k) for g in (1, 2) for k in range(9)], "g long, t double, src double") for sign in (1, -1)]
+    got = Y.search_shift_drift(*legs, [30.0 * k for k in range(-3, 4)], [0.5 * k for k in range(-3, 4)], ["g"])
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    assert {(r["g"], r["shift"], r["drift"], round(r["cost"], 4)) for r in got.collect()} == {(1, 30.0, 0.5, 0.4), (2, 60.0, 1.0, 0.4)}

@@ -223,11 +223,14 @@ def search_shift_drift(ab: DataFrame, ba: DataFrame, shifts: list[float], drifts
         return df.groupBy(*by).agg(F.count(F.lit(1)).alias(f"n{name}"), F.avg(d).alias(f"d{name}"), F.avg(d * d).alias(f"dd{name}"), F.avg(s).alias(f"s{name}"), F.avg(s * s).alias(f"ss{name}"), F.avg(d * s).alias(f"ds{name}"))
 
     both = sums(ab, "1").join(sums(ba, "2"), by)
-    grid = both.withColumn("shift", F.explode(F.array(*map(F.lit, shifts)))).withColumn("drift", F.explode(F.array(*map(F.lit, drifts))))
 
-    def rms(k: str, sign: int):
-        a, b = F.col("shift") * sign, F.col("drift") * sign
+    def rms(k: str, sign: int, shift: Column, drift: Column) -> Column:
+        a, b = shift * sign, drift * sign
         return F.sqrt(F.greatest(F.lit(0.0), F.col(f"dd{k}") + a * a + b * b * F.col(f"ss{k}") - 2 * a * F.col(f"d{k}") - 2 * b * F.col(f"ds{k}") + 2 * a * b * F.col(f"s{k}")))
 
-    cost = rms("1", 1) + rms("2", -1)
-    return grid.withColumn("cost", cost).groupBy(*by).agg(F.min(F.struct("cost", "shift", "drift")).alias("m")).select(*by, "m.cost", "m.shift", "m.drift")
+    def scored(shift: Column, drift: Column) -> Column:
+        return F.struct((rms("1", 1, shift, drift) + rms("2", -1, shift, drift)).alias("cost"), shift.alias("shift"), drift.alias("drift"))
+
+    # The grid is scored within each group's row: a row a grid point would be sorted and held by the hundred million.
+    lines = F.transform(F.array(*map(F.lit, shifts)), lambda shift: F.array_min(F.transform(F.array(*map(F.lit, drifts)), lambda drift: scored(shift, drift))))
+    return both.withColumn("m", F.array_min(lines)).select(*by, "m.cost", "m.shift", "m.drift")
