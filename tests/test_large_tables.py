@@ -193,3 +193,19 @@ def test_grid_is_scored_within_rows(spark):
     got = Y.search_shift_drift(*legs, [30.0 * k for k in range(-3, 4)], [0.5 * k for k in range(-3, 4)], ["g"])
     assert "Generate" not in got._jdf.queryExecution().toString()
     assert {(r["g"], r["shift"], r["drift"], round(r["cost"], 4)) for r in got.collect()} == {(1, 30.0, 0.5, 0.4), (2, 60.0, 1.0, 0.4)}
+
+
+def test_spacing_of_sections_of_any_size(spark):
+    """D36 takes its bins without a window or a percentile over a whole section; values as numpy has them, ties and nulls too."""
+    from tidewake.operators import survey as V
+
+    rng = np.random.default_rng(8)
+    sent = [(s, t, k, float(x), float(y), float(z)) for s, n in (("a", 40), (None, 7), ("c", 2)) for t in ("p", "q") for k, (x, y, z) in enumerate(zip(rng.integers(0, 5, n), rng.uniform(0, 9, n), rng.choice([-1, 0.5, 2], n), strict=True))]
+    df = spark.createDataFrame(sent, "section string, transect string, sample long, x double, y double, dz double")
+    got = V.sample_spacing(df)
+    assert not any(w in got._jdf.queryExecution().toString() for w in ("Window [lag", "percentile("))
+    for r in V.sample_spacing(df).collect():
+        own = [v for v in sent if v[0] == r["section"]]
+        steps = [math.hypot(b[3] - a[3], b[4] - a[4]) for a, b in zip(own, own[1:], strict=False) if a[1] == b[1]]
+        assert r["dbin"] == pytest.approx(np.quantile(steps, 0.5)) and r["zbin"] == pytest.approx(np.quantile([abs(v[5]) for v in own], 0.1))
+    assert {r["section"] for r in got.collect()} >= {"a", "c"}

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions.exprs import rotate
+from tidewake.operators.ordering import numbered, parts_of, quantile_by, small
 from tidewake.operators.timejoin import interp_join
+from tidewake.session import kept
 
 
 def pair_fields(obs: DataFrame, mods: DataFrame, n_models: int) -> DataFrame:
@@ -69,12 +71,15 @@ def transect_flow(profiles: DataFrame) -> DataFrame:
 
 def sample_spacing(profiles: DataFrame) -> DataFrame:
     """Bins for a section from its own transects (D36): section, dbin (median distance of neighbouring samples), zbin (tenth percentile
-    of bin heights). profiles: section, transect, sample, x, y, dz. A section is one survey's boat runs, some thousand samples."""
-    at = profiles.groupBy("section", "transect", "sample").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    w = Window.partitionBy("section", "transect").orderBy("sample")
-    step = at.withColumn("_d", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)))
-    d = step.groupBy("section").agg(F.percentile("_d", F.lit(0.5)).alias("dbin"))
-    return d.join(profiles.groupBy("section").agg(F.percentile(F.abs("dz"), F.lit(0.1)).alias("zbin")), "section")
+    of bin heights). profiles: section, transect, sample, x, y, dz. Samples are numbered in their order and meet their neighbours by
+    number, so a section may have any number of them."""
+    parts, key = parts_of(profiles), ["section", "transect", "sample"]
+    at = profiles.select(*key, "x", "y").repartition(parts, *key).groupBy(*key).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    at = kept(numbered(at, key, "_i", parts=parts), "samples")
+    next_ = at.select((F.col("_i") - 1).alias("_i"), F.col("section").alias("_s"), F.col("transect").alias("_t"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    step = at.repartition(parts, "_i").join(next_.repartition(parts, "_i"), "_i").where(F.col("section").eqNullSafe(F.col("_s")) & F.col("transect").eqNullSafe(F.col("_t")))
+    d = quantile_by(step.select("section", F.hypot(F.col("_x") - F.col("x"), F.col("_y") - F.col("y")).alias("_d")), "section", "_d", 0.5, "dbin", parts)
+    return d.join(quantile_by(profiles.select("section", F.abs("dz").alias("_z")), "section", "_z", 0.1, "zbin"), "section")
 
 
 def average_transects(profiles: DataFrame, dbin: float | None = None, zbin: float | None = None) -> DataFrame:
@@ -82,13 +87,13 @@ def average_transects(profiles: DataFrame, dbin: float | None = None, zbin: floa
     bins are not given also transect, sample, dz, from which sample_spacing takes them."""
     if dbin is None or zbin is None:
         own = sample_spacing(profiles).select("section", F.lit(dbin).alias("_dbin") if dbin else F.col("dbin").alias("_dbin"), F.lit(zbin).alias("_zbin") if zbin else F.col("zbin").alias("_zbin"))
-        rows = profiles.join(own, "section")
+        rows = profiles.join(small(kept(own, "spacing")), "section")
     else:
         rows = profiles.withColumns({"_dbin": F.lit(dbin), "_zbin": F.lit(zbin)})
     mean = profiles.groupBy("section").agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"), F.var_pop("x").alias("_xx"), F.var_pop("y").alias("_yy"), F.covar_pop("x", "y").alias("_xy"))
     mean = mean.select("section", "_mx", "_my", (0.5 * F.atan2(2 * F.col("_xy"), F.col("_xx") - F.col("_yy"))).alias("_a"))
     d = (F.col("x") - F.col("_mx")) * F.cos("_a") + (F.col("y") - F.col("_my")) * F.sin("_a")
-    rows = rows.join(mean, "section")
+    rows = rows.join(small(kept(mean, "lines")), "section")
     return rows.groupBy("section", F.floor(F.try_divide(d, "_dbin")).alias("dbin"), F.floor(F.try_divide("z", "_zbin")).alias("zbin")).agg(F.avg("u").alias("u"), F.count(F.lit(1)).alias("n"))
 
 
