@@ -209,3 +209,19 @@ def test_spacing_of_sections_of_any_size(spark):
         steps = [math.hypot(b[3] - a[3], b[4] - a[4]) for a, b in zip(own, own[1:], strict=False) if a[1] == b[1]]
         assert r["dbin"] == pytest.approx(np.quantile(steps, 0.5)) and r["zbin"] == pytest.approx(np.quantile([abs(v[5]) for v in own], 0.1))
     assert {r["section"] for r in got.collect()} >= {"a", "c"}
+
+
+def test_groups_share_calls(spark, monkeypatch):
+    """C14 takes many groups in a call, and how they are dealt over calls changes nothing."""
+    from tidewake.operators import matching as M
+
+    rng = np.random.default_rng(6)
+    det = spark.createDataFrame([("ab"[i % 2], int(k), i, float(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 40, 1_200), rng.uniform(0, 5_000, 1_200), strict=True))], "rx string, tag long, seq long, t double")
+    lines = spark.createDataFrame([("a", "b", 1.0, 0.0, 0.0)], "rx_a string, rx_b string, slope double, a_mean double, b_mean double")
+    found, called = [], []
+    for size in (20_000, 50):
+        monkeypatch.setattr(M, "ROWS_A_CALL", size)
+        match = M.match_records(det, lines, F.lit(30.0), None, 20.0, slice_s=100.0)
+        called.append("_call" in match._jdf.queryExecution().analyzed().toString())
+        found.append(sorted(tuple(r) for r in match.collect()))
+    assert found[0] == found[1] and len(found[0]) > 50 and all(called)

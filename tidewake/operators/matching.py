@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -94,6 +95,18 @@ def best_chain(t: np.ndarray, side: np.ndarray, max_res: float, apart: float, co
     return out
 
 
+#: Rows that a call of the matching takes, in whole groups.
+ROWS_A_CALL = 20_000
+
+
+def _runs(g: pd.DataFrame, columns: list[str]) -> list[tuple[int, int]]:
+    """First place and the one past the last of each run of equal values in a sorted frame."""
+    starts = np.ones(len(g), bool)
+    starts[1:] = np.any([g[c].to_numpy()[1:] != g[c].to_numpy()[:-1] for c in columns], axis=0)
+    at = np.flatnonzero(starts).tolist()
+    return list(zip(at, [*at[1:], len(g)], strict=True))
+
+
 def _on_one_clock(det: DataFrame, lines: DataFrame, chunk_s: float | None) -> DataFrame:
     """rx_a, rx_b, tag, side (0: a), seq, t on b's clock, for each pair of receivers that has a line."""
     own = det.where("tag is not null and t is not null").select("rx", "tag", "seq", F.col("t").cast("double").alias("t"))
@@ -130,41 +143,59 @@ def match_records(det: DataFrame, lines: DataFrame, interval: Column, chunk_s: f
     of_key = ", ".join(f"{c} {kinds[c]}" for c in key)
     flags = list(itertools.product((False, True), repeat=2))
 
-    def in_order(g: pd.DataFrame) -> tuple[pd.DataFrame, dict]:
-        g = g.sort_values(["t", "side", "seq"])
-        return g, best_chain(g["t"].to_numpy(), g["side"].to_numpy(), max_res, float(g["_apart"].iloc[0]), cost)
+    def chains(g: pd.DataFrame) -> Iterator[tuple[int, int, dict, pd.DataFrame]]:
+        g = g.sort_values([*key, "_group", "t", "side", "seq"], ignore_index=True)
+        t, side, apart = g["t"].to_numpy(), g["side"].to_numpy(), g["_apart"].to_numpy(float)
+        for i, j in _runs(g, [*key, "_group"]):
+            yield i, j, best_chain(t[i:j], side[i:j], max_res, float(apart[i]), cost), g
 
     def scored(g: pd.DataFrame) -> pd.DataFrame:
-        g, best = in_order(g)
-        scores = [best[f][0] if f in best else -math.inf for f in flags]
-        return pd.DataFrame([(*g[[*key, "_group", "_apart"]].iloc[0], g["t"].iloc[0], g["t"].iloc[-1], scores)], columns=[*key, "_group", "_apart", "from_t", "to_t", "scores"])
-
-    summary = rows.groupBy(*key, "_group").applyInPandas(scored, f"{of_key}, _group double, _apart double, from_t double, to_t double, scores array<double>")
+        first, last, scores = [], [], []
+        for i, j, best, g in chains(g):  # noqa: B020
+            first.append(i)
+            last.append(j - 1)
+            scores.append([best[f][0] if f in best else -math.inf for f in flags])
+        out = g.loc[first, [*key, "_group", "_apart"]]
+        return out.assign(from_t=g["t"].to_numpy()[first], to_t=g["t"].to_numpy()[last], scores=scores)
+
+    # Groups are small, so a call takes many of them.
+    calls = F.lit(rows.count() // ROWS_A_CALL + 1)
+    rows = rows.withColumn("_call", F.pmod(F.xxhash64(*key, "_group"), calls))
+    summary = kept(rows.groupBy("_call").applyInPandas(scored, f"{of_key}, _group double, _apart double, from_t double, to_t double, scores array<double>"), "match-scores")
 
     def joined(g: pd.DataFrame) -> pd.DataFrame:
-        """The best flags of the groups' ends along a tag."""
-        g = g.sort_values("_group").reset_index(drop=True)
-        total, back = np.array(g["scores"].iloc[0], float), []
-        for i in range(1, len(g)):
-            close = g["from_t"].iloc[i] - g["to_t"].iloc[i - 1] < g["_apart"].iloc[i]
-            step = np.array([[total[p] - (cost if close and flags[p][1] != f[0] else 0.0) for p in range(4)] for f in flags])
-            back.append(step.argmax(1))
-            total = step.max(1) + np.array(g["scores"].iloc[i], float)
-        at = [int(total.argmax())]
-        for b in reversed(back):
-            at.append(int(b[at[-1]]))
-        return g[[*key, "_group"]].assign(ends=at[::-1])
-
-    chosen = summary.groupBy(*key).applyInPandas(joined, f"{of_key}, _group double, ends int")
+        """The best flags of the groups' ends along each tag."""
+        g = g.sort_values([*key, "_group"], ignore_index=True)
+        ends, scores = np.zeros(len(g), int), [np.array(s, float) for s in g["scores"]]
+        from_t, to_t, apart = (g[c].to_numpy() for c in ("from_t", "to_t", "_apart"))
+        for start, stop in _runs(g, key):
+            total, back = scores[start], []
+            for i in range(start + 1, stop):
+                close = from_t[i] - to_t[i - 1] < apart[i]
+                step = total[None, :] - cost * parted if close else np.tile(total, (4, 1))
+                back.append(step.argmax(1))
+                total = step.max(1) + scores[i]
+            at = int(total.argmax())
+            ends[stop - 1] = at
+            for k, b in enumerate(reversed(back)):
+                at = int(b[at])
+                ends[stop - 2 - k] = at
+        return g[[*key, "_group"]].assign(ends=ends)
+
+    parted = np.array([[float(flags[p][1] != f[0]) for p in range(4)] for f in flags])
+    tags = summary.withColumn("_call", F.pmod(F.xxhash64(*key), F.lit(summary.count() // ROWS_A_CALL + 1)))
+    chosen = tags.groupBy("_call").applyInPandas(joined, f"{of_key}, _group double, ends int")
 
     def matched(g: pd.DataFrame) -> pd.DataFrame:
-        ends = flags[int(g["ends"].iloc[0])]
-        g, best = in_order(g)
-        t, side, seq = g["t"].to_numpy(), g["side"].to_numpy(), g["seq"].to_numpy()
-        pairs = [(i, j) if side[i] == 0 else (j, i) for i, j in best[ends][1]]
-        out = pd.DataFrame({"seq_a": [seq[i] for i, _ in pairs], "seq_b": [seq[j] for _, j in pairs], "res": [t[j] - t[i] for i, j in pairs]})
-        for c in key:
-            out[c] = g[c].iloc[0]
-        return out[[*key, "seq_a", "seq_b", "res"]]
-
-    return rows.join(chosen, [*key, "_group"]).groupBy(*key, "_group").applyInPandas(matched, f"{of_key}, seq_a {kinds['seq']}, seq_b {kinds['seq']}, res double")
+        at, seq_a, seq_b, res = [], [], [], []
+        for i, _, best, g in chains(g):  # noqa: B020
+            t, side, seq = g["t"].array, g["side"].array, g["seq"].array
+            for m, n in best[flags[int(g["ends"].array[i])]][1]:
+                m, n = (m, n) if side[i + m] == 0 else (n, m)
+                at.append(i)
+                seq_a.append(seq[i + m])
+                seq_b.append(seq[i + n])
+                res.append(t[i + n] - t[i + m])
+        return g.loc[at, key].assign(seq_a=seq_a, seq_b=seq_b, res=res)
+
+    return rows.join(chosen, [*key, "_group"]).groupBy("_call").applyInPandas(matched, f"{of_key}, seq_a {kinds['seq']}, seq_b {kinds['seq']}, res double")
