@@ -225,3 +225,19 @@ def test_groups_share_calls(spark, monkeypatch):
         called.append("_call" in match._jdf.queryExecution().analyzed().toString())
         found.append(sorted(tuple(r) for r in match.collect()))
     assert found[0] == found[1] and len(found[0]) > 50 and all(called)
+
+
+def test_tracks_are_listed_by_few_tasks(spark, tmp_path):
+    from tidewake.sources import readers as R
+
+    n = 8 * spark.sparkContext.defaultParallelism
+    for i in range(n):
+        (tmp_path / f"track-{i}.csv").write_text(f",x,y,tnum,x_sd,y_sd,num_rx\n0,{i}.5,2.5,10.0,0.1,0.2,3\n")
+    before = spark.conf.get(R.LISTING)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    rows = R.read_tracks(spark, f"{tmp_path}/track-*.csv")
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert tasks and max(tasks) < n and spark.conf.get(R.LISTING) == before
+    assert {(r["id"], r["x"]) for r in rows.collect()} == {(str(i), i + 0.5) for i in range(n)}
