@@ -476,6 +476,23 @@ def test_ids_are_those_of_the_plain_call(spark, data):
     assert all(np.frombuffer(x, "<u4").tolist() == own.encode(t, add_special_tokens=False).ids for x, t in zip(got, texts, strict=True))
 
 
+def test_words_asked_for_again_are_kept(monkeypatch):
+    monkeypatch.setattr(bpe, "WORDS_KEPT", 400)
+    own, rng, asked = Tokenizer.from_file(JSON), random.Random(7), []
+    encoder = packing.Encoder(JSON, P.PATTERN)
+    plain_call = encoder.chunker.encode_words
+    encoder.chunker.encode_words = lambda words: asked.extend(words) or plain_call(words)
+    common = "the river, of fish. swims"
+    for _ in range(30):
+        fresh = ["".join(rng.choices("abcdefgh\u00e9", k=9)) + rng.choice(["", ",", "!!", ".\nA", "\u00a0\u3000", "\x85\xad\x1c"]) for _ in range(100)]
+        texts = [common + " " + " ".join(fresh), "", " ", "the ", " the", "the", "a  b \n" + common]
+        got = encoder.encode(texts)
+        assert all(np.frombuffer(x, "<u4").tolist() == own.encode(t, add_special_tokens=False).ids for x, t in zip(got, texts, strict=True))
+    for texts in ([], [""], ["the", ""], [common], [common, "the"]):  # nothing new
+        assert encoder.encode(texts) == [np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert asked.count(" swims") <= 2  # as a chunk, and in a text that is matched whole
+
+
 def test_packing(spark, odd, none):
     own = Tokenizer.from_file(JSON)
     got = packing.pack(odd, JSON, P.PATTERN, length=64).toPandas()

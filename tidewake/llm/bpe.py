@@ -16,10 +16,12 @@ import gc
 import hashlib
 import heapq
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -27,8 +29,8 @@ from tidewake.llm.common import gather, in_worker, offsets, passes, texts_of
 
 #: Bytes of the widest padded row.
 LONGEST_ROW = 256
-#: Words, and chunks, whose ids a Python worker keeps before it starts anew.
-WORDS_KEPT = 600_000
+#: Chunks whose ids a Python worker keeps; of words it keeps a quarter as many.
+WORDS_KEPT = 400_000
 #: Letters below this place, and marks that are no letters, digits or spaces: such chunks need no pattern.
 LATIN_END, MARKS = "\u0250", (".", ",", ";", ":", "!", "?")
 NO_PAIR = np.int32(2**31 - 1)
@@ -198,43 +200,71 @@ def _spell(strings: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray)
     return gather(flat, starts[ids], lengths[ids]).tobytes()
 
 
+def _latin(chunk: str) -> bool:
+    return chunk.isalpha() and (chunk.isascii() or max(chunk) < LATIN_END)
+
+
+class Kept:
+    """Ids of what was seen before, ``most`` entries or what one call needs: when the newer half is full, it takes the place
+    of the older, of which only what is asked for again is kept."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def age(self) -> None:
+        if len(self.new) > self.most // 2:
+            self.new, self.old = {}, self.new
+
+    def without(self, keys: Iterable[str]) -> list[str]:
+        """The keys that are not kept; those that are kept are among the newer ones afterwards."""
+        new, old, out = self.new, self.old, []
+        for k in keys:
+            if k not in new:
+                if (ids := old.get(k)) is None:
+                    out.append(k)
+                else:
+                    new[k] = ids
+        return out
+
+
 class Chunker:
     """Cuts texts at single spaces and by the pattern, and keeps the ids of chunks and words seen before.
 
     A space opens a new match of the pattern unless it stands in a longer run of white space, so the chunks between
     single spaces encode alone as they do in their text. Texts with a longer run after a space are matched whole. A chunk
     of Latin letters is one word, and one with a mark behind it two, for any pattern that keeps runs of letters together.
+    Each distinct chunk of a call is looked up once; the texts' ids are gathered from those.
     """
 
     def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[bytes]]):
         self.find, self.encode_words = regex.compile(pattern).findall, encode_words
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}  # without the space before them, which their ids have
+        self.words = Kept(WORDS_KEPT // 4)
+        self.chunks = Kept(WORDS_KEPT)  # without the space before them, which their ids have
 
-    def _learn(self, chunks: set[str], others: set[str]) -> None:
+    def _learn(self, chunks: list[str], others: set[str]) -> None:
         """Ids of new chunks, and of the words of texts and first chunks that are matched whole."""
-        plain, marked, split = set(), [], {}
+        plain, words, split = [], {*others, *MARKS}, []
         for c in chunks:
-            if c.isalpha() and (c.isascii() or max(c) < LATIN_END):
-                plain.add(c)
-            elif c[-1:] in MARKS and (body := c[:-1]).isalpha() and (body.isascii() or max(body) < LATIN_END):
-                marked.append(c)
-                if body not in self.chunks:
-                    plain.add(body)
+            if _latin(c):
+                plain.append(c)
+                continue
+            if c[-1:] in MARKS and _latin(c[:-1]):
+                first, rest = c[:-1], [c[-1]]
             else:
-                split[c] = self.find(" " + c)
-        words = {w for ws in split.values() for w in ws}
-        words.update(others, MARKS)
-        todo = [w for w in words if w not in self.words]
-        fresh = list(plain)
-        ids = self.encode_words([*todo, *[" " + c for c in fresh]])
-        self.words.update(zip(todo, ids, strict=False))
-        self.chunks.update(zip(fresh, ids[len(todo) :], strict=True))
-        known = self.words.__getitem__
-        for c in marked:
-            self.chunks[c] = self.chunks[c[:-1]] + known(c[-1])
-        for c, ws in split.items():
-            self.chunks[c] = b"".join(map(known, ws))
+                ws = self.find(" " + c)
+                first, rest = (ws[0][1:], ws[1:]) if ws and ws[0][:1] == " " and _latin(ws[0][1:]) else (None, ws)
+            split.append((c, first, rest))
+            words.update(rest)
+        firsts = {first for _, first, _ in split if first is not None}
+        plain += self.chunks.without(firsts.difference(plain))
+        todo = self.words.without(words)
+        ids = self.encode_words([*todo, *[" " + c for c in plain]])
+        word, chunk = self.words.new, self.chunks.new
+        word.update(zip(todo, ids, strict=False))
+        chunk.update(zip(plain, ids[len(todo) :], strict=True))
+        for c, first, rest in split:
+            ids = b"".join([word[w] for w in rest])
+            chunk[c] = ids if first is None else chunk[first] + ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         gc.disable()  # nothing here points in a circle, and the collector would walk the kept words again and again
@@ -244,28 +274,24 @@ class Chunker:
             gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > WORDS_KEPT or len(self.words) > WORDS_KEPT // 4:
-            self.chunks, self.words = {}, {}
-        get, new, others = self.chunks.get, set(), set()
-        held: list[tuple[list[str], list[bytes | None], list[tuple[int, str]]]] = []  # matched; ids of chunks; the new ones
+        self.words.age()
+        self.chunks.age()
+        heads: list[list[str]] = []  # what is matched
+        tails: list[str | None] = []  # what is cut at its spaces
         for t in texts:
-            if _RUN.search(t):
-                matched, chunks = self.find(t), []
-            else:
-                first, *chunks = t.split(" ")
-                matched = self.find(first)
-            ids: list[bytes | None] = list(map(get, chunks))
-            places = [i for i, x in enumerate(ids) if x is None] if None in ids else []
-            new.update(chunks[i] for i in places)
-            others.update(matched)
-            held.append((matched, ids, [(i, chunks[i]) for i in places]))
-        self._learn(new, others)
-        known, chunk, out = self.words.__getitem__, self.chunks.__getitem__, []
-        for matched, ids, places in held:
-            for i, c in places:
-                ids[i] = chunk(c)
-            out.append(b"".join(map(known, matched)) + b"".join(ids))
-        return out
+            first, space, rest = (t, "", "") if _RUN.search(t) else t.partition(" ")
+            heads.append(self.find(first))
+            tails.append(rest if space else None)
+        cut = pc.split_pattern(pa.array(tails, pa.string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(self.chunks.without(chunks), {w for ws in heads for w in ws})
+        word, ids = self.words.new, list(map(self.chunks.new.__getitem__, chunks))
+        at, code = offsets(map(len, ids)) // 4, coded.indices.to_numpy()
+        lengths = np.diff(at)[code]
+        data = gather(np.frombuffer(b"".join(ids), "<u4"), at[code], lengths).tobytes()
+        ends = 4 * np.append(0, np.cumsum(lengths))[offsets(pc.fill_null(cut.value_lengths(), 0).to_numpy())]
+        return [b"".join([word[w] for w in ws]) + data[i:j] for ws, i, j in zip(heads, ends.tolist(), ends[1:].tolist(), strict=False)]
 
 
 def vocabulary(path: str, pattern: str) -> ByteBpe:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.llm.bpe import Chunker
-from tidewake.llm.common import in_worker, passes, texts_of, written
+from tidewake.llm.common import in_worker, offsets, passes, texts_of, written
 
 END_ID = 1
 #: Partitions up to which their totals (two longs each, 32 MB at most) are broadcast; beyond, they are joined by shuffle.
@@ -30,40 +30,58 @@ TOTALS_BROADCAST = 1_000_000
 #: Partitions whose totals one window sums.
 TOTALS_PER_BLOCK = 1_000
 
-#: New words that one call of the tokenizer encodes, one after the other.
+#: New words that one line given to the tokenizer holds.
 WORDS_A_CALL = 64
+#: A byte that no UTF-8 has, between words.
+BETWEEN = b"\xff"
 
 
+def _spelling() -> np.ndarray:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else the next free one; a space for BETWEEN."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    table = np.zeros(256, "<u4")
+    table[shown] = shown
+    hidden = np.flatnonzero(table == 0)
+    table[hidden] = 256 + np.arange(len(hidden))
+    table[BETWEEN[0]] = ord(" ")
+    return table
+
 
 class Encoder:
-    """A tokenizer file's ids of texts. Tokens that the file adds to its vocabulary (such as an end mark spelt out) are found
+    """A byte-level tokenizer file's ids of texts. Tokens that the file adds to its vocabulary (such as an end mark spelt out) are found
     in a text first, as the library does; what stands between them goes through the chunker."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        self.own = Tokenizer.from_file(path)
-        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in self.own.get_added_tokens_decoder().items()}
+        own = Tokenizer.from_file(path)
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in own.get_added_tokens_decoder().items()}
         names = sorted(self.added, key=len, reverse=True)
         self.find_added = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
-        # A token of this vocabulary is spelt with one character for each of its bytes.
-        self.spelt = np.zeros(self.own.get_vocab_size(), np.int64)
-        for token, i in self.own.get_vocab().items():
+        # A token of this vocabulary is spelt with one character for each of its bytes, none of them white space.
+        self.spelt = np.zeros(own.get_vocab_size(), np.int64)
+        for token, i in own.get_vocab().items():
             self.spelt[i] = len(token)
+        self.model = Tokenizer(own.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        self.spelling = _spelling()
         self.chunker = Chunker(pattern, self._encode_words)
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Runs of a space and letters are matched apart wherever they stand, so many go through one call."""
-        runs = [w[0] == " " and w[1:].isalpha() for w in words]
-        out = {w: np.array(e.ids, "<u4").tobytes() for w, e in _each(self.own, [w for w, r in zip(words, runs, strict=True) if not r])}
-        apart = [w for w, r in zip(words, runs, strict=True) if r]
-        lines = ["".join(apart[i : i + WORDS_A_CALL]) for i in range(0, len(apart), WORDS_A_CALL)]
-        ids = np.array([x for e in self.own.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids], "<u4")
-        ends = np.searchsorted(np.cumsum(self.spelt[ids]), np.cumsum([len(w.encode()) for w in apart]), "left") + 1
-        data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-        out.update((w, data[a:b]) for w, a, b in zip(apart, at, at[1:], strict=False))
-        return [out[w] for w in words]
+        """The words in the vocabulary's spelling, with spaces between, many in one call; ids' spellings say whose they are."""
+        if not words:
+            return []
+        raw = [w.encode() for w in words]
+        at = offsets(len(w) + 1 for w in raw)
+        spelt = self.spelling[np.frombuffer(BETWEEN.join(raw), np.uint8)].tobytes().decode("utf-32-le")
+        cuts = at[:-1:WORDS_A_CALL].tolist()
+        lines = [spelt[i : j - 1] for i, j in zip(cuts, [*cuts[1:], int(at[-1])], strict=True)]
+        ids = np.array([x for e in self.model.encode_batch_fast(lines, add_special_tokens=False) for x in e.ids], "<u4")
+        ends = np.searchsorted(np.cumsum(self.spelt[ids]), np.cumsum(np.diff(at) - 1), "left") + 1
+        data, stops = ids.tobytes(), (4 * ends).tolist()
+        return [data[i:j] for i, j in zip([0, *stops], stops, strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
@@ -79,10 +97,6 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return in_worker(("packing", path, pattern), lambda: Encoder(path, pattern))
 
 
-def _each(own, words: list[str]) -> Iterator[tuple]:
-    return zip(words, own.encode_batch_fast(words, add_special_tokens=False), strict=True)
-
-
 def encode_partitions(docs: DataFrame, path: str, pattern: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, part (partition), before (tokens before it in its partition), doc_tokens, ids (32-bit little-endian)."""
 
